@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densityflow.llm import decontamination, quality_rules, sharding
+from densityflow.llm import decontamination, near_dedup, quality_rules, sharding, warc
 from densityflow.llm.common import table
 
 
+def op1_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules.quality_rules(docs, out="q").select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "q.kept")
@@ -23,10 +27,16 @@ def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shingles", "n_shared", F.round("containment", 6).alias("containment"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 QUERIES = {
+    "op1_warc_zstd": op1_warc_zstd,
     "op2_quality_rules": op2_quality_rules,
     "op4_minimax_shards": op4_minimax_shards,
     "op6_benchmark_containment": op6_benchmark_containment,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 WORDS = "list_filter(regexp_split_to_array(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -96,4 +106,31 @@ WITH d AS (
 ), hit AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN sh USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, n_shingles, n_shared, round(n_shared / n_shingles, 6) AS containment
 FROM hit JOIN n USING (item_id) WHERE n_shared >= 0.8e0 * n_shingles - 1e-9""",
+    "op1_warc_zstd": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d
+), r AS (SELECT *, payload_bytes >= 100 AND page_id IS DISTINCT FROM first AS again FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to FROM r""",
+    "op10_minhash_near_dedup": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k+4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(node, other) AS (
+  SELECT x, y FROM ways UNION SELECT r.node, b.y FROM reach r JOIN ways b ON r.other = b.x
+), comp AS (SELECT node, min(other) AS m FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.node = d.doc_id""",
 }
