@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densityflow.llm import decontamination, near_dedup, quality_rules, sharding, warc
+from densityflow.llm import classifier, decontamination, near_dedup, packing, quality_rules, sharding, warc
 from densityflow.llm.common import table
 
 
@@ -27,6 +27,14 @@ def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shingles", "n_shared", F.round("containment", 6).alias("containment"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
@@ -36,6 +44,8 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_minimax_shards": op4_minimax_shards,
     "op6_benchmark_containment": op6_benchmark_containment,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op9_length_packing": op9_length_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
