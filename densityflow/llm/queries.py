@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densityflow.llm import classifier, decontamination, near_dedup, packing, quality_rules, sharding, warc
+from densityflow.llm import classifier, decontamination, html_text, near_dedup, packing, quality_rules, sharding, warc
 from densityflow.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, out="q").select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "q.kept")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 16)
 
@@ -42,6 +46,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_zstd": op1_warc_zstd,
     "op2_quality_rules": op2_quality_rules,
+    "op3_main_text": op3_main_text,
     "op4_minimax_shards": op4_minimax_shards,
     "op6_benchmark_containment": op6_benchmark_containment,
     "op7_quality_classifier": op7_quality_classifier,
