@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densityflow.llm import classifier, decontamination, html_text, near_dedup, packing, quality_rules, sharding, warc
+from densityflow.llm import classifier, decontamination, html_text, language_model, near_dedup, packing, quality_rules, sharding, warc
 from densityflow.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_minimax_shards": op4_minimax_shards,
     "op6_benchmark_containment": op6_benchmark_containment,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_pitman_yor_lm": op8_pitman_yor_lm,
     "op9_length_packing": op9_length_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
