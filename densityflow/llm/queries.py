@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densityflow.llm import classifier, decontamination, html_text, language_model, near_dedup, packing, quality_rules, sharding, warc
+from densityflow.llm import classifier, decontamination, html_text, language_model, license_scan, near_dedup, packing, quality_rules, sharding, warc
 from densityflow.llm.common import table
 
 
@@ -26,6 +26,17 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 16)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: they stand in source/lang/block directories by their columns, one in
+    ten a level higher and one in a hundred two."""
+    i = F.col("doc_id")
+    block = F.floor(i / 1000).cast("string")
+    name = F.concat(i.cast("string"), F.lit(".txt"))
+    path = F.when(i % 100 == 0, F.concat_ws("/", "source", name)).when(i % 10 == 0, F.concat_ws("/", "source", "lang", name)).otherwise(F.concat_ws("/", "source", "lang", block, name))
+    out = license_scan.licences(table(spark, sf_dir, "documents").withColumn("path", path))
+    return out.withColumn("cosine", F.round("cosine", 6))
+
+
 def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 0.8)
     return found.select("doc_id", "item_id", "n_shingles", "n_shared", F.round("containment", 6).alias("containment"))
@@ -52,6 +63,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_main_text": op3_main_text,
     "op4_minimax_shards": op4_minimax_shards,
+    "op5_license_scan": op5_license_scan,
     "op6_benchmark_containment": op6_benchmark_containment,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_pitman_yor_lm": op8_pitman_yor_lm,
