@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from densityflow.llm.common import cut, fresh, if_small, words
+from densityflow.llm.common import cut, fresh, if_small, let, words
 
 GAMMA = 1.02
 ZERO_BUCKET = -100_000
@@ -44,33 +44,35 @@ def _features(docs: DataFrame, text: str, names: dict[str, str]) -> DataFrame:
     return out.withColumn(names["upper_ratio"], _ratio(upper.cast("double"), n["word_chars"].cast("double")))
 
 
-def _base(docs: DataFrame, text: str, names: dict[str, str], spare: dict[str, str]) -> DataFrame:
-    """Word counts, repeated lines and repeated five-word windows, all inside the row."""
-    n = {k: F.col(v) for k, v in (names | spare).items()}
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumn(spare["lines"], lines)
-    out = out.withColumn(names["n_dup_lines"], (F.size(n["lines"]) - F.size(F.array_distinct(n["lines"]))).cast("long")).drop(spare["lines"])
-    out = out.withColumn(spare["words"], words(F.col(text)))
-    out = out.withColumn(names["n_words"], F.size(n["words"]).cast("long"))
-    w = n["words"]
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*[w[i + k] for k in range(5)]))
-    out = out.withColumn(spare["windows"], F.when(F.size(w) >= 5, windows)).drop(spare["words"])
-    h = n["windows"]
-    # Only texts with a repeated window pay for sorting (hash, position) pairs.
-    pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    out = out.withColumn(spare["sorted"], F.when(F.size(F.array_distinct(h)) < F.size(h), pairs)).drop(spare["windows"])
-    s = n["sorted"]
-    twice = F.filter(s, lambda e, i: F.coalesce(F.get(s, i - 1)["h"] == e["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == e["h"], F.lit(False)))
-    starts = F.sort_array(F.transform(twice, lambda e: e["i"]))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    covered = F.aggregate(
-        starts,
-        start,
-        lambda a, p: F.struct((a["n"] + p + 5 - F.greatest(a["end"], p)).alias("n"), (p + 5).alias("end")),
-        lambda a: a["n"],
+def _repeats(ws: Column) -> Column:
+    """How many words stand in five-word windows that the text has twice or more."""
+
+    def of_sorted(s: Column) -> Column:
+        twice = F.filter(s, lambda e, i: F.coalesce(F.get(s, i - 1)["h"] == e["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == e["h"], F.lit(False)))
+        starts = F.sort_array(F.transform(twice, lambda e: e["i"]))
+        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+        return F.aggregate(starts, none, lambda a, p: F.struct((a["n"] + p + 5 - F.greatest(a["end"], p)).alias("n"), (p + 5).alias("end")), lambda a: a["n"])
+
+    def of_hashes(h: Column) -> Column:
+        # only texts with a repeated window pay for sorting (hash, position) pairs
+        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), let(pairs, of_sorted)).otherwise(F.lit(0))
+
+    windows = F.transform(F.sequence(F.lit(0), F.size(ws) - 5), lambda i: F.xxhash64(*[ws[i + k] for k in range(5)]))
+    return F.when(F.size(ws) >= 5, let(windows, of_hashes)).otherwise(F.lit(0))
+
+
+def _base(text: str) -> Column:
+    """Struct of word counts, repeated lines and repeated windows, all worked out inside the row.
+
+    One expression with its parts bound inside: a filter on it, which Spark moves down and puts in
+    place of the column, still works it out once."""
+    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    repeated_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    return let(
+        words(F.col(text)),
+        lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), repeated_lines.cast("long").alias("n_dup_lines"), _repeats(ws).cast("long").alias("n_repeat_words")),
     )
-    return out.withColumn(names["n_repeat_words"], F.coalesce(covered, F.lit(0)).cast("long")).drop(spare["sorted"])
 
 
 def sketches(features: DataFrame, lang: str, source: str, columns: dict[str, str]) -> DataFrame:
@@ -114,24 +116,26 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     """docs with one more column, a struct: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, and each rule's ratio and threshold."""
     taken = list(docs.columns)
-    names, spare = {}, {}
-    for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *RULES):
-        names[k] = fresh(f"_q_{k}", taken)
-    for k in ("lines", "words", "windows", "sorted", "lang", "source"):
-        spare[k] = fresh(f"_qs_{k}", taken)
+    names = {k: fresh(f"_q_{k}", taken) for k in ("word_chars", "n_symbols", *RULES)}
+    lang_key, source_key = fresh("_q_lang", taken), fresh("_q_source", taken)
+    limit = {k: fresh(f"_q_limit_{k}", taken) for k in RULES}
     ratios = _features(docs.select(text, lang, source), text, names)
     limits = thresholds(sketches(ratios, lang, source, {k: names[k] for k in RULES}), RULES)
-    limits = limits.select(F.col("lang").alias(spare["lang"]), F.col("source").alias(spare["source"]), *[F.col(k).alias(spare.setdefault(f"limit_{k}", fresh(f"_qt_{k}", taken))) for k in RULES])
-    # A row for each (language, source), made once; a corpus has few of them beside its documents.
+    limits = limits.select(F.col("lang").alias(lang_key), F.col("source").alias(source_key), *[F.col(k).alias(v) for k, v in limit.items()])
+    # a row for each (language, source): few beside the documents
     limits = if_small(cut(limits))
-    full = _base(_features(docs, text, names), text, names, spare)
-    full = full.join(limits, full[lang].eqNullSafe(limits[spare["lang"]]) & full[source].eqNullSafe(limits[spare["source"]]), "left")
+    full = _features(docs, text, names)
+    full = full.join(limits, full[lang].eqNullSafe(limits[lang_key]) & full[source].eqNullSafe(limits[source_key]), "left")
     n = {k: F.col(v) for k, v in names.items()}
-    failed = (n["n_words"] < 10) | (100 * n["n_repeat_words"] > 20 * n["n_words"])
     ok = F.lit(True)
     for k in RULES:
-        ok = ok & (n[k] <= F.col(spare[f"limit_{k}"]))
-    fields = [n[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    fields += [failed.alias("base_failed"), (~failed & F.coalesce(ok, F.lit(False))).alias("kept")]
-    fields += [x for k in RULES for x in (n[k].alias(k), F.col(spare[f"limit_{k}"]).alias(f"{k}_limit"))]
-    return full.select(*[docs[c] for c in docs.columns], F.struct(*fields).alias(fresh(out, taken)))
+        ok = ok & (n[k] <= F.col(limit[k]))
+
+    def verdict(b: Column) -> Column:
+        failed = (b["n_words"] < 10) | (100 * b["n_repeat_words"] > 20 * b["n_words"])
+        fields = [b["n_words"].alias("n_words"), n["word_chars"].alias("word_chars"), n["n_symbols"].alias("n_symbols"), b["n_dup_lines"].alias("n_dup_lines"), b["n_repeat_words"].alias("n_repeat_words")]
+        fields += [failed.alias("base_failed"), (~failed & F.coalesce(ok, F.lit(False))).alias("kept")]
+        fields += [x for k in RULES for x in (n[k].alias(k), F.col(limit[k]).alias(f"{k}_limit"))]
+        return F.struct(*fields)
+
+    return full.select(*[docs[c] for c in docs.columns], let(_base(text), verdict).alias(fresh(out, taken)))
