@@ -9,8 +9,9 @@ In each bucket the class that meets most others is the centre, and star-shaped c
 from it to the rest: as many as members, not as pairs. Edges are confirmed on full shingle sets;
 links give components. A star alone could miss a link between two members that are both unlike
 their centre, so the remaining members of a bucket, those outside its centre's component, are held
-against the members of other components, too, unless their numbers of shingles that no other such
-member has prove that they can't reach the threshold. Nothing is capped.
+against the members of other components, too, unless counts prove that the two can't reach the
+threshold: of each, the shingles that some other such member has, too, are counted by residues, and
+the sum of the smaller counts bounds what they share. Nothing is capped.
 
 A pair of similarity s meets in some bucket with a probability of 1 - (1 - s ** rows) ** bands:
 0.9999997 at 0.85 with 48 bands of 8 rows, and 0.9999995 at 0.8 with 48 of 6.
@@ -33,6 +34,8 @@ from densityflow.llm.common import cut, if_small
 from densityflow.llm.shingles import fingerprint, mix, shingle_set, slices, word_hashes
 
 BANDS = 48
+#: Residues by which the shingles of two classes are counted to bound what they share.
+GROUPS = 64
 #: Members of a star that one task holds against its centre.
 STAR = 500
 
@@ -112,7 +115,7 @@ def _stars(percent: int):
     return confirm
 
 
-def _unique_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in slices(texts):
@@ -121,6 +124,17 @@ def _unique_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array([marks[a + k] for k in keep], pa.binary()), pa.array([sets[k].view(np.int64) for k in keep], pa.list_(pa.int64()))], names=["fp", "hs"])
 
 
+def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles a class may share with others, in all and by GROUPS residues."""
+    for batch in batches:
+        shared, groups = [], []
+        for hs, own in zip(batch.column(1), batch.column(2), strict=True):
+            rest = np.setdiff1d(np.asarray(hs.values), np.asarray(own.values) if own.is_valid else np.empty(0, np.int64), assume_unique=True)
+            shared.append(len(rest))
+            groups.append(np.bincount(rest.view(np.uint64) % np.uint64(GROUPS), minlength=GROUPS).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared, pa.int64()), pa.array(groups, pa.list_(pa.int32()))], names=["fp", "shared", "groups"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component; links: (a, b).
 
@@ -172,17 +186,20 @@ def _rest(members: DataFrame, roots: DataFrame, stars: DataFrame, corpus: _Corpu
     named = cut(named.where(F.col("fp") != F.col("centre")))  # the centre itself has met all
     open_keys = cut(named.where("outside").groupBy("key").agg(F.count(F.lit(1)).alias("_n")).select("key"))
     named = cut(named.join(if_small(open_keys), "key", "left_semi"))
-    sets = corpus.texts(cut(named.select("fp").distinct())).mapInArrow(_unique_hashes, "fp binary, hs array<bigint>")
+    sets = cut(corpus.texts(cut(named.select("fp").distinct())).mapInArrow(_sets, "fp binary, hs array<bigint>").dropDuplicates(["fp"]))
     alone = sets.select("fp", F.explode("hs").alias("h")).groupBy("h").agg(F.min("fp").alias("fp"), F.max("fp").alias("other")).where(F.col("fp") == F.col("other"))
-    alone = alone.groupBy("fp").agg(F.count(F.lit(1)).alias("u"))
-    rich = cut(named.join(cut(alone), "fp", "left").withColumn("shared", F.col("n") - F.coalesce("u", F.lit(0))))
-    # shared bounds what a member can have in common with any other
+    alone = alone.groupBy("fp").agg(F.collect_list("h").alias("own"))  # no more than the class's own shingles
+    bounds = cut(sets.join(alone, "fp", "left").select("fp", "hs", "own").mapInArrow(_histograms, "fp binary, shared long, groups array<int>"))
     p = F.lit(corpus.percent)
-    rich = rich.where(100 * F.col("shared") >= p * F.col("n"))
+    rich = cut(named.join(bounds, "fp").where(100 * F.col("shared") >= p * F.col("n")))
     x, y = rich.where("outside").alias("x"), rich.alias("y")
-    most = F.least("x.shared", "y.shared")
-    ok = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (100 * most >= p * (F.col("x.n") + F.col("y.n") - most))
-    ok = ok & (~F.col("y.outside") | (F.col("x.fp") < F.col("y.fp")))
+
+    def reach(most):
+        return 100 * most >= p * (F.col("x.n") + F.col("y.n") - most)
+
+    most = F.aggregate(F.zip_with("x.groups", "y.groups", lambda i, j: F.least(i, j)), F.lit(0), lambda i, j: i + j)
+    ok = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.outside") | (F.col("x.fp") < F.col("y.fp")))
+    ok = ok & reach(F.least("x.shared", "y.shared")) & reach(most)
     pairs = x.join(y, ok).select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b"))
     return _directed(pairs).join(stars, ["a", "b"], "left_anti")
 
