@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,16 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder in the shared folder of the cluster (``spark.checkpoint.dir``).
 
     Only where that is unset, as in local tests, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{uuid.uuid4().hex}"
+    return f"{base or _local_dir()}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
