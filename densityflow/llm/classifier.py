@@ -102,16 +102,25 @@ def ftrl_pass(z: np.ndarray, n: np.ndarray, rows) -> None:
 
 
 def _pass(z: np.ndarray, n: np.ndarray):
+    """Changes that each shard makes to the state; rows come sorted by shard."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, square, seen = z.copy(), n.copy(), 0
-        for batch in batches:
-            labels = batch.column(1).to_numpy(zero_copy_only=False)
-            rows = ((np.asarray(batch.column(2)[k].values), np.asarray(batch.column(3)[k].values), labels[k]) for k in range(batch.num_rows))
-            ftrl_pass(mine, square, rows)
-            seen += batch.num_rows
-        if seen:
+        shard, mine, square = None, z, n
+
+        def changes():
             at = np.flatnonzero(square != n)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((at, pa.list_(pa.int64())), ((mine - z)[at], pa.list_(pa.float64())), ((square - n)[at], pa.list_(pa.float64())))], names=["at", "z", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((at, pa.list_(pa.int64())), ((mine - z)[at], pa.list_(pa.float64())), ((square - n)[at], pa.list_(pa.float64())))], names=["at", "z", "n"])
+
+        for batch in batches:
+            shards, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k in range(batch.num_rows):
+                if shards[k] != shard:
+                    if shard is not None:
+                        yield changes()
+                    shard, mine, square = shards[k], z.copy(), n.copy()
+                ftrl_pass(mine, square, [(np.asarray(batch.column(2)[k].values), np.asarray(batch.column(3)[k].values), labels[k])])
+        if shard is not None:
+            yield changes()
 
     return run
 
@@ -126,9 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "qualit
     """The weights, from documents (doc_id, text) and labels (doc_id, label column) where keep holds."""
     chosen = F.broadcast(cut(labelled(labels, keep, label)))  # at most MAX_ROWS rows of two numbers
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", "text")
-    rows = cut(sample.mapInArrow(_featurise, "doc_id long, label double, index array<int>, value array<double>").repartition(SHARDS, "doc_id").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id"))
-    # a written partition may be read in pieces: deal and order it anew
-    shards = rows.repartition(SHARDS, "doc_id").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    featured = sample.mapInArrow(_featurise, "doc_id long, label double, index array<int>, value array<double>")
+    rows = cut(featured.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int")))
+    # the shards are the same however many tasks share them
+    shards = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id", "label"), "doc_id").select("shard", "label", "index", "value")
     z, n = np.zeros(DIMS), np.zeros(DIMS)
     for _ in range(PASSES):
         # a row for each shard, no longer than DIMS
