@@ -6,8 +6,8 @@ are no text. The token streams of all that lies outside articles are compared ac
 suffixes of a host's streams are ordered by their first RUN tokens, as in a suffix array of that
 depth, and an interval of equal beginnings that spans at least MIN_PAGES distinct pages is repeated
 text. The union of such beginnings is exactly what substrings of RUN or more tokens that repeat on
-so many pages cover. On pages without an article element furniture and covered tokens go and the unique
-runs between them stay; on others all that lies outside the article goes, repeated or not.
+so many pages cover. Articles stay whole, furniture goes, and of all other text the covered tokens go
+and the unique runs between them stay, in the order of the page.
 
 Intervals are grouped by their key with partial aggregation, so that a host's one footer on a third
 of all pages is one counter, not one task's list; tokens are joined with repeated keys only.
@@ -35,6 +35,8 @@ from densityflow.llm.shingles import mix
 
 RUN = 6
 MIN_PAGES = 3
+#: Kinds of blocks.
+INSIDE, PLAIN, MARKED = 0, 1, 2
 
 #: Elements whose content is text of another kind.
 RAW = {"script", "style", "noscript", "template", "svg", "math", "textarea", "title", "iframe", "object", "canvas", "audio", "video"}
@@ -65,10 +67,9 @@ def _named_furniture(attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> tuple[list[str], list[tuple[str, bool]]]:
-    """Texts of the blocks inside articles, and of all others with whether they are furniture."""
-    inside_texts: list[str] = []
-    outside_texts: list[tuple[str, bool]] = []
+def blocks(page: str) -> list[tuple[str, int]]:
+    """Texts of the blocks in order, with INSIDE for those of articles, MARKED for furniture and PLAIN for others."""
+    out: list[tuple[str, int]] = []
     piece: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, is furniture within, is article within
     furniture = article = False
@@ -76,10 +77,8 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, bool]]]:
     def close_block() -> None:
         text = " ".join("".join(piece).split())
         piece.clear()
-        if text and article and not furniture:
-            inside_texts.append(text)
-        elif text:
-            outside_texts.append((text, furniture))
+        if text:
+            out.append((text, MARKED if furniture else INSIDE if article else PLAIN))
 
     at, end = 0, len(page)
     while at < end:
@@ -117,7 +116,7 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, bool]]]:
                 stack.append((name, furniture, article))
                 furniture = furniture or named or (name in FURNITURE and not (name == "header" and article))
     close_block()
-    return inside_texts, outside_texts
+    return out
 
 
 def host_of(url: str | None) -> str:
@@ -127,35 +126,41 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def _settled(found: list[tuple[str, int]]) -> bool:
+    """Whether a page has an article and no plain text beside it, so that repeats can't change its text."""
+    kinds = {k for _, k in found}
+    return INSIDE in kinds and PLAIN not in kinds
+
+
 def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the pages with an article: their texts."""
+    """Rows of the settled pages: their articles' texts."""
     for batch in batches:
         texts = []
         for page in batch.column(2):
-            inside, _ = blocks(page.as_py() or "")
-            texts.append(" ".join(inside) if inside else None)
+            parts = blocks(page.as_py() or "")
+            texts.append(" ".join(t for t, k in parts if k == INSIDE) if _settled(parts) else None)
         found = pa.array(texts, pa.string())
         rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["page_id", "url", "text"])
         yield rows.filter(found.is_valid())
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What stands outside articles; only pages without an article need their url and words later."""
+    """What stands outside articles; only pages that aren't settled need their url and words later."""
     for batch in batches:
         out = []
         for page_id, url, page in zip(*(batch.column(k) for k in range(3)), strict=True):
             page_id, url = page_id.as_py(), url.as_py()
-            inside, outside = blocks(page.as_py() or "")
-            tokens = " ".join(t for t, _ in outside).split()
+            parts = blocks(page.as_py() or "")
+            tokens = " ".join(t for t, k in parts if k != INSIDE).split()
             host = np.frombuffer(hashlib.blake2b(host_of(url).encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)
             keys = suffix_keys(tokens, host)
-            if inside:
+            if _settled(parts):
                 out.append((page_id, None, False, None, None, keys))
             else:
-                out.append((page_id, url, True, " ".join(tokens), [len(t.split()) * (-1 if f else 1) for t, f in outside], keys))
+                out.append((page_id, url, True, " ".join(t for t, _ in parts), [3 * len(t.split()) + k for t, k in parts], keys))
         cols = list(zip(*out, strict=True)) or [[]] * 6
         types = [pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["page_id", "url", "bare", "outside", "marks", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["page_id", "url", "open", "words", "marks", "keys"])
 
 
 def suffix_keys(tokens: list[str], host: np.ndarray) -> np.ndarray:
@@ -174,14 +179,16 @@ def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         rows = batch.to_pydict()
         texts = []
-        for outside, marks, starts in zip(rows["outside"], rows["marks"], rows["starts"], strict=True):
-            tokens = outside.split()
-            edges = np.zeros(len(tokens) + 1, dtype=np.int64)
+        for words, marks, starts in zip(rows["words"], rows["marks"], rows["starts"], strict=True):
+            tokens = words.split()
+            kinds = np.repeat(np.array(marks, dtype=np.int64) % 3, np.array(marks, dtype=np.int64) // 3)
+            outside = np.flatnonzero(kinds != INSIDE)
+            edges = np.zeros(len(outside) + 1, dtype=np.int64)
             for s in starts or []:
                 edges[s] += 1
                 edges[s + RUN] -= 1
-            signed = np.array(marks, dtype=np.int64)
-            gone = (np.cumsum(edges)[:-1] > 0) | np.repeat(signed < 0, np.abs(signed))
+            gone = kinds == MARKED
+            gone[outside[np.cumsum(edges)[:-1] > 0]] = True
             texts.append(" ".join(t for t, g in zip(tokens, gone, strict=True) if not g))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
@@ -189,14 +196,14 @@ def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each of pages (page_id, url, html)."""
     pages = pages.select("page_id", "url", "html")
-    streams = pages.mapInArrow(_streams, "page_id long, url string, bare boolean, outside string, marks array<int>, keys array<bigint>")
+    streams = pages.mapInArrow(_streams, "page_id long, url string, open boolean, words string, marks array<int>, keys array<bigint>")
     streams = cut(streams.withColumn("row", F.monotonically_increasing_id()))
     on_page = streams.select("page_id", F.explode(F.array_distinct("keys")).alias("key")).distinct()
     repeated = on_page.groupBy("key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES).select("key")
-    bare = streams.where("bare")
-    places = bare.select("row", F.posexplode("keys").alias("start", "key")).join(repeated, "key")
+    still = streams.where("open")
+    places = still.select("row", F.posexplode("keys").alias("start", "key")).join(repeated, "key")
     starts = places.groupBy("row").agg(F.collect_list("start").alias("starts"))  # no more than the page has tokens
-    rest = bare.join(starts, "row", "left").select("page_id", "url", "outside", "marks", "starts")
+    rest = still.join(starts, "row", "left").select("page_id", "url", "words", "marks", "starts")
     schema = "page_id long, url string, text string"
     out = pages.mapInArrow(_articles, schema).unionByName(rest.mapInArrow(_without_repeats, schema))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -119,6 +119,13 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in out)
 
 
+def test_unique_text_beside_an_article_stays(spark):
+    page = "<nav>n</nav><div>standfirst {0}x {0}y</div><article><p>{0}a we say these words in all articles here {0}b</p></article><div>we set these words on all pages here</div><div>{0}v {0}z</div><footer>f{0}</footer>"
+    rows = [(k, "http://h/", page.format(k)) for k in range(4)]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"standfirst {k}x {k}y {k}a we say these words in all articles here {k}b {k}v {k}z" for k in range(4)}
+
+
 # --- 4
 
 
