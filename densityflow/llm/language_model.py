@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densityflow.llm.common import cut
-from densityflow.llm.shingles import mix, split_words
+from densityflow.llm.shingles import mix, slices, split_words
 
 FINE, COARSE = 4096, 256
 #: Discounts and strengths of the levels: endings, last bytes, unigrams.
@@ -46,8 +46,6 @@ T2, T1, T0 = 1.0, 1.0, 1.0
 PART_BYTES = 12_000_000
 SLICE_BYTES = 4_000_000
 HOT_SHARE = 1 / 1024
-#: Rows from which frequent words are guessed; a guess decides where tokens go, not what they count.
-HOT_ROWS = 2_000
 EXACT = 32
 ROUNDS, BURN, SAMPLES = 2, 2, 4
 END = np.uint64(0x5EED0FE4D0000001)
@@ -133,7 +131,7 @@ def _packer(parts: int, hot: np.ndarray):
             for a, b in zip(cuts, np.r_[cuts[1:], len(part)], strict=True):
                 new = np.flatnonzero(np.r_[True, keys[a + 1 : b] != keys[a : b - 1]])
                 counts = np.diff(np.r_[new, b - a]).astype(np.uint32)
-                rows.append((int(part[a]), slice_id, len(ids), dump(keys[a:b][new], counts, fine[a:b], doc[a:b], held)))
+                rows.append((int(part[a]), slice_id, len(ids), dump(keys[a:b][new], counts, fine[a:b], doc[a:b], held[np.unique(doc[a:b])])))
             lengths = np.array(at_end, dtype=np.uint32) + 1
             known = np.array([d is not None for d in ids], dtype=np.uint8)
             rows.append((-1 - slice_id, slice_id, len(ids), dump(np.array([d or 0 for d in ids], dtype=np.int64).view(np.uint64), known, held, lengths)))
@@ -167,13 +165,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([np.repeat(k, c) for k, c, _, _, _ in loaded])
         fine = np.concatenate([f for _, _, f, _, _ in loaded])
         doc = np.concatenate([d + np.uint32(o) for (_, _, _, d, _), o in zip(loaded, offset, strict=False)]).astype(np.uint32)
-        held = np.concatenate([h for *_, h in loaded])
+        # a piece has the flags of the texts that it has tokens of, so that a part holds none of others
+        held = np.concatenate([h[np.unique(d, return_inverse=True)[1]] for _, _, _, d, h in loaded])
         order = np.lexsort((fine, keys))
-        keys, fine, doc = keys[order], fine[order], doc[order]
+        keys, fine, doc, held = keys[order], fine[order], doc[order], held[order]
         new_word = np.r_[True, keys[1:] != keys[:-1]]
         first = np.flatnonzero(new_word | np.r_[True, fine[1:] != fine[:-1]])
         per_cell = np.diff(np.r_[first, len(keys)]).astype(np.uint32)
-        learned = np.add.reduceat((1 - held[doc]).astype(np.int64), first).astype(np.uint32)
+        learned = np.add.reduceat((1 - held).astype(np.int64), first).astype(np.uint32)
         words_at = np.flatnonzero(new_word)
         cells_of_word = np.diff(np.r_[np.searchsorted(first, words_at), len(first)]).astype(np.uint32)
         body = dump(keys[words_at], cells_of_word, fine[first], per_cell, learned, doc, slices, sizes)
@@ -369,15 +368,15 @@ def _scores(hot: np.ndarray, hot_learned: np.ndarray, hot_p: np.ndarray, totals:
                     chance[~p.own] = hot_p[which[p.word[~p.own]], p.fine[~p.own]]
                 base = np.log10((learned + 0.5) / (totals.tokens + 0.5 * (totals.words + 1)))
                 cell = np.repeat(np.arange(len(p.c)), p.per_cell)
-                n = int(p.sizes.sum())
-                known = np.bincount(p.doc, weights=(learned > 0)[p.word][cell], minlength=n).astype(np.uint32)
-                sums = [np.bincount(p.doc, weights=x[cell], minlength=n) for x in (base[p.word], np.log10(np.maximum(chance, 1e-300)))]
-                has = np.bincount(p.doc, minlength=n) > 0
-                offset = np.concatenate([[0], np.cumsum(p.sizes)]).astype(int)
+                docs, doc = np.unique(p.doc, return_inverse=True)  # texts without a token here are left out
+                n = len(docs)
+                known = np.bincount(doc, weights=(learned > 0)[p.word][cell], minlength=n).astype(np.uint32)
+                sums = [np.bincount(doc, weights=x[cell], minlength=n) for x in (base[p.word], np.log10(np.maximum(chance, 1e-300)))]
+                offset = np.concatenate([[0], np.cumsum(p.sizes)]).astype(np.int64)
+                at = np.searchsorted(docs, offset)
                 bodies = []
-                for a, b in zip(offset, offset[1:], strict=False):
-                    at = np.flatnonzero(has[a:b])  # texts without a token here are left out
-                    bodies.append(dump(np.diff(at, prepend=-1).astype(np.uint32), known[a:b][at], sums[0][a:b][at].view(np.uint64), sums[1][a:b][at].astype(np.float32).view(np.uint32)))
+                for o, a, b in zip(offset, at, at[1:], strict=False):
+                    bodies.append(dump(np.diff(docs[a:b].astype(np.int64) - o, prepend=-1).astype(np.uint32), known[a:b], sums[0][a:b].view(np.uint64), sums[1][a:b].view(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(p.slices.view(np.int64), pa.int64()), pa.array([1] * len(bodies), pa.int32()), pa.array(bodies, pa.binary())], names=["slice", "kind", "body"])
 
     return score
@@ -407,7 +406,7 @@ def _gather(tokens: int):
                     at = np.cumsum(values[0].astype(np.int64)) - 1
                     sums[0][at] += values[1]
                     sums[1][at] += values[2].view(np.float64)
-                    sums[2][at] += values[3].view(np.float32)
+                    sums[2][at] += values[3].view(np.float64)
         if info is not None:
             yield out()
 
@@ -419,11 +418,23 @@ def _collected(rows: DataFrame) -> dict[tuple[str, int], float]:
     return {(r[0], r[1]): r[2] for r in rows.groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()}
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (word, n): how often words occur; a null word counts all tokens."""
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        for a, b in slices(texts):
+            keys, n = np.unique(word_keys([w for t in texts[a:b] for w in split_words(t)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([*keys.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), int(n.sum())], pa.int64())], names=["word", "n"])
+
+
 def _hot_words(docs: DataFrame) -> np.ndarray:
-    """Sorted keys of words that seem to have HOT_SHARE of the tokens or more, and the end token."""
-    words: list[bytes] = [w for r in docs.select(F.substring("text", 1, 20_000)).limit(HOT_ROWS).toLocalIterator() for w in split_words(r[0])]
-    keys, n = np.unique(word_keys(words), return_counts=True)
-    return np.unique(np.r_[keys[n >= max(50, HOT_SHARE * len(words))], END])
+    """Sorted keys of the words that have HOT_SHARE of all tokens or more, and the end token."""
+    counts = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # no more than 1 / HOT_SHARE words can have the share; the row of all tokens comes first
+    top = counts.orderBy(F.desc("n"), F.col("word").asc_nulls_first()).limit(math.ceil(1 / HOT_SHARE) + 1).collect()
+    least = max(50, HOT_SHARE * top[0].n) if top else 0
+    keys = np.array([r.word for r in top[1:] if r.n >= least], dtype=np.int64).view(np.uint64)
+    return np.unique(np.r_[keys, END])
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -275,6 +275,22 @@ def test_language_model(spark):
     assert language_model.scored(docs(spark, ODD).where("false")).count() == 0
 
 
+def test_hot_words_are_counted_over_all_texts(spark):
+    texts = ["early words"] * 2100 + ["few " * 6000 + "behind " * 3000, "late " * 3000]
+    hot = language_model._hot_words(docs(spark, texts + [prose(1, 50), None]))
+    assert set(hot) == {*language_model.word_keys([b"early", b"words", b"few", b"behind", b"late"]), language_model.END}
+    assert set(language_model._hot_words(docs(spark, texts).where("false"))) == {language_model.END}
+
+
+def test_scores_are_the_same_in_many_parts(spark, monkeypatch):
+    texts = ODD + [spoken(k, 300, "ab"[k % 2]) for k in range(40)]
+    one = language_model.scored(docs(spark, texts)).toPandas().set_index("doc_id")
+    monkeypatch.setattr(language_model, "PART_BYTES", 30_000)
+    many = language_model.scored(docs(spark, texts)).toPandas().set_index("doc_id").loc[one.index]
+    assert (one.n_known == many.n_known).all() and np.allclose(one.base_score, many.base_score)
+    assert np.allclose(one.score, many.score, rtol=0.05)
+
+
 def test_seating_is_a_distribution():
     r = np.random.default_rng(1)
     words_, fine = np.repeat(np.arange(50), 8), np.tile(np.arange(8), 50)
