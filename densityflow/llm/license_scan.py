@@ -1,11 +1,14 @@
 """Operator 5: licences of files, by TF-IDF cosine to templates and by directory.
 
-Statements (lines of a text) are compared with licence templates as sparse TF-IDF vectors; document
-frequencies of the templates' terms are counted over all texts. A line that has none of a template's
-heaviest terms can't reach the threshold, by the Cauchy-Schwarz inequality on the rest of its
-weights, so that only lines with such an anchor are compared, wherever they stand in the text.
-
-A file with a statement has that licence (``header``, or ``file`` if it is a licence file). Others
+Statements (lines of a text, and windows as long as a template, over the ends of lines) are compared
+with licence templates as sparse TF-IDF vectors; document frequencies of all terms are counted over
+all texts. What has none of a template's heaviest terms can't reach the threshold, by the
+Cauchy-Schwarz inequality on the rest of its weights, so that only lines and windows with such an
+anchor are compared, wherever they stand in the text. Terms of no template add to a statement's norm
+only; they are joined with their frequencies.
+
+A file with a statement has that licence (``header``, or ``file`` if it is a licence file by the share
+of its words in statements or by its name). Others
 inherit from the licence file in the nearest ancestor directory: distinct directories are joined
 with their ancestors' licence files, then files with their directory. The licence file of the
 highest cosine speaks for a directory, the first path on ties.
@@ -29,9 +32,14 @@ from pyspark.sql import functions as F
 from densityflow.llm.common import cut, if_small
 
 THRESHOLD = 0.6
+#: For windows, of which a text has many: parts of notices of other licences are to stay below.
+WINDOW_THRESHOLD = 0.8
 #: A text of which statements are so large a share of the words is a licence file.
 FILE_SHARE = 0.2
+FILE_NAME = r"(?i)(^|/)(un)?(licen[cs]e|copying|copyright)([._-][^/]*)?$"
 TERM = re.compile(r"[a-z0-9]+")
+#: Terms that a task counts before it sends them on.
+HELD_TERMS = 200_000
 # Notices by which licences are named.
 TEMPLATES = {
     "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0"],
@@ -53,13 +61,20 @@ VOCABULARY = frozenset(t for notices in TEMPLATES.values() for n in notices for
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (term, n): in how many texts of the task a template's term occurs; '' counts texts."""
+    """Rows (term, n): in how many texts a term occurs; '' counts texts."""
     found: Counter[str] = Counter()
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+
     for batch in batches:
         for text in batch.column(0):
             found[""] += 1
-            found.update(VOCABULARY.intersection(TERM.findall((text.as_py() or "").lower())))
-    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+            found.update(set(TERM.findall((text.as_py() or "").lower())))
+            if len(found) > HELD_TERMS:
+                yield out()
+                found.clear()
+    yield out()
 
 
 class Matcher:
@@ -71,17 +86,20 @@ class Matcher:
         self.other = math.log(1 + n) + 1  # terms of no template
         self.threshold = threshold
         self.vectors: list[tuple[str, dict[str, float]]] = []
+        self.lengths: list[int] = []
         anchors: set[str] = set()
         for name, notices in sorted(TEMPLATES.items()):
             for notice in notices:
                 v = self.vector(notice)
                 self.vectors.append((name, v))
+                self.lengths.append(len(TERM.findall(notice.lower())))
                 left = 1.0
                 for t in sorted(v, key=lambda t: (-v[t], t)):
                     if left < threshold * threshold - 1e-9:
                         break
                     anchors.add(t)
                     left -= v[t] ** 2
+        self.anchors = anchors
         self.anchor = re.compile(r"(?<![a-z0-9])(?:" + "|".join(sorted(anchors)) + r")(?![a-z0-9])")
 
     def vector(self, line: str) -> dict[str, float]:
@@ -100,34 +118,90 @@ class Matcher:
                 best = (cosine, name)
         return best
 
-    def text(self, text: str) -> tuple[str | None, float | None, float]:
-        """Licence and cosine of the nearest statement, and the share of words in statements."""
+    def statement(self, terms: list[str], templates: list[tuple[str, dict[str, float]]], threshold: float) -> dict | None:
+        """The nearest template, unless terms are too far from it whatever the others' frequencies."""
+        own, others = {}, {}
+        for t, c in Counter(terms).items():
+            if t in self.idf:
+                own[t] = c * self.idf[t]
+            else:
+                others[t] = c
+        norm = sum(x * x for x in own.values())
+        least = math.sqrt(norm + sum(c * c for c in others.values()))  # no term weighs less than 1
+        best = None
+        for name, t in templates:
+            dot = sum(x * t.get(k, 0.0) for k, x in own.items())
+            if dot >= (threshold - 1e-12) * least and (best is None or dot > best["dot"] + 1e-12):
+                best = {"dot": dot, "norm": norm, "licence": name, "least": threshold}
+        return best and best | {"others": [{"term": t, "c": c} for t, c in others.items()]}
+
+    def statements(self, text: str) -> list[dict]:
+        """Lines and windows that may be statements, with the words at which they begin and end."""
         low = text.lower()
-        at, best, stated = 0, None, 0
-        while m := self.anchor.search(low, at):
-            a, b = low.rfind("\n", 0, m.start()) + 1, low.find("\n", m.end())
-            b = len(low) if b < 0 else b
-            found = self.line(low[a:b])
-            if found:
-                stated += len(low[a:b].split())
-                if best is None or found[0] > best[0] + 1e-12:
-                    best = found
-            at = b
-        if best is None:
-            return None, None, 0.0
-        return best[1], best[0], stated / max(1, len(text.split()))
+        if not self.anchor.search(low):
+            return []
+        found = [(m.group(), m.start(), m.end()) for m in TERM.finditer(low)]
+        terms = [t for t, _, _ in found]
+        at = [i for i, t in enumerate(terms) if t in self.anchors]
+        out = []
+
+        def add(i: int, j: int, templates, threshold: float) -> None:
+            best = self.statement(terms[i:j], templates, threshold)
+            if best:
+                a, b = found[i][1], found[j - 1][2]
+                first = len(low[:a].split())
+                out.append(best | {"first": first, "last": first + len(low[a:b].split())})
+
+        end = 0
+        for i in at:
+            if i >= end:
+                start = low.rfind("\n", 0, found[i][1]) + 1
+                stop = low.find("\n", found[i][2])
+                stop = len(low) if stop < 0 else stop
+                first, end = i, i + 1
+                while first and found[first - 1][1] >= start:
+                    first -= 1
+                while end < len(found) and found[end][2] <= stop:
+                    end += 1
+                add(first, end, self.vectors, self.threshold)
+        for (name, v), n in zip(self.vectors, self.lengths, strict=True):
+            starts = {i for k in at if terms[k] in v for i in range(max(0, k - n + 1), k + 1)}
+            for i in sorted(starts):
+                if i + n <= len(terms) and terms[i] in v and terms[i + n - 1] in v:
+                    add(i, i + n, [(name, v)], WINDOW_THRESHOLD)
+        return out
+
+
+STATEMENT = "struct<dot: double, norm: double, licence: string, least: double, others: array<struct<term: string, c: long>>, first: long, last: long>"
+ARROW_STATEMENT = pa.struct([("dot", pa.float64()), ("norm", pa.float64()), ("licence", pa.string()), ("least", pa.float64()), ("others", pa.list_(pa.struct([("term", pa.string()), ("c", pa.int64())]))), ("first", pa.int64()), ("last", pa.int64())])
 
 
 def _matched(frequencies: dict[str, int]):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(frequencies)
         for batch in batches:
-            rows = [matcher.text(t.as_py() or "") for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.float64())], names=["doc_id", "path", "licence", "cosine", "share"])
+            texts = [t.as_py() or "" for t in batch.column(2)]
+            found = pa.array([matcher.statements(t) for t in texts], pa.list_(ARROW_STATEMENT))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t.split()) for t in texts], pa.int64()), found], names=["doc_id", "path", "n_words", "found"])
 
     return match
 
 
+def _stated(rows: DataFrame, frequencies: DataFrame, n_texts: int) -> DataFrame:
+    """(row, licence, cosine, stated) of the rows with a statement; stated words count once."""
+    found = rows.select("row", F.posexplode("found").alias("k", "s")).select("row", "k", "s.*")
+    others = found.select("row", "k", F.explode("others").alias("o")).select("row", "k", F.col("o.term").alias("term"), F.col("o.c").alias("c"))
+    weight = F.col("c") * (F.log((1.0 + F.lit(n_texts)) / (1 + F.col("n"))) + 1)
+    others = others.join(frequencies, "term").groupBy("row", "k").agg(F.sum(weight * weight).alias("rest"))
+    cosine = F.col("dot") / F.sqrt(F.col("norm") + F.coalesce("rest", F.lit(0.0)))
+    near = found.drop("others").join(others, ["row", "k"], "left").withColumn("cosine", cosine).where(F.col("cosine") >= F.col("least") - 1e-12)
+    best = F.min(F.struct((-F.round("cosine", 12)).alias("c"), "first", "licence")).alias("best")
+    spans = F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")  # no more than a text has
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    union = F.aggregate("spans", none, lambda a, x: F.struct((a["n"] + F.greatest(x["last"] - F.greatest(a["end"], x["first"]), F.lit(0))).alias("n"), F.greatest(a["end"], x["last"]).alias("end")), lambda a: a["n"])
+    return near.groupBy("row").agg(best, spans).select("row", F.col("best.licence").alias("licence"), F.least(-F.col("best.c"), F.lit(1.0)).alias("cosine"), union.alias("stated"))
+
+
 def directory(path: Column) -> Column:
     """Path without its last name; the root is the empty string."""
     return F.regexp_replace(path, r"(^|/)[^/]*$", "")
@@ -138,9 +212,14 @@ def licences(files: DataFrame) -> DataFrame:
     header, file, inherited or none."""
     files = files.select("doc_id", "path", "text")
     counts = files.select("text").mapInArrow(_term_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    frequencies = {r[0]: r[1] for r in counts.collect()}  # no more than the templates' terms
-    rows = cut(files.mapInArrow(_matched(frequencies), "doc_id long, path string, licence string, cosine double, share double"))
-    rows = rows.withColumn("dir", directory(F.col("path"))).withColumn("is_file", F.coalesce(F.col("share") >= FILE_SHARE, F.lit(False)))
+    counts = cut(counts)
+    frequencies = {r[0]: r[1] for r in counts.where(F.col("term").isin(["", *VOCABULARY])).collect()}  # no more than the templates' terms
+    rows = cut(files.mapInArrow(_matched(frequencies), f"doc_id long, path string, n_words long, found array<{STATEMENT}>").withColumn("row", F.monotonically_increasing_id()))
+    stated = if_small(cut(_stated(rows.where(F.size("found") > 0), counts, frequencies.get("", 0))))
+    rows = rows.drop("found").join(stated, "row", "left")
+    rows = rows.withColumn("share", F.coalesce(F.col("stated"), F.lit(0)) / F.greatest(F.col("n_words"), F.lit(1)))
+    named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    rows = rows.withColumn("dir", directory(F.col("path"))).withColumn("is_file", (F.col("share") >= FILE_SHARE) | named)
     speaking = rows.where("is_file AND licence IS NOT NULL AND path IS NOT NULL").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", "licence")).alias("s"))
     speaking = cut(speaking.select(F.col("dir").alias("ancestor"), F.col("s.licence").alias("dir_licence")))
     dirs = rows.where("licence IS NULL AND path IS NOT NULL").select("dir").distinct()

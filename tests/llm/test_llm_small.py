@@ -186,6 +186,21 @@ def test_licences(spark):
     assert got[5] == got[6] == got[9] == (None, "none", None)
 
 
+def test_licences_beside_other_words_and_over_lines(spark):
+    body = prose(4, 60)
+    notices = {
+        "MIT": ["Copyright 2020 Foo Authors. Released under the MIT License.", "This file is part of Foo and is released under the MIT License, see LICENSE.", "# Permission is hereby granted, free of\n# charge, to any person obtaining a copy\n# of this software and associated\n# documentation files (the Software)"],
+        "Apache-2.0": ["Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with it.", " * Licensed under the Apache\n * License, Version 2.0"],
+    }
+    told = [(f"d{k}/x{i}.py", body + "\n" + t, name) for k, (name, ts) in enumerate(notices.items()) for i, t in enumerate(ts)]
+    told += [("n/COPYING", body + "\n" + notices["MIT"][0] + "\n" + body, "MIT"), ("n/y.py", body, "MIT")]
+    rows = [(i, p, t) for i, (p, t, _) in enumerate(told)] + [(100 + k, f"f/{k}", prose(k, 30) + " license under version") for k in range(400)]
+    got = {r.doc_id: (r.licence, r.found) for r in license_scan.licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i][0] for i in range(len(told))] == [x for *_, x in told]
+    assert got[len(told) - 2][1] == "file" and got[len(told) - 1][1] == "inherited"
+    assert all(got[100 + k] == (None, "none") for k in range(400))
+
+
 def test_anchors_miss_no_line():
     m = license_scan.Matcher({"": 1000, "the": 900, "license": 30, "under": 400, "version": 20})
     r = random.Random(1)
