@@ -405,13 +405,13 @@ def autocorrelation(spark, d):
 
 @query(f"WITH {AUTO} SELECT dim, round(tau, 6) AS tau FROM tau")
 def decorrelation_times(spark, d):
-    return _rounded(decorrelation.decorrelation_times(decorrelation.autocorrelation(_hours(spark, d), LAGS)))
+    return _rounded(decorrelation.long_decorrelation_times(_hours(spark, d), LAGS))
 
 
 @query(f"WITH {AUTO} SELECT round(avg(tau), 6) AS tau, round((SELECT max(n) FROM c) / greatest(max(tau), 1), 6) AS n_effective FROM tau")
 def decorrelation_metrics(spark, d):
     h = _hours(spark, d)
-    tau = decorrelation.decorrelation_times(decorrelation.autocorrelation(h, LAGS)).agg(F.avg("tau").alias("tau"), F.greatest(F.max("tau"), F.lit(1.0)).alias("m"))
+    tau = decorrelation.long_decorrelation_times(h, LAGS).agg(F.avg("tau").alias("tau"), F.greatest(F.max("tau"), F.lit(1.0)).alias("m"))
     n = h.groupBy("dim").count().agg(F.max("count").alias("n"))
     return _rounded(tau.join(F.broadcast(n)).select("tau", (F.col("n") / F.col("m")).alias("n_effective")))
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from densityflow.operators import decorrelation, density, kgmm, langevin, mlp, spectral, transform
+from densityflow.plans import catalog
 from densityflow.sources import store
 
 
@@ -169,3 +170,14 @@ def test_store(spark, tmp_path):
     assert store.load_views(spark, str(tmp_path / "w"), ["kept_view"]) == ["kept_view"]
     assert store.load_views(spark, str(tmp_path / "w"), ["kept_view"]) == []
     spark.catalog.dropTempView("kept_view")
+
+
+@pytest.mark.parametrize("name", ["decorrelation_times", "decorrelation_metrics"])
+def test_decorrelation_goes_on_beyond_the_first_lags(spark, monkeypatch, name):
+    x = np.sin(2 * np.pi * np.arange(720) / 360)
+    long = spark.createDataFrame([(t, 0, float(v)) for t, v in enumerate(x)], "t long, dim int, x double")
+    monkeypatch.setattr(catalog, "_hours", lambda spark, d: long)
+    d = x - x.mean()
+    rho = [(d[k:] * d[: 720 - k]).sum() / (720 - k) / (d * d).mean() for k in range(720)]
+    stop = next(k for k in range(1, 720) if rho[k] <= 0)
+    assert stop > catalog.LAGS and abs(catalog.QUERIES[name](spark, "").first().tau - (1 + 2 * sum(rho[1:stop]))) < 1e-4
