@@ -14,6 +14,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Rows up to which the small side of a join is broadcast; it holds a few numbers or a short string
 #: each, so that the broadcast stays below about 20 MB. Larger sides are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Deletes a query's shuffle files when it ends.
+LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,17 +30,36 @@ def _local_dir() -> str:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder in the shared folder of the cluster (``spark.checkpoint.dir``).
 
-    Only where that is unset, as in local tests, a temporary folder takes its place.
+    Only a local master, whose one machine is the cluster, may go without the setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "").split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base or _local_dir()}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder and read back: lineage ends there."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows of df, written to the shared folder and read back: lineage ends there.
+
+    Nothing needs the shuffles behind the written table any more, and so they are let go with it."""
+    spark = df.sparkSession
+    path = scratch_dir(spark)
+    before = spark.conf.get(LET_GO, None)
+    spark.conf.set(LET_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(LET_GO) if before is None else spark.conf.set(LET_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the folders of tables made by cut; nothing reads them again."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
