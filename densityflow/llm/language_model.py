@@ -1,29 +1,34 @@
 """Operator 8: hierarchical Pitman-Yor language model, and the log10 probability of every text.
 
-Restaurants: one for each ending of the previous word (FINE buckets of its last three bytes), whose
-parent is the restaurant of the last byte (COARSE of them share these parents), whose parent is the
-unigram restaurant over a diffuse base: what no training token used is one unknown word. Seating is
-kept as customers and tables of each (restaurant, word) cell. Gibbs sampling draws the number of
-tables of each cell from its conditional given the rest (generalised Stirling numbers weigh the
-seatings; cells of more than EXACT customers are seated anew in growing blocks); a cell's tables are
-the customers of its parent. After BURN sweeps, SAMPLES more give probabilities that are averaged.
-Restaurants' totals are refreshed between rounds and held during one.
-
-How it is spread out: every word belongs to one of the parts into which words are hashed, so that
-all cells of a word are together at all levels; all that parts need from each other are the totals
-of the FINE + COARSE + 1 restaurants. A part has about PART_BYTES of text: parts grow in number, not
-in size. Very frequent words, at most 1 / HOT_SHARE by their share, are the exception: their
-occurrences are dealt over all parts, and their cells (at most FINE each) are sampled once and
-shared, a bounded table. Texts are read once; their tokens go to the parts packed, and sums for
-texts come back. Nothing is sampled or pruned: counts are of all training tokens.
+Restaurants: one for each pair of words before a token, whose parent is that of the last word, whose
+parent is the unigram restaurant over a diffuse base: what no training token used is one unknown word.
+Contexts are whole words, and their number grows with the texts. Seating is kept as customers and
+tables of each (restaurant, word) cell. Gibbs sampling draws the tables of each cell from their
+conditional given the rest: generalised Stirling numbers weigh the seatings, and cells of more than
+EXACT customers are seated one after another, those of very many in blocks of a BLOCK-th of the seated.
+A cell's tables are the customers of its parent. After BURN sweeps, SAMPLES more give probabilities
+that are averaged. Between rounds the restaurants above get the sampled customers; they are held
+during a round, as the totals of a restaurant are during a sweep.
+
+How it is spread out: tokens go, packed, to parts dealt by the word before them, so that a word's
+restaurant and those of all pairs that end with it are in one part, with their totals. Parts have about
+PART_BYTES of text: they grow in number, not in size. Contexts with more than about half a part's share
+of all tokens are hot, at most MAX_HOT by their share; every one is found, as one of a quarter of that
+share in some slice. Pairs that end with a hot word are dealt by both words, and tokens after a hot pair
+by slices. The cells that then lack their restaurant, and all unigrams, live in parts by word: a part
+asks these for the probabilities of its distinct items and sends its customers. Only the totals of
+hot contexts and of the unigrams meet on the driver. Sums for texts come back by slice.
+Nothing is sampled or pruned: counts are of all training tokens.
 
 Defined results: null and empty texts consist of the end token; a null doc_id is a training text;
-repeated rows each count and get their row; without training tokens both scores are 0.
+repeated rows each count and get their row; other columns are ignored; without training tokens both
+scores are 0.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,166 +38,303 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densityflow.llm.common import cut
-from densityflow.llm.shingles import mix, slices, split_words
+from densityflow.llm.common import LET_GO, cut, drop, scratch_dir
+from densityflow.llm.shingles import mix, split_words
 
-FINE, COARSE = 4096, 256
-#: Discounts and strengths of the levels: endings, last bytes, unigrams.
-D2, D1, D0 = 0.75, 0.75, 0.6
+#: Discounts and strengths of pairs, single words and unigrams.
+D2, D1, D0 = 0.8, 0.75, 0.6
 T2, T1, T0 = 1.0, 1.0, 1.0
 PART_BYTES = 12_000_000
-SLICE_BYTES = 4_000_000
-HOT_SHARE = 1 / 1024
-EXACT = 32
+SLICE_BYTES = 8_000_000
+MAX_HOT = 65_536
+MAX_BUCKETS = 50_000
+EXACT, BLOCK = 64, 64
 ROUNDS, BURN, SAMPLES = 2, 2, 4
-END = np.uint64(0x5EED0FE4D0000001)
-PACK = "part long, slice long, n_docs int, body binary"
+#: No word has a space.
+START, END = b" s", b" e"
+#: Kinds of cells: both levels in the part; only the pair's; none.
+BOTH, PAIR, NONE = 0, 1, 2
+A = np.uint64(0x9E3779B97F4A7C15)
 
 
-def token_stream(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    """Words of a text, and for each token (the last is the end) the fine restaurant it is drawn in."""
-    ws = split_words(text)
-    ends = [b"\x02", *(w[-3:] for w in ws)]
-    return ws, np.fromiter((_fine(e) for e in ends), dtype=np.uint16, count=len(ends))
-
-
-@lru_cache(maxsize=1 << 16)
-def _fine(ending: bytes) -> int:
-    """A bucket whose low byte is the last byte's, so that the coarse restaurant follows from it."""
-    return (zlib.crc32(ending) % (FINE // COARSE)) * COARSE + ending[-1]
+def is_held_out(doc_id) -> bool:
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
-def word_keys(words: list[bytes]) -> np.ndarray:
-    if not words:
-        return np.empty(0, dtype=np.uint64)
+def word_hashes(words: list[bytes]) -> np.ndarray:
     flat = np.empty(len(words), dtype=object)
     flat[:] = words
-    return pd.util.hash_array(flat, categorize=False)
+    return pd.util.hash_array(flat, categorize=False) if len(words) else np.empty(0, dtype=np.uint64)
+
+
+def pair_hash(u2: np.ndarray, u1: np.ndarray) -> np.ndarray:
+    return mix(mix(u2) + u1 * A)
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places of values in the sorted array known, or -1."""
+    if not len(known):
+        return np.full(len(values), -1, dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, -1)
+
+
+def small(a: np.ndarray) -> np.ndarray:
+    """a in the least unsigned type that holds it."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
 def dump(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), "BHIQ".index(a.dtype.char if a.dtype.char != "L" else "Q")))], dtype=np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+    """Arrays of unsigned numbers or doubles, byte planes apart, compressed."""
+    kinds = [x for a in arrays for x in (len(a), "BHILd".index("L" if a.dtype == np.uint64 else a.dtype.char))]
+    head = np.array([len(arrays), *kinds], dtype=np.int64)
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(planes))
 
 
 def load(body: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(body)
     k = int(np.frombuffer(raw, np.int64, 1)[0])
-    head = np.frombuffer(raw, np.int64, 2 * k, 8).reshape(k, 2)
     out, at = [], 8 + 16 * k
-    for n, kind in head:
-        dtype = np.dtype("BHIQ"[kind] if kind < 3 else np.uint64)
-        out.append(np.frombuffer(raw, dtype, n, at))
+    for n, kind in np.frombuffer(raw, np.int64, 2 * k, 8).reshape(k, 2):
+        dtype = np.dtype([np.uint8, np.uint16, np.uint32, np.uint64, np.float64][kind])
+        planes = np.frombuffer(raw, np.uint8, int(n) * dtype.itemsize, at).reshape(dtype.itemsize, int(n))
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype))
         at += int(n) * dtype.itemsize
     return out
 
 
-def is_held_out(doc_id) -> bool:
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
+def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted rows: the first of each group of equal keys, and each row's group."""
+    if not len(keys[0]):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def sizes_of(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.r_[first, n])
+
+
+class Slice:
+    """Tokens of some texts by the ranks of their words, with the two words before each."""
+
+    def __init__(self, texts: list[str | None]):
+        flat: list[bytes] = []
+        lengths = []
+        for t in texts:
+            ws = split_words(t)
+            flat += ws
+            flat.append(END)
+            lengths.append(len(ws) + 1)
+        self.lengths = np.array(lengths, dtype=np.int64)
+        values = np.empty(len(flat) + 1, dtype=object)
+        values[:-1], values[-1] = flat, START
+        codes, found = pd.factorize(values)
+        order = np.argsort(found)
+        self.words = found[order]
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        codes = rank[codes]
+        self.w, start = codes[:-1], codes[-1]
+        first = np.cumsum(self.lengths) - self.lengths
+        self.u1 = np.r_[start, self.w[:-1]]
+        self.u1[first] = start
+        self.u2 = np.r_[start, self.u1[:-1]]
+        self.u2[first] = start
+        self.hash = word_hashes(list(self.words))
+        self.pair = pair_hash(self.hash[self.u2], self.hash[self.u1])
+
+
+def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """(doc_ids, texts) of about SLICE_BYTES."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py()
+            ids.append(doc_id)
+            texts.append(text)
+            size += len(text or "") + 1
+            if size >= SLICE_BYTES:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def _heavy(share: float):
+    """Rows (level, key, last, n): contexts with at least a quarter of the share of a slice's tokens, and
+    their last words; level 0 counts all."""
+
+    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in slices_of(batches):
+            s = Slice(texts)
+            found = [(np.zeros(1), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.array([len(s.w)]))]
+            for level, key in ((1, s.hash[s.u1]), (2, s.pair)):
+                k, at, n = np.unique(key, return_index=True, return_counts=True)
+                much = n >= share / 4 * len(s.w)
+                found.append((np.full(much.sum(), level), k[much].view(np.int64), s.hash[s.u1[at[much]]].view(np.int64), n[much]))
+            level, key, last, n = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(key), pa.array(last), pa.array(n)], names=["level", "key", "last", "n"])
+
+    return heavy
+
+
+class Hot:
+    """Hot words and pairs. A word has the code 1 + its place, a pair one after all words'; 0 is none.
+
+    A hot pair's last word is hot as well: it has the share wherever the pair has it."""
+
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, last: np.ndarray):
+        self.words = np.unique(words)
+        self.pairs, at = np.unique(pairs, return_index=True)
+        self.last = among(last[at], self.words)
+
+    def __len__(self) -> int:
+        return 1 + len(self.words) + len(self.pairs)
+
+
+def hot_contexts(docs: DataFrame, share: float) -> Hot:
+    found = docs.mapInArrow(_heavy(share), "level int, key long, last long, n long").groupBy("level", "key").agg(F.sum("n").alias("n"), F.first("last").alias("last"))
+    rows = cut(found)
+    total = (rows.where("level = 0").first() or {"n": 0})["n"]
+    # a context of the share has three quarters of it in slices where it has a quarter; so at most 4 / 3 of 1 / share
+    much = rows.where((F.col("level") > 0) & (F.col("n") >= 0.75 * share * total)).select("level", "key", "last").toPandas()
+    drop(rows)
+    of = lambda level, name: much.loc[much.level == level, name].to_numpy(dtype=np.int64).view(np.uint64)
+    return Hot(of(1, "key"), of(2, "key"), of(2, "last"))
+
+
+def deal_ids(spark: SparkSession, n: int) -> np.ndarray:
+    """n numbers that Spark's hash spreads over n partitions, one for each."""
+    k = F.pmod(F.hash("id"), F.lit(n))
+    rows = spark.range(0, 32 * n + 64).groupBy(k.alias("k")).agg(F.min("id").alias("id")).toPandas()
+    out = np.arange(n, dtype=np.int64)
+    out[rows["k"].to_numpy()] = rows["id"].to_numpy()
+    return out
 
 
-def _packer(parts: int, hot: np.ndarray):
-    """Texts to packed tokens: a row for each slice of texts and part, and one with the texts' ids."""
+def _packer(part_ids: np.ndarray, hot: Hot):
+    """Rows (part, slice, n_docs, body): a slice's tokens for a part; n_docs is -1 where body has the
+    slice's texts themselves."""
+    parts = np.uint64(len(part_ids))
+
+    def rows_of(slice_id: int, ids: list, texts: list):
+        s = Slice(texts)
+        held = np.array([is_held_out(d) for d in ids], dtype=np.int64)
+        known = np.array([d is not None for d in ids])
+        yield int(part_ids[slice_id % len(part_ids)]), -1, dump(np.array([d or 0 for d in ids], dtype=np.int64).view(np.uint64), known.astype(np.uint8), held.astype(np.uint8))
+        doc = np.repeat(np.arange(len(ids)) * 2 + held, s.lengths)
+        kind = np.where((among(s.hash, hot.words) >= 0)[s.u1], PAIR, BOTH)
+        kind[among(s.pair, hot.pairs) >= 0] = NONE
+        by = np.where(kind == BOTH, mix(s.hash[s.u1]), np.where(kind == PAIR, s.pair, mix(s.hash[s.w] + np.uint64(slice_id) * A)))
+        part = (by % parts).astype(np.int64)
+        upper = (part * 3 + kind) << 32 | s.u1
+        lower = s.w << 32 | s.u2
+        order = np.lexsort((lower, upper))
+        upper, lower, doc = upper[order], lower[order], doc[order]
+        cuts, _ = groups(upper // (3 << 32))
+        for a, b in zip(cuts, np.r_[cuts[1:], len(upper)], strict=True):
+            first, _ = groups(upper[a:b], lower[a:b])
+            runs, _ = groups(upper[a:b][first])
+            cells = lower[a:b][first]
+            top = upper[a:b][first][runs]
+            w, u2, u1 = cells >> 32, cells & 0xFFFFFFFF, top & 0xFFFFFFFF
+            used = np.unique(np.concatenate([w, u2, u1]))
+            own = [small(np.searchsorted(used, x)) for x in (u1, w, u2)]
+            text = np.frombuffer(b"\n".join(s.words[used]), dtype=np.uint8)
+            yield int(part_ids[upper[a] // (3 << 32)]), len(ids), dump(text, small((top >> 32) % 3), own[0], small(sizes_of(runs, len(first))), own[1], own[2], small(sizes_of(first, b - a)), small(doc[a:b]))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        slice_id = (context.partitionId() if context else 0) << 32
-        pending: list[tuple] = []
-        size = 0
-
-        def flush():
-            nonlocal slice_id, pending, size
-            ids = [d for d, _ in pending]
-            words: list[bytes] = []
-            fines, docs, at_end = [], [], []
-            for k, (_, text) in enumerate(pending):
-                ws, fine = token_stream(text)
-                words += ws
-                fines.append(fine)
-                docs.append(np.full(len(fine), k, dtype=np.uint32))
-                at_end.append(len(ws))
-            fine, doc = np.concatenate(fines), np.concatenate(docs)
-            keys = np.full(len(fine), END, dtype=np.uint64)
-            is_word = np.ones(len(fine), dtype=bool)
-            is_word[np.cumsum(np.array(at_end) + 1) - 1] = False
-            keys[is_word] = word_keys(words)
-            held = np.array([is_held_out(d) for d in ids], dtype=np.uint8)
-            part = (mix(keys) % np.uint64(parts)).astype(np.int64)
-            if len(hot):
-                common = np.isin(keys, hot)
-                part[common] = (slice_id + np.flatnonzero(common)) % parts
-            order = np.lexsort((doc, fine, keys, part))
-            part, keys, fine, doc = part[order], keys[order], fine[order], doc[order]
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            rows = []
-            for a, b in zip(cuts, np.r_[cuts[1:], len(part)], strict=True):
-                new = np.flatnonzero(np.r_[True, keys[a + 1 : b] != keys[a : b - 1]])
-                counts = np.diff(np.r_[new, b - a]).astype(np.uint32)
-                rows.append((int(part[a]), slice_id, len(ids), dump(keys[a:b][new], counts, fine[a:b], doc[a:b], held[np.unique(doc[a:b])])))
-            lengths = np.array(at_end, dtype=np.uint32) + 1
-            known = np.array([d is not None for d in ids], dtype=np.uint8)
-            rows.append((-1 - slice_id, slice_id, len(ids), dump(np.array([d or 0 for d in ids], dtype=np.int64).view(np.uint64), known, held, lengths)))
-            slice_id, pending, size = slice_id + 1, [], 0
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["part", "slice", "n_docs", "body"])
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                pending.append((doc_id, text))
-                size += len(text or "") + 1
-                if size >= SLICE_BYTES:
-                    yield flush()
-        if pending:
-            yield flush()
+        slice_id = (context.partitionId() if context else 0) << 20
+        for ids, texts in slices_of(batches):
+            rows = list(rows_of(slice_id, ids, texts))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([slice_id] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "slice", "n_docs", "body"])
+            slice_id += 1
 
     return pack
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All packed tokens of a part, sorted by part, as one row: cells by (word, fine restaurant),
-    and for each cell the texts of its tokens."""
-    part, pieces = None, []
-
-    def merged():
-        loaded = [load(b) for _, _, b in pieces]
-        slices = np.array([s for s, _, _ in pieces], dtype=np.int64).view(np.uint64)
-        sizes = np.array([n for _, n, _ in pieces], dtype=np.uint32)
-        offset = np.concatenate([[0], np.cumsum(sizes)])
-        keys = np.concatenate([np.repeat(k, c) for k, c, _, _, _ in loaded])
-        fine = np.concatenate([f for _, _, f, _, _ in loaded])
-        doc = np.concatenate([d + np.uint32(o) for (_, _, _, d, _), o in zip(loaded, offset, strict=False)]).astype(np.uint32)
-        # a piece has the flags of the texts that it has tokens of, so that a part holds none of others
-        held = np.concatenate([h[np.unique(d, return_inverse=True)[1]] for _, _, _, d, h in loaded])
-        order = np.lexsort((fine, keys))
-        keys, fine, doc, held = keys[order], fine[order], doc[order], held[order]
-        new_word = np.r_[True, keys[1:] != keys[:-1]]
-        first = np.flatnonzero(new_word | np.r_[True, fine[1:] != fine[:-1]])
-        per_cell = np.diff(np.r_[first, len(keys)]).astype(np.uint32)
-        learned = np.add.reduceat((1 - held).astype(np.int64), first).astype(np.uint32)
-        words_at = np.flatnonzero(new_word)
-        cells_of_word = np.diff(np.r_[np.searchsorted(first, words_at), len(first)]).astype(np.uint32)
-        body = dump(keys[words_at], cells_of_word, fine[first], per_cell, learned, doc, slices, sizes)
-        return row(part, 0, body)
-
-    def row(p, s, body):
-        return pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([s], pa.int64()), pa.array([body], pa.binary())], names=["part", "slice", "body"])
-
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+    """Neighbouring rows of one first column: its value, and the other columns."""
+    key, rows = None, []
     for batch in batches:
-        for p, s, n, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if p < 0:
-                yield row(p, s, b)  # the texts' own rows
-                continue
-            if p != part and pieces:
-                yield merged()
-                pieces = []
-            part = p
-            pieces.append((s, n, b))
-    if pieces:
-        yield merged()
+        for k, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and k != key:
+                yield key, rows
+                rows = []
+            key = k
+            rows.append(rest)
+    if rows:
+        yield key, rows
+
+
+def merged(pieces: list[tuple[int, int, bytes]], hot: Hot, askers: int) -> bytes:
+    """Cells of a part. pieces: (slice, its number of texts, packed tokens)."""
+    loaded = [load(b) for _, _, b in pieces]
+    hashes = [word_hashes(x[0].tobytes().split(b"\n")) for x in loaded]
+    known, rank = np.unique(np.concatenate(hashes), return_inverse=True)
+    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+    at = first_doc = 0
+    for (_, kinds, u1, cells, w, u2, per_cell, doc), h, (_, n, _) in zip(loaded, hashes, pieces, strict=True):
+        own = rank[at : at + len(h)]
+        at += len(h)
+        for c, x in zip(cols, (np.repeat(kinds, cells), np.repeat(own[u1], cells), own[w], own[u2], per_cell.astype(np.int64), doc.astype(np.int64) + 2 * first_doc), strict=True):
+            c.append(x)
+        first_doc += n
+    kind, u1, w, u2, per_cell, doc = (np.concatenate(c).astype(np.int64) for c in cols)
+    del cols, loaded, hashes
+    upper, lower = kind << 60 | u1 << 30 | w, u2
+    order = np.lexsort((lower, upper))
+    # tokens follow their cells
+    start = np.cumsum(per_cell) - per_cell
+    per = per_cell[order]
+    doc = doc[np.repeat(start[order] - (np.cumsum(per) - per), per) + np.arange(len(doc))]
+    kind, u1, w, u2 = kind[order], u1[order], w[order], u2[order]
+    first, _ = groups(upper[order], lower[order])
+    tokens = np.add.reduceat(per, first) if len(first) else per
+    learned = np.add.reduceat(1 - (doc & 1), np.cumsum(tokens) - tokens)
+    kind, u1, w, u2 = kind[first], u1[first], w[first], u2[first]
+    # pairs of a word before and a word; where no restaurant is here, a pair is a cell
+    lead, pair = groups(kind, u1, w, np.where(kind == NONE, u2, 0))
+    rests = np.unique(u2[kind != NONE] << 30 | u1[kind != NONE], return_inverse=True)[1]
+    k1, w1 = kind[lead], known[w[lead]]
+    code = np.zeros(len(lead), dtype=np.int64)
+    code[k1 == PAIR] = 1 + among(known[u1[lead][k1 == PAIR]], hot.words)
+    code[k1 == NONE] = 1 + len(hot.words) + among(pair_hash(known[u2[lead][k1 == NONE]], known[u1[lead][k1 == NONE]]), hot.pairs)
+    to = (mix(w1) % np.uint64(askers)).astype(np.int64)
+    order = np.lexsort((code, w1, to))
+    head, item = groups(to[order], w1[order], code[order])
+    item_of = np.empty(len(lead), dtype=np.int64)
+    item_of[order] = item
+    runs, _ = groups(u1[lead[k1 == BOTH]])
+    counts = np.array([(kind == k).sum() for k in range(3)] + [(k1 == k).sum() for k in range(3)], dtype=np.uint64)
+    slices = np.array([s for s, _, _ in pieces], dtype=np.int64).view(np.uint64)
+    texts = np.array([n for _, n, _ in pieces], dtype=np.uint64)
+    return dump(counts, small(sizes_of(lead, len(kind))), small(rests), small(tokens), small(learned), small(sizes_of(runs, int(counts[3]))), small(item_of), w1[order][head], small(code[order][head]), small(sizes_of(groups(to[order][head])[0], len(head))), small(to[order][head][groups(to[order][head])[0]]), small(doc), slices, texts)
+
+
+def _merge(hot: Hot, askers: int):
+    """Rows (part, slice, body): a part's cells (slice -1), and the slices' texts."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in by_key(batches):
+            own = [(s, n, b) for s, n, b in rows if n >= 0]
+            out = [(part, s, b) for s, n, b in rows if n < 0]
+            if own:
+                out.append((part, -1, merged(own, hot, askers)))
+            for p, s, b in out:
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([s], pa.int64()), pa.array([b], pa.binary())], names=["part", "slice", "body"])
+
+    return merge
 
 
 @lru_cache(maxsize=4)
@@ -211,173 +353,269 @@ def log_stirling(d: float) -> np.ndarray:
 def draw_tables(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of cells of c customers, a new table having the weight a."""
     t = np.minimum(c, 1)
+    many = np.flatnonzero(c > 1)
+    if not len(many):
+        return t
     table = log_stirling(d)
-    for n in range(2, EXACT + 1):
-        at = np.flatnonzero(c == n)
-        if len(at):
-            k = np.arange(1, n + 1)
-            logs = table[n, 1 : n + 1] + np.log(np.maximum(a[at], 1e-300))[:, None] * k
-            p = np.exp(logs - logs.max(axis=1, keepdims=True))
-            upto = np.cumsum(p, axis=1)
-            t[at] = 1 + (upto < rng.random(len(at))[:, None] * upto[:, -1:]).sum(axis=1)
-    at = np.flatnonzero(c > EXACT)
-    if len(at):
+    many = many[np.argsort(c[many], kind="stable")]
+    first, _ = groups(c[many])
+    for i, j in zip(first, np.r_[first[1:], len(many)], strict=True):
+        at, n = many[i:j], int(c[many[i]])
+        if n > EXACT:
+            at = many[i:]
+            break
+        k = np.arange(1, n + 1)
+        logs = table[n, 1 : n + 1] + np.log(np.maximum(a[at], 1e-300))[:, None] * k
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+        upto = np.cumsum(p, axis=1)
+        t[at] = 1 + (upto < rng.random(len(at))[:, None] * upto[:, -1:]).sum(axis=1)
+    if n > EXACT:
         whole, weight = c[at].astype(np.float64), a[at]
-        n, tables = np.ones(len(at)), np.ones(len(at))
-        while (n < whole).any():
-            grow = np.minimum(np.maximum(1.0, np.floor(n * 0.05)), whole - n)
-            rate = weight / np.maximum(weight + n - d * tables, 1e-9)
-            new = np.where(grow == 1, rng.random(len(at)) < rate, np.minimum(rng.poisson(np.minimum(rate, 1.0) * grow), grow))
-            tables, n = tables + np.where(grow > 0, new, 0), n + grow
+        seated, tables = np.ones(len(at)), np.ones(len(at))
+        while (seated < whole).any():
+            grow = np.minimum(np.maximum(1.0, np.floor(seated / BLOCK)), whole - seated)
+            rate = weight / np.maximum(weight + seated - d * tables, 1e-9)
+            new = np.where(grow <= 1, rng.random(len(at)) < rate, rng.binomial(grow.astype(np.int64), np.minimum(rate, 1.0)))
+            tables, seated = tables + np.where(grow > 0, new, 0), seated + grow
         t[at] = np.minimum(tables, whole).astype(t.dtype)
     return t
 
 
-class Totals:
-    """Customers and tables of all restaurants, and the corpus's tokens and words."""
-
-    def __init__(self, values: dict[tuple[str, int], float]):
-        at = lambda kind, n: np.array([values.get((kind, i), 0.0) for i in range(n)])
-        self.c2, self.t2, self.t1 = at("c2", FINE), at("t2", FINE), at("t1", COARSE)
-        self.c1 = self.t2.reshape(-1, COARSE).sum(axis=0)
-        self.c0, self.words, self.tokens = self.t1.sum(), values.get(("words", 0), 0.0), values.get(("tokens", 0), 0.0)
+def tables_of(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator | None) -> np.ndarray:
+    """Drawn tables, or, without a generator, one for each cell that has customers."""
+    return np.minimum(c, 1) if rng is None else draw_tables(c, a, d, rng)
 
-    def unknown(self) -> float:
-        return (T0 + D0 * self.words) / (T0 + self.c0)
 
+def predictive(c, t, d: float, strength: float, all_c, all_t, parent):
+    """Probability of a word in a restaurant."""
+    return (np.maximum(c - d * t, 0) + (strength + d * all_t) * parent) / (strength + all_c)
 
-class Seating:
-    """Cells of some words at all levels; fine cells are sorted by word."""
 
-    def __init__(self, word: np.ndarray, fine: np.ndarray, c: np.ndarray, n_words: int, totals: Totals, seed: int):
-        self.word, self.fine, self.c, self.n_words, self.totals = word, fine, c.astype(np.int64), n_words, totals
-        self.rng = np.random.default_rng(seed)
-        pair = word.astype(np.int64) * COARSE + fine % COARSE
-        self.pairs, self.pair_of = np.unique(pair, return_inverse=True)
-        self.t2 = np.minimum(self.c, 1)
-        self._upwards()
+class Part:
+    """Cells of a part, and the seating at the levels that it has."""
+
+    def __init__(self, body: bytes):
+        counts, cells, rest, tokens, learned, pairs, item, self.words, code, asked, to, self.doc, self.slices, self.texts = load(body)
+        counts = counts.astype(np.int64)
+        self.own = counts[0] + counts[1]  # cells whose pair's restaurant is here; they come first
+        self.both = counts[3]  # pairs whose word's restaurant is here
+        self.pair = np.repeat(np.arange(len(cells)), cells)
+        self.rest, self.tokens, self.c = rest.astype(np.int64), tokens.astype(np.int64), learned.astype(np.int64)
+        self.word = np.repeat(np.arange(len(pairs)), pairs)
+        self.item, self.code = item.astype(np.int64), code.astype(np.int64)
+        self.asked, self.to = asked.astype(np.int64), to.astype(np.int64)
+        self.c2 = np.bincount(self.rest, weights=self.c[: self.own])
+        self.t2, self.t1 = np.minimum(self.c, 1), None
+        self._up()
         self.t1 = np.minimum(self.c1, 1)
 
-    def _upwards(self) -> None:
-        self.c1 = np.bincount(self.pair_of, weights=self.t2, minlength=len(self.pairs)).astype(np.int64)
-
-    def sweep(self) -> None:
-        s = self.totals
-        p0, p1, _ = self.probabilities()
-        self.t2 = draw_tables(self.c, (T2 + D2 * s.t2[self.fine]) * p1[self.pair_of], D2, self.rng)
-        self._upwards()
-        self.t1 = draw_tables(self.c1, (T1 + D1 * s.t1[self.pairs % COARSE]) * p0[self.pairs // COARSE], D1, self.rng)
-
-    def probabilities(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word, each (word, coarse) pair and each cell."""
-        s = self.totals
-        c0 = np.bincount(self.pairs // COARSE, weights=self.t1, minlength=self.n_words)
-        p0 = np.where(c0 > 0, (c0 - D0) / (T0 + s.c0), s.unknown())
-        g = self.pairs % COARSE
-        p1 = (np.maximum(self.c1 - D1 * self.t1, 0) + (T1 + D1 * s.t1[g]) * p0[self.pairs // COARSE]) / (T1 + s.c1[g])
-        p2 = (np.maximum(self.c - D2 * self.t2, 0) + (T2 + D2 * s.t2[self.fine]) * p1[self.pair_of]) / (T2 + s.c2[self.fine])
-        return p0, p1, p2
-
-    def tables(self) -> dict[tuple[str, int], float]:
-        out: dict[tuple[str, int], float] = {}
-        for kind, index, values in (("c2", self.fine, self.c), ("t2", self.fine, self.t2), ("t1", self.pairs % COARSE, self.t1)):
-            sums = np.bincount(index, weights=values)
-            out |= {(kind, int(i)): float(sums[i]) for i in np.flatnonzero(sums)}
-        return out
-
-    def averaged(self) -> np.ndarray:
-        for _ in range(BURN):
-            self.sweep()
-        mean = np.zeros(len(self.c))
-        for _ in range(SAMPLES):
-            self.sweep()
-            mean += self.probabilities()[2] / SAMPLES
-        return mean
+    def _up(self) -> None:
+        self.c1 = np.bincount(self.pair[: self.own], weights=self.t2[: self.own], minlength=len(self.item))[: self.both].astype(np.int64)
 
+    def first_guess(self) -> np.ndarray:
+        """Of items, by this part's own tokens."""
+        n = self.by_item(np.bincount(self.pair, weights=self.c, minlength=len(self.item)))
+        return (n + 0.5) / (n.sum() + 0.5 * (len(n) + 1))
 
-class Part:
-    """A merged row."""
+    def by_item(self, of_pairs: np.ndarray) -> np.ndarray:
+        return np.bincount(self.item, weights=of_pairs, minlength=len(self.words))
 
-    def __init__(self, body: bytes, hot: np.ndarray):
-        self.keys, cells, fine, self.per_cell, learned, self.doc, self.slices, self.sizes = load(body)
-        self.word = np.repeat(np.arange(len(self.keys)), cells)
-        self.fine, self.c = fine.astype(np.int64), learned.astype(np.int64)
-        self.is_hot = np.isin(self.keys, hot) if len(hot) else np.zeros(len(self.keys), dtype=bool)
-        self.own = ~self.is_hot[self.word]
+    def sweep(self, p: np.ndarray, rng: np.random.Generator | None) -> None:
+        of_pair, _ = self.probabilities(p)
+        t2 = np.bincount(self.rest, weights=self.t2[: self.own], minlength=len(self.c2))
+        n = self.own
+        self.t2[:n] = tables_of(self.c[:n], (T2 + D2 * t2[self.rest]) * of_pair[self.pair[:n]], D2, rng)
+        self._up()
+        t1 = np.bincount(self.word, weights=self.t1)
+        self.t1 = tables_of(self.c1, (T1 + D1 * t1[self.word]) * p[self.item[: self.both]], D1, rng)
 
-    def seating(self, totals: Totals, seed: int) -> Seating:
-        return Seating(self.word[self.own], self.fine[self.own], self.c[self.own], len(self.keys), totals, seed)
+    def probabilities(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs and of cells."""
+        n, b = self.own, self.both
+        of_pair = p[self.item]
+        c1, t1 = np.bincount(self.word, weights=self.c1), np.bincount(self.word, weights=self.t1)
+        of_pair[:b] = predictive(self.c1, self.t1, D1, T1, c1[self.word], t1[self.word], of_pair[:b])
+        t2 = np.bincount(self.rest, weights=self.t2[:n], minlength=len(self.c2))
+        of_cell = of_pair[self.pair]
+        of_cell[:n] = predictive(self.c[:n], self.t2[:n], D2, T2, self.c2[self.rest], t2[self.rest], of_cell[:n])
+        return of_pair, of_cell
 
+    def customers(self) -> tuple[np.ndarray, np.ndarray]:
+        """That the items get, and their training tokens."""
+        up = np.where(np.arange(len(self.c)) < self.own, self.t2, self.c)
+        n = np.bincount(self.pair, weights=up, minlength=len(self.item))
+        n[: self.both] = self.t1
+        return self.by_item(n).astype(np.int64), self.by_item(np.bincount(self.pair, weights=self.c, minlength=len(self.item))).astype(np.int64)
 
-def _counts(hot: np.ndarray):
-    """Rows (kind, at, n) of first totals, and of the hot words' cells."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                p = Part(body.as_py(), hot)
-                learned = np.bincount(p.word, weights=p.c, minlength=len(p.keys))
-                found = [("words", [0], [((learned > 0) & ~p.is_hot).sum()]), ("tokens", [0], [p.c[p.own].sum()])]
-                for kind, values in (("c2", p.c), ("t2", np.minimum(p.c, 1))):
-                    sums = np.bincount(p.fine[p.own], weights=values[p.own])
-                    found.append((kind, np.flatnonzero(sums), sums[sums > 0]))
-                pairs = np.unique((p.word * COARSE + p.fine % COARSE)[p.own & (p.c > 0)])
-                sums = np.bincount(pairs % COARSE)
-                found.append(("t1", np.flatnonzero(sums), sums[sums > 0]))
-                hots = np.flatnonzero(~p.own & (p.c > 0))
-                which = np.searchsorted(hot, p.keys[p.word[hots]])
-                found.append(("hot", which * FINE + p.fine[hots], p.c[hots]))
-                yield _rows(found)
-
-    return count
-
-
-def _rows(found: list) -> pa.RecordBatch:
-    kinds = [k for k, i, _ in found for _ in range(len(i))]
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(np.concatenate([np.asarray(i, dtype=np.int64) for _, i, _ in found]), pa.int64()), pa.array(np.concatenate([np.asarray(v, dtype=np.float64) for _, _, v in found]), pa.float64())], names=["kind", "at", "n"])
-
-
-def _refreshed(hot: np.ndarray, totals: Totals, round_: int):
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def generator(gibbs: bool, *seed: int) -> np.random.Generator | None:
+    return np.random.default_rng([abs(s) for s in seed]) if gibbs else None
+
+
+def _replies(rows: list[dict], asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities and training tokens of a part's items, in the order in which it asked."""
+    bodies = {r["to"]: r["body"] for r in rows}
+    loaded = [load(bodies[to]) for to in asked.tolist()]
+    return np.concatenate([x[0] for x in loaded]), np.concatenate([x[1] for x in loaded]).astype(np.int64)
+
+
+def _ask(ask_ids: np.ndarray, round_: int, gibbs: bool):
+    """Rows (to, part, body): a part's items, their customers and training tokens."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seats = Part(body.as_py(), hot).seating(totals, part * 1000 + round_)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part, p = row[0], Part(row[1])
+                chance = _replies(row[2], ask_ids[p.to])[0] if len(row) > 2 else p.first_guess()
+                rng = generator(gibbs, part, round_)
                 for _ in range(BURN):
-                    seats.sweep()
-                found = [(k, [i], [v]) for (k, i), v in seats.tables().items() if k != "c2"]
-                if found:
-                    yield _rows(found)
+                    p.sweep(chance, rng)
+                customers, learned = p.customers()
+                ends = np.cumsum(p.asked)
+                bodies = [dump(p.words[a:b], small(p.code[a:b]), small(customers[a:b]), small(learned[a:b])) for a, b in zip(ends - p.asked, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ask_ids[p.to]), pa.array([part] * len(bodies), pa.int64()), pa.array(bodies, pa.binary())], names=["to", "part", "body"])
+
+    return ask
+
+
+def _asked(hot: Hot):
+    """Rows (to, body): the items of a part by word, and who asked for which."""
+    words = len(hot.words)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for to, rows in by_key(batches):
+            loaded = [load(b) for _, b in rows]
+            w = np.concatenate([x[0] for x in loaded])
+            known, rank = np.unique(w, return_inverse=True)
+            asked = rank.astype(np.int64) << 32 | np.concatenate([x[1] for x in loaded]).astype(np.int64)
+            # every item's parents are items
+            items = np.unique(np.r_[asked, (asked >> 32) << 32])
+            pairs = items[(items & 0xFFFFFFFF) > words]
+            items = np.unique(np.r_[items, (pairs >> 32) << 32 | parents(hot)[pairs & 0xFFFFFFFF]])
+            at = np.searchsorted(items, asked)
+            sums = [np.bincount(at, weights=np.concatenate([x[k] for x in loaded]), minlength=len(items)).astype(np.int64) for k in (2, 3)]
+            sizes = np.array([len(x[0]) for x in loaded], dtype=np.int64)
+            delta = np.diff(at, prepend=0)
+            delta[np.cumsum(sizes) - sizes] = at[np.cumsum(sizes) - sizes]
+            body = dump(small(items >> 32), small(items & 0xFFFFFFFF), small(sums[0]), small(sums[1]), np.array([p for p, _ in rows], dtype=np.int64).view(np.uint64), small(sizes), small(delta))
+            yield pa.RecordBatch.from_arrays([pa.array([to], pa.int64()), pa.array([body], pa.binary())], names=["to", "body"])
+
+    return gather
+
 
-    return sweep
+def parents(hot: Hot) -> np.ndarray:
+    """Each code's parent: a hot pair's is its last word, which is hot as well."""
+    out = np.zeros(len(hot), dtype=np.int64)
+    out[1 + len(hot.words) :] = 1 + hot.last
+    return out
 
 
-def _scores(hot: np.ndarray, hot_learned: np.ndarray, hot_p: np.ndarray, totals: Totals):
-    """Rows (slice, kind 1, body): known tokens, base and model score that a part adds to its texts."""
+class Upper:
+    """Items of a part by word: unigrams, cells of hot words and of hot pairs."""
+
+    def __init__(self, body: bytes, hot: Hot):
+        word, code, sent, learned, self.parts, self.sizes, delta = load(body)
+        self.word, self.code, self.sent, learned = (x.astype(np.int64) for x in (word, code, sent, learned))
+        delta = delta.astype(np.int64)
+        ends = np.cumsum(self.sizes.astype(np.int64))
+        upto = np.cumsum(delta)
+        begin = ends - self.sizes.astype(np.int64)
+        self.at = upto - np.repeat(upto[begin] - delta[begin], self.sizes.astype(np.int64))
+        n_words = len(hot.words)
+        self.pair, self.hot = self.code > n_words, (self.code > 0) & (self.code <= n_words)
+        key = self.word << 32
+        items = key | self.code
+        self.up = np.searchsorted(items, np.where(self.pair, key | parents(hot)[self.code], key))
+        self.one = np.flatnonzero(self.code == 0)
+        self.learned = np.bincount(self.word, weights=learned, minlength=len(self.one))
+        self.c, self.t = self.sent.copy(), np.zeros(len(self.sent), dtype=np.int64)
+
+    def seat(self, totals: dict, rng: np.random.Generator | None) -> None:
+        """Tables from the pairs' cells upwards, given the totals; without totals, one a cell."""
+        p = self.probabilities(totals) if totals else np.ones(len(self.c))
+        c = self.sent.copy()
+        for which, d, strength in ((self.pair, D2, T2), (self.hot, D1, T1)):
+            at = np.flatnonzero(which)
+            weight = (strength + d * totals["t"][self.code[at]]) * p[self.up[at]] if totals else np.ones(len(at))
+            self.t[at] = tables_of(c[at], weight, d, rng if totals else None)
+            c += np.bincount(self.up[at], weights=self.t[at], minlength=len(c)).astype(np.int64)
+        self.c = c
+
+    def probabilities(self, totals: dict) -> np.ndarray:
+        c, t = totals["c"], totals["t"]
+        p = np.empty(len(self.c))
+        unknown = (T0 + D0 * totals["words"]) / (T0 + c[0])
+        p[self.one] = np.where(self.c[self.one] > 0, (self.c[self.one] - D0) / (T0 + c[0]), unknown)
+        for which, d, strength in ((self.hot, D1, T1), (self.pair, D2, T2)):
+            k = self.code[which]
+            p[which] = predictive(self.c[which], self.t[which], d, strength, c[k], t[k], p[self.up[which]])
+        return p
+
+    def sums(self, size: int) -> list[tuple[str, np.ndarray]]:
+        used = self.c[self.one] > 0
+        return [("c", np.bincount(self.code, weights=self.c, minlength=size)), ("t", np.bincount(self.code, weights=self.t, minlength=size)), ("words", np.array([used.sum()])), ("vocabulary", np.array([(self.learned > 0).sum()])), ("tokens", np.array([self.learned.sum()]))]
+
+
+def _seats(body: bytes, to: int, hot: Hot, past: list[dict], round_: int, gibbs: bool) -> Upper:
+    """The seating after a sweep for each of the past totals: drawn again, as the seeds are the same."""
+    u = Upper(body, hot)
+    u.seat({}, None)
+    for k, totals in enumerate(past):
+        u.seat(totals, generator(gibbs, to, round_, k, 1))
+    return u
+
+
+def _totals(hot: Hot, past: list[dict], round_: int, gibbs: bool):
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for to, rows in by_key(batches):
+            found = _seats(rows[0][0], to, hot, past, round_, gibbs).sums(len(hot))
+            found = [(k, i, x[i]) for k, x in found for i in np.flatnonzero(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([int(f[1]) for f in found], pa.int64()), pa.array([float(f[2]) for f in found], pa.float64())], names=["kind", "at", "n"])
+
+    return sums
+
+
+def _reply(hot: Hot, past: list[dict], round_: int, gibbs: bool):
+    """Rows (part, to, body): probabilities and training tokens of the items that a part asked for."""
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for to, rows in by_key(batches):
+            u = _seats(rows[0][0], to, hot, past[:-1], round_, gibbs)
+            p, learned = u.probabilities(past[-1]), u.learned.astype(np.int64)[u.word]
+            ends = np.cumsum(u.sizes.astype(np.int64))
+            bodies = [dump(p[u.at[a:b]], small(learned[u.at[a:b]])) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(u.parts.view(np.int64)), pa.array([to] * len(bodies), pa.int64()), pa.array(bodies, pa.binary())], names=["part", "to", "body"])
+
+    return reply
+
+
+def _scores(ask_ids: np.ndarray, tokens: float, vocabulary: float, gibbs: bool):
+    """Rows (slice, kind 1, body): tokens, known tokens, base and model score that a part adds to texts."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                p = Part(body.as_py(), hot)
-                seats = p.seating(totals, part * 1000 + 999)
-                chance = np.empty(len(p.c))
-                chance[p.own] = seats.averaged()
-                learned = np.bincount(p.word, weights=p.c, minlength=len(p.keys))
-                if p.is_hot.any():
-                    which = np.searchsorted(hot, p.keys)
-                    learned = np.where(p.is_hot, hot_learned[np.minimum(which, len(hot) - 1)], learned)
-                    chance[~p.own] = hot_p[which[p.word[~p.own]], p.fine[~p.own]]
-                base = np.log10((learned + 0.5) / (totals.tokens + 0.5 * (totals.words + 1)))
-                cell = np.repeat(np.arange(len(p.c)), p.per_cell)
-                docs, doc = np.unique(p.doc, return_inverse=True)  # texts without a token here are left out
+            for part, body, replies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p = Part(body)
+                chance, learned = _replies(replies, ask_ids[p.to])
+                rng = generator(gibbs, part, 99)
+                for _ in range(BURN):
+                    p.sweep(chance, rng)
+                mean = np.zeros(len(p.c))
+                for _ in range(SAMPLES):
+                    p.sweep(chance, rng)
+                    mean += p.probabilities(chance)[1] / SAMPLES
+                count = learned[p.item][p.pair]
+                base = np.log10((count + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
+                logs = np.log10(np.maximum(mean, 1e-300))
+                cell = np.repeat(np.arange(len(p.c)), p.tokens)
+                docs, doc = np.unique(p.doc >> 1, return_inverse=True)  # texts without a token here are left out
                 n = len(docs)
-                known = np.bincount(doc, weights=(learned > 0)[p.word][cell], minlength=n).astype(np.uint32)
-                sums = [np.bincount(doc, weights=x[cell], minlength=n) for x in (base[p.word], np.log10(np.maximum(chance, 1e-300)))]
-                offset = np.concatenate([[0], np.cumsum(p.sizes)]).astype(np.int64)
+                sums = [np.bincount(doc, weights=x[cell], minlength=n) for x in ((count > 0).astype(np.float64), base, logs)]
+                every = np.bincount(doc, minlength=n)
+                offset = np.r_[0, np.cumsum(p.texts.astype(np.int64))]
                 at = np.searchsorted(docs, offset)
-                bodies = []
-                for o, a, b in zip(offset, at, at[1:], strict=False):
-                    bodies.append(dump(np.diff(docs[a:b].astype(np.int64) - o, prepend=-1).astype(np.uint32), known[a:b], sums[0][a:b].view(np.uint64), sums[1][a:b].view(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(p.slices.view(np.int64), pa.int64()), pa.array([1] * len(bodies), pa.int32()), pa.array(bodies, pa.binary())], names=["slice", "kind", "body"])
+                bodies = [dump(small(np.diff(docs[a:b].astype(np.int64) - o, prepend=0)), small(every[a:b]), small(sums[0][a:b].astype(np.int64)), sums[1][a:b], sums[2][a:b]) for o, a, b in zip(offset, at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(p.slices.view(np.int64)), pa.array([1] * len(bodies), pa.int32()), pa.array(bodies, pa.binary())], names=["slice", "kind", "body"])
 
     return score
 
@@ -386,96 +624,88 @@ def _gather(tokens: int):
     """Rows by slice, its texts' row (kind 0) first: their sums over all parts."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info, sums = None, None
-
-        def out():
-            ids, known_id, held, lengths = info
-            ids = pa.array(ids.view(np.int64), pa.int64(), mask=known_id == 0)
+        for _, rows in by_key(batches):
+            ids, known, held = load(rows[0][1])
             n = len(held)
+            sums = [np.zeros(n) for _ in range(4)]
+            for _, body in rows[1:]:
+                step, *values = load(body)
+                at = np.cumsum(step.astype(np.int64))
+                for s, v in zip(sums, values, strict=True):
+                    s[at] += v
             scale = 1.0 if tokens else 0.0
-            return pa.RecordBatch.from_arrays([ids, pa.array(held == 1), pa.array(lengths.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(np.full(n, tokens, dtype=np.int64)), pa.array(sums[1] * scale), pa.array(sums[2] * scale)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-        for batch in batches:
-            for kind, body in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                values = load(body.as_py())
-                if kind == 0:
-                    if info is not None:
-                        yield out()
-                    info, sums = values, [np.zeros(len(values[2])) for _ in range(3)]
-                else:
-                    at = np.cumsum(values[0].astype(np.int64)) - 1
-                    sums[0][at] += values[1]
-                    sums[1][at] += values[2].view(np.float64)
-                    sums[2][at] += values[3].view(np.float64)
-        if info is not None:
-            yield out()
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64), pa.int64(), mask=known == 0), pa.array(held == 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(np.full(n, tokens, dtype=np.int64)), pa.array(sums[2] * scale), pa.array(sums[3] * scale)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return gather
 
 
-def _collected(rows: DataFrame) -> dict[tuple[str, int], float]:
-    """Sums by restaurant: at most 3 * FINE rows and the hot words' cells, at most FINE / HOT_SHARE."""
-    return {(r[0], r[1]): r[2] for r in rows.groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()}
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, n): how often words occur; a null word counts all tokens."""
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for a, b in slices(texts):
-            keys, n = np.unique(word_keys([w for t in texts[a:b] for w in split_words(t)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([*keys.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), int(n.sum())], pa.int64())], names=["word", "n"])
-
+class Dealt:
+    """A table stored in the shared folder in one bucket a part, so that joins by part move only the other side."""
+
+    def __init__(self, df: DataFrame, buckets: int):
+        self.spark, self.buckets = df.sparkSession, buckets
+        self.name, path = f"lm_{uuid.uuid4().hex}", scratch_dir(df.sparkSession)
+        before = self.spark.conf.get(LET_GO, None)
+        self.spark.conf.set(LET_GO, "true")
+        try:
+            df.write.format("parquet").option("path", path).bucketBy(buckets, "part").saveAsTable(self.name)
+        finally:
+            self.spark.conf.unset(LET_GO) if before is None else self.spark.conf.set(LET_GO, before)
+        self.rows = self.spark.table(self.name)
+
+    def with_replies(self, replies: DataFrame | None) -> DataFrame:
+        """(part, body[, replies]) of the parts' cells."""
+        cells = self.rows.where("slice < 0").select("part", "body")
+        if replies is None:
+            return cells
+        found = replies.repartition(self.buckets, "part").groupBy("part").agg(F.collect_list(F.struct("to", "body")).alias("replies"))
+        return cells.join(found.hint("merge"), "part")
+
+    def drop(self) -> None:
+        drop(self.rows)
+        self.spark.sql(f"DROP TABLE {self.name}")
+
+
+def _collected(rows: DataFrame, size: int) -> dict:
+    """Totals of the hot contexts and the unigrams."""
+    out = {"c": np.zeros(size), "t": np.zeros(size), "words": 0.0, "vocabulary": 0.0, "tokens": 0.0}
+    for r in rows.groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas().itertuples():
+        if r.kind in ("c", "t"):
+            out[r.kind][r.at] = r.n
+        else:
+            out[r.kind] = r.n
+    return out
 
-def _hot_words(docs: DataFrame) -> np.ndarray:
-    """Sorted keys of the words that have HOT_SHARE of all tokens or more, and the end token."""
-    counts = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    # no more than 1 / HOT_SHARE words can have the share; the row of all tokens comes first
-    top = counts.orderBy(F.desc("n"), F.col("word").asc_nulls_first()).limit(math.ceil(1 / HOT_SHARE) + 1).collect()
-    least = max(50, HOT_SHARE * top[0].n) if top else 0
-    keys = np.array([r.word for r in top[1:] if r.n >= least], dtype=np.int64).view(np.uint64)
-    return np.unique(np.r_[keys, END])
 
+def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gibbs: bool = True, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each text.
 
-def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each text."""
+    Without gibbs each cell has one table, which makes the scores a function of the counts."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(size / PART_BYTES))
-    hot = _hot_words(docs)
-    packed = docs.mapInArrow(_packer(parts, hot), PACK)
-    dealt = packed.repartition(parts, "part").sortWithinPartitions("part", "slice")
-    stored = cut(dealt.mapInArrow(_merge, "part long, slice long, body binary"))
-    info = stored.where("part < 0").select("slice", F.lit(0).alias("kind"), "body")
-    merged = stored.where("part >= 0").select("part", "body")
-    values = _collected(merged.mapInArrow(_counts(hot), "kind string, at long, n double"))
-    cells = sorted((i, n) for (k, i), n in values.items() if k == "hot")
-    hot_word = np.array([i // FINE for i, _ in cells], dtype=np.int64)
-    hot_fine = np.array([i % FINE for i, _ in cells], dtype=np.int64)
-    hot_c = np.array([n for _, n in cells], dtype=np.int64)
-    hot_learned = np.bincount(hot_word, weights=hot_c, minlength=len(hot))
-    values[("words", 0)] = values.get(("words", 0), 0.0) + (hot_learned > 0).sum()
-    values[("tokens", 0)] = values.get(("tokens", 0), 0.0) + hot_c.sum()
-    # every (hot word, restaurant) has a cell, of no customers where there were none
-    grid_word, grid_fine = np.repeat(np.arange(len(hot)), FINE), np.tile(np.arange(FINE), len(hot))
-    grid_c = np.zeros(len(hot) * FINE, dtype=np.int64)
-    grid_c[hot_word * FINE + hot_fine] = hot_c
-    seats = Seating(grid_word, grid_fine, grid_c, len(hot), Totals({}), 7)
-    _add(values, seats.tables())
-    totals = Totals(values)
+    n = max(1, math.ceil(size / part_bytes))
+    hot = hot_contexts(docs, 1 / min(max(2 * n, 256), MAX_HOT))
+    part_ids, askers = deal_ids(spark, n), max(1, n // 4)
+    ask_ids = deal_ids(spark, askers)
+    packed = docs.mapInArrow(_packer(part_ids, hot), "part long, slice long, n_docs int, body binary")
+    dealt = packed.repartition(n, "part").sortWithinPartitions("part", "slice", "n_docs")
+    parts = Dealt(dealt.mapInArrow(_merge(hot, askers), "part long, slice long, body binary"), min(n, MAX_BUCKETS))
+    replies, totals = None, {"tokens": 0.0, "vocabulary": 0.0}
     for k in range(ROUNDS):
-        fresh = _collected(merged.mapInArrow(_refreshed(hot, totals, k), "kind string, at long, n double"))
-        seats = Seating(grid_word, grid_fine, grid_c, len(hot), totals, 8 + k)
-        for _ in range(BURN):
-            seats.sweep()
-        _add(fresh, {x: n for x, n in seats.tables().items() if x[0] != "c2"})
-        totals = Totals({x: n for x, n in values.items() if x[0] in ("c2", "words", "tokens")} | fresh)
-    hot_p = Seating(grid_word, grid_fine, grid_c, len(hot), totals, 99).averaged().reshape(len(hot), FINE)
-    sums = merged.mapInArrow(_scores(hot, hot_learned, hot_p, totals), "slice long, kind int, body binary")
-    rows = info.unionByName(sums).repartition(max(parts, 2), "slice").sortWithinPartitions("slice", "kind")
-    return rows.mapInArrow(_gather(int(totals.tokens)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _add(into: dict, more: dict) -> None:
-    for k, v in more.items():
-        into[k] = into.get(k, 0.0) + v
+        asks = parts.with_replies(replies).mapInArrow(_ask(ask_ids, k, gibbs), "to long, part long, body binary")
+        upper = cut(asks.repartition(askers, "to").sortWithinPartitions("to", "part").mapInArrow(_asked(hot), "to long, body binary"))
+        past: list[dict] = []
+        for _ in range(BURN + 1):
+            past.append(_collected(upper.mapInArrow(_totals(hot, past, k, gibbs), "kind string, at long, n double"), len(hot)))
+        totals = past[-1]
+        done = replies
+        replies = cut(upper.mapInArrow(_reply(hot, past, k, gibbs), "part long, to long, body binary"))
+        drop(upper, *([done] if done is not None else []))
+    sums = parts.with_replies(replies).mapInArrow(_scores(ask_ids, totals["tokens"], totals["vocabulary"], gibbs), "slice long, kind int, body binary")
+    info = parts.rows.where("slice >= 0").select("slice", F.lit(0).alias("kind"), "body")
+    rows = info.unionByName(sums).repartition(max(n, 2), "slice").sortWithinPartitions("slice", "kind")
+    out = cut(rows.mapInArrow(_gather(int(totals["tokens"])), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    drop(replies)
+    parts.drop()
+    return out
