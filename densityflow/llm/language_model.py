@@ -48,6 +48,8 @@ from densityflow.llm.shingles import mix, split_words
 D2, D1, D0 = 0.8, 0.75, 0.6
 T2, T1, T0 = 1.0, 1.0, 1.0
 PART_BYTES = 12_000_000
+#: Small inputs still give every core a part of so much.
+LEAST_BYTES = 2_000_000
 SLICE_BYTES = 8_000_000
 MAX_HOT = 65_536
 MAX_BUCKETS = 50_000
@@ -684,7 +686,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gibbs: b
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / part_bytes))
+    n = max(1, math.ceil(size / part_bytes), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
     hot = hot_contexts(docs, 1 / min(max(2 * n, 256), MAX_HOT))
     part_ids, askers = deal_ids(spark, n), max(1, n // 4)
     ask_ids = deal_ids(spark, askers)
