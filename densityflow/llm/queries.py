@@ -58,6 +58,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+#: Rules of operator 2, and how much they vary by chance.
+RULES = {"mean_word": 2, "punctuation": 8, "capitals": 8, "distinct": 1}
+
 QUERIES = {
     "op1_warc_zstd": op1_warc_zstd,
     "op2_quality_rules": op2_quality_rules,
@@ -87,42 +90,45 @@ WITH w AS (
       SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM (
         SELECT doc_id, unnest(g) AS s, unnest(range(1, len(g) + 1)) AS i FROM lines)) WHERE c >= 2) GROUP BY doc_id
 ), base AS (
-  SELECT l.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  SELECT l.doc_id, lang, source, len(ws)::BIGINT AS n_words, array_to_string(ws, '') AS sq, len(list_distinct(ws)) AS n_distinct,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-    length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g'))::BIGINT AS upper,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM lines l LEFT JOIN reps r USING (doc_id)
-), ratios AS (
-  SELECT *, CASE WHEN word_chars > 0 THEN n_symbols::DOUBLE / word_chars ELSE 0 END AS symbol_ratio,
-    CASE WHEN word_chars > 0 THEN upper::DOUBLE / word_chars ELSE 0 END AS upper_ratio FROM base
+), shape AS (
+  SELECT *, length(sq)::BIGINT AS word_chars,
+    CASE WHEN n_words > 0 THEN length(sq)::DOUBLE / n_words ELSE 0 END AS mean_word,
+    CASE WHEN length(sq) > 0 THEN length(regexp_replace(sq, '[\\p{L}\\p{N}]+', '', 'g'))::DOUBLE / length(sq) ELSE 0 END AS punctuation,
+    CASE WHEN length(sq) > 0 THEN length(regexp_replace(sq, '[^A-ZÀ-ÖØ-Þ]+', '', 'g'))::DOUBLE / length(sq) ELSE 0 END AS capitals,
+    CASE WHEN n_words > 0 THEN n_distinct::DOUBLE / n_words ELSE 0 END AS "distinct" FROM base
 ), long AS (
-  SELECT lang, source, 'symbol_ratio' AS rule, symbol_ratio AS x FROM ratios UNION ALL
-  SELECT lang, source, 'upper_ratio', upper_ratio FROM ratios
-), fine AS (
-  SELECT lang, source, rule, CASE WHEN x > 0 THEN ceil(ln(x) / ln(1.02))::BIGINT ELSE -100000 END AS bucket, count(*) AS n FROM long GROUP BY ALL
+  SELECT lang, source, rule, CASE WHEN x > 0 THEN ceil(ln(x) / ln(1.005))::BIGINT ELSE -100000 END AS bucket
+  FROM (UNPIVOT (SELECT doc_id, lang, source, mean_word, punctuation, capitals, "distinct" FROM shape WHERE n_words >= 10)
+    ON mean_word, punctuation, capitals, "distinct" INTO NAME rule VALUE x)
 ), sk AS (
-  SELECT 2 AS level, lang, source, rule, bucket, n FROM fine UNION ALL
-  SELECT 1, lang, NULL, rule, bucket, sum(n) FROM fine GROUP BY ALL UNION ALL
-  SELECT 0, NULL, NULL, rule, bucket, sum(n) FROM fine GROUP BY ALL
+  SELECT 2 AS level, lang, source, rule, bucket, count(*) AS n FROM long GROUP BY ALL UNION ALL
+  SELECT 1, lang, NULL, rule, bucket, count(*) FROM long GROUP BY ALL UNION ALL
+  SELECT 0, NULL, NULL, rule, bucket, count(*) FROM long GROUP BY ALL
 ), cum AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total,
-    CASE WHEN bucket = -100000 THEN 0 ELSE 2 * pow(1.02, bucket) / 2.02 END AS value FROM sk
-), lim AS (
-  SELECT level, lang, source, rule, total, min(value) FILTER (upto * 10 >= total) AS lo, min(value) FILTER (upto * 2 >= total) AS mid FROM cum GROUP BY ALL
-), lims AS (
-  SELECT level, lang, source, rule, total, mid + 4.0 * (mid - lo) + CASE rule WHEN 'symbol_ratio' THEN 0.05 ELSE 0.2 END AS lim FROM lim
-), chosen AS (
-  SELECT f.lang, f.source, f.rule, CASE WHEN f.total >= 50 THEN f.lim WHEN l.total >= 50 THEN l.lim ELSE a.lim END AS lim
-  FROM lims f LEFT JOIN lims l ON l.level = 1 AND f.lang IS NOT DISTINCT FROM l.lang AND f.rule = l.rule
-    LEFT JOIN lims a ON a.level = 0 AND a.rule = f.rule WHERE f.level = 2
+    CASE WHEN bucket = -100000 THEN 0 ELSE 2 * pow(1.005, bucket) / 2.005 END AS value FROM sk
+), q AS (
+  SELECT level, lang, source, rule, total::DOUBLE AS total, min(value) FILTER (upto * 4 >= total) AS low, min(value) FILTER (upto * 4 >= total * 2) AS mid,
+    min(value) FILTER (upto * 4 >= total * 3) AS high FROM cum GROUP BY ALL
+), ql AS (
+  SELECT l.lang, l.rule, (l.total * l.low + 50e0 * a.low) / (l.total + 50e0) AS low, (l.total * l.mid + 50e0 * a.mid) / (l.total + 50e0) AS mid,
+    (l.total * l.high + 50e0 * a.high) / (l.total + 50e0) AS high FROM q l JOIN q a ON a.level = 0 AND a.rule = l.rule WHERE l.level = 1
+), qs AS (
+  SELECT s.lang, s.source, s.rule, (s.total * s.low + 50e0 * l.low) / (s.total + 50e0) AS low, (s.total * s.mid + 50e0 * l.mid) / (s.total + 50e0) AS mid,
+    (s.total * s.high + 50e0 * l.high) / (s.total + 50e0) AS high FROM q s JOIN ql l ON s.lang IS NOT DISTINCT FROM l.lang AND s.rule = l.rule WHERE s.level = 2
 ), wide AS (
-  SELECT lang, source, max(lim) FILTER (rule = 'symbol_ratio') AS s, max(lim) FILTER (rule = 'upper_ratio') AS u FROM chosen GROUP BY ALL
+  SELECT lang, source, """ + ", ".join(f"max(mid - 6e0 * (mid - low)) FILTER (rule = '{k}') AS {k}_least, max(mid) FILTER (rule = '{k}') AS {k}_mid, max(mid + 6e0 * (high - mid)) FILTER (rule = '{k}') AS {k}_most" for k in RULES) + """
+  FROM qs GROUP BY ALL
 ), judged AS (
-  SELECT r.*, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, s, u
-  FROM ratios r LEFT JOIN wide w ON r.lang IS NOT DISTINCT FROM w.lang AND r.source IS NOT DISTINCT FROM w.source
+  SELECT r.*, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, w.* EXCLUDE (lang, source)
+  FROM shape r LEFT JOIN wide w ON r.lang IS NOT DISTINCT FROM w.lang AND r.source IS NOT DISTINCT FROM w.source
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  (NOT base_failed AND symbol_ratio <= s AND upper_ratio <= u) AS kept FROM judged""",
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(
+  """ + " AND ".join(f'"{k}" <= {k}_most + {v}e0 * {k}_mid / sqrt(n_words) AND "{k}" >= {k}_least - {v}e0 * {k}_mid / sqrt(n_words)' for k, v in RULES.items()) + """, false) AS kept FROM judged""",
     "op6_benchmark_containment": """
 WITH d AS (
   SELECT doc_id, """ + WORDS.format("lower(text)") + """ AS ws FROM documents
