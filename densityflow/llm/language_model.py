@@ -47,7 +47,7 @@ from densityflow.llm.shingles import mix, split_words
 #: Discounts and strengths of pairs, single words and unigrams.
 D2, D1, D0 = 0.8, 0.75, 0.6
 T2, T1, T0 = 1.0, 1.0, 1.0
-PART_BYTES = 12_000_000
+PART_BYTES = 8_000_000
 #: Small inputs still give every core a part of so much.
 LEAST_BYTES = 2_000_000
 SLICE_BYTES = 8_000_000
@@ -121,14 +121,25 @@ def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def order_of(*keys: np.ndarray) -> np.ndarray:
+    """Places of rows in the order of the keys, the first counting most; numbers of few bits are sorted as one."""
+    bits = [int(k.max()).bit_length() if len(k) else 0 for k in keys]
+    if sum(bits) > 63:
+        return np.lexsort(keys[::-1])
+    one = np.zeros(len(keys[0]), dtype=np.int64)
+    for k, b in zip(keys, bits, strict=True):
+        one = one << b | k.astype(np.int64)
+    return np.argsort(one)
+
+
 def sizes_of(first: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.r_[first, n])
 
 
 class Slice:
-    """Tokens of some texts by the ranks of their words, with the two words before each."""
+    """Tokens of some texts by numbers of their words (ranks, if ordered), with the two words before each."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], ordered: bool = True):
         flat: list[bytes] = []
         lengths = []
         for t in texts:
@@ -140,11 +151,13 @@ class Slice:
         values = np.empty(len(flat) + 1, dtype=object)
         values[:-1], values[-1] = flat, START
         codes, found = pd.factorize(values)
-        order = np.argsort(found)
-        self.words = found[order]
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        codes = rank[codes]
+        if ordered:
+            order = np.argsort(found)
+            found = found[order]
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            codes = rank[codes]
+        self.words = found
         self.w, start = codes[:-1], codes[-1]
         first = np.cumsum(self.lengths) - self.lengths
         self.u1 = np.r_[start, self.w[:-1]]
@@ -152,7 +165,6 @@ class Slice:
         self.u2 = np.r_[start, self.u1[:-1]]
         self.u2[first] = start
         self.hash = word_hashes(list(self.words))
-        self.pair = pair_hash(self.hash[self.u2], self.hash[self.u1])
 
 
 def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -177,13 +189,19 @@ def _heavy(share: float):
 
     def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices_of(batches):
-            s = Slice(texts)
-            found = [(np.zeros(1), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.array([len(s.w)]))]
-            for level, key in ((1, s.hash[s.u1]), (2, s.pair)):
-                k, at, n = np.unique(key, return_index=True, return_counts=True)
-                much = n >= share / 4 * len(s.w)
-                found.append((np.full(much.sum(), level), k[much].view(np.int64), s.hash[s.u1[at[much]]].view(np.int64), n[much]))
-            level, key, last, n = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+            s = Slice(texts, False)
+            least = share / 4 * len(s.w)
+            n1 = np.bincount(s.u1, minlength=len(s.words))
+            u1 = np.flatnonzero(n1 >= least)
+            # a pair has no more than its last word
+            near = (n1 >= least)[s.u1]
+            pairs, n2 = np.unique(s.u2[near] * len(s.words) + s.u1[near], return_counts=True)
+            pairs, n2 = pairs[n2 >= least], n2[n2 >= least]
+            last = s.hash[pairs % len(s.words)]
+            found = [(np.zeros(1), np.zeros(1), np.zeros(1), [len(s.w)])]
+            found += [(np.full(len(u1), 1), s.hash[u1].view(np.int64), s.hash[u1].view(np.int64), n1[u1])]
+            found += [(np.full(len(pairs), 2), pair_hash(s.hash[pairs // len(s.words)], last).view(np.int64), last.view(np.int64), n2)]
+            level, key, last, n = (np.concatenate([np.asarray(y, dtype=np.int64) for y in x]) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(key), pa.array(last), pa.array(n)], names=["level", "key", "last", "n"])
 
     return heavy
@@ -234,25 +252,31 @@ def _packer(part_ids: np.ndarray, hot: Hot):
         known = np.array([d is not None for d in ids])
         yield int(part_ids[slice_id % len(part_ids)]), -1, dump(np.array([d or 0 for d in ids], dtype=np.int64).view(np.uint64), known.astype(np.uint8), held.astype(np.uint8))
         doc = np.repeat(np.arange(len(ids)) * 2 + held, s.lengths)
+        pair = pair_hash(s.hash[s.u2], s.hash[s.u1])
         kind = np.where((among(s.hash, hot.words) >= 0)[s.u1], PAIR, BOTH)
-        kind[among(s.pair, hot.pairs) >= 0] = NONE
-        by = np.where(kind == BOTH, mix(s.hash[s.u1]), np.where(kind == PAIR, s.pair, mix(s.hash[s.w] + np.uint64(slice_id) * A)))
-        part = (by % parts).astype(np.int64)
-        upper = (part * 3 + kind) << 32 | s.u1
-        lower = s.w << 32 | s.u2
-        order = np.lexsort((lower, upper))
-        upper, lower, doc = upper[order], lower[order], doc[order]
-        cuts, _ = groups(upper // (3 << 32))
-        for a, b in zip(cuts, np.r_[cuts[1:], len(upper)], strict=True):
-            first, _ = groups(upper[a:b], lower[a:b])
-            runs, _ = groups(upper[a:b][first])
-            cells = lower[a:b][first]
-            top = upper[a:b][first][runs]
-            w, u2, u1 = cells >> 32, cells & 0xFFFFFFFF, top & 0xFFFFFFFF
-            used = np.unique(np.concatenate([w, u2, u1]))
-            own = [small(np.searchsorted(used, x)) for x in (u1, w, u2)]
+        kind[among(pair, hot.pairs) >= 0] = NONE
+        by = np.where(kind == BOTH, mix(s.hash)[s.u1], np.where(kind == PAIR, pair, mix(s.hash + np.uint64(slice_id) * A)[s.w]))
+        part = (by % parts).astype(np.int64) * 3 + kind
+        order = order_of(s.u1, s.w, s.u2)
+        order = order[np.argsort(small(part)[order], kind="stable")]
+        part, u1, w, u2, doc = part[order], s.u1[order], s.w[order], s.u2[order], doc[order]
+        cuts, _ = groups(part // 3)
+        place = np.empty(len(s.words), dtype=np.int64)
+        for a, b in zip(cuts, np.r_[cuts[1:], len(part)], strict=True):
+            first, _ = groups(part[a:b], u1[a:b], w[a:b], u2[a:b])
+            runs, _ = groups(part[a:b][first], u1[a:b][first])
+            own = u1[a:b][first][runs], w[a:b][first], u2[a:b][first]
+            if len(s.words) < 8 * (b - a):
+                seen = np.zeros(len(s.words), dtype=bool)
+                for x in own:
+                    seen[x] = True
+                used = np.flatnonzero(seen)
+            else:
+                used = np.unique(np.concatenate(own))
+            place[used] = np.arange(len(used))
             text = np.frombuffer(b"\n".join(s.words[used]), dtype=np.uint8)
-            yield int(part_ids[upper[a] // (3 << 32)]), len(ids), dump(text, small((top >> 32) % 3), own[0], small(sizes_of(runs, len(first))), own[1], own[2], small(sizes_of(first, b - a)), small(doc[a:b]))
+            lead, *cells = (small(place[x]) for x in own)
+            yield int(part_ids[part[a] // 3]), len(ids), dump(text, small(part[a:b][first][runs] % 3), lead, small(sizes_of(runs, len(first))), *cells, small(sizes_of(first, b - a)), small(doc[a:b]))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -279,8 +303,8 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
         yield key, rows
 
 
-def merged(pieces: list[tuple[int, int, bytes]], hot: Hot, askers: int) -> bytes:
-    """Cells of a part. pieces: (slice, its number of texts, packed tokens)."""
+def merged(pieces: list[tuple[int, int, bytes]], hot: Hot, askers: int) -> tuple[bytes, bytes]:
+    """Cells of a part, and the texts of its tokens. pieces: (slice, its number of texts, packed tokens)."""
     loaded = [load(b) for _, _, b in pieces]
     hashes = [word_hashes(x[0].tobytes().split(b"\n")) for x in loaded]
     known, rank = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -294,14 +318,14 @@ def merged(pieces: list[tuple[int, int, bytes]], hot: Hot, askers: int) -> bytes
         first_doc += n
     kind, u1, w, u2, per_cell, doc = (np.concatenate(c).astype(np.int64) for c in cols)
     del cols, loaded, hashes
-    upper, lower = kind << 60 | u1 << 30 | w, u2
-    order = np.lexsort((lower, upper))
+    order = order_of(u1, w, u2)
+    order = order[np.argsort(kind[order].astype(np.uint8), kind="stable")]
     # tokens follow their cells
     start = np.cumsum(per_cell) - per_cell
     per = per_cell[order]
     doc = doc[np.repeat(start[order] - (np.cumsum(per) - per), per) + np.arange(len(doc))]
     kind, u1, w, u2 = kind[order], u1[order], w[order], u2[order]
-    first, _ = groups(upper[order], lower[order])
+    first, _ = groups(kind, u1, w, u2)
     tokens = np.add.reduceat(per, first) if len(first) else per
     learned = np.add.reduceat(1 - (doc & 1), np.cumsum(tokens) - tokens)
     kind, u1, w, u2 = kind[first], u1[first], w[first], u2[first]
@@ -313,7 +337,7 @@ def merged(pieces: list[tuple[int, int, bytes]], hot: Hot, askers: int) -> bytes
     code[k1 == PAIR] = 1 + among(known[u1[lead][k1 == PAIR]], hot.words)
     code[k1 == NONE] = 1 + len(hot.words) + among(pair_hash(known[u2[lead][k1 == NONE]], known[u1[lead][k1 == NONE]]), hot.pairs)
     to = (mix(w1) % np.uint64(askers)).astype(np.int64)
-    order = np.lexsort((code, w1, to))
+    order = order_of(to, w[lead], code)  # words are ranked by their hashes
     head, item = groups(to[order], w1[order], code[order])
     item_of = np.empty(len(lead), dtype=np.int64)
     item_of[order] = item
@@ -321,20 +345,22 @@ def merged(pieces: list[tuple[int, int, bytes]], hot: Hot, askers: int) -> bytes
     counts = np.array([(kind == k).sum() for k in range(3)] + [(k1 == k).sum() for k in range(3)], dtype=np.uint64)
     slices = np.array([s for s, _, _ in pieces], dtype=np.int64).view(np.uint64)
     texts = np.array([n for _, n, _ in pieces], dtype=np.uint64)
-    return dump(counts, small(sizes_of(lead, len(kind))), small(rests), small(tokens), small(learned), small(sizes_of(runs, int(counts[3]))), small(item_of), w1[order][head], small(code[order][head]), small(sizes_of(groups(to[order][head])[0], len(head))), small(to[order][head][groups(to[order][head])[0]]), small(doc), slices, texts)
+    cells = dump(counts, small(sizes_of(lead, len(kind))), small(rests), small(tokens), small(learned), small(sizes_of(runs, int(counts[3]))), small(item_of), w1[order][head], small(code[order][head]), small(sizes_of(groups(to[order][head])[0], len(head))), small(to[order][head][groups(to[order][head])[0]]))
+    return cells, dump(small(doc), slices, texts)
 
 
 def _merge(hot: Hot, askers: int):
-    """Rows (part, slice, body): a part's cells (slice -1), and the slices' texts."""
+    """Rows (part, slice, body, docs): a part's cells (slice -1), and the slices' texts."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in by_key(batches):
             own = [(s, n, b) for s, n, b in rows if n >= 0]
-            out = [(part, s, b) for s, n, b in rows if n < 0]
+            out = [(part, s, b, b"") for s, n, b in rows if n < 0]
+            rows.clear()
             if own:
-                out.append((part, -1, merged(own, hot, askers)))
-            for p, s, b in out:
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([s], pa.int64()), pa.array([b], pa.binary())], names=["part", "slice", "body"])
+                out.append((part, -1, *merged(own, hot, askers)))
+            for p, s, b, d in out:
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([s], pa.int64()), pa.array([b], pa.binary()), pa.array([d], pa.binary())], names=["part", "slice", "body", "docs"])
 
     return merge
 
@@ -397,7 +423,7 @@ class Part:
     """Cells of a part, and the seating at the levels that it has."""
 
     def __init__(self, body: bytes):
-        counts, cells, rest, tokens, learned, pairs, item, self.words, code, asked, to, self.doc, self.slices, self.texts = load(body)
+        counts, cells, rest, tokens, learned, pairs, item, self.words, code, asked, to = load(body)
         counts = counts.astype(np.int64)
         self.own = counts[0] + counts[1]  # cells whose pair's restaurant is here; they come first
         self.both = counts[3]  # pairs whose word's restaurant is here
@@ -596,8 +622,9 @@ def _scores(ask_ids: np.ndarray, tokens: float, vocabulary: float, gibbs: bool):
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, body, replies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, body, docs, replies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 p = Part(body)
+                doc, slices, texts = load(docs)
                 chance, learned = _replies(replies, ask_ids[p.to])
                 rng = generator(gibbs, part, 99)
                 for _ in range(BURN):
@@ -610,14 +637,16 @@ def _scores(ask_ids: np.ndarray, tokens: float, vocabulary: float, gibbs: bool):
                 base = np.log10((count + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
                 logs = np.log10(np.maximum(mean, 1e-300))
                 cell = np.repeat(np.arange(len(p.c)), p.tokens)
-                docs, doc = np.unique(p.doc >> 1, return_inverse=True)  # texts without a token here are left out
+                seen = np.bincount(doc >> 1, minlength=1)  # of these texts, those without a token here are left out
+                docs = np.flatnonzero(seen)
                 n = len(docs)
+                doc = (np.cumsum(seen > 0) - 1)[doc >> 1]
                 sums = [np.bincount(doc, weights=x[cell], minlength=n) for x in ((count > 0).astype(np.float64), base, logs)]
                 every = np.bincount(doc, minlength=n)
-                offset = np.r_[0, np.cumsum(p.texts.astype(np.int64))]
+                offset = np.r_[0, np.cumsum(texts.astype(np.int64))]
                 at = np.searchsorted(docs, offset)
                 bodies = [dump(small(np.diff(docs[a:b].astype(np.int64) - o, prepend=0)), small(every[a:b]), small(sums[0][a:b].astype(np.int64)), sums[1][a:b], sums[2][a:b]) for o, a, b in zip(offset, at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(p.slices.view(np.int64)), pa.array([1] * len(bodies), pa.int32()), pa.array(bodies, pa.binary())], names=["slice", "kind", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(slices.view(np.int64)), pa.array([1] * len(bodies), pa.int32()), pa.array(bodies, pa.binary())], names=["slice", "kind", "body"])
 
     return score
 
@@ -655,9 +684,9 @@ class Dealt:
             self.spark.conf.unset(LET_GO) if before is None else self.spark.conf.set(LET_GO, before)
         self.rows = self.spark.table(self.name)
 
-    def with_replies(self, replies: DataFrame | None) -> DataFrame:
-        """(part, body[, replies]) of the parts' cells."""
-        cells = self.rows.where("slice < 0").select("part", "body")
+    def with_replies(self, replies: DataFrame | None, *more: str) -> DataFrame:
+        """(part, body, more[, replies]) of the parts' cells."""
+        cells = self.rows.where("slice < 0").select("part", "body", *more)
         if replies is None:
             return cells
         found = replies.repartition(self.buckets, "part").groupBy("part").agg(F.collect_list(F.struct("to", "body")).alias("replies"))
@@ -692,7 +721,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gibbs: b
     ask_ids = deal_ids(spark, askers)
     packed = docs.mapInArrow(_packer(part_ids, hot), "part long, slice long, n_docs int, body binary")
     dealt = packed.repartition(n, "part").sortWithinPartitions("part", "slice", "n_docs")
-    parts = Dealt(dealt.mapInArrow(_merge(hot, askers), "part long, slice long, body binary"), min(n, MAX_BUCKETS))
+    parts = Dealt(dealt.mapInArrow(_merge(hot, askers), "part long, slice long, body binary, docs binary"), min(n, MAX_BUCKETS))
     replies, totals = None, {"tokens": 0.0, "vocabulary": 0.0}
     for k in range(ROUNDS):
         asks = parts.with_replies(replies).mapInArrow(_ask(ask_ids, k, gibbs), "to long, part long, body binary")
@@ -704,7 +733,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gibbs: b
         done = replies
         replies = cut(upper.mapInArrow(_reply(hot, past, k, gibbs), "part long, to long, body binary"))
         drop(upper, *([done] if done is not None else []))
-    sums = parts.with_replies(replies).mapInArrow(_scores(ask_ids, totals["tokens"], totals["vocabulary"], gibbs), "slice long, kind int, body binary")
+    sums = parts.with_replies(replies, "docs").mapInArrow(_scores(ask_ids, totals["tokens"], totals["vocabulary"], gibbs), "slice long, kind int, body binary")
     info = parts.rows.where("slice >= 0").select("slice", F.lit(0).alias("kind"), "body")
     rows = info.unionByName(sums).repartition(max(n, 2), "slice").sortWithinPartitions("slice", "kind")
     out = cut(rows.mapInArrow(_gather(int(totals["tokens"])), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
