@@ -4,11 +4,14 @@ Documents of equal text are one atomic group. Groups are ordered by a fixed key
 first, then by digest); the capacity is the smallest one for which cutting this order greedily
 needs no more than the given shards, found by binary search.
 
-The driver never sees all groups. It gets the sizes of blocks (groups whose digests share a
-prefix) and of the at most HEAVY groups that exceed a HEAVY-th of all bytes. Treating blocks as
-atoms bounds the capacity from above, the mean and the largest group from below; between the
-two, the greedy cuts can only fall into a few blocks, and only the groups of these are fetched.
-On them the search is exact. DataFrame functions only.
+The driver never sees all groups. It gets the sizes of at most 16 ** DIGITS blocks (groups whose
+digests share a prefix) and of the at most HEAVY groups that exceed a HEAVY-th of all bytes. The
+capacity lies between that of blocks that could be cut anywhere and that of blocks that can't be
+cut, which differ by the largest block at most. A greedy cut needs the groups of the one block that
+it falls into, which are fetched as sums by longer prefixes and then as groups, about PER_BLOCK at a
+time; blocks that the cuts of any capacity between the two bounds can fall into are fetched at once,
+if they are not more than MOST_BLOCKS. So the search is exact, whatever is fetched beforehand.
+DataFrame functions only.
 
 Defined results: a null text counts as an empty one (size 1, checksum 0); repeated rows are rows
 of their group; an empty table gives an empty result; with fewer groups than shards, the rest stay
@@ -26,73 +29,128 @@ from pyspark.sql import functions as F
 from densityflow.llm.common import cut, gapless
 
 HEAVY = 4096
-#: Groups in a block, about.
+#: Groups of the finest blocks, at most about.
 PER_BLOCK = 256
+#: Hex digits by which blocks are divided at once.
+DIGITS = 4
+MOST_BLOCKS = 1024
 
 
-def greedy(ends: list[int], capacity: int, shards: int) -> list[int] | None:
-    """Byte positions where shards end, each as far as capacity allows; None if shards don't suffice."""
-    cuts, at, total = [], 0, ends[-1] if ends else 0
-    while at < total:
-        if len(cuts) == shards:
-            return None
-        k = bisect.bisect_right(ends, at + capacity) - 1
-        if k < 0 or ends[k] <= at:
-            return None
-        at = ends[k]
-        cuts.append(at)
-    return cuts
-
-
-def smallest_capacity(ends: list[int], low: int, high: int, shards: int) -> int:
+def least(feasible, low: int, high: int) -> int:
+    """The smallest number from low to high that is feasible; high is."""
     while low < high:
         mid = (low + high) // 2
-        low, high = (low, mid) if greedy(ends, mid, shards) is not None else (mid + 1, high)
+        low, high = (low, mid) if feasible(mid) else (mid + 1, high)
     return low
 
 
-def _windows(ends: list[int], low: int, high: int, shards: int) -> list[tuple[int, int]]:
-    """Byte ranges within which the cuts of any capacity from low to high fall."""
-    out, least, most, total = [], 0, 0, ends[-1]
-    for _ in range(shards - 1):
-        k = bisect.bisect_right(ends, least + low) - 1
-        least, most = max(least, ends[k] if k >= 0 else 0), min(total, most + high)
-        out.append((least, most))
-    return out
+class Order:
+    """Heavy groups ('0' and gid), then blocks of light ones ('1' and a prefix), with where they end."""
+
+    def __init__(self, groups: DataFrame):
+        n, total, largest = groups.agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
+        self.n, self.total, self.largest = n or 0, total or 0, largest or 0
+        self.heavy: list[str] = []
+        atoms: list[tuple[str, int]] = []
+        if self.n:
+            big = F.col("size") * HEAVY >= F.lit(self.total)
+            if self.largest * HEAVY >= self.total:
+                atoms = sorted(("0" + r.gid, r["size"]) for r in groups.where(big).select("gid", "size").toLocalIterator())
+                self.heavy = [k[1:] for k, _ in atoms]
+            self.light = groups.where(~big)
+            self.levels = [d for d in range(1, 33) if 16 ** (d - 1) * PER_BLOCK < self.n][-1:] or [1]
+            self.levels = [*range(DIGITS, self.levels[0], DIGITS), self.levels[0]]
+            atoms += self._sums(self.light, 0)
+        self.keys = [k for k, _ in atoms]
+        self.ends = list(accumulate(s for _, s in atoms))
+        self.inside: dict[str, tuple[list[str], list[int]]] = {}
+
+    def _sums(self, rows: DataFrame, level: int) -> list[tuple[str, int]]:
+        """Keys and sizes in order: of blocks, or of the groups themselves below the last level."""
+        name = F.substring("gid", 1, self.levels[level]) if level < len(self.levels) else F.col("gid")
+        return sorted(("1" + r[0], r[1]) for r in rows.groupBy(name.alias("block")).agg(F.sum("size").alias("size")).collect())
+
+    def _level(self, key: str) -> int:
+        """How many levels the block's prefix has gone down; beyond the last one keys are groups."""
+        return self.levels.index(len(key) - 1) + 1 if key[0] == "1" and len(key) - 1 in self.levels else len(self.levels) + 1
+
+    def whole(self, key: str) -> bool:
+        return self._level(key) > len(self.levels)
+
+    def fetch(self, blocks: list[str]) -> None:
+        """What stands in the blocks, all of one level."""
+        blocks = [b for b in blocks if b not in self.inside and not self.whole(b)]
+        if not blocks:
+            return
+        pick = self.light.sparkSession.createDataFrame([(b[1:],) for b in blocks], "pick string")  # at most MOST_BLOCKS
+        rows = self.light.join(F.broadcast(pick), F.substring("gid", 1, len(blocks[0]) - 1) == F.col("pick"), "left_semi")
+        found: dict[str, list[tuple[str, int]]] = {b: [] for b in blocks}
+        for k, s in self._sums(rows, self._level(blocks[0])):
+            found[k[: len(blocks[0])]].append((k, s))
+        for b, atoms in found.items():
+            self.inside[b] = [k for k, _ in atoms], list(accumulate(s for _, s in atoms))
+
+    def reach(self, limit: int) -> tuple[int, str | None]:
+        """The last end of a group up to limit, and the key at which the next one begins."""
+        keys, ends, base = self.keys, self.ends, 0
+        while True:
+            k = bisect.bisect_right(ends, limit - base)
+            base += ends[k - 1] if k else 0
+            if k == len(keys):
+                return base, None
+            if base == limit or self.whole(keys[k]):
+                return base, keys[k]
+            self.fetch([keys[k]])
+            keys, ends = self.inside[keys[k]]
+
+    def greedy(self, capacity: int, shards: int) -> list[str] | None:
+        """Keys at which all shards but the first begin, each as far as capacity allows; None if shards don't suffice."""
+        at, starts = 0, []
+        for _ in range(shards):
+            end, key = self.reach(at + capacity)
+            if key is None:
+                return starts
+            if end == at:
+                return None
+            at = end
+            starts.append(key)
+        return None
+
+    def coarse(self, capacity: int, shards: int, slack: bool) -> list[int] | None:
+        """Ends of shards if blocks can be cut anywhere (slack) or nowhere; None if shards don't suffice."""
+        at, found = 0, []
+        for _ in range(shards):
+            k = bisect.bisect_right(self.ends, at + capacity)
+            if k == len(self.ends):
+                return found
+            end = at + capacity if slack and not self.whole(self.keys[k]) else self.ends[k - 1] if k else 0
+            if end <= at:
+                return None
+            at = end
+            found.append(at)
+        return None
 
 
 def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str], list[str]]:
     """groups: (gid string, size long). The capacity, the key at which each further shard
     begins, and the heavy groups' gids; keys are '0' + gid for these and '1' + gid for others."""
-    n, total, largest = groups.agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
-    if not n:
+    order = Order(groups)
+    if not order.n:
         return 0, [], []
-    heavy = sorted((r.gid, r.size) for r in groups.where(F.col("size") * HEAVY >= F.lit(total)).select("gid", F.col("size").alias("size")).toLocalIterator()) if largest * HEAVY >= total else []
-    digits = 1
-    while 16 ** (digits + 1) * PER_BLOCK <= n * 16 and digits < 6:
-        digits += 1
-    light = groups.where(F.col("size") * HEAVY < F.lit(total)).withColumn("block", F.substring("gid", 1, digits))
-    blocks = sorted((r.block, r.size) for r in light.groupBy("block").agg(F.sum("size").alias("size")).collect())
-    atoms = [("0" + g, s) for g, s in heavy] + [("1" + b, s) for b, s in blocks]
-    ends = list(accumulate(s for _, s in atoms))
-    low = max(-(-total // shards), largest)
-    high = smallest_capacity(ends, max(low, max(s for _, s in atoms)), total, shards)
-    wanted = set()
-    for a, b in _windows(ends, low, high, shards):
-        first, last = bisect.bisect_right(ends, a), bisect.bisect_left(ends, b)
-        wanted |= {k[1:] for k, _ in atoms[first : last + 1] if k[0] == "1"}
-    found: dict[str, list] = {}
-    if wanted:
-        pick = groups.sparkSession.createDataFrame([(b,) for b in sorted(wanted)], "block string")
-        for r in light.join(F.broadcast(pick), "block").select("block", "gid", "size").collect():  # about PER_BLOCK rows for each of a few hundred blocks
-            found.setdefault(r[0], []).append((r[1], r[2]))
-    fine = []
-    for k, s in atoms:
-        fine += [("1" + g, x) for g, x in sorted(found[k[1:]])] if k[0] == "1" and k[1:] in found else [(k, s)]
-    ends = list(accumulate(s for _, s in fine))
-    capacity = smallest_capacity(ends, low, high, shards)
-    cuts = greedy(ends, capacity, shards)
-    return capacity, [fine[bisect.bisect_right(ends, c)][0] for c in cuts[:-1]], [g for g, _ in heavy]
+    low = least(lambda c: order.coarse(c, shards, True) is not None, max(-(-order.total // shards), order.largest), order.total)
+    high = least(lambda c: order.coarse(c, shards, False) is not None, low, order.total)
+    # the cuts of all capacities between lie between where these two can reach
+    near, far = 0, 0
+    wanted: list[str] = []
+    for _ in range(shards):
+        near = order.ends[max(0, bisect.bisect_right(order.ends, near + low) - 1)]
+        far = min(order.total, far + high)
+        wanted += order.keys[bisect.bisect_left(order.ends, near) : bisect.bisect_left(order.ends, far) + 1]
+    wanted = [k for k in dict.fromkeys(wanted) if not order.whole(k)]
+    if len(wanted) <= MOST_BLOCKS:
+        order.fetch(wanted)
+    capacity = least(lambda c: order.greedy(c, shards) is not None, low, high)
+    return capacity, order.greedy(capacity, shards) or [], order.heavy
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -129,13 +129,54 @@ def test_unique_text_beside_an_article_stays(spark):
 # --- 4
 
 
+def smallest_capacity(sizes, shards):
+    """The least capacity by trying: greedy cuts of sizes in order."""
+
+    def suffices(c):
+        used, room = 1, c
+        for x in sizes:
+            if x > room:
+                used, room = used + 1, c
+            room -= x
+        return used <= shards
+
+    low, high = max(sizes), sum(sizes)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if suffices(mid) else (mid + 1, high)
+    return low
+
+
 def test_smallest_capacity_by_brute_force():
     for seed in range(150):
         r = random.Random(seed)
         sizes, k = [r.randint(1, 30) for _ in range(r.randint(1, 9))], r.randint(1, 4)
         ends = list(itertools.accumulate(sizes))
         best = min(max(b - a for a, b in zip([0, *c], [*c, ends[-1]], strict=True)) for n in range(min(k, len(sizes))) for c in itertools.combinations(ends[:-1], n))
-        assert sharding.smallest_capacity(ends, max(max(sizes), -(-ends[-1] // k)), ends[-1], k) == best
+        assert smallest_capacity(sizes, k) == best
+
+
+@pytest.mark.parametrize("most", [0, 8, 10_000])
+@pytest.mark.parametrize("case", ["even", "copies hold the bytes", "one holds a third", "few"])
+def test_cuts_of_blocks_within_blocks(spark, monkeypatch, case, most):
+    for name, value in (("PER_BLOCK", 2), ("DIGITS", 1), ("MOST_BLOCKS", most), ("HEAVY", 40)):
+        monkeypatch.setattr(sharding, name, value)
+    r = random.Random(7)
+    sizes = [r.randint(1, 60) for _ in range(6 if case == "few" else 300)]
+    if case == "copies hold the bytes":
+        sizes += [sum(sizes[:300]) // 5 + k for k in range(20)]
+    if case == "one holds a third":
+        sizes.append(sum(sizes) // 2)
+    rows = [(hashlib.md5(str(k).encode()).hexdigest(), s) for k, s in enumerate(sizes)]
+    capacity, starts, heavy = sharding.minimax_cuts(spark.createDataFrame(rows, "gid string, size long"), 16)
+    assert set(heavy) == {g for g, s in rows if s * 40 >= sum(sizes)}
+    order = sorted((("0" if g in heavy else "1") + g, s) for g, s in rows)
+    assert capacity == smallest_capacity([s for _, s in order], 16)
+    assert len(starts) < 16
+    of = [0] * 16
+    for g, s in order:
+        of[sum(g >= k for k in starts)] += s
+    assert max(of) <= capacity
 
 
 @pytest.mark.parametrize("copies", [1, 400])
@@ -152,8 +193,7 @@ def test_shards(spark, copies):
     groups = out.groupby(body)["size"].sum()
     heavy = {hashlib.md5(t.encode()).hexdigest() for t, s in groups.items() if s * sharding.HEAVY >= groups.sum()}
     order = sorted((("0" if (g := hashlib.md5(t.encode()).hexdigest()) in heavy else "1") + g, s) for t, s in groups.items())
-    ends = list(itertools.accumulate(int(s) for _, s in order))
-    want = sharding.smallest_capacity(ends, max(-(-ends[-1] // 16), int(groups.max())), ends[-1], 16)
+    want = smallest_capacity([int(s) for _, s in order], 16)
     assert set(out.capacity) == {want} and out.groupby("shard")["size"].sum().max() <= want
 
 
