@@ -50,7 +50,7 @@ T2, T1, T0 = 1.0, 1.0, 1.0
 PART_BYTES = 8_000_000
 #: Small inputs still give every core a part of so much.
 LEAST_BYTES = 2_000_000
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 12_000_000
 MAX_HOT = 65_536
 MAX_BUCKETS = 50_000
 EXACT, BLOCK = 64, 64
@@ -95,7 +95,7 @@ def dump(*arrays: np.ndarray) -> bytes:
     kinds = [x for a in arrays for x in (len(a), "BHILd".index("L" if a.dtype == np.uint64 else a.dtype.char))]
     head = np.array([len(arrays), *kinds], dtype=np.int64)
     planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(planes))
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(planes))
 
 
 def load(body: bytes) -> list[np.ndarray]:
@@ -152,7 +152,8 @@ class Slice:
         values[:-1], values[-1] = flat, START
         codes, found = pd.factorize(values)
         if ordered:
-            order = np.argsort(found)
+            # like beginnings stand together, which compresses
+            order = np.argsort(np.array(found.tolist(), dtype="S8").view(">u8"))
             found = found[order]
             rank = np.empty(len(order), dtype=np.int64)
             rank[order] = np.arange(len(order))
@@ -449,7 +450,7 @@ class Part:
         return np.bincount(self.item, weights=of_pairs, minlength=len(self.words))
 
     def sweep(self, p: np.ndarray, rng: np.random.Generator | None) -> None:
-        of_pair, _ = self.probabilities(p)
+        of_pair = self.of_pairs(p)
         t2 = np.bincount(self.rest, weights=self.t2[: self.own], minlength=len(self.c2))
         n = self.own
         self.t2[:n] = tables_of(self.c[:n], (T2 + D2 * t2[self.rest]) * of_pair[self.pair[:n]], D2, rng)
@@ -457,16 +458,19 @@ class Part:
         t1 = np.bincount(self.word, weights=self.t1)
         self.t1 = tables_of(self.c1, (T1 + D1 * t1[self.word]) * p[self.item[: self.both]], D1, rng)
 
-    def probabilities(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs and of cells."""
-        n, b = self.own, self.both
+    def of_pairs(self, p: np.ndarray) -> np.ndarray:
+        b = self.both
         of_pair = p[self.item]
         c1, t1 = np.bincount(self.word, weights=self.c1), np.bincount(self.word, weights=self.t1)
         of_pair[:b] = predictive(self.c1, self.t1, D1, T1, c1[self.word], t1[self.word], of_pair[:b])
+        return of_pair
+
+    def of_cells(self, p: np.ndarray) -> np.ndarray:
+        n = self.own
         t2 = np.bincount(self.rest, weights=self.t2[:n], minlength=len(self.c2))
-        of_cell = of_pair[self.pair]
+        of_cell = self.of_pairs(p)[self.pair]
         of_cell[:n] = predictive(self.c[:n], self.t2[:n], D2, T2, self.c2[self.rest], t2[self.rest], of_cell[:n])
-        return of_pair, of_cell
+        return of_cell
 
     def customers(self) -> tuple[np.ndarray, np.ndarray]:
         """That the items get, and their training tokens."""
@@ -632,7 +636,7 @@ def _scores(ask_ids: np.ndarray, tokens: float, vocabulary: float, gibbs: bool):
                 mean = np.zeros(len(p.c))
                 for _ in range(SAMPLES):
                     p.sweep(chance, rng)
-                    mean += p.probabilities(chance)[1] / SAMPLES
+                    mean += p.of_cells(chance) / SAMPLES
                 count = learned[p.item][p.pair]
                 base = np.log10((count + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
                 logs = np.log10(np.maximum(mean, 1e-300))
@@ -735,7 +739,9 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gibbs: b
         drop(upper, *([done] if done is not None else []))
     sums = parts.with_replies(replies, "docs").mapInArrow(_scores(ask_ids, totals["tokens"], totals["vocabulary"], gibbs), "slice long, kind int, body binary")
     info = parts.rows.where("slice >= 0").select("slice", F.lit(0).alias("kind"), "body")
-    rows = info.unionByName(sums).repartition(max(n, 2), "slice").sortWithinPartitions("slice", "kind")
+    # slices are numbered within the texts' partitions: neighbours go to neighbouring tasks
+    at = F.shiftright("slice", 20) * max(1, n // max(1, docs.rdd.getNumPartitions())) + F.col("slice").bitwiseAND(0xFFFFF)
+    rows = info.unionByName(sums).repartitionById(max(n, 2), F.pmod(at, F.lit(max(n, 2))).cast("int")).sortWithinPartitions("slice", "kind")
     out = cut(rows.mapInArrow(_gather(int(totals["tokens"])), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     drop(replies)
     parts.drop()
