@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,23 +37,52 @@ def long_decorrelation_times(long: DataFrame, first_lags: int = 64) -> DataFrame
         lags = min(2 * lags, n - 1)
 
 
-def spatial_scale(long: DataFrame, dims: int) -> DataFrame:
+def lag_means(snapshots: DataFrame, dims: int) -> DataFrame:
+    """(lag, r) of snapshots (t, x array): the mean correlation of dimensions at each circular distance,
+    over the pairs of which both vary. Products are summed inside a row, so that a snapshot gives a row
+    for each distance and none for each pair."""
+    long = snapshots.select(F.posexplode("x").alias("dim", "x"))
+    stats = long.groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("m"), F.stddev_samp(F.col("x").cast("double")).alias("s"))
+    one = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "m", "s"))).alias("stats"))  # a row for each dimension
+    varies = F.transform("stats", lambda p: F.coalesce(p["s"] > 0, F.lit(False)))
+    z = F.transform(F.zip_with("x", "stats", lambda x, p: F.struct(x.cast("double").alias("x"), p.alias("p"))), lambda q: F.when(q["p"]["s"] > 0, (q["x"] - q["p"]["m"]) / q["p"]["s"]).otherwise(F.lit(0.0)))
+    scaled = snapshots.join(F.broadcast(one)).select(z.alias("z"), varies.alias("v"))
+    places = F.sequence(F.lit(0), F.lit(dims - 1))
+
+    def summed(lag: Column) -> Column:
+        return F.aggregate(places, F.lit(0.0), lambda a, i: a + F.col("z")[i] * F.col("z")[F.pmod(i + lag, F.lit(dims))])
+
+    def pairs(lag: Column) -> Column:
+        return F.size(F.filter(places, lambda i: F.col("v")[i] & F.col("v")[F.pmod(i + lag, F.lit(dims))]))
+
+    rows = scaled.select(F.explode(F.transform(places, lambda lag: F.struct(lag.alias("lag"), summed(lag).alias("c"), pairs(lag).alias("n")))).alias("e")).select("e.*")
+    sums = rows.groupBy("lag").agg(F.sum("c").alias("c"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    return sums.select("lag", (F.col("c") / F.nullif((F.col("rows") - 1) * F.col("n"), F.lit(0))).alias("r"))
+
+
+def spatial_scale(snapshots: DataFrame, dims: int) -> DataFrame:
     """(scale): the first circular distance at which the mean correlation is not positive."""
-    a = long.select("t", F.col("dim").alias("i"), F.col("x").alias("a"))
-    b = long.select("t", F.col("dim").alias("j"), F.col("x").alias("b"))
-    corr = a.join(b, "t").groupBy("i", "j").agg(F.corr("a", "b").alias("r"))
-    lag = corr.groupBy(F.pmod(F.col("j") - F.col("i"), F.lit(dims)).alias("lag")).agg(F.avg("r").alias("r")).where("lag > 0 AND (r <= 0 OR r IS NULL OR isnan(r))")
-    return lag.agg(F.coalesce(F.min("lag"), F.lit(dims)).cast("int").alias("scale"))
+    stop = lag_means(snapshots, dims).where("lag > 0 AND (r <= 0 OR r IS NULL)")
+    return stop.agg(F.coalesce(F.min("lag"), F.lit(dims)).cast("int").alias("scale"))
+
 
+def every_time(n: int, most: int = 4096) -> int:
+    """The stride that leaves at least most of n snapshots (and less than twice as many) for a covariance."""
+    return max(1, n // most)
 
-def lag_means(long: DataFrame, dims: int) -> DataFrame:
-    """(lag, r): the mean correlation of dimensions at each circular distance."""
-    a = long.select("t", F.col("dim").alias("i"), F.col("x").alias("a"))
-    b = long.select("t", F.col("dim").alias("j"), F.col("x").alias("b"))
-    corr = a.join(b, "t").groupBy("i", "j").agg(F.corr("a", "b").alias("r"))
-    return corr.groupBy(F.pmod(F.col("j") - F.col("i"), F.lit(dims)).cast("int").alias("lag")).agg(F.avg("r").alias("r"))
 
+def analysis(long: DataFrame, snapshots: DataFrame | None = None, first_lags: int = 64) -> DataFrame:
+    """(dim, tau, n_effective): times of all dimensions, and n over the longest, at least 1.
 
-def indexed(df: DataFrame, order: list[str]) -> DataFrame:
-    """t = 0, 1, .. by order: for series already aggregated to a bounded number of rows."""
-    return df.withColumn("t", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    With snapshots, the dimensions are equivalent places on a circle, and there is one row (tau, n_effective,
+    scale, n_space_time): their mean time, and with the spatial scale the count n / (tau * scale).
+    No dimension gives no row (a circle: tau 0); fewer than two times have a tau of 1."""
+    n = long.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+    tau = long_decorrelation_times(long, first_lags)
+    if snapshots is None:
+        longest = tau.agg(F.greatest(F.max("tau"), F.lit(1.0)).alias("longest"))
+        return tau.join(F.broadcast(longest.join(n))).select("dim", "tau", (F.col("n") / F.col("longest")).alias("n_effective"))
+    dims = snapshots.select(F.max(F.size("x"))).first()[0] or 0
+    mean = tau.agg(F.coalesce(F.avg("tau"), F.lit(0.0)).alias("tau"), F.greatest(F.max("tau"), F.lit(1.0)).alias("longest"))
+    one = mean.join(F.broadcast(n)).join(F.broadcast(spatial_scale(snapshots, dims)))
+    return one.select("tau", (F.coalesce("n", F.lit(0)) / F.coalesce("longest", F.lit(1.0))).alias("n_effective"), "scale", (F.coalesce("n", F.lit(0)) / (F.greatest("tau", F.lit(1.0)) * F.greatest("scale", F.lit(1)))).alias("n_space_time"))

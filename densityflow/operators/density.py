@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densityflow.operators.transform import is_finite
+from densityflow.sources.store import stored
 
 
 def bin_of(x: Column, low: Column, width: Column, bins: Column) -> Column:
@@ -17,12 +18,13 @@ def bin_of(x: Column, low: Column, width: Column, bins: Column) -> Column:
 def histogram(values: DataFrame, bins: int | None = None) -> DataFrame:
     """values: (x). (bin, x, density, width), a row for each bin, empty ones included.
 
-    Bins default to half the root of the count, 50 to 200. Empty input gives no row; equal values
-    give one row without a density."""
+    Bins default to half the root of the count, 50 to 200. Only finite values count. Empty input gives
+    no row; equal values give one row without a density."""
+    values = values.where(is_finite(F.col("x")))
     stats = values.agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).where("n > 0")
     nb = F.lit(bins) if bins else F.least(F.greatest(F.bround(F.sqrt("n") / 2, 0), F.lit(50)), F.lit(200)).cast("int")
     stats = stats.withColumn("bins", F.when(F.col("high") > F.col("low"), nb).otherwise(F.lit(1))).withColumn("width", (F.col("high") - F.col("low")) / F.col("bins"))
-    found = values.where(is_finite(F.col("x"))).join(F.broadcast(stats))
+    found = values.join(F.broadcast(stats))
     found = found.groupBy(F.when(F.col("width") > 0, bin_of(F.col("x"), F.col("low"), F.nullif("width", F.lit(0.0)), F.col("bins"))).otherwise(F.lit(0)).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
     density = F.when(F.col("width") > 0, F.coalesce("c", F.lit(0)) / (F.col("n") * F.nullif("width", F.lit(0.0))))
@@ -41,22 +43,37 @@ def smooth(hist: DataFrame, bandwidth: float | None = None) -> DataFrame:
     return out.join(F.broadcast(hist.select("bin", "x", "width")), "bin").select("bin", "x", "density", "width")
 
 
-def bivariate(pairs: DataFrame, bins: int, x_range: tuple[float, float], y_range: tuple[float, float]) -> DataFrame:
-    """pairs: (x, y). (yi, xi, density) of the bins that are hit, by finite pairs in range."""
-    (x0, x1), (y0, y1) = x_range, y_range
-    ok = is_finite(F.col("x")) & is_finite(F.col("y")) & F.col("x").between(x0, x1) & F.col("y").between(y0, y1)
-    xw, yw = (x1 - x0) / bins, (y1 - y0) / bins
-    at = [bin_of(F.col(c), F.lit(lo), F.lit(w), F.lit(bins)).alias(k) for c, lo, w, k in (("y", y0, yw, "yi"), ("x", x0, xw, "xi"))]
-    hit = pairs.where(ok).groupBy(*at).agg(F.count(F.lit(1)).alias("c"))
-    total = hit.agg(F.sum("c").alias("n"))
-    return hit.join(F.broadcast(total)).select("yi", "xi", (F.col("c") / (F.col("n") * xw * yw)).alias("density"))
-
-
-def averaged(long: DataFrame, bins: int, low: float, high: float, dims: int) -> DataFrame:
-    """(bin, density): the mean over dims of each dimension's histogram of its values in range."""
+def bivariate(pairs: DataFrame, bins: int | None = None, x_range: tuple[float, float] | None = None, y_range: tuple[float, float] | None = None) -> DataFrame:
+    """pairs: (x, y). (yi, xi, density) of the bins that are hit, by finite pairs in range.
+
+    Bins default to a quarter of the root of the count, 30 to 100; ranges to the extrema. If a range
+    has no width, or no pair is in range, there is one bin of density 0."""
+    ok = is_finite(F.col("x")) & is_finite(F.col("y"))
+    pairs = pairs.where(ok)
+    s = pairs.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    for c, given in (("x", x_range), ("y", y_range)):
+        if given:
+            s = s.withColumn(f"{c}0", F.lit(float(given[0]))).withColumn(f"{c}1", F.lit(float(given[1])))
+    default = F.least(F.greatest(F.bround(F.sqrt("n") / 4, 0), F.lit(30)), F.lit(100)).cast("int")
+    s = s.withColumn("bins", F.lit(bins) if bins else default)
+    s = s.select("*", *[((F.col(f"{c}1") - F.col(f"{c}0")) / F.col("bins")).alias(f"{c}w") for c in "xy"])
+    wide = s.where("xw > 0 AND yw > 0")
+    placed = pairs.join(F.broadcast(wide)).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    at = [bin_of(F.col(c), F.col(f"{c}0"), F.col(f"{c}w"), F.col("bins")).alias(k) for c, k in (("y", "yi"), ("x", "xi"))]
+    hit = placed.groupBy(*at).agg(F.count(F.lit(1)).alias("c"), (F.first("xw") * F.first("yw")).alias("area"))
+    total = hit.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("all"))
+    found = hit.join(F.broadcast(total)).select("yi", "xi", (F.col("c") / (F.col("all") * F.col("area"))).alias("density"))
+    none = total.where("all = 0").select(F.lit(0).alias("yi"), F.lit(0).alias("xi"), F.lit(0.0).alias("density"))
+    return found.unionByName(none)
+
+
+def averaged(long: DataFrame, bins: int, low: float, high: float, dims: int, normalize_by: str = "valid") -> DataFrame:
+    """(bin, density): the mean over dims of each dimension's histogram of its values in range.
+
+    Counts are divided by the dimension's values in range (valid) or by all its rows (all)."""
     w = (high - low) / bins
     hit = long.where(is_finite(F.col("x")) & F.col("x").between(low, high)).groupBy("dim", bin_of(F.col("x"), F.lit(low), F.lit(w), F.lit(bins)).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    totals = hit.groupBy("dim").agg(F.sum("c").alias("n"))
+    totals = hit.groupBy("dim").agg(F.sum("c").alias("n")) if normalize_by == "valid" else long.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
     return hit.join(F.broadcast(totals), "dim").groupBy("bin").agg((F.sum(F.col("c") / (F.col("n") * w)) / dims).alias("density"))
 
 
@@ -67,10 +84,43 @@ def circular_pairs(snapshots: DataFrame, distance: int) -> DataFrame:
     return snapshots.select(F.explode(pairs).alias("p")).select("p.x", "p.y")
 
 
+def quantiles(values: DataFrame, keys: list[str], shares: dict[str, float], parts: int = 4096) -> DataFrame:
+    """(keys, a column for each share): exact quantiles, with linear interpolation, of finite x.
+
+    No buffer holds a key's values: parts of the range are counted, the one that a rank falls into is
+    cut into parts again, and only what stands in that one is put in order, by distinct values."""
+    on = keys or ["_one"]
+    v = (values if keys else values.withColumn("_one", F.lit(1))).where(is_finite(F.col("x"))).select(*on, F.col("x").cast("double").alias("x"))
+    span = v.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min("x").alias("_a"), F.max("x").alias("_b"))
+    part = lambda x, a, b: F.when(b > a, F.least(F.floor((x - a) / F.nullif(b - a, F.lit(0.0)) * parts), F.lit(parts - 1))).otherwise(F.lit(0)).cast("int")
+    one = v.join(F.broadcast(span), on).select(*on, "x", part(F.col("x"), F.col("_a"), F.col("_b")).alias("_p"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * F.lit(share)).alias("h")) for name, share in shares.items()])).alias("_s")
+    want = span.select(*on, "_n", ranks).select(*on, F.col("_s.name").alias("_name"), F.col("_s.h").alias("_h"), F.explode(F.array(F.floor("_s.h"), F.least(F.ceil("_s.h"), F.col("_n") - 1))).alias("_rank")).distinct()
+
+    def placed(counts: DataFrame, want: DataFrame, group: list[str], by: str) -> DataFrame:
+        """want with the part that each rank falls into, and the rank inside it."""
+        upto = F.sum("_c").over(Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+        c = counts.withColumn("_upto", upto)
+        inside = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))
+        return want.join(c, group).where(inside).withColumn("_rank", F.col("_rank") - (F.col("_upto") - F.col("_c"))).drop("_upto", "_c")
+
+    first = placed(one.groupBy(*on, "_p").agg(F.count(F.lit(1)).alias("_c"), F.min("x").alias("_low"), F.max("x").alias("_high")), want, on, "_p")
+    edge = first.select(*on, "_p", "_low", "_high").distinct()
+    two = one.join(F.broadcast(edge), [*on, "_p"]).select(*on, "_p", "x", part(F.col("x"), F.col("_low"), F.col("_high")).alias("_q"))
+    second = placed(two.groupBy(*on, "_p", "_q").agg(F.count(F.lit(1)).alias("_c")), first.drop("_low", "_high"), [*on, "_p"], "_q")
+    edge = second.select(*on, "_p", "_q").distinct()
+    rest = two.join(F.broadcast(edge), [*on, "_p", "_q"]).groupBy(*on, "_p", "_q", "x").agg(F.count(F.lit(1)).alias("_c"))
+    third = placed(rest, second, [*on, "_p", "_q"], "x")
+    ends = third.groupBy(*on, "_name").agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.first("_h").alias("_h"))
+    value = F.col("_x0") + (F.col("_h") - F.floor("_h")) * (F.col("_x1") - F.col("_x0"))
+    return ends.groupBy(*on).agg(*[F.max(F.when(F.col("_name") == name, value)).alias(name) for name in shares]).select(*keys, *shares)
+
+
 def robust_range(values: DataFrame, clip: float = 0.001) -> DataFrame:
     """(low, high): outer quantiles and a margin of 2 %; fallbacks for empty and constant input."""
     v = values.where(is_finite(F.col("x")))
-    q = v.agg(F.percentile("x", F.lit(clip)).alias("a"), F.percentile("x", F.lit(1 - clip)).alias("b"), F.min("x").alias("low"), F.max("x").alias("high"))
+    ends = v.agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    q = ends.join(F.broadcast(quantiles(v, [], {"a": clip, "b": 1 - clip})), how="left")
     q = q.select(F.when(F.col("b") > F.col("a"), F.col("a")).otherwise(F.col("low")).alias("a"), F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("high")).alias("b"))
     pad = F.when(F.col("b") > F.col("a"), 0.0).otherwise(F.greatest(F.abs("a"), F.lit(1.0)) * 1e-3 + 1e-6)
     q = q.select((F.col("a") - pad).alias("a"), (F.col("b") + pad).alias("b"))
@@ -83,19 +133,38 @@ def symmetric_range(values: DataFrame, padding: float = 0.02) -> DataFrame:
     return top.select((-F.col("high")).alias("low"), "high")
 
 
+def joint_symmetric_range(sets: list[tuple[DataFrame, int]], padding: float = 0.02, most: int = 500_000) -> DataFrame:
+    """One symmetric range for several sets (t, x) with their numbers of rows, each read at a stride by
+    which the sets share most rows in order: a set gets what those before it have left."""
+    parts, left = [], most
+    for values, n in sets:
+        if left <= 0 or n == 0:
+            break
+        stride = max(1, -(-n // left))
+        parts.append(values.where(F.pmod("t", F.lit(stride)) == 0).select("x"))
+        left -= -(-n // stride)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return symmetric_range(every, padding)
+
+
 def silverman(values: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, h, low, high): bandwidth by Silverman's rule and the grid's ends, 4 h beyond the data."""
-    s = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), (F.percentile("x", F.lit(0.75)) - F.percentile("x", F.lit(0.25))).alias("iqr"), F.min("x").alias("a"), F.max("x").alias("b"))
-    spread = F.when(F.col("iqr") > 0, F.least("sd", F.col("iqr") / 1.34)).otherwise(F.col("sd"))
+    s = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("a"), F.max("x").alias("b"))
+    s = s.join(F.broadcast(quantiles(values, keys, {"q1": 0.25, "q3": 0.75})), keys)
+    iqr = F.col("q3") - F.col("q1")
+    spread = F.when(iqr > 0, F.least("sd", iqr / 1.34)).otherwise(F.col("sd"))
     s = s.withColumn("h", 0.9 * spread * F.pow("n", F.lit(-0.2)))
     return s.select(*keys, "n", "h", (F.col("a") - 4 * F.col("h")).alias("low"), (F.col("b") + 4 * F.col("h")).alias("high"))
 
 
-def kde(values: DataFrame, keys: list[str], points: int = 256) -> DataFrame:
-    """(keys, i, x, density): linear binning on a uniform grid, then Gaussian kernels of it.
+def kde(values: DataFrame, keys: list[str], points: int = 2048) -> DataFrame:
+    """(keys, i, x, density): linear binning of finite values on a uniform grid, then Gaussian kernels of it.
 
     The grid's bins are at most points for each key, whatever the data's size."""
-    s = silverman(values, keys)
+    values = values.where(is_finite(F.col("x")))
+    s = stored(silverman(values, keys))
     step = (F.col("high") - F.col("low")) / (points - 1)
     v = values.join(F.broadcast(s), keys).withColumn("step", step)
     pos = (F.col("x") - F.col("low")) / F.col("step")
@@ -114,13 +183,16 @@ def kde(values: DataFrame, keys: list[str], points: int = 256) -> DataFrame:
     return grid.join(dens, [*keys, "i"], "left").select(*keys, "i", (F.col("low") + F.col("i") * F.col("step")).alias("x"), F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
-def relative_entropy(p: DataFrame, q: DataFrame, keys: list[str], points: int = 256) -> DataFrame:
+def relative_entropy(p: DataFrame, q: DataFrame, keys: list[str], points: int = 2048) -> DataFrame:
     """(keys, kl) of two tables (keys, x): densities on a common grid by arithmetic interpolation,
-    renormalised and floored at 1e-10."""
+    renormalised and floored at 1e-10. Both tables must have the same columns: values are not compared
+    with series of several dimensions."""
+    if set(p.columns) != {*keys, "x"} or set(q.columns) != {*keys, "x"}:
+        raise ValueError("both must have the same keys and x")
     one = F.lit(1).alias("_one")
     keyed = keys or ["_one"]
     p, q = (d if keys else d.select(one, "x") for d in (p, q))
-    kp, kq = kde(p, keyed, points), kde(q, keyed, points)
+    kp, kq = stored(kde(p, keyed, points)), stored(kde(q, keyed, points))
 
     def ends(k, s):
         return k.groupBy(*keyed).agg(F.min("x").alias(f"a{s}"), F.max("x").alias(f"b{s}"))

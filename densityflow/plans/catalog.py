@@ -315,12 +315,20 @@ def pdf_integral_check(spark, d):
     return _rounded(density.histogram(_values(spark, d)).agg(F.sum(F.col("density") * F.col("width")).alias("integral")))
 
 
-@query("""WITH p AS (SELECT CAST(least(greatest(floor((l_extendedprice - 0e0) / 5000e0), 0), 19) AS INT) AS yi, CAST(least(greatest(floor((l_quantity - 0e0) / 3e0), 0), 19) AS INT) AS xi
-  FROM lineitem WHERE l_quantity BETWEEN 0 AND 60 AND l_extendedprice BETWEEN 0 AND 100000)
-SELECT yi, xi, round(count(*) / ((SELECT count(*) FROM p) * 3e0 * 5000e0), 12) AS density FROM p GROUP BY yi, xi""")
+@query("""WITH s AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1, count(*) AS n,
+  CAST(least(greatest(round_even(sqrt(count(*)) / 4, 0), 30), 100) AS INT) AS bins FROM lineitem), w AS (SELECT *, (x1 - x0) / bins AS xw, (y1 - y0) / bins AS yw FROM s),
+p AS (SELECT CAST(least(greatest(floor((l_extendedprice - y0) / yw), 0), bins - 1) AS INT) AS yi, CAST(least(greatest(floor((l_quantity - x0) / xw), 0), bins - 1) AS INT) AS xi FROM lineitem, w)
+SELECT yi, xi, round(count(*) / any_value(n * xw * yw), 12) AS density FROM p, w GROUP BY yi, xi""")
 def pdf_bivariate(spark, d):
     pairs = _table(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
-    return _rounded(density.bivariate(pairs, 20, (0.0, 60.0), (0.0, 100000.0)), density=12)
+    return _rounded(density.bivariate(pairs), density=12)
+
+
+@query(f"""WITH {EMB}, h AS (SELECT dim, CAST(least(greatest(floor((x + 0.3e0) / 0.005e0), 0), 119) AS INT) AS bin, count(*) AS c FROM emb WHERE x BETWEEN -0.3e0 AND 0.3e0 GROUP BY ALL)
+SELECT bin, round(sum(c / ((SELECT count(*) FROM embeddings) * ((0.3e0 - -0.3e0) / 120))) / {DIMS}, 8) AS density FROM h GROUP BY bin""")
+def pdf_avg_fixed_bins(spark, d):
+    """120 bins; what lies outside the range counts among all values."""
+    return _rounded(density.averaged(_emb_long(spark, d), 120, -0.3, 0.3, DIMS, "all"), density=8)
 
 
 @query(f"""WITH {EMB}, h AS (SELECT dim, CAST(least(greatest(floor((x + 1e0) / 0.02e0), 0), 99) AS INT) AS bin, count(*) AS c FROM emb WHERE x BETWEEN -1 AND 1 GROUP BY ALL),
@@ -345,11 +353,11 @@ def _kde_sql(source: str) -> str:
     return f"""v AS ({source}),
 s0 AS (SELECT key, count(*) AS n, stddev_samp(x) AS sd, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, min(x) AS a, max(x) AS b FROM v GROUP BY key),
 s1 AS (SELECT *, 0.9e0 * CASE WHEN iqr > 0 THEN least(sd, iqr / 1.34e0) ELSE sd END * pow(n, -0.2e0) AS h FROM s0),
-s AS (SELECT *, a - 4 * h AS low, ((b + 4 * h) - (a - 4 * h)) / 255 AS step FROM s1),
-l AS (SELECT v.key, (x - low) / step AS pos, CAST(least(floor((x - low) / step), 254) AS INT) AS lf FROM v JOIN s USING (key)),
+s AS (SELECT *, a - 4 * h AS low, ((b + 4 * h) - (a - 4 * h)) / 2047 AS step FROM s1),
+l AS (SELECT v.key, (x - low) / step AS pos, CAST(least(floor((x - low) / step), 2046) AS INT) AS lf FROM v JOIN s USING (key)),
 w AS (SELECT key, i, sum(w) AS w FROM (SELECT key, lf AS i, 1 - (pos - lf) AS w FROM l UNION ALL SELECT key, lf + 1, pos - lf FROM l) GROUP BY ALL),
 k AS (SELECT s.key, CAST(g.i AS INT) AS i, any_value(low + g.i * step) AS x, sum(coalesce(CASE WHEN abs(g.i - w.i) <= ceil(8 * h / step) THEN w.w * exp(-0.5e0 * ((g.i - w.i) * step / h) ** 2) / (h * sqrt(2 * pi())) / n END, 0)) AS density
-  FROM s JOIN range(0, 256) AS g(i) ON true JOIN w ON w.key = s.key GROUP BY s.key, g.i)"""
+  FROM s JOIN range(0, 2048) AS g(i) ON true LEFT JOIN w ON w.key = s.key AND abs(g.i - w.i) <= ceil(8 * h / step) GROUP BY s.key, g.i)"""
 
 
 @query(f"WITH {_kde_sql('SELECT event_type AS key, value AS x FROM events')} SELECT key AS event_type, i, round(x, 6) AS x, round(density, 8) AS density FROM k")
@@ -361,10 +369,10 @@ def kde_univariate(spark, d):
 def _kl_sql(p: str, q: str) -> str:
     return f"""WITH {_kde_sql(f"SELECT concat('p|', key) AS key, x FROM ({p}) UNION ALL SELECT concat('q|', key), x FROM ({q})")},
 e AS (SELECT key, min(x) AS a, max(x) AS b FROM k GROUP BY key),
-j AS (SELECT substr(p.key, 3) AS key, p.a AS ap, p.b AS bp, q.a AS aq, q.b AS bq, least(p.a, q.a) AS a, (greatest(p.b, q.b) - least(p.a, q.a)) / 255 AS dx FROM e p JOIN e q ON p.key = concat('p|', substr(q.key, 3)) AND q.key LIKE 'q|%'),
-g AS (SELECT *, a + g.i * dx AS gx, g.i AS g FROM j, range(0, 256) AS g(i)),
-pp AS (SELECT g.*, least(greatest((gx - ap) / ((bp - ap) / 255), 0), 255) AS pos, least(greatest((gx - aq) / ((bq - aq) / 255), 0), 255) AS qos FROM g),
-ii AS (SELECT *, CAST(least(floor(pos), 254) AS INT) AS i1, CAST(least(floor(qos), 254) AS INT) AS i2 FROM pp),
+j AS (SELECT substr(p.key, 3) AS key, p.a AS ap, p.b AS bp, q.a AS aq, q.b AS bq, least(p.a, q.a) AS a, (greatest(p.b, q.b) - least(p.a, q.a)) / 2047 AS dx FROM e p JOIN e q ON p.key = concat('p|', substr(q.key, 3)) AND q.key LIKE 'q|%'),
+g AS (SELECT *, a + g.i * dx AS gx, g.i AS g FROM j, range(0, 2048) AS g(i)),
+pp AS (SELECT g.*, least(greatest((gx - ap) / ((bp - ap) / 2047), 0), 2047) AS pos, least(greatest((gx - aq) / ((bq - aq) / 2047), 0), 2047) AS qos FROM g),
+ii AS (SELECT *, CAST(least(floor(pos), 2046) AS INT) AS i1, CAST(least(floor(qos), 2046) AS INT) AS i2 FROM pp),
 f AS (SELECT ii.key, ii.dx, a.density + (pos - i1) * (b.density - a.density) AS p, c.density + (qos - i2) * (e.density - c.density) AS q FROM ii
   JOIN k a ON a.key = concat('p|', ii.key) AND a.i = i1 JOIN k b ON b.key = a.key AND b.i = i1 + 1 JOIN k c ON c.key = concat('q|', ii.key) AND c.i = i2 JOIN k e ON e.key = c.key AND e.i = i2 + 1),
 t AS (SELECT key, sum(p) AS sp, sum(q) AS sq FROM f GROUP BY key),
@@ -391,11 +399,14 @@ def _hours(spark, d) -> DataFrame:
 
 
 LAGS = 24
-AUTO = f"""o AS (SELECT date_trunc('hour', ts) AS h, CAST(user_id % 4 AS INT) AS dim, avg(value) AS x FROM events GROUP BY ALL),
+#: SQL for so many lags; sums over all lags take the length of the series.
+_AUTO = """o AS (SELECT date_trunc('hour', ts) AS h, CAST(user_id % 4 AS INT) AS dim, avg(value) AS x FROM events GROUP BY ALL),
 c AS (SELECT row_number() OVER (PARTITION BY dim ORDER BY h) - 1 AS t, dim, x - avg(x) OVER (PARTITION BY dim) AS d, count(*) OVER (PARTITION BY dim) AS n FROM o),
-v AS (SELECT a.dim, k, sum(a.d * b.d) / (any_value(a.n) - k) AS c FROM c a, range(0, {LAGS + 1}) AS g(k) JOIN c b ON b.dim = a.dim AND b.t = a.t + k GROUP BY a.dim, k),
+v AS (SELECT a.dim, k, sum(a.d * b.d) / (any_value(a.n) - k) AS c FROM c a, range(0, <lags>) AS g(k) JOIN c b ON b.dim = a.dim AND b.t = a.t + k GROUP BY a.dim, k),
 rho AS (SELECT v.dim, CAST(k AS INT) AS k, v.c / z.c AS rho FROM v JOIN (SELECT dim, c FROM v WHERE k = 0) z USING (dim)),
 tau AS (SELECT dim, 1 + 2 * coalesce(sum(rho) FILTER (k > 0 AND k < coalesce(stop, 1000000)), 0) AS tau FROM rho LEFT JOIN (SELECT dim, min(k) AS stop FROM rho WHERE k > 0 AND rho <= 0 GROUP BY dim) USING (dim) GROUP BY dim)"""
+AUTO = _AUTO.replace("<lags>", str(LAGS + 1))
+ALL_LAGS = _AUTO.replace("<lags>", "(SELECT max(n) FROM c)").replace("b.t = a.t + k GROUP", "b.t = a.t + k WHERE k < a.n GROUP")
 
 
 @query(f"WITH {AUTO} SELECT dim, k, round(rho, 6) AS rho FROM rho")
@@ -403,12 +414,12 @@ def autocorrelation(spark, d):
     return _rounded(decorrelation.autocorrelation(_hours(spark, d), LAGS))
 
 
-@query(f"WITH {AUTO} SELECT dim, round(tau, 6) AS tau FROM tau")
+@query(f"WITH {ALL_LAGS} SELECT dim, round(tau, 6) AS tau FROM tau")
 def decorrelation_times(spark, d):
     return _rounded(decorrelation.long_decorrelation_times(_hours(spark, d), LAGS))
 
 
-@query(f"WITH {AUTO} SELECT round(avg(tau), 6) AS tau, round((SELECT max(n) FROM c) / greatest(max(tau), 1), 6) AS n_effective FROM tau")
+@query(f"WITH {ALL_LAGS} SELECT round(avg(tau), 6) AS tau, round((SELECT max(n) FROM c) / greatest(max(tau), 1), 6) AS n_effective FROM tau")
 def decorrelation_metrics(spark, d):
     h = _hours(spark, d)
     tau = decorrelation.long_decorrelation_times(h, LAGS).agg(F.avg("tau").alias("tau"), F.greatest(F.max("tau"), F.lit(1.0)).alias("m"))
@@ -416,23 +427,37 @@ def decorrelation_metrics(spark, d):
     return _rounded(tau.join(F.broadcast(n)).select("tau", (F.col("n") / F.col("m")).alias("n_effective")))
 
 
-@query()
+@query(f"WITH {ALL_LAGS} SELECT dim, round(tau, 6) AS tau FROM tau")
 def decorrelation_adaptive(spark, d):
-    return decorrelation.long_decorrelation_times(_hours(spark, d), 4)
+    return _rounded(decorrelation.long_decorrelation_times(_hours(spark, d), 4))
 
 
-LAGGED = f"""e AS (SELECT t, dim, x FROM emb WHERE dim < 16),
-r AS (SELECT a.dim AS i, b.dim AS j, corr(a.x, b.x) AS r FROM e a JOIN e b USING (t) GROUP BY ALL), l AS (SELECT CAST((j - i + 16) % 16 AS INT) AS lag, avg(r) AS r FROM r GROUP BY 1)"""
+LAGGED = f"""r AS (SELECT a.dim AS i, b.dim AS j, corr(a.x, b.x) AS r FROM emb a JOIN emb b USING (t) GROUP BY ALL), l AS (SELECT CAST((j - i + {DIMS}) % {DIMS} AS INT) AS lag, avg(r) AS r FROM r GROUP BY 1)"""
 
 
 @query(f"WITH {EMB}, {LAGGED} SELECT lag, round(r, 6) AS r FROM l")
 def spatial_correlations(spark, d):
-    return _rounded(decorrelation.lag_means(_emb_long(spark, d).where("dim < 16"), 16))
+    return _rounded(decorrelation.lag_means(_emb(spark, d), DIMS))
 
 
-@query(f"WITH {EMB}, {LAGGED} SELECT CAST(coalesce(min(lag), 16) AS INT) AS scale FROM l WHERE lag > 0 AND r <= 0")
+@query(f"WITH {EMB}, {LAGGED} SELECT CAST(coalesce(min(lag), {DIMS}) AS INT) AS scale FROM l WHERE lag > 0 AND r <= 0")
 def spatial_decorrelation_scale(spark, d):
-    return decorrelation.spatial_scale(_emb_long(spark, d).where("dim < 16"), 16)
+    return decorrelation.spatial_scale(_emb(spark, d), DIMS)
+
+
+@query(f"""WITH {ALL_LAGS} SELECT dim, round(tau, 6) AS tau, round((SELECT max(n) FROM c) / greatest((SELECT max(tau) FROM tau), 1), 6) AS n_effective FROM tau""")
+def decorrelation_analysis(spark, d):
+    return _rounded(decorrelation.analysis(_hours(spark, d)))
+
+
+_EMB_LAGS = ALL_LAGS[ALL_LAGS.index("c AS"):].replace("FROM o)", "FROM emb)").replace("ORDER BY h", "ORDER BY t")
+
+
+@query(f"""WITH {EMB}, {_EMB_LAGS}, {LAGGED}, k AS (SELECT CAST(coalesce(min(lag), {DIMS}) AS INT) AS scale FROM l WHERE lag > 0 AND r <= 0),
+a AS (SELECT avg(tau) AS tau, greatest(max(tau), 1) AS longest, (SELECT count(*) FROM embeddings) AS n FROM tau)
+SELECT round(tau, 6) AS tau, round(n / longest, 6) AS n_effective, scale, round(n / (greatest(tau, 1) * greatest(scale, 1)), 6) AS n_space_time FROM a, k""")
+def decorrelation_on_a_circle(spark, d):
+    return _rounded(decorrelation.analysis(_emb_long(spark, d), _emb(spark, d)))
 
 
 @query(f"""WITH {EVENTS}, {_noisy_sql(1)}, g AS (SELECT (i - 10) * 0.2e0 AS place, x, z, row_number() OVER (PARTITION BY i ORDER BY abs(x - (i - 10) * 0.2e0), x) AS k FROM n, range(0, 21) AS g(i))

@@ -19,18 +19,79 @@ def _local_dir() -> str:
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path in the cluster's shared folder; a local one only where none is named, as in tests."""
+    """A new path in the cluster's shared folder; only a local master may go without the setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "").split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base or _local_dir()}/{uuid.uuid4().hex}"
 
 
-def load_series(spark: SparkSession, path: str, stride: int = 1, most: int | None = None) -> DataFrame:
-    """Snapshots of a Parquet table (t, ..): every stride-th, at most so many; t < .. reaches the scan."""
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared folder and read back: what follows doesn't work them out again."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+FIELDS = ("u", "timeseries", "field", "data")
+
+
+def field_of(df: DataFrame, key: str | None = None, order: tuple[str, ...] = FIELDS) -> str:
+    """The column of a table that holds the snapshots: key, else the first of order that is an array of
+    numbers, else the first such column."""
+    arrays = [c for c, t in df.dtypes if t in ("array<double>", "array<float>", "array<int>", "array<bigint>")]
+    if key is not None:
+        if key not in arrays:
+            raise ValueError(f"{key} is no array of numbers")
+        return key
+    named = [c for c in order if c in arrays]
+    if not (named or arrays):
+        raise ValueError("the table has no array of numbers")
+    return (named or arrays)[0]
+
+
+def load_series(spark: SparkSession, path: str, stride: int = 1, most: int | None = None, key: str | None = None, t: str = "t", order: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Snapshots (t, x) of a Parquet table with a row for each time: every stride-th, at most so many.
+    Both conditions and the two columns reach the scan."""
     df = spark.read.parquet(path)
+    df = df.select(F.col(t).alias("t"), F.col(field_of(df, key, order)).alias("x"))
     df = df if most is None else df.where(F.col("t") < stride * most)
     return df.where(F.pmod("t", F.lit(stride)) == 0)
 
 
+def oriented(snapshots: DataFrame) -> DataFrame:
+    """snapshots (t, x) with time along the longer side: where there are fewer rows than places in them,
+    places become rows. Only counts are looked at; turning is a grouping by place."""
+    rows, places = snapshots.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    if not rows or rows >= places:
+        return snapshots
+    long = snapshots.select("t", F.posexplode("x").alias("at", "v"))
+    pairs = F.array_sort(F.collect_list(F.struct("t", "v")))  # no more than the fewer rows
+    return long.groupBy(F.col("at").cast("long").alias("t")).agg(F.transform(pairs, lambda p: p["v"]).alias("x"))
+
+
+def read_runs(spark: SparkSession, paths: dict[str, str], fields: dict[str, float]) -> DataFrame:
+    """(run, a column for each field): one row a run; a field that its store lacks has its default."""
+    out = None
+    for run, path in paths.items():
+        v = load(spark, path)
+        wide = v.agg(*[F.max(F.when((F.col("name") == name) & (F.size("shape") == 0), F.get("values", F.lit(0)))).alias(name) for name in fields])
+        row = wide.select(F.lit(run).alias("run"), *[F.coalesce(name, F.lit(default)).alias(name) for name, default in fields.items()])
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def from_long(long: DataFrame, name: str, keys: list[str], value: str = "x") -> DataFrame:
+    """Store rows of an array that no driver holds: a row for each value of the first key, its values in
+    the order of the others; load reads them like any other variable, row by row."""
+    first, *rest = keys
+    pairs = F.array_sort(F.collect_list(F.struct(*rest, value)))
+    rows = long.groupBy(first).agg(F.transform(pairs, lambda p: p[value].cast("double")).alias("values"))
+    return rows.select(
+        F.concat(F.lit(f"{name}/"), F.col(first).cast("string")).alias("name"), F.lit("row").alias("kind"), F.array(F.size("values")).alias("shape"), "values", F.lit(None).cast("array<double>").alias("imag"), F.lit(None).cast("string").alias("text")
+    )
+
+
 def variables(spark: SparkSession, values: dict) -> DataFrame:
     """A row for each Python value: bool, number, complex, string or array of these."""
     rows = []
