@@ -7,12 +7,14 @@ means, are kept, so that rounds and batches merge.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densityflow.functions.noise import hash_normal, noise_key
+from densityflow.sources.store import stored
 
 
 def draw(points: DataFrame, sigma: Column, rounds: range, seed: int, dims: int = 1) -> DataFrame:
@@ -51,53 +53,111 @@ def training_set(result: DataFrame, sigma: float, dims: int = 1) -> DataFrame:
     return result.select(*[f"center{j}" for j in range(dims)], *[(-F.lit(sigma) * F.col(f"score{j}")).alias(f"target{j}") for j in range(dims)], F.col("n").alias("weight"))
 
 
-def trace(noisy: DataFrame, rounds: int) -> DataFrame:
+def trace(noisy: DataFrame, rounds: int, dims: int = 1) -> DataFrame:
     """(round, delta): how far the cumulative means of z moved in each round after the first."""
-    each = noisy.groupBy("round", "cell").agg(F.sum("z0").alias("s"), F.count(F.lit(1)).alias("n"))
-    upto = each.select(F.explode(F.sequence(F.col("round"), F.lit(rounds))).alias("round"), "cell", "s", "n").groupBy("round", "cell").agg((F.sum("s") / F.sum("n")).alias("m"))
-    last = upto.select((F.col("round") + 1).alias("round"), "cell", F.col("m").alias("old"))
-    moved = upto.join(last, ["round", "cell"], "left").where("round > 1")
-    d = F.col("m") - F.coalesce("old", F.lit(0.0))
-    return moved.groupBy("round").agg((F.sum(d * d) / F.greatest(F.sum(F.col("m") * F.col("m")), F.lit(1e-300))).alias("delta"))
-
-
-def converge(points: DataFrame, sigma: float, cell: Callable[[Column], Column], seed: int, conv: float = 1e-2, most: int = 150, keep=None) -> tuple[DataFrame, int]:
-    """Adds rounds until the means of z move by at most conv. keep cuts the lineage of the table of
-    cells in each round; None keeps the plan whole."""
+    z = [f"z{j}" for j in range(dims)]
+    each = noisy.groupBy("round", "cell").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in z])
+    upto = each.select(F.explode(F.sequence(F.col("round"), F.lit(rounds))).alias("round"), "cell", "n", *z)
+    upto = upto.groupBy("round", "cell").agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in z])
+    last = upto.select((F.col("round") + 1).alias("round"), "cell", *[F.col(c).alias(f"old_{c}") for c in z])
+    return upto.join(last, ["round", "cell"], "left").where("round > 1").groupBy("round").agg(_moved(z).alias("delta"))
+
+
+def _moved(z: list[str]) -> Column:
+    """The squared distance of the means from the old ones, by their squared size."""
+    new = sum((F.col(c) * F.col(c) for c in z[1:]), F.col(z[0]) * F.col(z[0]))
+    steps = [F.col(c) - F.coalesce(f"old_{c}", F.lit(0.0)) for c in z]
+    step = sum((d * d for d in steps[1:]), steps[0] * steps[0])
+    return F.coalesce(F.sum(step), F.lit(0.0)) / F.greatest(F.coalesce(F.sum(new), F.lit(0.0)), F.lit(1e-300))
+
+
+def converge(points: DataFrame, sigma: float, cell: Callable[[DataFrame], Column], seed: int, conv: float = 1e-2, most: int = 150, dims: int = 1) -> tuple[DataFrame, int]:
+    """Adds rounds of noise until the means of z move by at most conv, at most so many: the scores, and
+    how many rounds it took. cell names the cell of noisy points (x0 ..). The table of cells is stored
+    after each round."""
+    z = [f"z{j}" for j in range(dims)]
     total, old, round_ = None, None, 0
     while True:
         round_ += 1
-        noisy = draw(points, F.lit(sigma), range(round_, round_ + 1), seed).withColumn("cell", cell(F.col("x0")))
-        new = cell_sums(noisy, ["cell"])
-        total = new if total is None else merge_sums(total.unionByName(new), ["cell"])
-        total = keep(total) if keep else total
-        means = total.select("cell", (F.col("sz0") / F.col("n")).alias("m"))
-        if old is not None:
-            both = means.join(old, "cell", "left")
-            d = F.col("m") - F.coalesce("old", F.lit(0.0))
-            num, den = both.agg(F.sum(d * d), F.sum(F.col("m") * F.col("m"))).first()
-            if (num or 0.0) / max(den or 0.0, 1e-300) <= conv:
-                break
+        noisy = draw(points, F.lit(sigma), range(round_, round_ + 1), seed, dims)
+        new = cell_sums(noisy.withColumn("cell", cell(noisy)), ["cell"], dims)
+        total = stored(new if total is None else merge_sums(total.unionByName(new), ["cell"], dims))
+        means = total.select("cell", *[(F.col(f"s{c}") / F.col("n")).alias(c) for c in z])
+        if old is not None and means.join(old, "cell", "left").agg(_moved(z)).first()[0] <= conv:
+            break
         if round_ >= most:
             break
-        old = means.withColumnRenamed("m", "old")
-    return scores(total, ["cell"], F.lit(sigma)), round_
+        old = means.select("cell", *[F.col(c).alias(f"old_{c}") for c in z])
+    return scores(total, ["cell"], F.lit(sigma), dims), round_
+
+
+def on_stride(points: DataFrame, n: int, cap: int) -> DataFrame:
+    """Every ceil(n / cap)-th of n points, by a digest of the row: about cap of them."""
+    key = F.conv(F.substring(F.md5(F.col("row").cast("string")), 1, 8), 16, 10).cast("bigint")
+    return points.where(F.pmod(key, F.lit(max(1, -(-n // max(1, cap))))) == 0)
+
+
+def partition_cap(prob: float, chunk: int = 100_000, most_samples: int = 0) -> int:
+    """How many points a partition is fitted to."""
+    return most_samples if most_samples > 0 else max(chunk, math.ceil(100 / max(prob, 2.3e-16)))
+
+
+class Tree:
+    """Cells by repeated halving: a cell of level l is split at its mean of dimension l mod dims.
+
+    Nodes are numbered as in a heap, and their means stand in one array, so that the cell of a point is
+    one expression whatever the depth. Means are of a stored sample, a pass over it for each level."""
+
+    def __init__(self, sample: DataFrame, depth: int, dims: int = 1):
+        self.depth, self.dims, self.means = depth, dims, [None] * (2**depth - 1)
+        sample = stored(sample.select(*[f"x{j}" for j in range(dims)]))
+        for level in range(depth):
+            at = sample.select(self._node(sample, level).alias("node"), F.col(f"x{level % dims}").alias("x"))
+            for r in at.groupBy("node").agg(F.avg("x").alias("m")).collect():  # a row for each cell
+                self.means[r.node] = r.m
+
+    def _node(self, points: DataFrame, levels: int) -> Column:
+        if not levels:
+            return F.lit(0)
+        means = F.array(*[F.lit(m).cast("double") for m in self.means[: 2**levels - 1]])
+        x = F.array(*[points[f"x{j}"] for j in range(self.dims)])
+        beyond = lambda node, level: F.coalesce(F.get(x, level % self.dims) > F.get(means, node), F.lit(False)).cast("int")
+        return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), F.lit(0), lambda node, level: 2 * node + 1 + beyond(node, level))
+
+    def cell(self, points: DataFrame) -> Column:
+        return self._node(points, self.depth) - F.lit(2**self.depth - 1)
+
+
+def fit_tree(points: DataFrame, sigma: float, prob: float, dims: int, seed: int, most_samples: int = 0) -> Tree:
+    """Cells of about a share of prob, fitted to a sample of points with the first round's noise."""
+    n = points.count()
+    if not n:
+        raise ValueError("there are no observations")
+    sample = on_stride(points, n, partition_cap(prob, most_samples=most_samples))
+    return Tree(draw(sample, F.lit(sigma), range(1, 2), seed, dims), max(0, math.ceil(math.log2(1 / prob))), dims)
+
 
+def estimate(points: DataFrame, sigma: float, dims: int = 1, prob: float = 1e-3, conv: float = 1e-2, most: int = 150, seed: int = 0, partition: Callable[[DataFrame, float], Callable[[DataFrame], Column]] | None = None, most_samples: int = 0) -> tuple[DataFrame, int]:
+    """Centres, scores and divergences of points (row, y0 ..) smoothed by sigma, in cells of about prob,
+    and the rounds of noise that it took until they moved by at most conv.
 
-def mean_split_tree(noisy: DataFrame, depth: int) -> DataFrame:
-    """cell: its path by comparisons with the mean of the cell above, from the points of round 1."""
-    out = noisy.withColumn("cell", F.lit(0))
-    for _ in range(depth):
-        means = out.where("round = 1").groupBy("cell").agg(F.avg("x0").alias("_m"))
-        out = out.join(F.broadcast(means), "cell", "left").withColumn("cell", (F.col("cell") * 2 + (F.col("x0") > F.col("_m")).cast("int")).cast("int")).drop("_m")
-    return out
+    partition fits cells of another kind: called with a sample of noisy points and prob, it gives what
+    names the cell of noisy points. No observations are an error."""
+    if partition is None:
+        cell = fit_tree(points, sigma, prob, dims, seed, most_samples).cell
+    else:
+        n = points.count()
+        if not n:
+            raise ValueError("there are no observations")
+        cell = partition(draw(on_stride(points, n, partition_cap(prob, most_samples=most_samples)), F.lit(sigma), range(1, 2), seed, dims), prob)
+    return converge(points, sigma, cell, seed, conv, most, dims)
 
 
-def bisecting_cells(noisy: DataFrame, prob: float, features: list[str], seed: int = 7):
-    """A fitted model whose prediction is the cell: cells are halved while they hold 2 * prob."""
+def bisecting_cells(sample: DataFrame, prob: float, features: list[str], seed: int = 7):
+    """A fitted model whose prediction is the cell: cells are halved while they hold 2 * prob of the sample."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.feature import VectorAssembler
 
     tree = BisectingKMeans(k=max(2, int(4 / prob)), minDivisibleClusterSize=2 * prob, featuresCol="_v", predictionCol="cell", seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_v"), tree]).fit(noisy)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_v"), tree]).fit(sample)

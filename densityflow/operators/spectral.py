@@ -1,54 +1,117 @@
-"""Real Fourier coefficients of snapshots, packed as [Re c0, Re c1, Im c1, .., Re c(n/2)], and PCA."""
+"""Real Fourier coefficients of snapshots, packed as [Re c0, Re c1, Im c1, .., Re c(n/2)], and PCA.
+
+Snapshots are transformed a batch at a time by fast Fourier transforms; covariances are summed as
+products of batches where the rows are, and only a matrix of the dimensions meets."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _dot(x, k, wave, n):
-    angle = lambda j: F.lit(2 * math.pi) * k * j / F.lit(float(n))
-    return F.aggregate(F.transform(x, lambda v, j: v * wave(angle(j))), F.lit(0.0), lambda a, b: a + b)
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """(rows, places) of an Arrow column of arrays of one length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def arrays_of(rows: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
+def by_batch(snapshots: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(t, x): f of the matrix of each batch's snapshots."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), arrays_of(f(matrix_of(b.column(1))))], names=["t", "x"])
 
-def _bound(value, body):
-    """body(value), with value worked out once for all its uses."""
-    return F.transform(F.array(value), body)[0]
+    kind = dict(snapshots.dtypes)["t"]
+    return snapshots.select("t", F.transform("x", lambda v: v.cast("double")).alias("x")).mapInArrow(run, f"t {kind}, x array<double>")
+
+
+def pack(x: np.ndarray) -> np.ndarray:
+    c = np.fft.rfft(x, axis=1)
+    out = np.empty(x.shape)
+    out[:, 0] = c[:, 0].real
+    out[:, 1::2] = c[:, 1:].real
+    out[:, 2::2] = c[:, 1:-1].imag
+    return out
+
+
+def unpack(x: np.ndarray) -> np.ndarray:
+    c = np.zeros((len(x), x.shape[1] // 2 + 1), dtype=complex)
+    c[:, 0] = x[:, 0]
+    c[:, 1:] = x[:, 1::2]
+    c[:, 1:-1] += 1j * x[:, 2::2]
+    return np.fft.irfft(c, x.shape[1], axis=1)
 
 
 def fourier_pack(snapshots: DataFrame, n: int) -> DataFrame:
     """n must be even, so that a packed vector has n values."""
     if n % 2:
         raise ValueError("an even number of dimensions is needed")
+    return by_batch(snapshots, pack)
+
 
-    def pack(x):
-        term = lambda p: F.when(p % 2 == 1, _dot(x, F.floor((p + 1) / 2), F.cos, n)).when(p == 0, _dot(x, F.lit(0), F.cos, n)).otherwise(-_dot(x, F.floor(p / 2), F.sin, n))
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), term)
+def fourier_unpack(packed: DataFrame, n: int) -> DataFrame:
+    if n % 2:
+        raise ValueError("an even number of dimensions is needed")
+    return by_batch(packed, unpack)
 
-    return snapshots.select("t", _bound(F.transform("x", lambda v: v.cast("double")), pack).alias("x"))
 
+def covariance(snapshots: DataFrame, stride: int = 1) -> DataFrame:
+    """(i, j, mean_i, mean_j, c): covariances of all pairs of dimensions, of every stride-th time."""
 
-def fourier_unpack(packed: DataFrame, n: int) -> DataFrame:
-    half = n // 2
-    wave = lambda k, j: F.lit(2 * math.pi) * k * j / F.lit(float(n))
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, p = 0, None, None
+        for b in batches:
+            if b.num_rows:
+                x = matrix_of(b.column(0))
+                n, s, p = n + len(x), x.sum(axis=0) + (0 if s is None else s), x.T @ x + (0 if p is None else p)
+        if n:
+            d = len(s)
+            i, j = np.repeat(np.arange(d, dtype=np.int32), d), np.tile(np.arange(d, dtype=np.int32), d)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(p.ravel()), pa.array(s[i]), pa.array(s[j]), pa.array(np.full(d * d, n, dtype=np.int64))], names=["i", "j", "p", "si", "sj", "n"])
 
-    def unpack(x):
-        def at(j):
-            inner = F.transform(F.sequence(F.lit(1), F.lit(half - 1)), lambda k: 2 * (x[2 * k - 1] * F.cos(wave(k, j)) - x[2 * k] * F.sin(wave(k, j)))) if half > 1 else F.array(F.lit(0.0))
-            return (x[0] + F.aggregate(inner, F.lit(0.0), lambda a, b: a + b) + x[n - 1] * F.cos(wave(F.lit(half), j))) / n
+    x = snapshots.where(F.pmod("t", F.lit(stride)) == 0).select(F.transform("x", lambda v: v.cast("double")).alias("x"))
+    parts = x.mapInArrow(sums, "i int, j int, p double, si double, sj double, n long")
+    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("p", "si", "sj", "n")])
+    return s.select("i", "j", (F.col("si") / F.col("n")).alias("mean_i"), (F.col("sj") / F.col("n")).alias("mean_j"), ((F.col("p") - F.col("si") * F.col("sj") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))).alias("c"))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
 
-    return packed.select("t", _bound(F.col("x"), unpack).alias("x"))
+def principal_axes(snapshots: DataFrame, modes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(means, axes as rows, variances) of the largest modes; an axis's largest component is positive."""
+    rows = covariance(snapshots).toPandas().sort_values(["i", "j"])  # a row for each pair of dimensions
+    d = int(rows["i"].max()) + 1
+    c, mean = rows["c"].to_numpy().reshape(d, d), rows["mean_j"].to_numpy()[:d]
+    values, vectors = np.linalg.eigh(c)
+    axes = vectors[:, ::-1][:, :modes].T
+    axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+    return mean, axes, values[::-1][:modes]
 
 
 def pca(snapshots: DataFrame, modes: int) -> DataFrame:
     """(t, x): centred snapshots projected on the first principal axes."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    mean, axes, _ = principal_axes(snapshots, modes)
+    return project(snapshots, axes, mean)
+
+
+def project(snapshots: DataFrame, basis: np.ndarray, mean: np.ndarray | float = 0.0) -> DataFrame:
+    """(t, x): the products of centred snapshots with the rows of basis."""
+    return by_batch(snapshots, lambda x: (x - mean) @ basis.T)
+
+
+def reconstruct(coordinates: DataFrame, basis: np.ndarray, fourier_mean: np.ndarray | float, mean_field: np.ndarray | float) -> DataFrame:
+    """(t, x): fields from coordinates of packed Fourier coefficients in the rows of basis."""
+    if basis.shape[1] % 2:
+        raise ValueError("an even number of dimensions is needed")
+    return by_batch(coordinates, lambda x: unpack(x @ basis + fourier_mean) + mean_field)
+
 
-    v = snapshots.select("t", array_to_vector(F.transform("x", lambda e: e.cast("double"))).alias("v"))
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="v", outputCol="c").fit(v).transform(v)
-    return PCA(k=modes, inputCol="c", outputCol="p").fit(centred).transform(centred).select("t", vector_to_array("p").alias("x"))

@@ -6,9 +6,12 @@ each dimension and are broadcast: dimensions don't grow with the observations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from densityflow.functions.noise import hash_uniform, noise_key
+from densityflow.sources.store import stored
+
 EPS = 2.220446049250313e-16
 
 
@@ -55,7 +58,10 @@ def unnormalize(long: DataFrame, by: DataFrame) -> DataFrame:
 
 
 def add_mean_field(long: DataFrame, field: DataFrame) -> DataFrame:
-    """field: (dim, mean) of the retained dimensions."""
+    """field: (dim, mean), for the dimensions of long and no others."""
+    differing = long.select("dim").distinct().join(field.select("dim", F.lit(1).alias("_in")), "dim", "full").where("_in IS NULL").limit(1).count()
+    if differing or field.join(long.select("dim").distinct(), "dim", "left_anti").limit(1).count():
+        raise ValueError("the field has other dimensions")
     return long.join(F.broadcast(field.select("dim", "mean")), "dim").select("t", "dim", (F.col("x") + F.col("mean")).alias("x"))
 
 
@@ -135,3 +141,93 @@ def circshift_mean_field(long: DataFrame, copies: int, dims: int) -> DataFrame:
 def burned_in(trajectories: DataFrame, burnin: int, resolution: int) -> DataFrame:
     """(traj, k, x) without the first min(S, ceil(burnin / resolution) + 1) snapshots of each."""
     return trajectories.where(F.col("k") >= -(-burnin // resolution) + 1)
+
+
+def normalize_vector(x: Column, mean: Column, std: Column) -> Column:
+    """Of arrays of one length."""
+    return F.transform(F.arrays_zip(x.alias("x"), mean.alias("m"), std.alias("s")), lambda p: (p["x"] - p["m"]) / p["s"])
+
+
+def unnormalize_vector(x: Column, mean: Column, std: Column) -> Column:
+    return F.transform(F.arrays_zip(x.alias("x"), mean.alias("m"), std.alias("s")), lambda p: p["x"] * p["s"] + p["m"])
+
+
+def scales_row(by: DataFrame) -> DataFrame:
+    """(mean array, std array), one row from scales; a value for each dimension."""
+    one = by.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("s"))
+    return one.select(F.transform("s", lambda p: p["mean"]).alias("mean"), F.transform("s", lambda p: p["std"]).alias("std"))
+
+
+def observable(long: DataFrame, k: int, dims: int) -> DataFrame:
+    """(t, x) of one dimension, k being brought into 0 .. dims - 1."""
+    return long.where(F.col("dim") == max(0, min(k, dims - 1))).select("t", "x")
+
+
+def window_head(long: DataFrame, window: int, dt: float, stride: int = 1) -> DataFrame:
+    """(time, dim, x) of the first times, on the axis of the series before it was strided."""
+    return long.where(F.col("t") < window).select((F.col("t") * F.lit(dt * stride)).alias("time"), "dim", "x")
+
+
+def for_kde(snapshots: DataFrame, n: int, dims: int, most: int) -> DataFrame:
+    """(x): the values of every ceil(n / max(1, most / dims))-th of n snapshots."""
+    return strided(snapshots, n, max(1, most // dims)).select(F.explode("x").alias("x")).select(F.col("x").cast("double").alias("x"))
+
+
+def numbered(df: DataFrame, order: list[str], to: str) -> DataFrame:
+    """df with the place of each row in the order, from 0 without gaps: ranges are sorted where they
+    are, and only their counts meet."""
+    part, place = "_part", "_place"
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(part, (F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))  # a row for each range
+    return ranged.join(F.broadcast(before), part).withColumn(to, F.coalesce("_before", F.lit(0)) + F.col(place)).drop(part, place, "_before")
+
+
+def bootstrap(numbered_rows: DataFrame, n: int, at: str, train: int, check: int, seed: int) -> DataFrame:
+    """Draws with replacement: (k, train, and the drawn row's columns), training draws first."""
+    spark = numbered_rows.sparkSession
+    u = hash_uniform(noise_key(seed, 0, F.col("k"), 9))
+    draws = spark.range(train + check).select(F.col("id").alias("k"), (F.col("id") < train).alias("train")).withColumn("_pick", F.least(F.floor(u * n), F.lit(n - 1)))
+    return draws.join(numbered_rows, F.col("_pick") == F.col(at)).drop("_pick")
+
+
+def minibatches(df: DataFrame, key: str, epochs: int, size: int, seed: int) -> DataFrame:
+    """df for each epoch in an order of its own, with its place and the batch of so many that it falls into."""
+    out = None
+    for epoch in range(1, epochs + 1):
+        mixed = df.withColumn("_k", F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col(key).cast("string"))))
+        placed = numbered(mixed, ["_k"], "place").drop("_k").withColumn("epoch", F.lit(epoch)).withColumn("batch", F.floor(F.col("place") / size).cast("int"))
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
+def circshift_modes(snapshots: DataFrame, stride: int, copies: int, dims: int, n: int) -> DataFrame:
+    """(t, dim, x): copies turned by 0 .. copies - 1 places, less the mean of all copies, at every
+    stride-th place. Places that are not kept are never made."""
+    if stride <= 0:
+        raise ValueError("the stride must be positive")
+    copies = max(copies, 1)
+    mean = circshift_mean_field(to_long(snapshots), copies, dims)
+    out = snapshots.select("t", "x", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    kept = F.transform(F.sequence(F.lit(0), F.lit(dims - 1), F.lit(stride)), lambda i: F.struct(i.alias("place"), F.col("x")[F.pmod(i - F.col("copy"), F.lit(dims))].cast("double").alias("x")))
+    rows = out.select((F.col("copy") * n + F.col("t")).alias("t"), F.explode(kept).alias("e")).select("t", "e.place", "e.x")
+    rows = rows.join(F.broadcast(mean.select(F.col("dim").alias("place"), "mean")), "place")
+    return rows.select("t", (F.col("place") / stride).cast("int").alias("dim"), (F.col("x") - F.col("mean")).alias("x"))
+
+
+def nearest_by_rank(points: DataFrame, places: list[float], k: int) -> DataFrame:
+    """(place, z): the mean z over the k points (x, z) around each place in the order of x: k / 2 before
+    the first that is not less, moved inwards at the ends. Only ranks within windows are joined."""
+    n = points.count()
+    if not n:
+        raise ValueError("there are no points")
+    ranked = numbered(points.select("x", "z"), ["x", "z"], "rank")
+    grid = points.sparkSession.createDataFrame([(i, float(p)) for i, p in enumerate(places)], "i int, place double")
+    below = [F.sum((F.col("x") < F.lit(float(p))).cast("long")).alias(f"b{i}") for i, p in enumerate(places)]
+    counts = points.agg(*below)
+    at = grid.join(F.broadcast(counts)).withColumn("below", F.get(F.array(*[f"b{i}" for i in range(len(places))]), F.col("i")))
+    low = F.greatest(F.lit(0), F.col("below") - k // 2)
+    high = F.least(F.lit(n - 1), low + k - 1)
+    spans = at.select("place", F.greatest(F.lit(0), high - k + 1).alias("low"), high.alias("high"))
+    ranks = spans.select("place", F.explode(F.sequence("low", "high")).alias("rank"))
+    return ranks.join(ranked, "rank").groupBy("place").agg(F.avg("z").alias("z"))

@@ -14,8 +14,6 @@ from densityflow.streaming.stats import stream_cell_sums
 SIGMA, SEED, ROUNDS = 0.1, 7, 4
 LOW, WIDTH, CELLS = -2.0, 0.25, 28
 DIMS = 64
-# A fixed small network of two inputs, so that its outputs can be checked.
-NET = [(np.array([[0.5, -1.25], [1.0, 0.75], [-0.5, 0.25]]), np.array([0.1, -0.2, 0.3])), (np.array([[0.8, -0.6, 0.4], [-0.3, 0.9, 0.2]]), np.array([0.05, -0.1]))]
 # Coefficients of the reduced one-dimensional model.
 REDUCED = {"a": -0.0222, "b": -0.2, "c": 0.0494, "f": 0.6, "big_a": 0.156, "big_b": -0.0765, "s": 0.7071}
 QUERIES: dict = {}
@@ -113,15 +111,18 @@ def kgmm_convergence_trace(spark, d):
     return _rounded(kgmm.trace(_noisy(_points(spark, d, "orders", "o_orderkey", "o_totalprice"), 6), 6))
 
 
-@query()
-def kgmm_converged(spark, d):
-    def keep(df):
-        path = store.shared_path(spark)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
+#: Rounds at most, in the query and in SQL.
+MOST_ROUNDS = 12
 
-    result, rounds = kgmm.converge(_events(spark, d), SIGMA, lambda x: kgmm.grid_cell(x, LOW, WIDTH, CELLS), SEED, keep=keep)
-    return result.withColumn("rounds", F.lit(rounds))
+
+@query(f"""WITH {EVENTS}, {_noisy_sql(MOST_ROUNDS)}, e AS (SELECT round, cell, sum(z) AS sz, sum(z * z) AS szz, sum(x) AS sx, count(*) AS c FROM n GROUP BY ALL),
+u AS (SELECT b.round, a.cell, sum(sz) AS sz, sum(szz) AS szz, sum(sx) AS sx, sum(c) AS n FROM e a JOIN (SELECT DISTINCT round FROM e) b ON a.round <= b.round GROUP BY ALL),
+d AS (SELECT x.round, sum((x.sz / x.n - coalesce(y.sz / y.n, 0)) ** 2) / greatest(sum((x.sz / x.n) ** 2), 1e-300) AS delta FROM u x LEFT JOIN u y ON y.round = x.round - 1 AND y.cell = x.cell WHERE x.round > 1 GROUP BY x.round),
+r AS (SELECT coalesce(min(round) FILTER (delta <= 0.01e0), {MOST_ROUNDS}) AS rounds FROM d)
+SELECT cell, CAST(n AS BIGINT) AS n, round(sx / n, 6) AS center0, round(-(sz / n) / {SIGMA}e0, 6) AS score0, round((szz / n - 1) / ({SIGMA}e0 * {SIGMA}e0) - (sz / n / {SIGMA}e0) ** 2, 4) AS divergence, CAST(rounds AS INT) AS rounds FROM u JOIN r ON u.round = r.rounds""")
+def kgmm_converged(spark, d):
+    result, rounds = kgmm.converge(_events(spark, d), SIGMA, lambda n: kgmm.grid_cell(n["x0"], LOW, WIDTH, CELLS), SEED, most=MOST_ROUNDS)
+    return _rounded(result.withColumn("rounds", F.lit(rounds)), divergence=4)
 
 
 @query(f"""WITH m AS (SELECT avg(l_quantity) AS a, stddev_samp(l_quantity) AS b, avg(l_extendedprice) AS c, stddev_samp(l_extendedprice) AS e FROM lineitem),
@@ -148,15 +149,91 @@ m3 AS (SELECT c2, avg(x) AS m FROM b WHERE round = 1 GROUP BY c2), t AS (SELECT
 {_cells_sql().replace("FROM n GROUP", "FROM t GROUP")}""")
 def kgmm_mean_split_tree(spark, d):
     noisy = _noisy(_points(spark, d, "orders", "o_orderkey", "o_totalprice"), 2).drop("cell")
-    return _rounded(kgmm.scores(kgmm.cell_sums(kgmm.mean_split_tree(noisy, 3), ["cell"]), ["cell"], F.lit(SIGMA)), divergence=4)
+    tree = kgmm.Tree(noisy.where("round = 1"), 3)
+    return _rounded(kgmm.scores(kgmm.cell_sums(noisy.withColumn("cell", tree.cell(noisy)), ["cell"]), ["cell"], F.lit(SIGMA)), divergence=4)
+
+
+def _tree_sql(depth: int, dims: int) -> str:
+    """Tables a0 .. a<depth>: rows of n (round, x0 .., s whether in the sample) with their cell."""
+    out = "a0 AS (SELECT *, 0 AS cell FROM n)"
+    for k in range(depth):
+        x = f"x{k % dims}"
+        out += f", m{k} AS (SELECT cell, avg({x}) AS m FROM a{k} WHERE round = 1 AND s GROUP BY cell), a{k + 1} AS (SELECT a.* EXCLUDE (cell), CAST(a.cell * 2 + coalesce(CAST({x} > m AS INT), 0) AS INT) AS cell FROM a{k} a LEFT JOIN m{k} USING (cell))"
+    return out
+
+
+_FOUR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _lineitem(spark, d) -> DataFrame:
+    """(row, y0 .. y3), normalised."""
+    df = _table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("row"), *_FOUR)
+    s = df.agg(*[f(c).alias(f"{k}{j}") for j, c in enumerate(_FOUR) for k, f in (("m", F.avg), ("s", F.stddev_samp))])
+    return df.join(F.broadcast(s)).select("row", *[((F.col(c) - F.col(f"m{j}")) / F.col(f"s{j}")).alias(f"y{j}") for j, c in enumerate(_FOUR)])
+
+
+_LINEITEM_NOISE = f"""f AS (SELECT {", ".join(f"avg({c}) AS m{j}, stddev_samp({c}) AS s{j}" for j, c in enumerate(_FOUR))} FROM lineitem),
+p AS (SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey) AS r, {", ".join(f"({c} - m{j}) / s{j} AS y{j}" for j, c in enumerate(_FOUR))} FROM lineitem, f),
+q AS (SELECT k AS round, r, {", ".join(f"y{j}, " + _hn(f"concat('{SEED}:', k, ':', r, ':{j + 1}')") + f" AS z{j}" for j in range(4))} FROM p, range(1, 3) AS g(k)),
+n AS (SELECT round, {", ".join(f"z{j}, y{j} + <sigma> * z{j} AS x{j}" for j in range(4))}, CAST('0x' || substr(md5(r), 1, 8) AS BIGINT) % greatest(1, CAST(ceil((SELECT count(*) FROM lineitem) / 5000e0) AS BIGINT)) = 0 AS s FROM q)"""
+
+
+def _four_sql(sigma: str, depth: int) -> str:
+    s = [f"(-avg(z{j}) / {sigma})" for j in range(4)]
+    return f"""SELECT cell, count(*) AS n, {", ".join(f"round(avg(x{j}), 6) AS center{j}, round({s[j]}, 6) AS score{j}" for j in range(4))},
+  round((avg({" + ".join(f"z{j} * z{j}" for j in range(4))}) - 4) / ({sigma} * {sigma}) - {" - ".join(f"{x} * {x}" for x in s)}, 3) AS divergence FROM a{depth} GROUP BY cell"""
+
+
+@query(f"WITH {_LINEITEM_NOISE.replace('<sigma>', '0.1e0')}, {_tree_sql(4, 4)} {_four_sql('0.1e0', 4)}")
+def kgmm_estimate_4d(spark, d):
+    """Two rounds in cells of a sixteenth, fitted to a sample of 5,000 points."""
+    found, _ = kgmm.estimate(_lineitem(spark, d), 0.1, 4, prob=1 / 16, conv=0.0, most=2, seed=SEED, most_samples=5000)
+    return _rounded(found, divergence=3)
+
+
+@query(f"""WITH {EMB}, q AS (SELECT k AS round, t, dim, {_hn(f"concat('{SEED}:', k, ':', t, ':', dim + 1)")} AS z, x AS y FROM emb, range(1, 3) AS g(k)),
+l AS (SELECT round, t, dim, z, y + 0.1e0 * z AS x FROM q), n AS (SELECT round, t, {", ".join(f"max(x) FILTER (dim = {k}) AS x{k}" for k in range(3))}, true AS s FROM l GROUP BY round, t), {_tree_sql(3, 3)},
+c AS (SELECT cell, dim, count(*) AS n, avg(l.x) AS center, -avg(z) / 0.1e0 AS score, avg(z * z) AS zz FROM l JOIN a3 USING (round, t) GROUP BY ALL),
+v AS (SELECT cell, (sum(zz) - {DIMS}) / 0.01e0 - sum(score * score) AS divergence FROM c GROUP BY cell)
+SELECT cell, dim, n, round(center, 6) AS center, round(score, 6) AS score, round(divergence, 3) AS divergence FROM c JOIN v USING (cell)""")
+def kgmm_estimate_64d(spark, d):
+    """All dimensions of the embeddings, in cells of an eighth."""
+    points = _emb(spark, d).select(F.col("t").alias("row"), *[F.col("x")[j].cast("double").alias(f"y{j}") for j in range(DIMS)])
+    found, _ = kgmm.estimate(points, 0.1, DIMS, prob=1 / 8, conv=0.0, most=2, seed=SEED)
+    each = F.posexplode(F.array(*[F.struct(F.col(f"center{j}").alias("center"), F.col(f"score{j}").alias("score")) for j in range(DIMS)])).alias("dim", "e")
+    return _rounded(found.select("cell", "n", "divergence", each).select("cell", "dim", "n", "e.center", "e.score", "divergence"), divergence=3)
+
+
+@query(" UNION ALL ".join(f"(WITH {_LINEITEM_NOISE.replace('<sigma>', f'{x}e0')}, {_tree_sql(2, 4)}, c AS ({_four_sql(f'{x}e0', 2)}) SELECT {x}e0 AS sigma, * FROM c)" for x in (0.05, 0.2)))
+def kgmm_sigma_trees(spark, d):
+    """Each sigma in cells of its own."""
+    points, out = store.stored(_lineitem(spark, d)), None
+    for sigma in (0.05, 0.2):
+        found = kgmm.estimate(points, sigma, 4, prob=1 / 4, conv=0.0, most=2, seed=SEED, most_samples=5000)[0].withColumn("sigma", F.lit(sigma))
+        out = found if out is None else out.unionByName(found)
+    return _rounded(out, divergence=3)
+
+
+@query(" UNION ALL ".join(f"(WITH {_LINEITEM_NOISE.replace('<sigma>', '0.1e0')}, {_tree_sql(k, 4)}, c AS (SELECT cell, count(*) AS n, " + " + ".join(f"(avg(z{j}) / 0.1e0) ** 2" for j in range(4)) + f" AS square FROM a{k} GROUP BY cell) SELECT 1e0 / {2**k} AS prob, count(*) AS cells, round(sum(n * square) / sum(n), 6) AS square FROM c)" for k in (1, 2, 3)))
+def kgmm_prob_sweep(spark, d):
+    """Numbers of cells and mean squared scores by the share of a cell."""
+    points, out = store.stored(_lineitem(spark, d)), None
+    for k in (1, 2, 3):
+        found, _ = kgmm.estimate(points, 0.1, 4, prob=1 / 2**k, conv=0.0, most=2, seed=SEED, most_samples=5000)
+        square = sum((F.col(f"score{j}") * F.col(f"score{j}") for j in range(1, 4)), F.col("score0") * F.col("score0"))
+        row = found.agg(F.count(F.lit(1)).alias("cells"), (F.sum(F.col("n") * square) / F.sum("n")).alias("square")).withColumn("prob", F.lit(1 / 2**k))
+        out = row if out is None else out.unionByName(row)
+    return _rounded(out)
 
 
 @query()
 def kgmm_bisecting(spark, d):
-    x = _emb(spark, d).select(F.col("t").alias("row"), *[F.col("x")[j].cast("double").alias(f"y{j}") for j in range(4)])
-    noisy = kgmm.draw(x, F.lit(0.1), range(1, 3), SEED, 4)
-    model = kgmm.bisecting_cells(noisy.where("round = 1"), 0.02, [f"x{j}" for j in range(4)])
-    return kgmm.scores(kgmm.cell_sums(model.transform(noisy), ["cell"], 4), ["cell"], F.lit(0.1), 4)
+    """All dimensions, in cells fitted by bisecting k-means."""
+    points = _emb(spark, d).select(F.col("t").alias("row"), *[F.col("x")[j].cast("double").alias(f"y{j}") for j in range(DIMS)])
+    noisy = kgmm.draw(points, F.lit(0.1), range(1, 3), SEED, DIMS)
+    sample = kgmm.on_stride(noisy.where("round = 1"), points.count(), kgmm.partition_cap(0.02))
+    model = kgmm.bisecting_cells(sample, 0.02, [f"x{j}" for j in range(DIMS)])
+    return kgmm.scores(kgmm.cell_sums(model.transform(noisy), ["cell"], DIMS), ["cell"], F.lit(0.1), DIMS)
 
 
 @query(f"WITH {EVENTS}, {_noisy_sql()}, c AS ({_cells_sql().replace('round(', '(').replace(', 6)', ')').replace(', 4)', ')')}) SELECT round(center0, 6) AS center0, round(-0.1e0 * score0, 6) AS target0, n AS weight FROM c")
@@ -196,7 +273,8 @@ def roundtrip_unnormalize(spark, d):
 @query(f"WITH {EMB}, m AS (SELECT dim, avg(x) AS mean FROM emb GROUP BY dim) SELECT t, emb.dim, round(x + mean, 6) AS x FROM emb JOIN m USING (dim) WHERE emb.dim < 8")
 def physical_subset(spark, d):
     e = _emb_long(spark, d)
-    return _rounded(transform.add_mean_field(e, transform.dim_stats(e.where("dim < 8"))))
+    kept = e.where("dim < 8")
+    return _rounded(transform.add_mean_field(kept, transform.dim_stats(kept)))
 
 
 @query(f"WITH {EMB} SELECT dim, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS low, round(max(x), 6) AS high, round(sum(x), 6) AS total FROM emb GROUP BY dim")
@@ -478,63 +556,95 @@ def weighted_linear_score(spark, d):
     return _rounded(mlp.weighted_linear(cells))
 
 
-def _net_sql() -> tuple[str, list[str], list[list[str]]]:
-    """The fixed network and its Jacobian over columns x0, x1 in SQL."""
-    (w1, b1), (w2, b2) = NET
-    u = [f"({w1[i, 0]}e0 * x0 + {w1[i, 1]}e0 * x1 + {b1[i]}e0)" for i in range(3)]
-    hidden = ", ".join(f"{u[i]} AS u{i}, 1e0 / (1e0 + exp(-{u[i]})) AS s{i}" for i in range(3))
-    y = [" + ".join(f"{w2[o, i]}e0 * u{i} * s{i}" for i in range(3)) + f" + {b2[o]}e0" for o in range(2)]
-    j = [[" + ".join(f"{w2[o, i]}e0 * (s{i} + u{i} * s{i} * (1e0 - s{i})) * {w1[i, k]}e0" for i in range(3)) for k in range(2)] for o in range(2)]
-    return f"WITH e AS (SELECT vec_id AS t, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1 FROM embeddings), h AS (SELECT *, {hidden} FROM e)", y, j
+def _lists(w: np.ndarray) -> str:
+    return "[" + ", ".join("[" + ", ".join(f"{v}e0" for v in row) + "]" for row in w) + "]"
 
 
-_HEAD, _Y, _J = _net_sql()
+def _wide_net() -> list:
+    """A fixed network of all dimensions with eight units, by a rule, so that its outputs can be checked."""
+    i, j = np.arange(8)[:, None], np.arange(DIMS)[None, :]
+    return [(np.round(0.5 * np.sin(0.7 * i + 0.3 * j + 0.1), 3), np.round(0.1 * np.cos(np.arange(8)), 3)), (np.round(0.5 * np.cos(0.5 * j.T + 0.9 * i.T), 3), np.round(0.1 * np.sin(np.arange(DIMS)), 3))]
 
 
-def _two(spark, d) -> DataFrame:
-    return _emb(spark, d).select("t", F.col("x")[0].cast("double").alias("x0"), F.col("x")[1].cast("double").alias("x1"))
+NET = _wide_net()
+(_W1, _B1), (_W2, _B2) = NET
+_HEAD = f"""WITH w AS (SELECT {_lists(_W1)} AS w1, {_lists(_B1[None])}[1] AS b1, {_lists(_W2)} AS w2, {_lists(_B2[None])}[1] AS b2, {_lists(_W1.T)} AS w1t, {_lists(_W2.T)} AS w2t),
+e AS (SELECT vec_id AS t, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+u AS (SELECT t, x, list_transform(range(1, 9), lambda m: list_dot_product(w1[m], x) + b1[m]) AS u, w.* FROM e, w),
+h AS (SELECT *, list_transform(u, lambda v: v / (1e0 + exp(-v))) AS h, list_transform(u, lambda v: 1e0 / (1e0 + exp(-v)) * (1e0 + v * (1e0 - 1e0 / (1e0 + exp(-v))))) AS slope FROM u)"""
 
 
-@query(f"{_HEAD} SELECT t, round(-({_Y[0]}) / 0.1e0, 6) AS score0, round(-({_Y[1]}) / 0.1e0, 6) AS score1 FROM h")
+@query(f"{_HEAD} SELECT t, CAST(k - 1 AS INT) AS dim, round(-(list_dot_product(w2[k], h) + b2[k]) / 0.1e0, 6) AS x FROM h, range(1, {DIMS + 1}) AS g(k)")
 def mlp_score(spark, d):
-    y = mlp.outputs(NET, [F.col("x0"), F.col("x1")])
-    return _rounded(_two(spark, d).select("t", *[(-v / F.lit(0.1)).alias(f"score{k}") for k, v in enumerate(y)]))
+    return _rounded(transform.to_long(mlp.scores(NET, _emb(spark, d), 0.1)))
 
 
-@query(f"{_HEAD} SELECT t, " + ", ".join(f"round(-({_J[o][k]}) / 0.1e0, 6) AS j{o}{k}" for o in (0, 1) for k in (0, 1)) + " FROM h")
+@query(f"""{_HEAD}, j AS (SELECT t, o, list_transform(range(1, {DIMS + 1}), lambda i: -list_sum(list_transform(range(1, 9), lambda m: w2[o][m] * slope[m] * w1[m][i])) / 0.1e0) AS j FROM h, range(1, {DIMS + 1}) AS g(o))
+SELECT t, CAST(o - 1 AS INT) AS dim, round(list_sum(j), 5) AS total, round(sqrt(list_dot_product(j, j)), 5) AS norm FROM j""")
 def mlp_jacobian(spark, d):
-    j = mlp.jacobian(NET, [F.col("x0"), F.col("x1")])
-    return _rounded(_two(spark, d).select("t", *[(-j[o][k] / F.lit(0.1)).alias(f"j{o}{k}") for o in (0, 1) for k in (0, 1)]))
+    """Sums and norms of the rows of the score's Jacobian at each snapshot."""
+    rows = mlp.jacobian(NET, _emb(spark, d), 0.1).select("t", F.posexplode("x").alias("p", "j"))
+    by_row = rows.groupBy("t", F.floor(F.col("p") / DIMS).cast("int").alias("dim"))
+    return _rounded(by_row.agg(F.sum("j").alias("total"), F.sqrt(F.sum(F.col("j") * F.col("j"))).alias("norm")), 5)
 
 
-@query(f"{_HEAD} SELECT t, round(-(({_J[0][0]}) + ({_J[1][1]})) / 0.1e0, 6) AS divergence FROM h")
+@query(f"{_HEAD} SELECT t, round(-list_sum(list_transform(range(1, 9), lambda m: list_dot_product(w2t[m], w1[m]) * slope[m])) / 0.1e0, 6) AS divergence FROM h")
 def mlp_divergence(spark, d):
-    j = mlp.jacobian(NET, [F.col("x0"), F.col("x1")])
-    return _rounded(_two(spark, d).select("t", (-(j[0][0] + j[1][1]) / F.lit(0.1)).alias("divergence")))
+    return _rounded(mlp.divergence(NET, _emb(spark, d), 0.1))
 
 
-@query()
+@query(f"""{_HEAD}, v AS (SELECT t, k, w1, w2t, slope, list_transform(range(0, {DIMS}), lambda j: CASE WHEN substr(md5(concat('{SEED}:', k, ':', t, ':', j)), 1, 1) < '8' THEN 1e0 ELSE -1e0 END) AS v FROM h, range(0, 4) AS g(k))
+SELECT t, round(-avg(list_sum(list_transform(range(1, 9), lambda m: list_dot_product(w2t[m], v) * slope[m] * list_dot_product(w1[m], v)))) / 0.1e0, 6) AS divergence FROM v GROUP BY t""")
 def mlp_divergence_probes(spark, d):
-    return mlp.divergence_frame(NET, _two(spark, d).withColumnRenamed("t", "row"), 0.1, 2, probes=4)
+    return _rounded(mlp.probed_divergence(NET, _emb(spark, d), 0.1, DIMS, 4, SEED))
+
+
+_PAIRS = f"""l AS (SELECT t, dim, x + 0.1e0 * {_hn(f"concat('{SEED}:1:', t, ':', dim + 1)")} AS x, {_hn(f"concat('{SEED}:1:', t, ':', dim + 1)")} AS z FROM emb)"""
+
+
+@query(_HEAD.replace("WITH w AS", f"WITH {EMB}, {_PAIRS}, w AS").replace("e AS (SELECT vec_id AS t, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)", "e AS (SELECT t, list(x ORDER BY dim) AS x, list(z ORDER BY dim) AS z FROM l GROUP BY t)").replace("SELECT t, x, list_transform(range", "SELECT t, x, z, list_transform(range") + f"""
+SELECT round(avg(pow(list_dot_product(w2[k], h) + b2[k] - z[k], 2)), 6) AS loss, round(sum(pow(list_dot_product(w2[k], h) + b2[k] - z[k], 2)) / (SELECT count(*) FROM embeddings), 5) AS loss_all_dims FROM h, range(1, {DIMS + 1}) AS g(k)""")
+def mlp_full_loss(spark, d):
+    """The loss over all pairs of one round of noise."""
+    points = _emb(spark, d).select(F.col("t").alias("row"), *[F.col("x")[j].cast("double").alias(f"y{j}") for j in range(DIMS)])
+    rows, state = store.stored(mlp.noisy_rows(points, 0.1, DIMS, SEED)(1)), mlp.start(NET)
+    losses = mlp.full_loss(state, rows), mlp.full_loss(state, rows, by_dim=False)
+    return _rounded(spark.createDataFrame([losses], "loss double, loss_all_dims double"), loss_all_dims=5)
+
+
+def _training_cells(spark, d) -> DataFrame:
+    return kgmm.training_set(kgmm.scores(kgmm.cell_sums(_noisy(_events(spark, d)), ["cell"]), ["cell"], F.lit(SIGMA)), SIGMA)
 
 
-def _trained(spark, d):
-    cells = kgmm.training_set(kgmm.scores(kgmm.cell_sums(_noisy(_events(spark, d)), ["cell"]), ["cell"], F.lit(SIGMA)), SIGMA).orderBy("center0").toPandas()  # CELLS rows at most
-    return mlp.train_cells(mlp.build([1, 32, 16, 1], 1), cells, 200)
+def _snapshots(points: DataFrame) -> DataFrame:
+    return points.select(F.col("row").alias("t"), F.array("y0").alias("x"))
 
 
 @query()
 def mlp_train_kgmm(spark, d):
-    net, losses = _trained(spark, d)
-    y = mlp.outputs(net, [F.col("y0")])[0]
-    return _events(spark, d).select("row", (-y / F.lit(SIGMA)).alias("score"), F.lit(losses[-1]).alias("loss"))
+    """Scores of a network trained on the averages of noise in cells."""
+    rows = mlp.cell_rows(store.stored(_training_cells(spark, d)), 1)
+    state = mlp.train(mlp.start(mlp.build([1, 32, 16, 1], 1), 1e-2), rows, 40, batch=8, seed=SEED)
+    found = mlp.scores(state.net, _snapshots(_events(spark, d)), SIGMA)
+    return found.select(F.col("t").alias("row"), F.col("x")[0].alias("score"), F.lit(state.losses[-1]).alias("loss"))
 
 
 @query()
 def mlp_train_dsm(spark, d):
-    net, losses = mlp.train_raw(mlp.build([1, 16, 1], 1), _events(spark, d), SIGMA, 5, SEED)
-    y = mlp.outputs(net, [F.col("y0")])[0]
-    return _events(spark, d).select("row", (-y / F.lit(SIGMA)).alias("score"), F.lit(losses[-1]).alias("loss"))
+    """Scores of a network trained on fresh noise in each epoch, a step for each minibatch of every shard."""
+    points = store.stored(_events(spark, d))
+    model = mlp.fit(points, 1, SIGMA, (16,), epochs=5, batch=256, rate=1e-2, shards=4, seed=SEED)
+    return model.score(_snapshots(points)).select(F.col("t").alias("row"), F.col("x")[0].alias("score"), F.lit(model.state.losses[-1]).alias("loss"))
+
+
+@query()
+def mlp_fit_resumed(spark, d):
+    """A model of four dimensions from cells, trained further from its state, and its exact divergence."""
+    points = store.stored(_lineitem(spark, d))
+    options = {"hidden": (16,), "batch": 64, "rate": 1e-2, "preprocessing": True, "seed": SEED, "prob": 1 / 64, "conv": 0.05, "most": 3}
+    model = mlp.fit(points, 4, 0.1, epochs=3, **options)
+    model = mlp.fit(points, 4, 0.1, epochs=2, state=model.state, **options)
+    return model.divergence(points.select(F.col("row").alias("t"), F.array(*[f"y{j}" for j in range(4)]).alias("x")))
 
 
 @query(f"""WITH {EVENTS} SELECT r AS row, round((2 * ({REDUCED['f']}e0 + {REDUCED['a']}e0 * y + {REDUCED['b']}e0 * y * y - {REDUCED['c']}e0 * y * y * y) - (-2e0 * {REDUCED['big_b']}e0) * ({REDUCED['big_a']}e0 - {REDUCED['big_b']}e0 * y))
@@ -553,9 +663,9 @@ def euler_fold(spark, d):
 @query()
 def langevin_ensemble(spark, d):
     """A trajectory from every event under the learned score, without its burn-in."""
-    net, _ = _trained(spark, d)
+    state = mlp.train(mlp.start(mlp.build([1, 32, 16, 1], 1), 1e-2), mlp.cell_rows(store.stored(_training_cells(spark, d)), 1), 40, batch=8, seed=SEED)
     starts = _events(spark, d).select(F.col("row").alias("traj"), F.array("y0").alias("x"))
-    paths = langevin.evolve(starts, lambda x: -mlp.forward(net, x)[0] / SIGMA, 2**0.5, 0.0025, 80, 20, (-10.0, 10.0), SEED)
+    paths = langevin.evolve(starts, lambda x: -mlp.forward(state.net, x)[0] / SIGMA, 2**0.5, 0.0025, 80, 20, (-10.0, 10.0), SEED)
     return transform.burned_in(paths, 20, 20)
 
 
@@ -577,18 +687,165 @@ def fourier_roundtrip(spark, d):
     return _rounded(transform.to_long(spectral.fourier_unpack(spectral.fourier_pack(_emb(spark, d), DIMS), DIMS)), x=5)
 
 
+@query(f"WITH {EMB} SELECT a.dim AS i, b.dim AS j, round(covar_samp(a.x, b.x), 8) AS c FROM emb a JOIN emb b USING (t) GROUP BY ALL")
+def dim_covariance(spark, d):
+    return _rounded(spectral.covariance(_emb(spark, d)).select("i", "j", "c"), 8)
+
+
+@query(f"WITH {EMB}, n AS (SELECT greatest(1, count(*) // 128) AS s FROM embeddings) SELECT a.dim AS i, b.dim AS j, round(covar_samp(a.x, b.x), 8) AS c FROM emb a JOIN emb b USING (t), n WHERE t % s = 0 GROUP BY ALL")
+def dim_covariance_strided(spark, d):
+    e = _emb(spark, d)
+    return _rounded(spectral.covariance(e, decorrelation.every_time(e.count(), 128)).select("i", "j", "c"), 8)
+
+
+@query(f"WITH {EMB} SELECT round(sum(v), 6) AS variance FROM (SELECT var_samp(x) AS v FROM emb GROUP BY dim)")
+def pca_variance(spark, d):
+    """All axes together hold the variance of all dimensions."""
+    p = transform.to_long(spectral.pca(_emb(spark, d), DIMS))
+    return _rounded(p.groupBy("dim").agg(F.var_samp("x").alias("v")).agg(F.sum("v").alias("variance")))
+
+
 @query()
 def pca_project(spark, d):
     return transform.to_long(spectral.pca(_emb(spark, d), 4))
 
 
-@query(f"WITH {EMB} SELECT dim, round(avg(x), 6) AS mean FROM emb GROUP BY dim")
+_BASIS = np.round(np.cos(np.pi * (np.arange(DIMS)[None, :] + 0.5) * np.arange(8)[:, None] / DIMS) * 0.2, 4)
+_COORDINATES = f"b AS (SELECT {_lists(_BASIS)} AS b, {_lists(_BASIS.T)} AS bt), y AS (SELECT vec_id AS t, list_transform(range(1, 9), lambda k: list_dot_product(b[k], list_transform(embedding, lambda v: v::DOUBLE))) AS y, bt FROM embeddings, b)"
+
+
+@query(f"WITH {_COORDINATES} SELECT t, CAST(k - 1 AS INT) AS dim, round(y[k], 6) AS x FROM y, range(1, 9) AS g(k)")
+def basis_projection(spark, d):
+    return _rounded(transform.to_long(spectral.project(_emb(spark, d), _BASIS)))
+
+
+@query(f"""WITH {_COORDINATES}, c AS (SELECT t, i - 1 AS p, list_dot_product(bt[i], y) + 0.01e0 AS c FROM y, range(1, {DIMS + 1}) AS g(i)),
+f AS (SELECT t, j, sum(c * CASE WHEN p = 0 THEN 1e0 WHEN p = {DIMS - 1} THEN cos(pi() * j) WHEN p % 2 = 1 THEN 2e0 * cos(2e0 * pi() * ((p + 1) // 2) * j / {DIMS}e0) ELSE -2e0 * sin(2e0 * pi() * (p // 2) * j / {DIMS}e0) END) / {DIMS} AS x FROM c, range(0, {DIMS}) AS g(j) GROUP BY t, j)
+SELECT t, CAST(j AS INT) AS dim, round(x + 0.5e0, 6) AS x FROM f""")
+def reconstruct_fields(spark, d):
+    return _rounded(transform.to_long(spectral.reconstruct(spectral.project(_emb(spark, d), _BASIS), _BASIS, 0.01, 0.5)))
+
+
+@query(f"""WITH {EMB}, n AS (SELECT count(*) AS n FROM embeddings), c AS (SELECT k * n + t AS t, (dim + k) % {DIMS} AS place, x FROM emb, n, range(0, 4) AS g(k)),
+m AS (SELECT place, avg(x) AS mean FROM c GROUP BY place) SELECT t, CAST(c.place / 8 AS INT) AS dim, round(x - mean, 6) AS x FROM c JOIN m USING (place) WHERE c.place % 8 = 0""")
+def circshifted_modes(spark, d):
+    e = _emb(spark, d)
+    return _rounded(transform.circshift_modes(e, 8, 4, DIMS, e.count()))
+
+
+@query(f"WITH {EMB} SELECT t, dim, round((x - avg(x) OVER (PARTITION BY dim)) / stddev_samp(x) OVER (PARTITION BY dim), 6) AS x FROM emb")
+def normalize_vectors(spark, d):
+    e = _emb(spark, d)
+    by = transform.scales_row(transform.scales(transform.to_long(e)))
+    return _rounded(transform.to_long(e.join(F.broadcast(by)).select("t", transform.normalize_vector(F.transform("x", lambda v: v.cast("double")), F.col("mean"), F.col("std")).alias("x"))))
+
+
+@query(f"WITH {EMB} SELECT t, round(x, 6) AS x FROM emb WHERE dim = {DIMS - 1}")
+def observable_clamped(spark, d):
+    return _rounded(transform.observable(_emb_long(spark, d), 1000, DIMS))
+
+
+@query(f"WITH {EMB} SELECT round(t * 0.5e0, 6) AS time, dim, round(x, 6) AS x FROM emb WHERE t < 100")
+def window_head(spark, d):
+    return _rounded(transform.window_head(_emb_long(spark, d), 100, 0.1, 5))
+
+
+@query(f"WITH {EMB} SELECT count(*) AS n, round(sum(x), 6) AS total FROM emb WHERE t % (SELECT CAST(ceil(count(*) / greatest(1, 5000 // {DIMS})) AS BIGINT) FROM embeddings) = 0")
+def kde_sample(spark, d):
+    e = _emb(spark, d)
+    return _rounded(transform.for_kde(e, e.count(), DIMS, 5000).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total")))
+
+
+@query("SELECT event_id, CAST(e AS INT) AS epoch, place, CAST(place // 512 AS INT) AS batch FROM (SELECT event_id, e, row_number() OVER (PARTITION BY e ORDER BY md5(concat('7:', e, ':', event_id))) - 1 AS place FROM events, range(1, 3) AS g(e))")
+def epoch_minibatches(spark, d):
+    return transform.minibatches(_table(spark, d, "events").select("event_id"), "event_id", 2, 512, 7).select("event_id", "epoch", "place", "batch")
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders), n AS (SELECT count(*) AS n FROM orders),
+k AS (SELECT k, k < 4000 AS train, least(CAST(floor(((CAST('0x' || substr(md5(concat('7:0:', k, ':9')), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0) * n) AS BIGINT), n - 1) AS place FROM range(0, 5000) AS g(k), n)
+SELECT k, train, o_orderkey, round(o_totalprice + 0.1e0 * {_hn("concat('7:0:', k, ':1')")}, 6) AS x FROM k JOIN r USING (place)""")
+def bootstrap_blocks(spark, d):
+    """4,000 training and 1,000 validation draws of orders, whose keys needn't count from 0."""
+    from densityflow.functions.noise import hash_normal
+
+    orders = transform.numbered(_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], "at")
+    drawn = transform.bootstrap(orders, orders.count(), "at", 4000, 1000, 7)
+    return _rounded(drawn.select("k", "train", "o_orderkey", (F.col("o_totalprice") + 0.1 * hash_normal(noise_key(7, 0, F.col("k"), 1))).alias("x")))
+
+
+@query(f"""WITH {EVENTS}, {_noisy_sql(1)}, s AS (SELECT x, z, row_number() OVER (ORDER BY x, z) - 1 AS rank FROM n), c AS (SELECT count(*) AS c FROM n),
+g AS (SELECT (i - 10) * 0.2e0 AS place FROM range(0, 21) AS g(i)), b AS (SELECT place, (SELECT count(*) FROM n WHERE x < place) AS below FROM g),
+l AS (SELECT place, greatest(0, below - 100) AS low FROM b), h AS (SELECT place, least(c - 1, low + 199) AS high FROM l, c), w AS (SELECT place, greatest(0, high - 199) AS low, high FROM h)
+SELECT round(place, 6) AS place, round(-avg(z) / {SIGMA}e0, 6) AS score FROM w JOIN s ON rank BETWEEN low AND high GROUP BY place""")
+def rank_window_score(spark, d):
+    """Mean noise of the 200 points around each grid place in the order of x."""
+    n = store.stored(_noisy(_events(spark, d), 1).select(F.col("x0").alias("x"), F.col("z0").alias("z")))
+    return _rounded(transform.nearest_by_rank(n, [(i - 10) * 0.2 for i in range(21)], 200).select("place", (-F.col("z") / F.lit(SIGMA)).alias("score")))
+
+
+@query(f"""WITH {EVENTS}, r AS (SELECT min(y) AS a, max(y) AS b FROM p), g AS (SELECT CAST(i AS INT) AS i, a + i * (b - a) / 399 AS x FROM r, range(0, 400) AS g(i))
+SELECT i, round(x, 6) AS x, round((2 * ({REDUCED['f']}e0 + {REDUCED['a']}e0 * x + {REDUCED['b']}e0 * x * x - {REDUCED['c']}e0 * x * x * x) - (-2e0 * {REDUCED['big_b']}e0) * ({REDUCED['big_a']}e0 - {REDUCED['big_b']}e0 * x))
+  / (({REDUCED['big_a']}e0 - {REDUCED['big_b']}e0 * x) ** 2 + {REDUCED['s']}e0 * {REDUCED['s']}e0), 6) AS score FROM g""")
+def analytic_score_grid(spark, d):
+    """400 places from the least to the largest value."""
+    ends = _events(spark, d).agg(F.min("y0").alias("a"), F.max("y0").alias("b"))
+    grid = ends.select(F.explode(F.sequence(F.lit(0), F.lit(399))).alias("i"), "a", "b")
+    x = F.col("a") + F.col("i") * (F.col("b") - F.col("a")) / 399
+    return _rounded(grid.select("i", x.alias("x")).withColumn("score", langevin.reduced_score(F.col("x"), **REDUCED)))
+
+
+@query(f"""WITH {EMB}, a AS (SELECT abs(x) AS x FROM emb), q AS (SELECT abs(value) AS x FROM events WHERE event_id % (SELECT greatest(1, CAST(ceil(count(*) / greatest(1, 500000 - (SELECT count(*) FROM embeddings))) AS BIGINT)) FROM events) = 0)
+SELECT round(-max(x) * 1.02e0, 6) AS low, round(max(x) * 1.02e0, 6) AS high FROM (SELECT x FROM a UNION ALL SELECT x FROM q)""")
+def value_range_joint(spark, d):
+    e, v = _emb(spark, d), _table(spark, d, "events").select(F.col("event_id").alias("t"), F.col("value").alias("x"))
+    return _rounded(density.joint_symmetric_range([(transform.to_long(e).select("t", "x"), e.count()), (v, v.count())]))
+
+
+@query(f"SELECT distance, round(max(density), 8) AS top, round(max(max(density)) OVER (), 8) AS joint FROM ({ORACLES['pdf_avg_bivariate']}) GROUP BY distance")
+def pdf_joint_maximum(spark, d):
+    """The largest density of each of three estimates, and of all."""
+    tops = pdf_avg_bivariate(spark, d).groupBy("distance").agg(F.max("density").alias("top"))
+    return tops.join(F.broadcast(tops.agg(F.max("top").alias("joint"))))  # three rows
+
+
+@query(f"WITH {EMB} SELECT t, dim, round(x, 6) AS x FROM emb WHERE t % 3 = 0 AND t < 300")
+def series_scan(spark, d):
+    """Every third of at most a hundred snapshots; the conditions reach the scan."""
+    return _exploded(store.load_series(spark, f"{d}/embeddings.parquet", 3, 100, t="vec_id"))
+
+
+@query("""WITH h AS (SELECT event_type, CAST(hour(ts) AS BIGINT) AS t, avg(value) AS x FROM events GROUP BY ALL), k AS (SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS dim FROM (SELECT DISTINCT event_type FROM events))
+SELECT t, CAST(dim AS INT) AS dim, round(x, 6) AS x FROM h JOIN k USING (event_type)""")
+def series_oriented(spark, d):
+    """A row of 24 hours for each type, turned so that time is the longer side."""
+    e = _table(spark, d, "events").groupBy("event_type", F.hour("ts").alias("h")).agg(F.avg("value").alias("x"))
+    wide = e.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "x"))), lambda p: p["x"]).alias("x"))  # 24 values
+    rows = wide.withColumn("t", F.row_number().over(Window.orderBy("event_type")) - 1)  # a row for each type
+    return _exploded(store.oriented(store.stored(rows.select("t", "x"))))
+
+
+@query("SELECT event_type AS run, round(avg(value), 6) AS mean, count(*)::DOUBLE AS n, -1e0 AS absent FROM events GROUP BY event_type")
+def runs_compared(spark, d):
+    """A store for each run, read together, with a default for what none has."""
+    e = _table(spark, d, "events")
+    paths = {}
+    for (run,) in sorted(e.select("event_type").distinct().collect()):  # five types
+        sums = e.where(F.col("event_type") == run).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).cast("double").alias("n"))
+        cells = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("v")) for k in ("mean", "n")])).alias("e")
+        rows = sums.select(cells).select("e.name", F.lit("double").alias("kind"), F.array().cast("array<int>").alias("shape"), F.array("e.v").alias("values"), F.lit(None).cast("array<double>").alias("imag"), F.lit(None).cast("string").alias("text"))
+        paths[run] = store.shared_path(spark)
+        store.save(rows, paths[run])
+    return _rounded(store.read_runs(spark, paths, {"mean": float("nan"), "n": 0.0, "absent": -1.0}))
+
+
+@query(f"WITH {EMB} SELECT CAST(t AS VARCHAR) AS t, dim, round(x, 6) AS x FROM emb")
 def store_roundtrip(spark, d):
-    rows = transform.dim_stats(_emb_long(spark, d)).orderBy("dim").select("mean").toPandas()["mean"]  # a number for each dimension
+    """An array by rows, beside small values, without the driver holding it."""
     path = store.shared_path(spark)
-    store.save(store.variables(spark, {"mean": np.array(rows), "note": "x", "ok": True, "none": None}), path, "run")
-    back = store.load(spark, path, "run").where("name = 'mean'")
-    return _rounded(back.select(F.posexplode("values").alias("dim", "mean")))
+    small = store.variables(spark, {"note": "x", "ok": True, "none": None})
+    store.save(store.from_long(_emb_long(spark, d), "field", ["t", "dim"]).unionByName(small), path, "run")
+    back = store.load(spark, path, "run").where("kind = 'row'")
+    return _rounded(back.select(F.substring_index("name", "/", -1).alias("t"), F.posexplode("values").alias("dim", "x")))
 
 
 @query("SELECT 'run_' || lpad(CAST(max(user_id) + 1 AS VARCHAR), 3, '0') AS run FROM events")

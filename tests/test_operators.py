@@ -36,7 +36,7 @@ def test_batches_merge(spark):
 
 def test_convergence_stops(spark):
     points = gaussian(spark, 300)
-    cell = lambda x: kgmm.grid_cell(x, -2.0, 0.5, 8)
+    cell = lambda n: kgmm.grid_cell(n["x0"], -2.0, 0.5, 8)
     assert kgmm.converge(points, 0.1, cell, 3, conv=1e9)[1] == 2
     assert kgmm.converge(points, 0.1, cell, 3, conv=0.0, most=3)[1] == 3
 
@@ -111,26 +111,36 @@ def test_network_gradient_and_jacobian(spark):
     moved = [(a.copy(), b.copy()) for a, b in net]
     moved[0][0][1, 1] += h
     assert abs((mlp.gradient(moved, x, z, w)[0] - loss) / h - grads[0][0][1, 1]) < 1e-3
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in x], "x0 double, x1 double")
-    j = mlp.jacobian(net, [F.col("x0"), F.col("x1")])
-    got = df.select(*mlp.outputs(net, [F.col("x0"), F.col("x1")]), *[c for r in j for c in r]).toPandas().to_numpy()
-    assert np.allclose(got[:, :2], mlp.forward(net, x)[0])
     numeric = (mlp.forward(net, x + [h, 0])[0] - mlp.forward(net, x)[0]) / h
-    assert np.allclose(got[:, [2, 4]], numeric, atol=1e-4)
+    assert np.allclose(mlp.jacobians(net, x)[:, :, 0], numeric, atol=1e-4)
+    assert np.allclose(mlp.divergences(net, x), np.trace(mlp.jacobians(net, x), axis1=1, axis2=2))
+    v = rng.standard_normal((7, 2))
+    assert np.allclose(mlp.push(net, x, v), np.einsum("roi,ri->ro", mlp.jacobians(net, x), v))
+    df = spark.createDataFrame([(k, list(map(float, r))) for k, r in enumerate(x)], "t long, x array<double>").repartition(3)
+    got = {r.t: r.x for r in mlp.scores(net, df, 0.5).collect()}
+    assert np.allclose([got[k] for k in range(7)], -mlp.forward(net, x)[0] / 0.5)
 
 
-def test_one_dimensional_probe_is_exact():
-    net, x = mlp.build([1, 8, 1], 2), np.linspace(-2, 2, 9)[:, None]
-    h = 1e-6
-    assert np.allclose(mlp.hutchinson(net, x, 1, np.random.default_rng(0)), ((mlp.forward(net, x + h)[0] - mlp.forward(net, x - h)[0]) / (2 * h))[:, 0], atol=1e-5)
+@pytest.mark.parametrize("name", sorted(mlp.ACTIVATIONS))
+def test_activation_slopes(name):
+    f, slope = mlp.ACTIVATIONS[name]
+    u = np.linspace(-3, 3, 20)
+    assert np.allclose((f(u + 1e-6) - f(u - 1e-6)) / 2e-6, slope(u), atol=1e-5)
+
+
+def test_one_dimensional_probe_is_exact(spark):
+    net, x = mlp.build([1, 8, 1], 2), np.linspace(-2, 2, 9)
+    df = spark.createDataFrame([(k, [float(v)]) for k, v in enumerate(x)], "t long, x array<double>")
+    exact = sorted(map(tuple, mlp.divergence(net, df, 0.3).collect()))
+    assert np.allclose(exact, sorted(map(tuple, mlp.probed_divergence(net, df.repartition(4), 0.3, 1, 2).collect())))
+
+
+def test_wide_network_is_planned(spark):
+    net = mlp.build([64, 128, 128, 64], 1)
+    df = spark.range(300).select(F.col("id").alias("t"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda j: F.sin(F.col("id") * j)).alias("x"))
+    assert mlp.divergence(net, df, 0.1).count() == 300
 
 
-def test_training_lowers_the_loss(spark):
-    cells = pd.DataFrame({"center0": np.linspace(-2, 2, 40), "target0": np.linspace(-0.2, 0.2, 40), "weight": 1.0})
-    _, losses = mlp.train_cells(mlp.build([1, 16, 1], 0), cells, 60)
-    assert losses[-1] < 0.2 * losses[0]
-    _, raw = mlp.train_raw(mlp.build([1, 4, 1], 0), gaussian(spark, 200), 0.1, 3, 5)
-    assert len(raw) == 3
 
 
 def test_trajectories(spark):
