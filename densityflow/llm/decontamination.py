@@ -53,14 +53,18 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, doc_id:
     hits = cut(hits)
     some = hits.select(F.col("doc").alias("_doc")).distinct()
     near = texts.join(if_small(some), texts["doc"].eqNullSafe(F.col("_doc")), "left_semi")
-    near = near.withColumn("ws", _lower_words("t")).select("doc", F.array_distinct(shingle_texts(F.col("ws"))).alias("d"))
-    wanted = tests.select(F.col("item").alias("_item"), F.array_distinct(shingle_texts(F.col("ws"))).alias("s"))
-    pairs = hits.join(near.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc"))).drop("_doc")
-    pairs = pairs.join(wanted, F.col("item").eqNullSafe(F.col("_item")))
-    n, shared = F.size("s").cast("long"), F.size(F.array_intersect("d", "s")).cast("long")
-    found = pairs.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), n.alias("n_shingles"), shared.alias("n_shared"))
+    near = cut(near.withColumn("row", F.monotonically_increasing_id()))
+    # each item's own shingles, so that of a document's shingles only those of some item are joined
+    wanted = cut(tests.select("item", F.monotonically_increasing_id().alias("test"), F.array_distinct(shingle_texts(F.col("ws"))).alias("s")))
+    of_items = wanted.select("test", F.explode("s").alias("g"))
+    every = near.select("row", F.explode(F.array_distinct(shingle_texts(_lower_words("t")))).alias("g"))
+    shared = every.join(if_small(of_items), "g").groupBy("row", "test").agg(F.count(F.lit(1)).alias("n_shared"))
+    found = shared.join(if_small(wanted.select("test", "item", F.size("s").cast("long").alias("n_shingles"))), "test")
     found = found.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles") - F.lit(1e-9))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("c"), "n_shingles", "n_shared")).alias("b"))
+    found = found.join(near.select("row", "doc"), "row")
+    pairs = hits.select(F.col("doc").alias("_doc"), F.col("item").alias("_item"))
+    found = found.join(pairs, F.col("doc").eqNullSafe(F.col("_doc")) & F.col("item").eqNullSafe(F.col("_item")), "left_semi")
+    best = found.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("c"), "n_shingles", "n_shared")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_shingles", "b.n_shared", F.col("b.c").alias("containment"))
 
 

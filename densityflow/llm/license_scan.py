@@ -1,7 +1,8 @@
 """Operator 5: licences of files, by TF-IDF cosine to templates and by directory.
 
 Statements (lines of a text, and windows as long as a template, over the ends of lines) are compared
-with licence templates as sparse TF-IDF vectors; document frequencies of all terms are counted over
+with notices, titles and whole licence texts as sparse TF-IDF vectors; whole texts are compared with
+licence texts, too, and a title near its beginning makes a text a licence file. Document frequencies of all terms are counted over
 all texts. What has none of a template's heaviest terms can't reach the threshold, by the
 Cauchy-Schwarz inequality on the rest of its weights, so that only lines and windows with such an
 anchor are compared, wherever they stand in the text. Terms of no template add to a statement's norm
@@ -57,7 +58,28 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved", "Copyright. All rights reserved."],
     "Unlicense": ["This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
 }
-VOCABULARY = frozenset(t for notices in TEMPLATES.values() for n in notices for t in TERM.findall(n.lower()))
+# Titles by which long licence texts begin.
+TITLES = {
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Apache-2.0": "Apache License Version 2.0, January 2004",
+    "CC-BY-4.0": "Creative Commons Attribution 4.0 International Public License",
+    "CC0-1.0": "Creative Commons Legal Code CC0 1.0 Universal",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+}
+# Short licence texts as they stand in licence files.
+TEXTS = {
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+}
+VOCABULARY = frozenset(t for texts in ([n for ns in TEMPLATES.values() for n in ns], TITLES.values(), TEXTS.values()) for n in texts for t in TERM.findall(n.lower()))
+#: Notices of fewer terms count only as they stand, in order.
+SHORT = 5
+#: A title so near the beginning makes a text a licence file.
+TITLE_WITHIN = 30
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,19 +108,21 @@ class Matcher:
         self.other = math.log(1 + n) + 1  # terms of no template
         self.threshold = threshold
         self.vectors: list[tuple[str, dict[str, float]]] = []
-        self.lengths: list[int] = []
+        self.windows: list[tuple[str, dict[str, float], list[str], bool]] = []  # and terms, and whether a title
+        self.texts = [(name, self.vector(text), TERM.findall(text.lower())) for name, text in sorted(TEXTS.items())]
         anchors: set[str] = set()
-        for name, notices in sorted(TEMPLATES.items()):
-            for notice in notices:
-                v = self.vector(notice)
+        notices = [(name, n, False) for name, ns in sorted(TEMPLATES.items()) for n in ns] + [(name, n, True) for name, n in sorted(TITLES.items())]
+        for name, notice, title in notices:
+            v, terms = self.vector(notice), TERM.findall(notice.lower())
+            self.windows.append((name, v, terms, title))
+            if len(terms) >= SHORT and not title:
                 self.vectors.append((name, v))
-                self.lengths.append(len(TERM.findall(notice.lower())))
-                left = 1.0
-                for t in sorted(v, key=lambda t: (-v[t], t)):
-                    if left < threshold * threshold - 1e-9:
-                        break
-                    anchors.add(t)
-                    left -= v[t] ** 2
+            left = 1.0
+            for t in sorted(v, key=lambda t: (-v[t], t)):
+                if left < threshold * threshold - 1e-9:
+                    break
+                anchors.add(t)
+                left -= v[t] ** 2
         self.anchors = anchors
         self.anchor = re.compile(r"(?<![a-z0-9])(?:" + "|".join(sorted(anchors)) + r")(?![a-z0-9])")
 
@@ -145,9 +169,11 @@ class Matcher:
         at = [i for i, t in enumerate(terms) if t in self.anchors]
         out = []
 
-        def add(i: int, j: int, templates, threshold: float) -> None:
+        def add(i: int, j: int, templates, threshold: float, whole: bool = False) -> None:
             best = self.statement(terms[i:j], templates, threshold)
-            if best:
+            if best and whole:
+                out.append(best | {"first": 0, "last": len(low.split())})
+            elif best:
                 a, b = found[i][1], found[j - 1][2]
                 first = len(low[:a].split())
                 out.append(best | {"first": first, "last": first + len(low[a:b].split())})
@@ -164,11 +190,18 @@ class Matcher:
                 while end < len(found) and found[end][2] <= stop:
                     end += 1
                 add(first, end, self.vectors, self.threshold)
-        for (name, v), n in zip(self.vectors, self.lengths, strict=True):
+        for name, v, notice, title in self.windows:
+            n = len(notice)
             starts = {i for k in at if terms[k] in v for i in range(max(0, k - n + 1), k + 1)}
             for i in sorted(starts):
-                if i + n <= len(terms) and terms[i] in v and terms[i + n - 1] in v:
-                    add(i, i + n, [(name, v)], WINDOW_THRESHOLD)
+                if i + n <= len(terms) and terms[i] in v and terms[i + n - 1] in v and (n >= SHORT or terms[i : i + n] == notice):
+                    add(i, i + n, [(name, v)], WINDOW_THRESHOLD, title and i < TITLE_WITHIN)
+        for name, v, licence in self.texts:
+            if len(terms) <= 2 * len(licence):
+                add(0, len(terms), [(name, v)], WINDOW_THRESHOLD, True)
+            for i, t in enumerate(terms):
+                if t == licence[0] and terms[i : i + 4] == licence[:4]:
+                    add(i, min(len(terms), i + len(licence)), [(name, v)], WINDOW_THRESHOLD)
         return out
 
 

@@ -170,9 +170,12 @@ class _Corpus:
         """Links among the candidate edges (a, b), a being the centre."""
         marks = cut(edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct())
         texts = cut(self.texts(marks))
-        parts = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(STAR)).cast("int").alias("parts"))
-        centres = parts.join(texts, F.col("a") == F.col("fp")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("b"), "text")
-        members = edges.join(parts, "a").join(texts, F.col("b") == F.col("fp")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "text")
+        stars = cut(edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(STAR)).cast("int").alias("parts")))
+        # at most a STAR-th as many as edges; the edges of all others stay whole, and none is dealt by its centre alone
+        large = if_small(cut(stars.where("parts > 1").select(F.col("a").alias("_a"), F.col("parts").alias("_parts"))))
+        centres = stars.join(texts, F.col("a") == F.col("fp")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("b"), "text")
+        part = F.pmod(F.xxhash64("b"), F.coalesce("_parts", F.lit(1))).cast("int")
+        members = edges.join(large, F.col("a") == F.col("_a"), "left").select("a", "b", part.alias("part")).join(texts, F.col("b") == F.col("fp")).select("a", "part", "b", "text")
         rows = centres.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
         return cut(rows.mapInArrow(_stars(self.percent), "a binary, b binary").distinct())
 
