@@ -24,6 +24,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ from densityflow.llm.common import cut, if_small, scratch_dir
 
 MIN_REVISIT = 100
 #: Pages from which the dictionary is trained, and how much of each; only compression depends on it.
+#: Compressed bytes of an archive: it is read as one row.
+ARCHIVE_BYTES = 64 << 20
 SAMPLE_PAGES = 256
 SAMPLE_CHARS = 32_768
 DICTIONARY_BYTES = 65_536
@@ -72,16 +75,25 @@ def _record(kind: str, page_id: int | None, url: str | None, refers_to: int | No
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _frames_of(dictionary: bytes):
+def _frames_of(dictionary: bytes, most: int):
+    """Rows (archive, at, frame): a task's archives, each begun by the dictionary and ended at most bytes."""
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True, write_content_size=True)
-        started = False
+        context = TaskContext.get()
+        task, number, size, at = context.partitionId() if context else 0, 0, 0, 0
         for batch in batches:
-            out = [] if started or not batch.num_rows else [skippable(dictionary)]
-            started = started or batch.num_rows > 0
+            archives, out = [], []
             for page_id, url, html, kind, refers_to, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out.append(packer.compress(_record(kind, page_id, url, refers_to, (html or "").encode(), digest)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+                if size >= most:
+                    number, size = number + 1, 0
+                frame = packer.compress(_record(kind, page_id, url, refers_to, (html or "").encode(), digest))
+                new = [frame] if size else [skippable(dictionary), frame]
+                out += new
+                archives += [f"{task}-{number}"] * len(new)
+                size += sum(map(len, new))
+            yield pa.RecordBatch.from_arrays([pa.array(archives, pa.string()), pa.array(range(at, at + len(out)), pa.int64()), pa.array(out, pa.binary())], names=["archive", "at", "frame"])
+            at += len(out)
 
     return write
 
@@ -213,8 +225,8 @@ def _parse(with_payload: bool):
     return parse
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """pages: (page_id, url, html). One archive for each task that has rows."""
+def write_archives(pages: DataFrame, path: str, most: int = ARCHIVE_BYTES) -> None:
+    """pages: (page_id, url, html). Archives of at most bytes and a record, whatever a task's rows hold."""
     pages = pages.select("page_id", "url", "html")
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     digests = pages.select("page_id", F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n"))
@@ -224,13 +236,15 @@ def write_archives(pages: DataFrame, path: str) -> None:
     rows = pages.withColumn("digest", F.sha2(body, 256)).join(first, "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"), "digest")
-    frames = rows.mapInArrow(_frames_of(train(sample)), "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).text(path)
+    frames = rows.mapInArrow(_frames_of(train(sample), most), "archive string, at long, frame binary")
+    # a task's rows are in this order already; the sort says so to the writer, which must not sort by archive alone
+    frames = frames.sortWithinPartitions("archive", "at").select(F.col("frame").cast("string").alias("value"), "archive")
+    frames.write.partitionBy("archive").option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 0).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """A row for each record: see FIELDS."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse(with_payload), FIELDS)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(_parse(with_payload), FIELDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
