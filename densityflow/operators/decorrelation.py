@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from densityflow.sources.store import bounded, stored
+
 
 def autocorrelation(long: DataFrame, lags: int) -> DataFrame:
     """(dim, k, rho) of (t, dim, x) with t = 0 .. n - 1: an equi-join of each time with the times k
     earlier. Covariances are divided by n - k; without variance rho is null."""
     mean = long.groupBy("dim").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
-    c = long.join(F.broadcast(mean), "dim").select("dim", "t", "n", (F.col("x") - F.col("m")).alias("d"))
+    c = long.join(bounded(mean), "dim").select("dim", "t", "n", (F.col("x") - F.col("m")).alias("d"))
     early = c.select("dim", "n", F.col("d").alias("d0"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("k"), "t").withColumn("t", F.col("t") + F.col("k"))
     cov = early.join(c.select("dim", "t", "d"), ["dim", "t"]).groupBy("dim", "k").agg((F.sum(F.col("d0") * F.col("d")) / (F.first("n") - F.col("k"))).alias("c"))
+    cov = stored(cov)
     zero = cov.where("k = 0").select("dim", F.col("c").alias("c0"))
-    return cov.join(F.broadcast(zero), "dim").select("dim", "k", F.when(F.col("c0") > 0, F.col("c") / F.nullif("c0", F.lit(0.0))).alias("rho"))
+    return cov.join(bounded(zero), "dim").select("dim", "k", F.when(F.col("c0") > 0, F.col("c") / F.nullif("c0", F.lit(0.0))).alias("rho"))
 
 
 def decorrelation_times(rho: DataFrame) -> DataFrame:
     """(dim, tau): 1 + 2 times the sum of rho before it first is not positive; 1 without variance."""
     first = rho.where("k > 0 AND (rho <= 0 OR rho IS NULL)").groupBy("dim").agg(F.min("k").alias("stop"))
-    kept = rho.join(F.broadcast(first), "dim", "left")
+    kept = rho.join(bounded(first), "dim", "left")
     use = (F.col("k") > 0) & (F.col("stop").isNull() | (F.col("k") < F.col("stop")))
     return kept.groupBy("dim").agg((1 + 2 * F.coalesce(F.sum(F.when(use, F.col("rho"))), F.lit(0.0))).alias("tau"))
 
@@ -30,7 +33,7 @@ def long_decorrelation_times(long: DataFrame, first_lags: int = 64) -> DataFrame
     n = long.groupBy("dim").count().agg(F.max("count")).first()[0] or 0
     lags = min(first_lags, max(n - 1, 0))
     while True:
-        rho = autocorrelation(long, lags)
+        rho = stored(autocorrelation(long, lags))
         stops = rho.groupBy("dim").agg(F.max(F.coalesce((F.col("k") > 0) & ((F.col("rho") <= 0) | F.col("rho").isNull()), F.lit(False))).alias("s"))
         if lags >= n - 1 or not stops.where("NOT s").limit(1).count():
             return decorrelation_times(rho)
@@ -78,7 +81,7 @@ def analysis(long: DataFrame, snapshots: DataFrame | None = None, first_lags: in
     scale, n_space_time): their mean time, and with the spatial scale the count n / (tau * scale).
     No dimension gives no row (a circle: tau 0); fewer than two times have a tau of 1."""
     n = long.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
-    tau = long_decorrelation_times(long, first_lags)
+    tau = stored(long_decorrelation_times(long, first_lags))
     if snapshots is None:
         longest = tau.agg(F.greatest(F.max("tau"), F.lit(1.0)).alias("longest"))
         return tau.join(F.broadcast(longest.join(n))).select("dim", "tau", (F.col("n") / F.col("longest")).alias("n_effective"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densityflow.operators.transform import is_finite
-from densityflow.sources.store import stored
+from densityflow.sources.store import bounded, stored
 
 
 def bin_of(x: Column, low: Column, width: Column, bins: Column) -> Column:
@@ -74,7 +74,7 @@ def averaged(long: DataFrame, bins: int, low: float, high: float, dims: int, nor
     w = (high - low) / bins
     hit = long.where(is_finite(F.col("x")) & F.col("x").between(low, high)).groupBy("dim", bin_of(F.col("x"), F.lit(low), F.lit(w), F.lit(bins)).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     totals = hit.groupBy("dim").agg(F.sum("c").alias("n")) if normalize_by == "valid" else long.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
-    return hit.join(F.broadcast(totals), "dim").groupBy("bin").agg((F.sum(F.col("c") / (F.col("n") * w)) / dims).alias("density"))
+    return hit.join(bounded(totals), "dim").groupBy("bin").agg((F.sum(F.col("c") / (F.col("n") * w)) / dims).alias("density"))
 
 
 def circular_pairs(snapshots: DataFrame, distance: int) -> DataFrame:
@@ -91,9 +91,9 @@ def quantiles(values: DataFrame, keys: list[str], shares: dict[str, float], part
     cut into parts again, and only what stands in that one is put in order, by distinct values."""
     on = keys or ["_one"]
     v = (values if keys else values.withColumn("_one", F.lit(1))).where(is_finite(F.col("x"))).select(*on, F.col("x").cast("double").alias("x"))
-    span = v.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min("x").alias("_a"), F.max("x").alias("_b"))
+    span = bounded(v.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min("x").alias("_a"), F.max("x").alias("_b")))
     part = lambda x, a, b: F.when(b > a, F.least(F.floor((x - a) / F.nullif(b - a, F.lit(0.0)) * parts), F.lit(parts - 1))).otherwise(F.lit(0)).cast("int")
-    one = v.join(F.broadcast(span), on).select(*on, "x", part(F.col("x"), F.col("_a"), F.col("_b")).alias("_p"))
+    one = v.join(span, on).select(*on, "x", part(F.col("x"), F.col("_a"), F.col("_b")).alias("_p"))
     ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * F.lit(share)).alias("h")) for name, share in shares.items()])).alias("_s")
     want = span.select(*on, "_n", ranks).select(*on, F.col("_s.name").alias("_name"), F.col("_s.h").alias("_h"), F.explode(F.array(F.floor("_s.h"), F.least(F.ceil("_s.h"), F.col("_n") - 1))).alias("_rank")).distinct()
 
@@ -105,11 +105,13 @@ def quantiles(values: DataFrame, keys: list[str], shares: dict[str, float], part
         return want.join(c, group).where(inside).withColumn("_rank", F.col("_rank") - (F.col("_upto") - F.col("_c"))).drop("_upto", "_c")
 
     first = placed(one.groupBy(*on, "_p").agg(F.count(F.lit(1)).alias("_c"), F.min("x").alias("_low"), F.max("x").alias("_high")), want, on, "_p")
+    first = stored(first)
     edge = first.select(*on, "_p", "_low", "_high").distinct()
-    two = one.join(F.broadcast(edge), [*on, "_p"]).select(*on, "_p", "x", part(F.col("x"), F.col("_low"), F.col("_high")).alias("_q"))
+    two = one.join(bounded(edge), [*on, "_p"]).select(*on, "_p", "x", part(F.col("x"), F.col("_low"), F.col("_high")).alias("_q"))
     second = placed(two.groupBy(*on, "_p", "_q").agg(F.count(F.lit(1)).alias("_c")), first.drop("_low", "_high"), [*on, "_p"], "_q")
+    second = stored(second)
     edge = second.select(*on, "_p", "_q").distinct()
-    rest = two.join(F.broadcast(edge), [*on, "_p", "_q"]).groupBy(*on, "_p", "_q", "x").agg(F.count(F.lit(1)).alias("_c"))
+    rest = two.join(bounded(edge), [*on, "_p", "_q"]).groupBy(*on, "_p", "_q", "x").agg(F.count(F.lit(1)).alias("_c"))
     third = placed(rest, second, [*on, "_p", "_q"], "x")
     ends = third.groupBy(*on, "_name").agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.first("_h").alias("_h"))
     value = F.col("_x0") + (F.col("_h") - F.floor("_h")) * (F.col("_x1") - F.col("_x0"))
@@ -152,7 +154,7 @@ def joint_symmetric_range(sets: list[tuple[DataFrame, int]], padding: float = 0.
 def silverman(values: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, h, low, high): bandwidth by Silverman's rule and the grid's ends, 4 h beyond the data."""
     s = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("a"), F.max("x").alias("b"))
-    s = s.join(F.broadcast(quantiles(values, keys, {"q1": 0.25, "q3": 0.75})), keys)
+    s = s.join(bounded(quantiles(values, keys, {"q1": 0.25, "q3": 0.75})), keys)
     iqr = F.col("q3") - F.col("q1")
     spread = F.when(iqr > 0, F.least("sd", iqr / 1.34)).otherwise(F.col("sd"))
     s = s.withColumn("h", 0.9 * spread * F.pow("n", F.lit(-0.2)))
@@ -164,16 +166,16 @@ def kde(values: DataFrame, keys: list[str], points: int = 2048) -> DataFrame:
 
     The grid's bins are at most points for each key, whatever the data's size."""
     values = values.where(is_finite(F.col("x")))
-    s = stored(silverman(values, keys))
+    s = bounded(silverman(values, keys))
     step = (F.col("high") - F.col("low")) / (points - 1)
-    v = values.join(F.broadcast(s), keys).withColumn("step", step)
+    v = values.join(s, keys).withColumn("step", step)
     pos = (F.col("x") - F.col("low")) / F.col("step")
     left = F.least(F.floor(pos), F.lit(points - 2)).cast("int")
     v = v.withColumn("left", left).withColumn("part", pos - F.col("left"))
     both = F.explode(F.array(F.struct(F.col("left").alias("i"), (1 - F.col("part")).alias("w")), F.struct((F.col("left") + 1).alias("i"), F.col("part").alias("w"))))
     weights = v.select(*keys, both.alias("b")).groupBy(*keys, F.col("b.i").alias("i")).agg(F.sum("b.w").alias("w"))
     base = s.withColumn("step", step)
-    w = weights.join(F.broadcast(base), keys)
+    w = weights.join(base, keys)
     reach = F.ceil(8 * F.col("h") / F.col("step")).cast("int")
     near = w.select(*keys, "w", "n", "h", "step", "i", F.explode(F.sequence(F.greatest(F.col("i") - reach, F.lit(0)), F.least(F.col("i") + reach, F.lit(points - 1)))).alias("at"))
     d = (F.col("at") - F.col("i")) * F.col("step") / F.col("h")
@@ -210,6 +212,6 @@ def relative_entropy(p: DataFrame, q: DataFrame, keys: list[str], points: int =
 
     d = on(kp, "p").join(on(kq, "q").drop("dx"), [*keyed, "g"])
     sums = d.groupBy(*keyed).agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
-    d = d.join(F.broadcast(sums), keyed)
+    d = d.join(bounded(sums), keyed)
     pn, qn = F.greatest(F.col("p") / (F.col("sp") * F.col("dx")), F.lit(1e-10)), F.greatest(F.col("q") / (F.col("sq") * F.col("dx")), F.lit(1e-10))
     return d.groupBy(*keyed).agg(F.sum(pn * F.ln(pn / qn) * F.col("dx")).alias("kl")).select(*keys, "kl")

@@ -1,7 +1,7 @@
 """Projections, filters and samples of observations.
 
 Observations come in long form (t, dim, x) or as snapshots (t, x array). Statistics are one row for
-each dimension and are broadcast: dimensions don't grow with the observations.
+each dimension; they are stored and broadcast if they are few.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densityflow.functions.noise import hash_uniform, noise_key
-from densityflow.sources.store import stored
+from densityflow.sources.store import bounded, stored
 
 EPS = 2.220446049250313e-16
 
@@ -50,11 +50,11 @@ def scales(long: DataFrame, mode: str = "per_dim", zero_std: str = "eps") -> Dat
 
 
 def normalize(long: DataFrame, by: DataFrame) -> DataFrame:
-    return long.join(F.broadcast(by), "dim").select("t", "dim", ((F.col("x") - F.col("mean")) / F.col("std")).alias("x"))
+    return long.join(bounded(by), "dim").select("t", "dim", ((F.col("x") - F.col("mean")) / F.col("std")).alias("x"))
 
 
 def unnormalize(long: DataFrame, by: DataFrame) -> DataFrame:
-    return long.join(F.broadcast(by), "dim").select("t", "dim", (F.col("x") * F.col("std") + F.col("mean")).alias("x"))
+    return long.join(bounded(by), "dim").select("t", "dim", (F.col("x") * F.col("std") + F.col("mean")).alias("x"))
 
 
 def add_mean_field(long: DataFrame, field: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def add_mean_field(long: DataFrame, field: DataFrame) -> DataFrame:
     differing = long.select("dim").distinct().join(field.select("dim", F.lit(1).alias("_in")), "dim", "full").where("_in IS NULL").limit(1).count()
     if differing or field.join(long.select("dim").distinct(), "dim", "left_anti").limit(1).count():
         raise ValueError("the field has other dimensions")
-    return long.join(F.broadcast(field.select("dim", "mean")), "dim").select("t", "dim", (F.col("x") + F.col("mean")).alias("x"))
+    return long.join(bounded(field.select("dim", "mean")), "dim").select("t", "dim", (F.col("x") + F.col("mean")).alias("x"))
 
 
 def mode_stride(long: DataFrame, stride: int) -> DataFrame:
@@ -180,7 +180,7 @@ def numbered(df: DataFrame, order: list[str], to: str) -> DataFrame:
     ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select(part, (F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))  # a row for each range
-    return ranged.join(F.broadcast(before), part).withColumn(to, F.coalesce("_before", F.lit(0)) + F.col(place)).drop(part, place, "_before")
+    return ranged.join(bounded(before), part).withColumn(to, F.coalesce("_before", F.lit(0)) + F.col(place)).drop(part, place, "_before")
 
 
 def bootstrap(numbered_rows: DataFrame, n: int, at: str, train: int, check: int, seed: int) -> DataFrame:
@@ -211,7 +211,7 @@ def circshift_modes(snapshots: DataFrame, stride: int, copies: int, dims: int, n
     out = snapshots.select("t", "x", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
     kept = F.transform(F.sequence(F.lit(0), F.lit(dims - 1), F.lit(stride)), lambda i: F.struct(i.alias("place"), F.col("x")[F.pmod(i - F.col("copy"), F.lit(dims))].cast("double").alias("x")))
     rows = out.select((F.col("copy") * n + F.col("t")).alias("t"), F.explode(kept).alias("e")).select("t", "e.place", "e.x")
-    rows = rows.join(F.broadcast(mean.select(F.col("dim").alias("place"), "mean")), "place")
+    rows = rows.join(bounded(mean.select(F.col("dim").alias("place"), "mean")), "place")
     return rows.select("t", (F.col("place") / stride).cast("int").alias("dim"), (F.col("x") - F.col("mean")).alias("x"))
 
 

@@ -860,6 +860,16 @@ def config_fields(spark, d):
     return e.select("event_id", store.config_field(F.col("props"), "$.k", "bigint", -1).alias("k"), store.config_field(F.col("props"), "$.absent", "double", 0.5).alias("absent"))
 
 
+@query("SELECT event_id, event_type, round(value, 6) AS value, '' AS absent FROM events")
+def config_written(spark, d):
+    """Rows as lines of JSON, and read again; a field that no line has is an empty string."""
+    path = store.shared_path(spark)
+    store.save_config(_table(spark, d, "events").withColumn("absent", F.lit(None).cast("string")), path, ["event_id", "event_type", "value", "absent"])
+    lines = spark.read.text(path)
+    kinds = {"event_id": ("bigint", None), "event_type": ("string", ""), "value": ("double", None), "absent": ("string", "")}
+    return _rounded(lines.select(*[store.config_field(F.col("value"), f"$.{k}", kind, default).alias(k) for k, (kind, default) in kinds.items()]))
+
+
 @query("""WITH r AS (SELECT event_type AS run, date_trunc('day', ts) AS day, avg(value) AS loss FROM events GROUP BY ALL)
 SELECT run, strftime(day, '%Y-%m-%d') AS day, round(loss, 6) AS loss, round(loss - lag(loss) OVER (PARTITION BY run ORDER BY day), 6) AS change FROM r""")
 def sweep_summary(spark, d):

@@ -33,6 +33,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A small table for the side of a join, stored: broadcast if it has at most so many rows, else as it is."""
+    kept = stored(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 FIELDS = ("u", "timeseries", "field", "data")
 
 
@@ -154,8 +160,18 @@ def network_rows(net: list) -> list[tuple[int, int, int, float]]:
     return [(k, i, j, float(w[i, j]) if j >= 0 else float(b[i])) for k, (w, b) in enumerate(net) for i in range(len(b)) for j in range(-1, w.shape[1])]
 
 
-def save_network(spark: SparkSession, net: list, path: str) -> None:
-    spark.createDataFrame(network_rows(net), "layer int, out int, in int, value double").write.mode("overwrite").parquet(path)
+def save_network(spark: SparkSession, net: list, path: str, activation: str = "swish") -> None:
+    rows = spark.createDataFrame(network_rows(net), "layer int, out int, in int, value double")
+    rows.withColumn("activation", F.lit(activation)).write.mode("overwrite").parquet(path)
+
+
+def load_activation(spark: SparkSession, path: str) -> str:
+    return spark.read.parquet(path).select("activation").first()[0]
+
+
+def save_config(df: DataFrame, path: str, fields: list[str]) -> None:
+    """A line of JSON for each row; nulls are left out."""
+    df.select(config_json(fields).alias("value")).write.mode("overwrite").text(path)
 
 
 def load_network(spark: SparkSession, path: str) -> list:

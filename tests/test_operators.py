@@ -168,7 +168,8 @@ def test_store(spark, tmp_path):
     assert back.keys() == values.keys() and back["flag"] is True and back["c"] == 1 + 2j
     assert np.array_equal(back["a"], values["a"]) and np.array_equal(back["z"], values["z"])
     net = mlp.build([2, 3, 1], 1)
-    store.save_network(spark, net, str(tmp_path / "m"))
+    store.save_network(spark, net, str(tmp_path / "m"), "tanh")
+    assert store.load_activation(spark, str(tmp_path / "m")) == "tanh"
     again = store.load_network(spark, str(tmp_path / "m"))
     assert all(np.array_equal(p, q) for a, b in zip(net, again, strict=True) for p, q in zip(a, b, strict=True))
     names = spark.createDataFrame([("run_007",), ("run_x",), ("other_9",)], "name string")
