@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Rows up to which the small side of a join is broadcast; it holds a few numbers or a short string
 #: each, so that the broadcast stays below about 20 MB. Larger sides are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Scratch tables of the operators that are running, the innermost last.
+_made: list[list[DataFrame]] = []
 #: Deletes a query's shuffle files when it ends.
 LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -50,7 +52,27 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(LET_GO) if before is None else spark.conf.set(LET_GO, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _made:
+        _made[-1].append(out)
+    return out
+
+
+def tidy(operator):
+    """An operator whose result is stored, small beside its input; its scratch tables go when it ends."""
+
+    @wraps(operator)
+    def run(*args, **options):
+        _made.append([])
+        try:
+            out = cut(operator(*args, **options))
+        except BaseException:
+            drop(*_made.pop())
+            raise
+        drop(*[t for t in _made.pop() if t is not out])
+        return out
+
+    return run
 
 
 def drop(*tables: DataFrame) -> None:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densityflow.llm.common import cut, if_small, shingle_hashes, shingle_texts, words
+from densityflow.llm.common import cut, if_small, shingle_hashes, shingle_texts, tidy, words
 
 SKETCH = 12
 #: Small benchmark sketches are broadcast: rows of two numbers.
@@ -43,6 +43,7 @@ def sketches(items: DataFrame, threshold: float) -> DataFrame:
     return hashed.select("item", F.explode(F.slice("hs", F.lit(1), F.greatest(keep, F.lit(0)))).alias("h"))
 
 
+@tidy
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) of each contained item."""
     tests = items.select(F.col(item_id).alias("item"), F.col(text).alias("t")).withColumn("ws", _lower_words("t")).where(F.size("ws") > 0)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densityflow.llm.common import cut, if_small
+from densityflow.llm.common import cut, if_small, tidy
 
 THRESHOLD = 0.6
 #: For windows, of which a text has many: parts of notices of other licences are to stay below.
@@ -240,6 +240,7 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, r"(^|/)[^/]*$", "")
 
 
+@tidy
 def licences(files: DataFrame) -> DataFrame:
     """files: (doc_id, path, text). (doc_id, path, licence, found, cosine, from_dir); found is
     header, file, inherited or none."""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densityflow.llm.common import cut, if_small
+from densityflow.llm.common import cut, if_small, tidy
 from densityflow.llm.shingles import fingerprint, mix, shingle_set, slices, word_hashes
 
 BANDS = 48
@@ -214,6 +214,7 @@ def _directed(pairs: DataFrame) -> DataFrame:
     return one.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
 
 
+@tidy
 def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

@@ -26,7 +26,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densityflow.llm.common import cut, gapless
+from densityflow.llm.common import cut, gapless, tidy
 
 HEAVY = 4096
 #: Groups of the finest blocks, at most about.
@@ -153,6 +153,7 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str], list[s
     return capacity, order.greedy(capacity, shards) or [], order.heavy
 
 
+@tidy
 def shard_by_bytes(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, capacity), a row for each of docs."""
     body = F.coalesce(F.col(text), F.lit(""))
