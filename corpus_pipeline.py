@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from densityflow.llm import classifier, decontamination, near_dedup, packing, quality_rules
-from densityflow.llm.common import cut, fresh, table
+from densityflow.llm.common import cut, drop, fresh, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop(before)  # what the next stage has read in full
+        before = docs
     return docs
