@@ -37,7 +37,7 @@ BANDS = 48
 #: Residues by which the shingles of two classes are counted to bound what they share.
 GROUPS = 64
 #: Members of a star that one task holds against its centre.
-STAR = 500
+STAR = 128
 
 
 def rows_for(percent: int) -> int:
