@@ -58,7 +58,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, doc_id:
     # each item's own shingles, so that of a document's shingles only those of some item are joined
     wanted = cut(tests.select("item", F.monotonically_increasing_id().alias("test"), F.array_distinct(shingle_texts(F.col("ws"))).alias("s")))
     of_items = wanted.select("test", F.explode("s").alias("g"))
-    every = near.select("row", F.explode(F.array_distinct(shingle_texts(_lower_words("t")))).alias("g"))
+    every = near.withColumn("ws", _lower_words("t")).select("row", F.explode(F.array_distinct(shingle_texts(F.col("ws")))).alias("g"))
     shared = every.join(if_small(of_items), "g").groupBy("row", "test").agg(F.count(F.lit(1)).alias("n_shared"))
     found = shared.join(if_small(wanted.select("test", "item", F.size("s").cast("long").alias("n_shingles"))), "test")
     found = found.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles") - F.lit(1e-9))
