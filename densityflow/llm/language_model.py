@@ -740,7 +740,8 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gibbs: b
     sums = parts.with_replies(replies, "docs").mapInArrow(_scores(ask_ids, totals["tokens"], totals["vocabulary"], gibbs), "slice long, kind int, body binary")
     info = parts.rows.where("slice >= 0").select("slice", F.lit(0).alias("kind"), "body")
     # slices are numbered within the texts' partitions: neighbours go to neighbouring tasks
-    at = F.shiftright("slice", 20) * max(1, n // max(1, docs.rdd.getNumPartitions())) + F.col("slice").bitwiseAND(0xFFFFF)
+    tasks = 1 + (info.agg(F.max(F.shiftright("slice", 20))).first()[0] or 0)
+    at = F.shiftright("slice", 20) * max(1, n // tasks) + F.col("slice").bitwiseAND(0xFFFFF)
     rows = info.unionByName(sums).repartitionById(max(n, 2), F.pmod(at, F.lit(max(n, 2))).cast("int")).sortWithinPartitions("slice", "kind")
     out = cut(rows.mapInArrow(_gather(int(totals["tokens"])), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     drop(replies)
