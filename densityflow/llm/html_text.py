@@ -7,10 +7,11 @@ articles and furniture included, are then compared across each host for long rep
 A host's suffixes are ordered by their first RUN tokens, as in a suffix array of that depth: suffixes
 of one beginning are one interval, and its size in distinct pages is what counts. A substring repeats on
 MIN_PAGES pages exactly if each of its RUN-token beginnings does, so that the union of these intervals
-covers what the maximal repeated substrings cover. Not every suffix is sent to be ordered: of each
-SPAN neighbouring ones the one of the smallest key is, which the tokens alone decide, so that every
-substring of LONG = RUN + SPAN - 1 tokens has one that is the same on all pages (a seed). Around seeds
-that repeat, all suffixes are ordered. Seeds are counted with partial aggregation: a host's footer on
+covers what the maximal repeated substrings cover. Of suffixes that begin outside articles every one
+is sent to be ordered, so that repeats of RUN tokens are found there. Inside articles, of each SPAN
+neighbouring ones that of the smallest key is, which the tokens alone decide, so that every substring
+of LONG = RUN + SPAN - 1 tokens has one that is the same on all pages. Around these seeds that
+repeat, all suffixes are ordered. Seeds are counted with partial aggregation: a host's footer on
 a third of all pages is one counter, not one task's list.
 
 What goes: furniture; outside articles, all that long repeats cover, while the unique runs between them
@@ -221,19 +222,26 @@ def suffix_keys(tokens: list[str]) -> np.ndarray:
     return key.view(np.int64)
 
 
-def seeds(keys: np.ndarray) -> np.ndarray:
-    """Places of the smallest key of each SPAN neighbours; of fewer, the smallest of all."""
+def seeds(keys: np.ndarray, outside: np.ndarray) -> np.ndarray:
+    """Places of the smallest key of each SPAN neighbours (of fewer, the smallest of all), and of all
+    that begin outside articles; outside says so for each token."""
     if not len(keys):
         return np.empty(0, dtype=np.int64)
+    own = outside[: len(keys)].copy()
     if len(keys) <= SPAN:
-        return np.array([np.argmin(keys)])
-    near = np.lib.stride_tricks.sliding_window_view(keys, SPAN)
-    return np.unique(near.argmin(axis=1) + np.arange(len(near)))
+        own[np.argmin(keys)] = True
+    else:
+        near = np.lib.stride_tricks.sliding_window_view(keys, SPAN)
+        own[near.argmin(axis=1) + np.arange(len(near))] = True
+    return np.flatnonzero(own)
 
 
-def _tokens(page: str | None) -> tuple[list[tuple[str, int]], list[str]]:
+def _tokens(page: str | None) -> tuple[list[tuple[str, int]], list[str], np.ndarray]:
+    """Blocks, their tokens, and which of these stand outside articles."""
     found = blocks(page or "")
-    return found, " ".join(t for t, _ in found).split()
+    words = [t.split() for t, _ in found]
+    outside = np.repeat(np.array([k != INSIDE for _, k in found], dtype=bool), [len(w) for w in words])
+    return found, [t for w in words for t in w], outside
 
 
 def _is_open(found: list[tuple[str, int]]) -> bool:
@@ -246,9 +254,9 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, keys, marks = [], [], []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found, tokens = _tokens(page.as_py())
+            found, tokens, outside = _tokens(page.as_py())
             every = suffix_keys(tokens)
-            own = np.unique(every[seeds(every)])
+            own = np.unique(every[seeds(every, outside)])
             host = host_key(url)
             hosts.append(np.full(len(own) + 1, host, dtype=np.int64))
             keys += [pa.nulls(1, pa.int64()), pa.array(own)]
@@ -270,9 +278,9 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for page_id, url, page in zip(*(batch.column(k) for k in range(3)), strict=True):
-            found, tokens = _tokens(page.as_py())
+            found, tokens, outside = _tokens(page.as_py())
             every = suffix_keys(tokens)
-            at = seeds(every)
+            at = seeds(every, outside)
             out.append((page_id.as_py(), url.as_py(), host_key(url.as_py()), " ".join(tokens), [3 * len(t.split()) + k for t, k in found], at, every[at]))
         cols = list(zip(*out, strict=True)) or [[]] * 7
         types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
