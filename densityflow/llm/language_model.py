@@ -44,9 +44,9 @@ from pyspark.sql import functions as F
 from densityflow.llm.common import LET_GO, cut, drop, scratch_dir
 from densityflow.llm.shingles import mix, split_words
 
-#: Discounts and strengths of pairs, single words and unigrams.
-D2, D1, D0 = 0.8, 0.75, 0.6
-T2, T1, T0 = 1.0, 1.0, 1.0
+#: Discounts of single words and unigrams (that of pairs follows from the counts), and strengths.
+D1, D0 = 0.6, 0.6
+T2, T1, T0 = 1.0, 100.0, 1.0
 PART_BYTES = 8_000_000
 #: Small inputs still give every core a part of so much.
 LEAST_BYTES = 2_000_000
@@ -62,6 +62,11 @@ BOTH, PAIR, NONE = 0, 1, 2
 A = np.uint64(0x9E3779B97F4A7C15)
 
 
+def discount(once: float, twice: float) -> float:
+    """Of pairs' cells, by how many have one customer and two, within bounds."""
+    return min(max(once / (once + 2 * twice), 0.1), 0.99) if once + twice else 0.8
+
+
 def is_held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
@@ -304,8 +309,8 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
         yield key, rows
 
 
-def merged(pieces: list[tuple[int, int, bytes]], hot: Hot, askers: int) -> tuple[bytes, bytes]:
-    """Cells of a part, and the texts of its tokens. pieces: (slice, its number of texts, packed tokens)."""
+def merged(pieces: list[tuple[int, int, bytes]], hot: Hot, askers: int) -> tuple[bytes, bytes, int, int]:
+    """Cells of a part, the texts of its tokens, and how many pairs' cells have one customer and two. pieces: (slice, its number of texts, packed tokens)."""
     loaded = [load(b) for _, _, b in pieces]
     hashes = [word_hashes(x[0].tobytes().split(b"\n")) for x in loaded]
     known, rank = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -347,21 +352,23 @@ def merged(pieces: list[tuple[int, int, bytes]], hot: Hot, askers: int) -> tuple
     slices = np.array([s for s, _, _ in pieces], dtype=np.int64).view(np.uint64)
     texts = np.array([n for _, n, _ in pieces], dtype=np.uint64)
     cells = dump(counts, small(sizes_of(lead, len(kind))), small(rests), small(tokens), small(learned), small(sizes_of(runs, int(counts[3]))), small(item_of), w1[order][head], small(code[order][head]), small(sizes_of(groups(to[order][head])[0], len(head))), small(to[order][head][groups(to[order][head])[0]]))
-    return cells, dump(small(doc), slices, texts)
+    own = learned[kind != NONE]
+    return cells, dump(small(doc), slices, texts), int((own == 1).sum()), int((own == 2).sum())
 
 
 def _merge(hot: Hot, askers: int):
-    """Rows (part, slice, body, docs): a part's cells (slice -1), and the slices' texts."""
+    """Rows (part, slice, body, docs, once, twice): a part's cells (slice -1), and the slices' texts."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in by_key(batches):
             own = [(s, n, b) for s, n, b in rows if n >= 0]
-            out = [(part, s, b, b"") for s, n, b in rows if n < 0]
+            out = [(part, s, b, b"", 0, 0) for s, n, b in rows if n < 0]
             rows.clear()
             if own:
                 out.append((part, -1, *merged(own, hot, askers)))
-            for p, s, b, d in out:
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([s], pa.int64()), pa.array([b], pa.binary()), pa.array([d], pa.binary())], names=["part", "slice", "body", "docs"])
+            for row in out:
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["part", "slice", "body", "docs", "once", "twice"])
 
     return merge
 
@@ -423,7 +430,8 @@ def predictive(c, t, d: float, strength: float, all_c, all_t, parent):
 class Part:
     """Cells of a part, and the seating at the levels that it has."""
 
-    def __init__(self, body: bytes):
+    def __init__(self, body: bytes, d2: float):
+        self.d2 = d2
         counts, cells, rest, tokens, learned, pairs, item, self.words, code, asked, to = load(body)
         counts = counts.astype(np.int64)
         self.own = counts[0] + counts[1]  # cells whose pair's restaurant is here; they come first
@@ -453,7 +461,7 @@ class Part:
         of_pair = self.of_pairs(p)
         t2 = np.bincount(self.rest, weights=self.t2[: self.own], minlength=len(self.c2))
         n = self.own
-        self.t2[:n] = tables_of(self.c[:n], (T2 + D2 * t2[self.rest]) * of_pair[self.pair[:n]], D2, rng)
+        self.t2[:n] = tables_of(self.c[:n], (T2 + self.d2 * t2[self.rest]) * of_pair[self.pair[:n]], self.d2, rng)
         self._up()
         t1 = np.bincount(self.word, weights=self.t1)
         self.t1 = tables_of(self.c1, (T1 + D1 * t1[self.word]) * p[self.item[: self.both]], D1, rng)
@@ -469,7 +477,7 @@ class Part:
         n = self.own
         t2 = np.bincount(self.rest, weights=self.t2[:n], minlength=len(self.c2))
         of_cell = self.of_pairs(p)[self.pair]
-        of_cell[:n] = predictive(self.c[:n], self.t2[:n], D2, T2, self.c2[self.rest], t2[self.rest], of_cell[:n])
+        of_cell[:n] = predictive(self.c[:n], self.t2[:n], self.d2, T2, self.c2[self.rest], t2[self.rest], of_cell[:n])
         return of_cell
 
     def customers(self) -> tuple[np.ndarray, np.ndarray]:
@@ -491,13 +499,13 @@ def _replies(rows: list[dict], asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([x[0] for x in loaded]), np.concatenate([x[1] for x in loaded]).astype(np.int64)
 
 
-def _ask(ask_ids: np.ndarray, round_: int, gibbs: bool):
+def _ask(ask_ids: np.ndarray, round_: int, gibbs: bool, d2: float):
     """Rows (to, part, body): a part's items, their customers and training tokens."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part, p = row[0], Part(row[1])
+                part, p = row[0], Part(row[1], d2)
                 chance = _replies(row[2], ask_ids[p.to])[0] if len(row) > 2 else p.first_guess()
                 rng = generator(gibbs, part, round_)
                 for _ in range(BURN):
@@ -545,7 +553,8 @@ def parents(hot: Hot) -> np.ndarray:
 class Upper:
     """Items of a part by word: unigrams, cells of hot words and of hot pairs."""
 
-    def __init__(self, body: bytes, hot: Hot):
+    def __init__(self, body: bytes, hot: Hot, d2: float):
+        self.d2 = d2
         word, code, sent, learned, self.parts, self.sizes, delta = load(body)
         self.word, self.code, self.sent, learned = (x.astype(np.int64) for x in (word, code, sent, learned))
         delta = delta.astype(np.int64)
@@ -566,7 +575,7 @@ class Upper:
         """Tables from the pairs' cells upwards, given the totals; without totals, one a cell."""
         p = self.probabilities(totals) if totals else np.ones(len(self.c))
         c = self.sent.copy()
-        for which, d, strength in ((self.pair, D2, T2), (self.hot, D1, T1)):
+        for which, d, strength in ((self.pair, self.d2, T2), (self.hot, D1, T1)):
             at = np.flatnonzero(which)
             weight = (strength + d * totals["t"][self.code[at]]) * p[self.up[at]] if totals else np.ones(len(at))
             self.t[at] = tables_of(c[at], weight, d, rng if totals else None)
@@ -578,41 +587,43 @@ class Upper:
         p = np.empty(len(self.c))
         unknown = (T0 + D0 * totals["words"]) / (T0 + c[0])
         p[self.one] = np.where(self.c[self.one] > 0, (self.c[self.one] - D0) / (T0 + c[0]), unknown)
-        for which, d, strength in ((self.hot, D1, T1), (self.pair, D2, T2)):
+        for which, d, strength in ((self.hot, D1, T1), (self.pair, self.d2, T2)):
             k = self.code[which]
             p[which] = predictive(self.c[which], self.t[which], d, strength, c[k], t[k], p[self.up[which]])
         return p
 
     def sums(self, size: int) -> list[tuple[str, np.ndarray]]:
         used = self.c[self.one] > 0
-        return [("c", np.bincount(self.code, weights=self.c, minlength=size)), ("t", np.bincount(self.code, weights=self.t, minlength=size)), ("words", np.array([used.sum()])), ("vocabulary", np.array([(self.learned > 0).sum()])), ("tokens", np.array([self.learned.sum()]))]
+        of_pairs = self.sent[self.pair]
+        few = [("once", np.array([(of_pairs == 1).sum()])), ("twice", np.array([(of_pairs == 2).sum()]))]
+        return [*few, ("c", np.bincount(self.code, weights=self.c, minlength=size)), ("t", np.bincount(self.code, weights=self.t, minlength=size)), ("words", np.array([used.sum()])), ("vocabulary", np.array([(self.learned > 0).sum()])), ("tokens", np.array([self.learned.sum()]))]
 
 
-def _seats(body: bytes, to: int, hot: Hot, past: list[dict], round_: int, gibbs: bool) -> Upper:
+def _seats(body: bytes, to: int, hot: Hot, past: list[dict], round_: int, gibbs: bool, d2: float) -> Upper:
     """The seating after a sweep for each of the past totals: drawn again, as the seeds are the same."""
-    u = Upper(body, hot)
+    u = Upper(body, hot, d2)
     u.seat({}, None)
     for k, totals in enumerate(past):
         u.seat(totals, generator(gibbs, to, round_, k, 1))
     return u
 
 
-def _totals(hot: Hot, past: list[dict], round_: int, gibbs: bool):
+def _totals(hot: Hot, past: list[dict], round_: int, gibbs: bool, d2: float):
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for to, rows in by_key(batches):
-            found = _seats(rows[0][0], to, hot, past, round_, gibbs).sums(len(hot))
+            found = _seats(rows[0][0], to, hot, past, round_, gibbs, d2).sums(len(hot))
             found = [(k, i, x[i]) for k, x in found for i in np.flatnonzero(x)]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([int(f[1]) for f in found], pa.int64()), pa.array([float(f[2]) for f in found], pa.float64())], names=["kind", "at", "n"])
 
     return sums
 
 
-def _reply(hot: Hot, past: list[dict], round_: int, gibbs: bool):
+def _reply(hot: Hot, past: list[dict], round_: int, gibbs: bool, d2: float):
     """Rows (part, to, body): probabilities and training tokens of the items that a part asked for."""
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for to, rows in by_key(batches):
-            u = _seats(rows[0][0], to, hot, past[:-1], round_, gibbs)
+            u = _seats(rows[0][0], to, hot, past[:-1], round_, gibbs, d2)
             p, learned = u.probabilities(past[-1]), u.learned.astype(np.int64)[u.word]
             ends = np.cumsum(u.sizes.astype(np.int64))
             bodies = [dump(p[u.at[a:b]], small(learned[u.at[a:b]])) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
@@ -621,13 +632,13 @@ def _reply(hot: Hot, past: list[dict], round_: int, gibbs: bool):
     return reply
 
 
-def _scores(ask_ids: np.ndarray, tokens: float, vocabulary: float, gibbs: bool):
+def _scores(ask_ids: np.ndarray, tokens: float, vocabulary: float, gibbs: bool, d2: float):
     """Rows (slice, kind 1, body): tokens, known tokens, base and model score that a part adds to texts."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, body, docs, replies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p = Part(body)
+                p = Part(body, d2)
                 doc, slices, texts = load(docs)
                 chance, learned = _replies(replies, ask_ids[p.to])
                 rng = generator(gibbs, part, 99)
@@ -703,7 +714,7 @@ class Dealt:
 
 def _collected(rows: DataFrame, size: int) -> dict:
     """Totals of the hot contexts and the unigrams."""
-    out = {"c": np.zeros(size), "t": np.zeros(size), "words": 0.0, "vocabulary": 0.0, "tokens": 0.0}
+    out = {"c": np.zeros(size), "t": np.zeros(size)} | dict.fromkeys(("words", "vocabulary", "tokens", "once", "twice"), 0.0)
     for r in rows.groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas().itertuples():
         if r.kind in ("c", "t"):
             out[r.kind][r.at] = r.n
@@ -725,19 +736,22 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gibbs: b
     ask_ids = deal_ids(spark, askers)
     packed = docs.mapInArrow(_packer(part_ids, hot), "part long, slice long, n_docs int, body binary")
     dealt = packed.repartition(n, "part").sortWithinPartitions("part", "slice", "n_docs")
-    parts = Dealt(dealt.mapInArrow(_merge(hot, askers), "part long, slice long, body binary, docs binary"), min(n, MAX_BUCKETS))
+    parts = Dealt(dealt.mapInArrow(_merge(hot, askers), "part long, slice long, body binary, docs binary, once long, twice long"), min(n, MAX_BUCKETS))
     replies, totals = None, {"tokens": 0.0, "vocabulary": 0.0}
+    once, twice = parts.rows.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first()
+    d2 = discount(once, twice)
     for k in range(ROUNDS):
-        asks = parts.with_replies(replies).mapInArrow(_ask(ask_ids, k, gibbs), "to long, part long, body binary")
+        asks = parts.with_replies(replies).mapInArrow(_ask(ask_ids, k, gibbs, d2), "to long, part long, body binary")
         upper = cut(asks.repartition(askers, "to").sortWithinPartitions("to", "part").mapInArrow(_asked(hot), "to long, body binary"))
         past: list[dict] = []
         for _ in range(BURN + 1):
-            past.append(_collected(upper.mapInArrow(_totals(hot, past, k, gibbs), "kind string, at long, n double"), len(hot)))
+            past.append(_collected(upper.mapInArrow(_totals(hot, past, k, gibbs, d2), "kind string, at long, n double"), len(hot)))
+            d2 = discount(once + past[-1]["once"], twice + past[-1]["twice"])  # with the cells of hot pairs
         totals = past[-1]
         done = replies
-        replies = cut(upper.mapInArrow(_reply(hot, past, k, gibbs), "part long, to long, body binary"))
+        replies = cut(upper.mapInArrow(_reply(hot, past, k, gibbs, d2), "part long, to long, body binary"))
         drop(upper, *([done] if done is not None else []))
-    sums = parts.with_replies(replies, "docs").mapInArrow(_scores(ask_ids, totals["tokens"], totals["vocabulary"], gibbs), "slice long, kind int, body binary")
+    sums = parts.with_replies(replies, "docs").mapInArrow(_scores(ask_ids, totals["tokens"], totals["vocabulary"], gibbs, d2), "slice long, kind int, body binary")
     info = parts.rows.where("slice >= 0").select("slice", F.lit(0).alias("kind"), "body")
     # slices are numbered within the texts' partitions: neighbours go to neighbouring tasks
     tasks = 1 + (info.agg(F.max(F.shiftright("slice", 20))).first()[0] or 0)

@@ -40,6 +40,8 @@ def brute(rows):
             c0[0][w] += 1
     all0, n, v = c0[0].total(), words[0].total(), len(words[0])
 
+    d2 = lm.discount(*(sum(n == k for cells in c2.values() for n in cells.values()) for k in (1, 2)))
+
     def cell(c, d, strength, w, parent):
         return (max(c[w] - d, 0) + (strength + d * len(c)) * parent) / (strength + c.total())
 
@@ -53,7 +55,7 @@ def brute(rows):
             known += words[0][w] > 0
             p = (c0[0][w] - lm.D0) / (lm.T0 + all0) if c0[0][w] else (lm.T0 + lm.D0 * len(c0[0])) / (lm.T0 + all0)
             p = cell(c1[u1], lm.D1, lm.T1, w, p) if u1 in c1 else p
-            p = cell(c2[u2, u1], lm.D2, lm.T2, w, p) if (u2, u1) in c2 else p
+            p = cell(c2[u2, u1], d2, lm.T2, w, p) if (u2, u1) in c2 else p
             score += math.log10(p) if n else 0
             u2, u1 = u1, w
         out[i, len(tokens(t)), known, n, round(base, 6), round(score, 6)] += 1

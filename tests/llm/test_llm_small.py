@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,38 +333,37 @@ def test_language_model(spark):
 
 def test_hot_words_are_counted_over_all_texts(spark):
     texts = ["early words"] * 2100 + ["few " * 6000 + "behind " * 3000, "late " * 3000]
-    hot = language_model._hot_words(docs(spark, texts + [prose(1, 50), None]))
-    assert set(hot) == {*language_model.word_keys([b"early", b"words", b"few", b"behind", b"late"]), language_model.END}
-    assert set(language_model._hot_words(docs(spark, texts).where("false"))) == {language_model.END}
+    hot = language_model.hot_contexts(docs(spark, texts + [prose(1, 50), None]).select("doc_id", "text"), 1 / 1024)
+    assert set(hot.words) == set(language_model.word_hashes([b"early", b"words", b"few", b"behind", b"late", language_model.START]))
+    assert len(language_model.hot_contexts(docs(spark, texts).where("false").select("doc_id", "text"), 1 / 1024)) == 1
 
 
-def test_scores_are_the_same_in_many_parts(spark, monkeypatch):
+def test_scores_are_the_same_in_many_parts(spark):
     texts = ODD + [spoken(k, 300, "ab"[k % 2]) for k in range(40)]
     one = language_model.scored(docs(spark, texts)).toPandas().set_index("doc_id")
-    monkeypatch.setattr(language_model, "PART_BYTES", 30_000)
-    many = language_model.scored(docs(spark, texts)).toPandas().set_index("doc_id").loc[one.index]
+    many = language_model.scored(docs(spark, texts), part_bytes=30_000).toPandas().set_index("doc_id").loc[one.index]
     assert (one.n_known == many.n_known).all() and np.allclose(one.base_score, many.base_score)
     assert np.allclose(one.score, many.score, rtol=0.05)
 
 
 def test_seating_is_a_distribution():
-    r = np.random.default_rng(1)
-    words_, fine = np.repeat(np.arange(50), 8), np.tile(np.arange(8), 50)
-    c = r.integers(0, 90, 400)
-    values = {("words", 0): 50.0, ("tokens", 0): float(c.sum())}
-    language_model._add(values, language_model.Seating(words_, fine, c, 50, language_model.Totals({}), 1).tables())
-    for k in range(4):
-        seats = language_model.Seating(words_, fine, c, 50, language_model.Totals(values), k)
-        for _ in range(3):
-            seats.sweep()
-        assert ((seats.t2 <= seats.c) & ((seats.t2 > 0) == (seats.c > 0))).all()
-        values = {x: n for x, n in values.items() if x[0] in ("c2", "words", "tokens")} | {x: n for x, n in seats.tables().items() if x[0] != "c2"}
-    t = language_model.Totals(values)
-    p = seats.__class__(words_, fine, c, 50, t, 9).averaged().reshape(50, 8).sum(axis=0)
-    g = np.arange(8) % language_model.COARSE
-    back = lambda d, s, tables, cust: (s + d * tables) / (s + cust)
-    unknown = t.unknown() * back(language_model.D1, language_model.T1, t.t1[g], t.c1[g]) * back(language_model.D2, language_model.T2, t.t2[:8], t.c2[:8])
-    assert np.allclose(p + unknown, 1, atol=0.1)
+    """In every restaurant the words that it has, and what it leaves to its parent, make one."""
+    lm = language_model
+    hot = lm.Hot(*[np.empty(0, dtype=np.uint64)] * 3)
+    texts = [spoken(k, 400, "ab"[k % 2]) for k in range(6)]
+    rows = [r for batch in lm._packer(np.array([0]), hot)(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "text": texts})])) for r in batch.to_pylist()]
+    body, _, once, twice = lm.merged([(r["slice"], r["n_docs"], r["body"]) for r in rows if r["n_docs"] >= 0], hot, 3)
+    part, rng = lm.Part(body, lm.discount(once, twice)), np.random.default_rng(5)
+    p = part.first_guess()
+    for _ in range(4):
+        part.sweep(p, rng)
+        assert ((part.t2 <= part.c) & ((part.t2 > 0) == (part.c > 0))).all()
+        assert ((part.t1 <= part.c1) & ((part.t1 > 0) == (part.c1 > 0))).all()
+    of_pair, of_cell = part.of_pairs(p), part.of_cells(p)
+    for own, group, c, t, parent, d, strength in ((of_cell, part.rest, part.c, part.t2, of_pair[part.pair], part.d2, lm.T2), (of_pair, part.word, part.c1, part.t1, p[part.item], lm.D1, lm.T1)):
+        customers, tables = np.bincount(group, weights=c), np.bincount(group, weights=t)
+        left = (strength + d * tables) / (strength + customers)
+        assert np.allclose(np.bincount(group, weights=own) + left * (1 - np.bincount(group, weights=parent)), 1)
 
 
 def test_table_numbers_follow_their_law():
