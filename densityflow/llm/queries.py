@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densityflow.llm import classifier, decontamination, html_text, language_model, license_scan, near_dedup, packing, quality_rules, sharding, warc
+from densityflow.llm import classifier, decontamination, html_text, language_model, license_scan, near_dedup, packing, phrases, quality_rules, runs, sharding, simhash, warc
 from densityflow.llm.common import table
 
 
@@ -58,6 +58,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return runs.digests(runs.periodic_runs(docs.select("doc_id", runs.looped(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
 #: Rules of operator 2, and how much they vary by chance.
 RULES = {"mean_word": 2, "punctuation": 8, "capitals": 8, "distinct": 1}
 
@@ -72,6 +86,9 @@ QUERIES = {
     "op8_pitman_yor_lm": op8_pitman_yor_lm,
     "op9_length_packing": op9_length_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_simhash_near_dedup": op12_simhash_near_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 WORDS = "list_filter(regexp_split_to_array(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -171,4 +188,32 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
   d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.node = d.doc_id""",
+    "op11_phrase_collocations": """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p
+), total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1
+), g AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i+k-1], ' '))) AS phrase
+    FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)) GROUP BY ALL HAVING count(*) >= 30
+), parts AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS ws FROM g
+), inner_of AS (
+  SELECT lang, f, array_to_string(ws[i:i+m-1], ' ') AS phrase FROM (
+    SELECT lang, f, ws, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM parts WHERE k >= 3))
+), most AS (SELECT lang, phrase, max(f) AS longer FROM inner_of GROUP BY ALL
+), kept AS (
+  SELECT lang, k, phrase, ws, f AS a FROM parts LEFT JOIN most USING (lang, phrase) WHERE k >= 2 AND (longer IS NULL OR 100 * longer < 80 * f)
+), cuts AS (
+  SELECT lang, k, phrase, a, c, array_to_string(ws[1:c], ' ') AS head, array_to_string(ws[c+1:k], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, c, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+  FROM cuts JOIN g x ON x.lang = cuts.lang AND x.phrase = head JOIN g y ON y.lang = cuts.lang AND y.phrase = tail
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
 }

@@ -38,9 +38,9 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
-    """For each text, the hashes of its words in order."""
-    lists = [split_words(t) for t in texts]
+def word_hashes(texts: list[str | None], lists: list[list[bytes]] | None = None) -> list[np.ndarray]:
+    """For each text, the hashes of its words in order; lists has the words if they are split already."""
+    lists = [split_words(t) for t in texts] if lists is None else lists
     flat = np.empty(sum(map(len, lists)), dtype=object)
     at, bounds = 0, [0]
     for ws in lists:
