@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densityflow.functions.noise import hash_normal, noise_key
-from densityflow.sources.store import stored
+from densityflow.operators.partition import mass_tree
+from densityflow.sources.store import dropped, stored
 
 
 def draw(points: DataFrame, sigma: Column, rounds: range, seed: int, dims: int = 1) -> DataFrame:
@@ -81,11 +82,12 @@ def converge(points: DataFrame, sigma: float, cell: Callable[[DataFrame], Column
         round_ += 1
         noisy = draw(points, F.lit(sigma), range(round_, round_ + 1), seed, dims)
         new = cell_sums(noisy.withColumn("cell", cell(noisy)), ["cell"], dims)
-        total = stored(new if total is None else merge_sums(total.unionByName(new), ["cell"], dims))
+        before, total = total, stored(new if total is None else merge_sums(total.unionByName(new), ["cell"], dims))
         means = total.select("cell", *[(F.col(f"s{c}") / F.col("n")).alias(c) for c in z])
-        if old is not None and means.join(old, "cell", "left").agg(_moved(z)).first()[0] <= conv:
-            break
-        if round_ >= most:
+        still = old is not None and means.join(old, "cell", "left").agg(_moved(z)).first()[0] <= conv
+        if before is not None:
+            dropped(before)
+        if still or round_ >= most:
             break
         old = means.select("cell", *[F.col(c).alias(f"old_{c}") for c in z])
     return scores(total, ["cell"], F.lit(sigma), dims), round_
@@ -102,54 +104,18 @@ def partition_cap(prob: float, chunk: int = 100_000, most_samples: int = 0) -> i
     return most_samples if most_samples > 0 else max(chunk, math.ceil(100 / max(prob, 2.3e-16)))
 
 
-class Tree:
-    """Cells by repeated halving: a cell of level l is split at its mean of dimension l mod dims.
-
-    Nodes are numbered as in a heap, and their means stand in one array, so that the cell of a point is
-    one expression whatever the depth. Means are of a stored sample, a pass over it for each level."""
-
-    def __init__(self, sample: DataFrame, depth: int, dims: int = 1):
-        self.depth, self.dims, self.means = depth, dims, [None] * (2**depth - 1)
-        sample = stored(sample.select(*[f"x{j}" for j in range(dims)]))
-        for level in range(depth):
-            at = sample.select(self._node(sample, level).alias("node"), F.col(f"x{level % dims}").alias("x"))
-            for r in at.groupBy("node").agg(F.avg("x").alias("m")).collect():  # a row for each cell
-                self.means[r.node] = r.m
-
-    def _node(self, points: DataFrame, levels: int) -> Column:
-        if not levels:
-            return F.lit(0)
-        means = F.array(*[F.lit(m).cast("double") for m in self.means[: 2**levels - 1]])
-        x = F.array(*[points[f"x{j}"] for j in range(self.dims)])
-        beyond = lambda node, level: F.coalesce(F.get(x, level % self.dims) > F.get(means, node), F.lit(False)).cast("int")
-        return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), F.lit(0), lambda node, level: 2 * node + 1 + beyond(node, level))
-
-    def cell(self, points: DataFrame) -> Column:
-        return self._node(points, self.depth) - F.lit(2**self.depth - 1)
-
-
-def fit_tree(points: DataFrame, sigma: float, prob: float, dims: int, seed: int, most_samples: int = 0) -> Tree:
-    """Cells of about a share of prob, fitted to a sample of points with the first round's noise."""
-    n = points.count()
-    if not n:
-        raise ValueError("there are no observations")
-    sample = on_stride(points, n, partition_cap(prob, most_samples=most_samples))
-    return Tree(draw(sample, F.lit(sigma), range(1, 2), seed, dims), max(0, math.ceil(math.log2(1 / prob))), dims)
-
-
 def estimate(points: DataFrame, sigma: float, dims: int = 1, prob: float = 1e-3, conv: float = 1e-2, most: int = 150, seed: int = 0, partition: Callable[[DataFrame, float], Callable[[DataFrame], Column]] | None = None, most_samples: int = 0) -> tuple[DataFrame, int]:
     """Centres, scores and divergences of points (row, y0 ..) smoothed by sigma, in cells of about prob,
     and the rounds of noise that it took until they moved by at most conv.
 
-    partition fits cells of another kind: called with a sample of noisy points and prob, it gives what
-    names the cell of noisy points. No observations are an error."""
-    if partition is None:
-        cell = fit_tree(points, sigma, prob, dims, seed, most_samples).cell
-    else:
-        n = points.count()
-        if not n:
-            raise ValueError("there are no observations")
-        cell = partition(draw(on_stride(points, n, partition_cap(prob, most_samples=most_samples)), F.lit(sigma), range(1, 2), seed, dims), prob)
+    Cells are halved while they hold 2 * prob of a sample with the first round's noise. partition fits
+    cells of another kind: called with that sample and prob, it gives what names the cell of noisy
+    points. No observations are an error."""
+    n = points.count()
+    if not n:
+        raise ValueError("there are no observations")
+    sample = draw(on_stride(points, n, partition_cap(prob, most_samples=most_samples)), F.lit(sigma), range(1, 2), seed, dims)
+    cell = partition(sample, prob) if partition else mass_tree(sample, prob).of
     return converge(points, sigma, cell, seed, conv, most, dims)
 
 

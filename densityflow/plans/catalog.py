@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from densityflow.functions.noise import hash_uniform, noise_key
-from densityflow.operators import decorrelation, density, kgmm, langevin, mlp, spectral, transform
+from densityflow.operators import decorrelation, density, kgmm, langevin, mlp, partition, spectral, transform
 from densityflow.sources import store
 from densityflow.streaming.stats import stream_cell_sums
 
@@ -149,7 +149,7 @@ m3 AS (SELECT c2, avg(x) AS m FROM b WHERE round = 1 GROUP BY c2), t AS (SELECT
 {_cells_sql().replace("FROM n GROUP", "FROM t GROUP")}""")
 def kgmm_mean_split_tree(spark, d):
     noisy = _noisy(_points(spark, d, "orders", "o_orderkey", "o_totalprice"), 2).drop("cell")
-    tree = kgmm.Tree(noisy.where("round = 1"), 3)
+    tree = partition.MeanSplits(noisy.where("round = 1"), 3)
     return _rounded(kgmm.scores(kgmm.cell_sums(noisy.withColumn("cell", tree.cell(noisy)), ["cell"]), ["cell"], F.lit(SIGMA)), divergence=4)
 
 
@@ -187,7 +187,7 @@ def _four_sql(sigma: str, depth: int) -> str:
 @query(f"WITH {_LINEITEM_NOISE.replace('<sigma>', '0.1e0')}, {_tree_sql(4, 4)} {_four_sql('0.1e0', 4)}")
 def kgmm_estimate_4d(spark, d):
     """Two rounds in cells of a sixteenth, fitted to a sample of 5,000 points."""
-    found, _ = kgmm.estimate(_lineitem(spark, d), 0.1, 4, prob=1 / 16, conv=0.0, most=2, seed=SEED, most_samples=5000)
+    found, _ = kgmm.estimate(_lineitem(spark, d), 0.1, 4, prob=1 / 16, conv=0.0, most=2, seed=SEED, most_samples=5000, partition=partition.mean_splits)
     return _rounded(found, divergence=3)
 
 
@@ -199,7 +199,7 @@ SELECT cell, dim, n, round(center, 6) AS center, round(score, 6) AS score, round
 def kgmm_estimate_64d(spark, d):
     """All dimensions of the embeddings, in cells of an eighth."""
     points = _emb(spark, d).select(F.col("t").alias("row"), *[F.col("x")[j].cast("double").alias(f"y{j}") for j in range(DIMS)])
-    found, _ = kgmm.estimate(points, 0.1, DIMS, prob=1 / 8, conv=0.0, most=2, seed=SEED)
+    found, _ = kgmm.estimate(points, 0.1, DIMS, prob=1 / 8, conv=0.0, most=2, seed=SEED, partition=partition.mean_splits)
     each = F.posexplode(F.array(*[F.struct(F.col(f"center{j}").alias("center"), F.col(f"score{j}").alias("score")) for j in range(DIMS)])).alias("dim", "e")
     return _rounded(found.select("cell", "n", "divergence", each).select("cell", "dim", "n", "e.center", "e.score", "divergence"), divergence=3)
 
@@ -209,7 +209,7 @@ def kgmm_sigma_trees(spark, d):
     """Each sigma in cells of its own."""
     points, out = store.stored(_lineitem(spark, d)), None
     for sigma in (0.05, 0.2):
-        found = kgmm.estimate(points, sigma, 4, prob=1 / 4, conv=0.0, most=2, seed=SEED, most_samples=5000)[0].withColumn("sigma", F.lit(sigma))
+        found = kgmm.estimate(points, sigma, 4, prob=1 / 4, conv=0.0, most=2, seed=SEED, most_samples=5000, partition=partition.mean_splits)[0].withColumn("sigma", F.lit(sigma))
         out = found if out is None else out.unionByName(found)
     return _rounded(out, divergence=3)
 
@@ -219,21 +219,51 @@ def kgmm_prob_sweep(spark, d):
     """Numbers of cells and mean squared scores by the share of a cell."""
     points, out = store.stored(_lineitem(spark, d)), None
     for k in (1, 2, 3):
-        found, _ = kgmm.estimate(points, 0.1, 4, prob=1 / 2**k, conv=0.0, most=2, seed=SEED, most_samples=5000)
+        found, _ = kgmm.estimate(points, 0.1, 4, prob=1 / 2**k, conv=0.0, most=2, seed=SEED, most_samples=5000, partition=partition.mean_splits)
         square = sum((F.col(f"score{j}") * F.col(f"score{j}") for j in range(1, 4)), F.col("score0") * F.col("score0"))
         row = found.agg(F.count(F.lit(1)).alias("cells"), (F.sum(F.col("n") * square) / F.sum("n")).alias("square")).withColumn("prob", F.lit(1 / 2**k))
         out = row if out is None else out.unionByName(row)
     return _rounded(out)
 
 
-@query()
+def _mass_tree_sql(prob: str, dims: int, levels: int) -> str:
+    """Tables a0 .. a<levels>: rows of n (round, x0 .., s whether in the sample) with their path of 0 and 1: cells
+    of the sample's `prob` halved by two rounds of 2-means from the mean of the widest dimension."""
+    every = lambda f, sep=", ": sep.join(f.replace("#", str(j)) for j in range(dims))
+    nearer = f"({every('x# * (h# - l#)', ' + ')}) > ({every('h# * h# - l# * l#', ' + ')}) / 2e0"
+    centres = f"{every('avg(x#) FILTER (NOT g) AS l#')}, {every('avg(x#) FILTER (g) AS h#')}"
+    out = f"sz AS (SELECT count(*) AS sz FROM n WHERE round = 1 AND s), a0 AS (SELECT *, '' AS path FROM n)"
+    for k in range(levels):
+        out += f""", f{k} AS (SELECT path, {every('avg(x#) AS m#, avg(x# * x#) - avg(x#) * avg(x#) AS v#')} FROM a{k} WHERE round = 1 AND s AND length(path) = {k} GROUP BY path HAVING count(*) >= greatest(2, 2 * {prob} * (SELECT sz FROM sz))),
+b{k} AS (SELECT a.*, CASE list_position([{every('v#')}], greatest({every('v#')})) {' '.join(f'WHEN {j + 1} THEN x{j} > m{j}' for j in range(dims))} END AS g FROM a{k} a JOIN f{k} USING (path) WHERE round = 1 AND s),
+c{k} AS (SELECT path, {centres} FROM b{k} GROUP BY path), d{k} AS (SELECT b.* EXCLUDE (g), {nearer} AS g FROM b{k} b JOIN c{k} USING (path)), e{k} AS (SELECT path, {centres} FROM d{k} GROUP BY path),
+a{k + 1} AS (SELECT a.* EXCLUDE (path), CASE WHEN e.path IS NULL THEN a.path WHEN {nearer} THEN a.path || '1' ELSE a.path || '0' END AS path FROM a{k} a LEFT JOIN e{k} e ON a.path = e.path)"""
+    return out
+
+
+#: More levels than the trees of the next queries have.
+_MASS_LEVELS = 6
+
+
+@query(f"WITH {_LINEITEM_NOISE.replace('<sigma>', '0.1e0')}, {_mass_tree_sql('0.125e0', 4, _MASS_LEVELS)}, t AS (SELECT *, CAST(dense_rank() OVER (ORDER BY path) - 1 AS INT) AS cell FROM a{_MASS_LEVELS}) {_four_sql('0.1e0', 0).replace('FROM a0', 'FROM t')}")
+def kgmm_mass_tree(spark, d):
+    """Cells halved while they hold a quarter of a sample of 5,000 points."""
+    found, _ = kgmm.estimate(_lineitem(spark, d), 0.1, 4, prob=0.125, conv=0.0, most=2, seed=SEED, most_samples=5000)
+    return _rounded(found, divergence=3)
+
+
+@query(f"""WITH {EMB}, l AS (SELECT k AS round, t, dim, {_hn(f"concat('{SEED}:', k, ':', t, ':', dim + 1)")} AS z, x AS y FROM emb, range(1, 3) AS g(k)),
+n AS (SELECT round, t, true AS s, {", ".join(f"max(y + 0.1e0 * z) FILTER (dim = {k}) AS x{k}" for k in range(DIMS))} FROM l GROUP BY round, t), {_mass_tree_sql('0.1e0', DIMS, 4)},
+p AS (SELECT round, t, CAST(dense_rank() OVER (ORDER BY path) - 1 AS INT) AS cell FROM a4),
+c AS (SELECT cell, dim, count(*) AS n, avg(y + 0.1e0 * z) AS center, -avg(z) / 0.1e0 AS score, avg(z * z) AS zz FROM l JOIN p USING (round, t) GROUP BY ALL),
+v AS (SELECT cell, (sum(zz) - {DIMS}) / 0.01e0 - sum(score * score) AS divergence FROM c GROUP BY cell)
+SELECT cell, dim, n, round(center, 6) AS center, round(score, 6) AS score, round(divergence, 3) AS divergence FROM c JOIN v USING (cell)""")
 def kgmm_bisecting(spark, d):
-    """All dimensions, in cells fitted by bisecting k-means."""
+    """All dimensions, in cells halved while they hold a fifth of the points."""
     points = _emb(spark, d).select(F.col("t").alias("row"), *[F.col("x")[j].cast("double").alias(f"y{j}") for j in range(DIMS)])
-    noisy = kgmm.draw(points, F.lit(0.1), range(1, 3), SEED, DIMS)
-    sample = kgmm.on_stride(noisy.where("round = 1"), points.count(), kgmm.partition_cap(0.02))
-    model = kgmm.bisecting_cells(sample, 0.02, [f"x{j}" for j in range(DIMS)])
-    return kgmm.scores(kgmm.cell_sums(model.transform(noisy), ["cell"], DIMS), ["cell"], F.lit(0.1), DIMS)
+    found, _ = kgmm.estimate(points, 0.1, DIMS, prob=0.1, conv=0.0, most=2, seed=SEED)
+    each = F.posexplode(F.array(*[F.struct(F.col(f"center{j}").alias("center"), F.col(f"score{j}").alias("score")) for j in range(DIMS)])).alias("dim", "e")
+    return _rounded(found.select("cell", "n", "divergence", each).select("cell", "dim", "n", "e.center", "e.score", "divergence"), divergence=3)
 
 
 @query(f"WITH {EVENTS}, {_noisy_sql()}, c AS ({_cells_sql().replace('round(', '(').replace(', 6)', ')').replace(', 4)', ')')}) SELECT round(center0, 6) AS center0, round(-0.1e0 * score0, 6) AS target0, n AS weight FROM c")

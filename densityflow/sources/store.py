@@ -33,10 +33,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the folders of stored tables; nothing reads them again."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A small table for the side of a join, stored: broadcast if it has at most so many rows, else as it is."""
-    kept = stored(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    """A small table for the side of a join, worked out once: broadcast if it has at most so many rows.
+
+    So many rows, and one to tell, come to the driver and go from there; a larger table is stored."""
+    found = df.limit(rows + 1).toArrow()
+    if found.num_rows > rows:
+        return stored(df)
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
 
 
 FIELDS = ("u", "timeseries", "field", "data")
