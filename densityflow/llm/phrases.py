@@ -13,7 +13,8 @@ open where a range begins (three phrases a range at most) is handed on afterward
 Before that, the counting: only phrases of at least `least` occurrences matter, and all parts of
 such a phrase have as many. So words are counted first, then pairs of two frequent words, then
 longer phrases of frequent pairs; these three counts go by 64-bit hashes, whose collisions can only
-raise them. What they leave is counted again by its own words, and that count is exact. The tables
+raise them. What they leave is counted again with its words at hand, told apart by 128 bits inside a
+task and by its text between tasks. The tables
 of frequent hashes reach the tasks as a filter of at most MOST_BLOCKS 64-bit blocks (16 MB); beyond
 what it tells apart, more phrases are sent and then dropped by their counts.
 
@@ -42,8 +43,8 @@ SHARE = 80
 MOST_BLOCKS = 1 << 21
 #: Counts that a task holds before it sends them.
 HELD = 2_000_000
-#: Phrases that a task holds before it sends them.
-HELD_PHRASES = 200_000
+#: Phrases that a task holds before it sends them, some 100 bytes each.
+HELD_PHRASES = 1_500_000
 #: Lower case, one white space, and a full stop for all that ends a piece.
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz" + b"." * 9)
 STOP = b"."
@@ -189,34 +190,63 @@ def _longer(blocks, part: int, sizes: range):
     return count
 
 
+class _Held:
+    """Phrases of one language and how often each came, told apart by two hashes of 64 bits."""
+
+    def __init__(self):
+        self.first, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.counts, self.phrases = np.empty(0, np.int64), np.empty(0, object)
+
+    def add(self, first: np.ndarray, second: np.ndarray, phrase_at) -> None:
+        """Occurrences by their hashes; phrase_at(k) is the phrase of the k-th."""
+        order = np.argsort(first)
+        x, y = first[order], second[order]
+        if len(x) and ((y[1:] != y[:-1]) & (x[1:] == x[:-1])).any():
+            order = np.lexsort((second, first))
+            x, y = first[order], second[order]
+        starts = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.empty(0, np.int64)
+        counts = np.diff(np.r_[starts, len(x)])
+        x, y, order = x[starts], y[starts], order[starts]
+        at = np.searchsorted(self.first, x)
+        known = np.zeros(len(x), dtype=bool)
+        inside = at < len(self.first)
+        known[inside] = (self.first[at[inside]] == x[inside]) & (self.second[at[inside]] == y[inside])
+        self.counts[at[known]] += counts[known]
+        new = ~known
+        names = np.empty(int(new.sum()), dtype=object)
+        names[:] = [phrase_at(k) for k in order[new].tolist()]
+        place = at[new]
+        self.first, self.second = np.insert(self.first, place, x[new]), np.insert(self.second, place, y[new])
+        self.counts, self.phrases = np.insert(self.counts, place, counts[new]), np.insert(self.phrases, place, names)
+
+
 def _phrases(blocks):
-    """Phrases that pass the filter: (lang, phrase, n), counted by their words."""
+    """Phrases that pass the filter: (lang, phrase, n), a row for each in a piece of the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter(blocks.value)
-        held: dict[tuple[str, bytes], int] = {}
+        held: dict[str, _Held] = {}
 
         def sent():
-            keys = list(held)
-            for a in range(0, len(keys), 10_000):
-                some = keys[a : a + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in some]), pa.array([k[1].decode("utf-8", "surrogatepass") for k in some]), pa.array([held[k] for k in some], pa.int64())], names=["lang", "phrase", "n"])
+            for lang, own in held.items():
+                for a in range(0, len(own.counts), 10_000):
+                    names = [p.decode("utf-8", "surrogatepass") for p in own.phrases[a : a + 10_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(own.counts[a : a + 10_000])], names=["lang", "phrase", "n"])
             held.clear()
 
         for lang, texts in _by_language(batches):
             flat, seed = tokens(texts), _seed(lang)
             codes, distinct = pd.factorize(flat)
-            words, whole, many = _hashed(distinct)[codes], flat != STOP, len(distinct)
+            words, whole = _hashed(distinct)[codes], flat != STOP
+            others = pd.util.hash_array(distinct, hash_key="another hash key", categorize=False)[codes]
+            own = held.setdefault(lang, _Held())
             for size in range(1, LONGEST + 1):
-                at = np.flatnonzero(known(window_hashes(words, size, seed)) & _all_of(whole, size))
-                ids = codes[at].astype(np.int64)
-                for k in range(1, size):  # numbers of windows: that of all words but the last, and the last
-                    _, ids = np.unique(ids * many + codes[at + k], return_inverse=True)
-                _, first, counts = np.unique(ids, return_index=True, return_counts=True)
-                for i, c in zip(at[first].tolist(), counts.tolist(), strict=True):
-                    key = (lang, b" ".join(flat[i : i + size]))
-                    held[key] = held.get(key, 0) + c
-            if len(held) > HELD_PHRASES:
+                hashes = window_hashes(words, size, seed)
+                at = np.flatnonzero(_all_of(whole, size))
+                at = at[known(hashes[at])]
+                second = window_hashes(others, size, seed)[at]
+                own.add(hashes[at], second, lambda k, at=at, size=size: b" ".join(flat[at[k] : at[k] + size].tolist()))  # noqa: B023
+            if sum(len(x.counts) for x in held.values()) > HELD_PHRASES:
                 yield from sent()
         yield from sent()
 

@@ -88,6 +88,45 @@ def test_counts_leave_a_full_task(monkeypatch):
     assert got == Counter(x for p in pieces for x in p.tolist())
 
 
+def test_phrases_leave_a_full_task(monkeypatch):
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "HELD_PHRASES", 20)
+    every = SimpleNamespace(value=np.full(2, 2**64 - 1, np.uint64))
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "b", "c.", "d", "é,"]) for _ in range(30)) for _ in range(40)]
+    langs = [rng.choice(["en", "de"]) for _ in texts]
+    batches = [pa.RecordBatch.from_arrays([pa.array(langs[k : k + 4]), pa.array(texts[k : k + 4])], names=["lang", "text"]) for k in range(0, 40, 4)]
+    got, sent = Counter(), 0
+    for b in phrases._phrases(every)(iter(batches)):
+        sent += b.num_rows
+        for lang, phrase, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            got[lang, phrase] += n
+    want = Counter()
+    for lang, text in zip(langs, texts, strict=True):
+        for piece in text.replace(",", ".").split("."):
+            ws = piece.split()
+            want.update((lang, " ".join(ws[i : i + k])) for k in range(1, 5) for i in range(len(ws) - k + 1))
+    assert got == want
+    assert sent > len(want)
+
+
+def test_held_phrases_with_one_first_hash():
+    import numpy as np
+
+    held = phrases._Held()
+    names = [b"x", b"y", b"x", b"z", b"y"]
+    for _ in range(2):
+        held.add(np.array([5, 5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.uint64), lambda k: names[k])
+    got = Counter()
+    for p, n in zip(held.phrases, held.counts, strict=True):
+        got[p] += int(n)
+    assert got == {b"x": 4, b"y": 4, b"z": 2}
+
+
 def test_filter_keeps_all(spark):
     import numpy as np
 
