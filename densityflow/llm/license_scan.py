@@ -8,6 +8,12 @@ Cauchy-Schwarz inequality on the rest of its weights, so that only lines and win
 anchor are compared, wherever they stand in the text. Terms of no template add to a statement's norm
 only; they are joined with their frequencies.
 
+An SPDX identifier is no bag of its parts: the whole token counts, as it stands, and one that no
+template has is reported as written (without -only, -or-later or +). Of two versions of a licence,
+which may differ in a number alone, the one with the statement's numbers counts: a statement that lacks
+a template's number and has another of at most two digits is of the version that has it, or of none. The opening that the
+BSD licences share is BSD-3-Clause if the clause on names follows, else BSD-2-Clause.
+
 A file with a statement has that licence (``header``, or ``file`` if it is a licence file by the share
 of its words in statements or by its name). Others
 inherit from the licence file in the nearest ancestor directory: distinct directories are joined
@@ -16,16 +22,20 @@ highest cosine speaks for a directory, the first path on ties.
 
 Defined results: null and empty texts have no statement, but may inherit; a null path has no
 directory and inherits nothing; ties between templates go to the first name; repeated rows each get
-a row; an empty table gives an empty result; other columns are ignored.
+a row; an empty table gives an empty result; other columns are ignored. Texts of any length are read
+whole, in time in proportion to their length: windows are ruled out by running sums, and a window that
+holds the words of the one before it is the same statement, a word longer.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,43 +53,66 @@ TERM = re.compile(r"[a-z0-9]+")
 HELD_TERMS = 200_000
 # Notices by which licences are named.
 TEMPLATES = {
-    "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
+    "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License"],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC"],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0"],
-    "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "Proprietary": ["All rights reserved", "Copyright. All rights reserved."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
+#: The opening that all BSD licences share, and the clause that only some have.
+SHARED_OPENING = TEMPLATES["BSD-3-Clause"][0]
+NAMES_CLAUSE = ["neither", "the", "name"]
+#: The token after an SPDX tag; these endings don't make another licence.
+SPDX = re.compile(r"spdx-license-identifier:[ \t]*\(*([a-z0-9][a-z0-9.+-]*)", re.IGNORECASE)
+SPDX_ENDING = re.compile(r"(-only|-or-later|\+)$", re.IGNORECASE)
 # Titles by which long licence texts begin.
 TITLES = {
     "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
     "Apache-2.0": "Apache License Version 2.0, January 2004",
     "CC-BY-4.0": "Creative Commons Attribution 4.0 International Public License",
     "CC0-1.0": "Creative Commons Legal Code CC0 1.0 Universal",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
     "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
     "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     "MPL-2.0": "Mozilla Public License Version 2.0",
 }
+# Sentences with which the bodies of long licence texts open.
+OPENINGS = {
+    "Apache-2.0": "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+    "GPL-2.0": "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    "GPL-3.0": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "MPL-2.0": "\"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
+}
 # Short licence texts as they stand in licence files.
 TEXTS = {
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
-VOCABULARY = frozenset(t for texts in ([n for ns in TEMPLATES.values() for n in ns], TITLES.values(), TEXTS.values()) for n in texts for t in TERM.findall(n.lower()))
-#: Notices of fewer terms count only as they stand, in order.
+VOCABULARY = frozenset(t for texts in ([n for ns in TEMPLATES.values() for n in ns], TITLES.values(), OPENINGS.values(), TEXTS.values()) for n in texts for t in TERM.findall(n.lower()))
+#: Notices of fewer terms, and titles, count only as they stand, in order.
 SHORT = 5
 #: A title so near the beginning makes a text a licence file.
 TITLE_WITHIN = 30
+#: And the opening of its body so near.
+OPENING_WITHIN = 200
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,6 +132,24 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _numbers(terms) -> frozenset[str]:
+    return frozenset(t for t in terms if t.isdigit() and len(t) <= 2)
+
+
+#: What a licence's name is without its version, and the numbers of its templates.
+FAMILY = {name: re.sub(r"-[0-9][0-9.]*(-Clause)?$", "", name) for name in sorted({*TEMPLATES, *TITLES, *TEXTS})}
+VERSIONS = {name: {_numbers(TERM.findall(n.lower())) for n in TEMPLATES.get(name, [])} - {frozenset()} for name in FAMILY}
+
+
+def in_version(name: str, template, numbers: frozenset[str]) -> str | None:
+    """The licence of a statement with these numbers that is near to a template: its own, that of its family
+    whose numbers the statement has, or None for a version without a template."""
+    own = _numbers(template)
+    if own <= numbers or numbers <= own:
+        return name
+    return next((k for k, family in FAMILY.items() if family == FAMILY[name] and any(v <= numbers for v in VERSIONS[k])), None)
+
+
 class Matcher:
     """Templates as weighted vectors."""
 
@@ -108,13 +159,13 @@ class Matcher:
         self.other = math.log(1 + n) + 1  # terms of no template
         self.threshold = threshold
         self.vectors: list[tuple[str, dict[str, float]]] = []
-        self.windows: list[tuple[str, dict[str, float], list[str], bool]] = []  # and terms, and whether a title
+        self.windows: list[tuple[str, dict[str, float], list[str], int, bool]] = []  # terms, from where it makes a file, whether it opens BSD licences
         self.texts = [(name, self.vector(text), TERM.findall(text.lower())) for name, text in sorted(TEXTS.items())]
         anchors: set[str] = set()
-        notices = [(name, n, False) for name, ns in sorted(TEMPLATES.items()) for n in ns] + [(name, n, True) for name, n in sorted(TITLES.items())]
+        notices = [(name, n, 0) for name, ns in sorted(TEMPLATES.items()) for n in ns] + [(name, n, TITLE_WITHIN) for name, n in sorted(TITLES.items())] + [(name, n, OPENING_WITHIN) for name, n in sorted(OPENINGS.items())]
         for name, notice, title in notices:
             v, terms = self.vector(notice), TERM.findall(notice.lower())
-            self.windows.append((name, v, terms, title))
+            self.windows.append((name, v, terms, title, notice == SHARED_OPENING))
             if len(terms) >= SHORT and not title:
                 self.vectors.append((name, v))
             left = 1.0
@@ -152,50 +203,82 @@ class Matcher:
                 others[t] = c
         norm = sum(x * x for x in own.values())
         least = math.sqrt(norm + sum(c * c for c in others.values()))  # no term weighs less than 1
+        numbers = _numbers((*own, *others))
         best = None
         for name, t in templates:
             dot = sum(x * t.get(k, 0.0) for k, x in own.items())
             if dot >= (threshold - 1e-12) * least and (best is None or dot > best["dot"] + 1e-12):
-                best = {"dot": dot, "norm": norm, "licence": name, "least": threshold}
+                version = in_version(name, t, numbers)
+                if version is not None:
+                    best = {"dot": dot, "norm": norm, "licence": version, "least": threshold}
         return best and best | {"others": [{"term": t, "c": c} for t, c in others.items()]}
 
+    def starts(self, terms: list[str], weights: np.ndarray, v: dict[str, float], n: int) -> np.ndarray:
+        """Where windows of n terms begin that running sums don't rule out: the product with v is a sum over
+        the window, and the norm is no less than the root of the sum of squared weights."""
+        dots = np.fromiter((v.get(t, 0.0) for t in terms), float, len(terms))
+        upto, norms = (np.concatenate([[0.0], np.cumsum(x)]) for x in (dots * weights, weights * weights))
+        size = len(terms) - n + 1
+        if size <= 0:
+            return np.empty(0, dtype=np.int64)
+        near = upto[n:] - upto[:size] >= WINDOW_THRESHOLD * np.sqrt(norms[n:] - norms[:size]) - 1e-6
+        return np.flatnonzero(near & (dots[:size] > 0) & (dots[n - 1 :] > 0))
+
     def statements(self, text: str) -> list[dict]:
         """Lines and windows that may be statements, with the words at which they begin and end."""
         low = text.lower()
-        if not self.anchor.search(low):
+        tagged = [(m.group(1), m.start(), m.end()) for m in SPDX.finditer(text)] if len(low) == len(text) else [(m.group(1), m.start(), m.end()) for m in SPDX.finditer(low)]
+        if not tagged and not self.anchor.search(low):
             return []
         found = [(m.group(), m.start(), m.end()) for m in TERM.finditer(low)]
         terms = [t for t, _, _ in found]
+        begins = [m.start() for m in re.finditer(r"\S+", low)]
         at = [i for i, t in enumerate(terms) if t in self.anchors]
+        names_at = max((i for i, t in enumerate(terms) if t == NAMES_CLAUSE[0] and terms[i : i + 3] == NAMES_CLAUSE), default=-1)
         out = []
 
-        def add(i: int, j: int, templates, threshold: float, whole: bool = False) -> None:
-            best = self.statement(terms[i:j], templates, threshold)
-            if best and whole:
-                out.append(best | {"first": 0, "last": len(low.split())})
-            elif best:
-                a, b = found[i][1], found[j - 1][2]
-                first = len(low[:a].split())
-                out.append(best | {"first": first, "last": first + len(low[a:b].split())})
+        def span(a: int, b: int) -> dict:
+            """The words from character a, which is no space, to b."""
+            first = bisect_left(begins, a)
+            return {"first": first, "last": first + 1 + bisect_left(begins, b) - bisect_right(begins, a)}
 
+        def add(i: int, j: int, templates, threshold: float, whole: bool = False, opens: bool = False) -> dict | None:
+            best = self.statement(terms[i:j], templates, threshold)
+            if best:
+                best |= {"first": 0, "last": len(begins)} if whole else span(found[i][1], found[j - 1][2])
+                if opens and names_at < i:
+                    best["licence"] = "BSD-2-Clause"
+                out.append(best)
+            return best
+
+        for name, a, b in tagged:
+            out.append({"dot": 1.0, "norm": 1.0, "licence": spdx_licence(name), "least": 0.0, "others": []} | span(a, b))
+        lines = [c for c, ch in enumerate(low) if ch == "\n"] if at else []
         end = 0
         for i in at:
             if i >= end:
-                start = low.rfind("\n", 0, found[i][1]) + 1
-                stop = low.find("\n", found[i][2])
-                stop = len(low) if stop < 0 else stop
+                k = bisect_left(lines, found[i][1])
+                start, stop = lines[k - 1] + 1 if k else 0, lines[k] if k < len(lines) else len(low)
                 first, end = i, i + 1
                 while first and found[first - 1][1] >= start:
                     first -= 1
                 while end < len(found) and found[end][2] <= stop:
                     end += 1
-                add(first, end, self.vectors, self.threshold)
-        for name, v, notice, title in self.windows:
-            n = len(notice)
-            starts = {i for k in at if terms[k] in v for i in range(max(0, k - n + 1), k + 1)}
-            for i in sorted(starts):
-                if i + n <= len(terms) and terms[i] in v and terms[i + n - 1] in v and (n >= SHORT or terms[i : i + n] == notice):
-                    add(i, i + n, [(name, v)], WINDOW_THRESHOLD, title and i < TITLE_WITHIN)
+                best = self.statement(terms[first:end], self.vectors, self.threshold)
+                if best:
+                    opening = best["licence"] == "BSD-3-Clause" and not {"3", "clause"} <= set(terms[first:end])
+                    add(first, end, self.vectors, self.threshold, opens=opening)
+        weights = np.fromiter((self.idf.get(t, 1.0) for t in terms), float, len(terms))
+        for name, v, notice, title, opens in self.windows:
+            n, last, kept = len(notice), -2, None
+            for i in self.starts(terms, weights, v, n).tolist():
+                if (n < SHORT or title == TITLE_WITHIN) and terms[i : i + n] != notice:
+                    continue
+                if n >= SHORT and kept and i == last + 1 and terms[last] == terms[i + n - 1]:
+                    kept["last"] = max(kept["last"], span(found[i][1], found[i + n - 1][2])["last"])  # the same words, one further
+                else:
+                    kept = add(i, i + n, [(name, v)], WINDOW_THRESHOLD, i < title, opens)
+                last = i
         for name, v, licence in self.texts:
             if len(terms) <= 2 * len(licence):
                 add(0, len(terms), [(name, v)], WINDOW_THRESHOLD, True)
@@ -205,6 +288,16 @@ class Matcher:
         return out
 
 
+#: Identifiers of templates, by their lower case.
+KNOWN = {name.lower(): name for name in (*TEMPLATES, *TITLES, *TEXTS)}
+
+
+def spdx_licence(token: str) -> str:
+    """The licence of an SPDX identifier; one without a template as it is written."""
+    plain = SPDX_ENDING.sub("", token.rstrip("."))
+    return KNOWN.get(plain.lower(), plain)
+
+
 STATEMENT = "struct<dot: double, norm: double, licence: string, least: double, others: array<struct<term: string, c: long>>, first: long, last: long>"
 ARROW_STATEMENT = pa.struct([("dot", pa.float64()), ("norm", pa.float64()), ("licence", pa.string()), ("least", pa.float64()), ("others", pa.list_(pa.struct([("term", pa.string()), ("c", pa.int64())]))), ("first", pa.int64()), ("last", pa.int64())])
 

@@ -84,3 +84,81 @@ def test_odd_files(spark):
     assert by[None] == ("MIT", "inherited")
     assert by[1] == (None, "none")
     assert scan.licences(spark.createDataFrame(rows, "doc_id long, path string, text string").where("false")).collect() == []
+
+
+def rest(n=60):
+    return [(1000 + k, f"zz/{k}/f", prose(k, 40)) for k in range(n)]
+
+
+def test_identifiers_are_whole_tokens(spark):
+    cases = {
+        "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+        "// SPDX-License-Identifier: gpl-3.0-or-later": "GPL-3.0",
+        "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause",
+        "# SPDX-License-Identifier: BSL-1.0": "BSL-1.0",
+        "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */": "MIT",
+        "SPDX-License-Identifier: Zlib": "Zlib",
+        "SPDX-License-Identifier: CC0-1.0.": "CC0-1.0",
+        "SPDX-License-Identifier:": None,
+        "the spdx license identifier of gpl 3 0 is long": None,
+    }
+    got = found(spark, [(i, f"d{i}/a.c", f"{line}\nint x;\n{prose(i, 20)}") for i, line in enumerate(cases)] + rest())
+    assert [got[i].licence for i in range(len(cases))] == list(cases.values())
+    assert all(got[i].cosine == 1.0 for i, want in enumerate(cases.values()) if want)
+
+
+def test_versions_and_headers(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,"
+    lgpl = gpl.replace("GNU General", "GNU Lesser General").replace("This program is free", "This library is free")
+    cases = [
+        (gpl.format(3), "GPL-3.0"), (gpl.format(2), "GPL-2.0"), (lgpl.format(3), "LGPL-3.0"), (lgpl.format("2.1"), "LGPL-2.1"),
+        (gpl.replace("GNU General", "GNU Affero General").format(3), "AGPL-3.0"),
+        ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at", "Apache-2.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"), ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"),
+        ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+        (textwrap.fill(scan.TEXTS["BSD-2-Clause"], 60), "BSD-2-Clause"), (textwrap.fill(scan.TEXTS["BSD-3-Clause"], 60), "BSD-3-Clause"),
+        ("Copyright 2020 Foo. Released under the MIT License.", "MIT"),
+    ]
+    got = found(spark, [(i, f"d{i}/a.c", f"/*\n{text}\n*/\n{prose(i, 20)}") for i, (text, _) in enumerate(cases)] + rest())
+    assert [got[i].licence for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_bodies_of_long_licences_open_as_files(spark):
+    rows = [(i, f"d{i}/terms", prose(i, 25) + "\n" + opening + "\n" + prose(i + 9, 900)) for i, opening in enumerate(scan.OPENINGS.values())]
+    got = found(spark, rows + rest())
+    assert [(got[i].licence, got[i].found) for i in range(len(rows))] == [(name, "file") for name in scan.OPENINGS]
+
+
+def test_long_texts_of_notices_take_time_in_proportion():
+    import time
+
+    matcher = scan.Matcher({"": 1000, "the": 900, "under": 300, "license": 50, "released": 40, "mit": 5})
+    mixed = ("Released under the MIT License " * 3 + "or the GNU General Public License, version 2.\nPermission to use it is granted. ") * 33_000
+    for text, most in (("Released under the MIT License " * 160_000, 20), (mixed, 20)):
+        assert len(text) > 4_900_000
+        began = time.perf_counter()
+        found = matcher.statements(text)
+        assert time.perf_counter() - began < most
+        assert {"MIT"} <= {f["licence"] for f in found}
+    # what merges covers what it covered
+    short = matcher.statements("Released under the MIT License " * 40)
+    assert min(f["first"] for f in short) == 0
+    assert max(f["last"] for f in short) == 200
+
+
+def test_merged_windows_state_the_same_words():
+    """Windows with a neighbour's words only lengthen it: first, last and cosine as without merging."""
+    r = random.Random(8)
+    matcher = scan.Matcher({"": 100, "the": 90, "under": 30})
+    for _ in range(30):
+        text = " ".join(r.choice(["Released under the MIT License", "word", "under the", "License Released"]) for _ in range(25))
+        terms = scan.TERM.findall(text.lower())
+        v = matcher.vector("Released under the MIT License")
+        covered = set()
+        for i in range(len(terms) - 4):
+            if terms[i] in v and terms[i + 4] in v and matcher.statement(terms[i : i + 5], [("MIT", v)], scan.WINDOW_THRESHOLD):
+                covered |= set(range(i, i + 5))
+        got = {k for f in matcher.statements(text) if f["licence"] == "MIT" and f["least"] == scan.WINDOW_THRESHOLD for k in range(f["first"], f["last"])}
+        assert got == covered
