@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from densityflow.operators.blocks import lag_sums
 from densityflow.sources.store import bounded, stored
 
 
 def autocorrelation(long: DataFrame, lags: int) -> DataFrame:
-    """(dim, k, rho) of (t, dim, x) with t = 0 .. n - 1: an equi-join of each time with the times k
-    earlier. Covariances are divided by n - k; without variance rho is null."""
-    mean = long.groupBy("dim").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
-    c = long.join(bounded(mean), "dim").select("dim", "t", "n", (F.col("x") - F.col("m")).alias("d"))
-    early = c.select("dim", "n", F.col("d").alias("d0"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("k"), "t").withColumn("t", F.col("t") + F.col("k"))
-    cov = early.join(c.select("dim", "t", "d"), ["dim", "t"]).groupBy("dim", "k").agg((F.sum(F.col("d0") * F.col("d")) / (F.first("n") - F.col("k"))).alias("c"))
-    cov = stored(cov)
-    zero = cov.where("k = 0").select("dim", F.col("c").alias("c0"))
-    return cov.join(bounded(zero), "dim").select("dim", "k", F.when(F.col("c0") > 0, F.col("c") / F.nullif("c0", F.lit(0.0))).alias("rho"))
+    """(dim, k, rho) of (t, dim, x) with t = 0 .. n - 1, for k = 0 .. lags: by blocks of time and Fourier
+    transforms. Covariances are divided by n - k; without variance rho is null."""
+    mean = bounded(long.groupBy("dim").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"), F.stddev_pop("x").alias("sd")))
+    # scaled by the deviation, so that what transforms round off is small beside one
+    scale = F.when(F.col("sd") > 0, F.col("sd"))
+    c = long.join(mean, "dim").select("dim", "t", ((F.col("x") - F.col("m")) / scale).alias("d"))
+    sums = stored(lag_sums(c, lags))
+    zero = bounded(sums.where("k = 0").select("dim", F.col("s").alias("s0")))
+    every = mean.select("dim", "n", F.explode(F.sequence(F.lit(0), F.least(F.lit(lags), F.col("n") - 1).cast("int"))).alias("k"))
+    found = every.join(sums.select("dim", F.col("k").cast("int").alias("k"), "s"), ["dim", "k"], "left").join(zero, "dim", "left")
+    cov, first = F.coalesce("s", F.lit(0.0)) / (F.col("n") - F.col("k")), F.col("s0") / F.col("n")
+    return found.select("dim", "k", F.when(first > 0, cov / F.nullif(first, F.lit(0.0))).alias("rho"))
 
 
 def decorrelation_times(rho: DataFrame) -> DataFrame:
