@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from densityflow.operators.interpolate import interpolated
 from densityflow.operators.transform import is_finite
 from densityflow.sources.store import bounded, stored
 
@@ -215,3 +216,18 @@ def relative_entropy(p: DataFrame, q: DataFrame, keys: list[str], points: int =
     d = d.join(bounded(sums), keyed)
     pn, qn = F.greatest(F.col("p") / (F.col("sp") * F.col("dx")), F.lit(1e-10)), F.greatest(F.col("q") / (F.col("sq") * F.col("dx")), F.lit(1e-10))
     return d.groupBy(*keyed).agg(F.sum(pn * F.ln(pn / qn) * F.col("dx")).alias("kl")).select(*keys, "kl")
+
+
+def relative_entropy_of(p: DataFrame, q: DataFrame, keys: list[str], points: int = 2048) -> DataFrame:
+    """(keys, kl) of two densities (keys, x, density) on any places: both are interpolated on a common
+    uniform grid, beyond their ends by their first and last value, renormalised and floored at 1e-10."""
+    keyed = keys or ["_one"]
+    p, q = (d.select(*(keys or [F.lit(1).alias("_one")]), F.col("x").cast("double").alias("x"), F.col("density").alias("y")) for d in (p, q))
+    ends = p.unionByName(q).where(is_finite(F.col("x"))).groupBy(*keyed).agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    grid = ends.withColumn("dx", (F.col("b") - F.col("a")) / (points - 1)).select(*keyed, "a", "dx", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    grid = grid.select(*keyed, "i", "dx", (F.col("a") + F.col("i") * F.col("dx")).alias("g"))
+    both = stored(interpolated(q, interpolated(p, grid, keyed, to="p"), keyed, to="q"))
+    sums = both.groupBy(*keyed).agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
+    d = both.join(bounded(sums), keyed)
+    pn, qn = (F.greatest(F.col(c) / (F.col(f"s{c}") * F.col("dx")), F.lit(1e-10)) for c in "pq")
+    return d.groupBy(*keyed).agg(F.sum(pn * F.ln(pn / qn) * F.col("dx")).alias("kl")).select(*keys, "kl")

@@ -1,7 +1,8 @@
 """Real Fourier coefficients of snapshots, packed as [Re c0, Re c1, Im c1, .., Re c(n/2)], and PCA.
 
 Snapshots are transformed a batch at a time by fast Fourier transforms; covariances are summed as
-products of batches where the rows are, and only a matrix of the dimensions meets."""
+products of batches where the rows are, and only a matrix of the dimensions meets. Leading axes come from
+subspace iteration, which needs no such matrix."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from densityflow.sources.store import dropped, stored
+
 
 def matrix_of(column: pa.Array) -> np.ndarray:
     """(rows, places) of an Arrow column of arrays of one length."""
@@ -97,9 +100,92 @@ def principal_axes(snapshots: DataFrame, modes: int) -> tuple[np.ndarray, np.nda
     return mean, axes, values[::-1][:modes]
 
 
+def _moments(snapshots: DataFrame) -> tuple[int, np.ndarray]:
+    """(rows, means): a number for each dimension."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s = 0, None
+        for b in batches:
+            if b.num_rows:
+                x = matrix_of(b.column(0))
+                n, s = n + len(x), x.sum(axis=0) + (0 if s is None else s)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(s), dtype=np.int32)), pa.array(s), pa.array(np.full(len(s), n, dtype=np.int64))], names=["i", "s", "n"])
+
+    x = snapshots.select(F.transform("x", lambda v: v.cast("double")).alias("x"))
+    rows = x.mapInArrow(sums, "i int, s double, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).toPandas().sort_values("i")
+    n = int(rows["n"].iloc[0]) if len(rows) else 0
+    return n, rows["s"].to_numpy() / n if n else np.empty(0)
+
+
+def _applied(snapshots: DataFrame, mean: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For centred rows X and a basis Q of few columns: X'XQ, summed where the rows are, and R of the
+    tall-skinny QR of XQ, from the R of each task's."""
+    d, k = basis.shape
+    shared = snapshots.sparkSession.sparkContext.broadcast((mean, basis))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, q = shared.value
+        w, r = np.zeros((d, k)), np.empty((0, k))
+        for b in batches:
+            if b.num_rows:
+                x = matrix_of(b.column(0)) - mean
+                y = x @ q
+                w += x.T @ y
+                r = np.linalg.qr(np.concatenate([r, y]), mode="r")
+        if len(r):
+            square = np.zeros((k, k))
+            square[: len(r)] = r
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + k, dtype=np.int64)), arrays_of(np.concatenate([w, square]))], names=["i", "row"])
+
+    x = snapshots.select(F.transform("x", lambda v: v.cast("double")).alias("x"))
+    rows = x.mapInArrow(parts, "i long, row array<double>")
+    columns = [F.sum(F.col("row")[j]).alias(f"c{j}") for j in range(k)]
+    rows = stored(rows)
+    w = rows.where(F.col("i") < d).groupBy("i").agg(*columns).toPandas().sort_values("i").drop(columns="i").to_numpy()
+    factors = rows.where(F.col("i") >= d).select("row")
+
+    def stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.empty((0, k))
+        for b in batches:
+            if b.num_rows:
+                r = np.linalg.qr(np.concatenate([r, matrix_of(b.column(0))]), mode="r")
+        if len(r):
+            yield pa.RecordBatch.from_arrays([arrays_of(r)], names=["row"])
+
+    merged = factors.coalesce(8).mapInArrow(stacked, "row array<double>").toArrow()  # at most 8 factors of k rows
+    r = np.linalg.qr(np.array(merged["row"].to_pylist()), mode="r")
+    dropped(rows)
+    shared.unpersist()
+    return w, r
+
+
+def leading_axes(snapshots: DataFrame, modes: int, more: int = 16, most: int = 60, tolerance: float = 1e-10, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(means, axes as rows, variances) of the largest modes, by subspace iteration on modes and some more
+    columns: no matrix of all pairs of dimensions is made, and the driver holds dims times columns.
+    An axis's largest component is positive. Rounds end when the variances settle, after most at the latest."""
+    n, mean = _moments(snapshots)
+    if n < 2:
+        raise ValueError("two snapshots at least are needed")
+    k = min(modes + more, len(mean))
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(mean), k)))[0]
+    before = None
+    for _ in range(most):
+        w, r = _applied(snapshots, mean, q)
+        _, sizes, turned = np.linalg.svd(r)  # of XQ: the variances inside the subspace, and its axes
+        values, axes = sizes[:modes] ** 2 / (n - 1), q @ turned.T[:, :modes]
+        # what is left of each axis when the covariance is applied to it, beside its own direction
+        rest = w @ turned.T[:, :modes] / (n - 1) - axes * values
+        before, q = np.abs(rest).max(), np.linalg.qr(w)[0]
+        if k == len(mean) or before <= tolerance * max(values[0], 1e-300):
+            break
+    axes = axes.T
+    return mean, axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None], values
+
+
 def pca(snapshots: DataFrame, modes: int) -> DataFrame:
     """(t, x): centred snapshots projected on the first principal axes."""
-    mean, axes, _ = principal_axes(snapshots, modes)
+    mean, axes, _ = leading_axes(snapshots, modes)
     return project(snapshots, axes, mean)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from densityflow.functions.noise import hash_uniform, noise_key
-from densityflow.operators import decorrelation, density, kgmm, langevin, mlp, partition, spectral, transform
+from densityflow.operators import decorrelation, density, interpolate, kgmm, langevin, mlp, partition, spectral, transform
 from densityflow.sources import store
 from densityflow.streaming.stats import stream_cell_sums
 
@@ -499,6 +499,41 @@ def relative_entropy_multi(spark, d):
     return _rounded(density.relative_entropy(x.where("l_returnflag = 'A'").drop("l_returnflag"), x.where("l_returnflag <> 'A'").drop("l_returnflag"), ["l_linestatus"]))
 
 
+_AS_OF = """lo AS (SELECT g.*, s.x AS x0, s.y AS y0 FROM g ASOF LEFT JOIN s ON g.key = s.key AND g.g >= s.x),
+hi AS (SELECT lo.*, s.x AS x1, s.y AS y1 FROM lo ASOF LEFT JOIN s ON lo.key = s.key AND lo.g <= s.x), a AS (SELECT *, CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = g THEN y0 ELSE y0 + (g - x0) / (x1 - x0) * (y1 - y0) END AS y FROM hi)"""
+
+
+@query(f"""WITH s AS (SELECT event_type AS key, epoch_us(ts)::DOUBLE AS x, avg(value) AS y FROM events WHERE event_id % 3 = 0 GROUP BY ALL),
+g AS (SELECT event_type AS key, event_id, epoch_us(ts)::DOUBLE AS g FROM events WHERE event_id % 3 <> 0), {_AS_OF} SELECT event_id, round(y, 6) AS y FROM a""")
+def interpolate_events(spark, d):
+    """Values of a third of each type's events at the times of the others."""
+    e = _table(spark, d, "events").select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("x"), F.col("value").alias("y"))
+    found = interpolate.interpolated(e.where("event_id % 3 = 0").select("event_type", "x", "y"), e.where("event_id % 3 <> 0").select("event_type", "event_id", F.col("x").alias("g")), ["event_type"])
+    return _rounded(found.select("event_id", "y"))
+
+
+def _density_sql(name: str, where: str) -> str:
+    return f"{name} AS (SELECT l_linestatus AS key, l_quantity * l_quantity AS x, count(*)::DOUBLE AS y FROM lineitem WHERE {where} GROUP BY ALL)"
+
+
+@query(f"""WITH {_density_sql("p", "l_returnflag = 'A'")}, {_density_sql("q", "l_returnflag = 'R' AND l_quantity > 3")}, e AS (SELECT key, min(x) AS a, (max(x) - min(x)) / 511 AS dx FROM (SELECT key, x FROM p UNION ALL SELECT key, x FROM q) GROUP BY key),
+g AS (SELECT key, i, dx, a + i * dx AS g FROM e, range(0, 512) AS r(i)), fp AS (WITH s AS (SELECT * FROM p), {_AS_OF} SELECT key, i, dx, y FROM a), fq AS (WITH s AS (SELECT * FROM q), {_AS_OF} SELECT key, i, y FROM a),
+n AS (SELECT key, dx, greatest(fp.y / (sum(fp.y) OVER (PARTITION BY key) * dx), 1e-10) AS p, greatest(fq.y / (sum(fq.y) OVER (PARTITION BY key) * dx), 1e-10) AS q FROM fp JOIN fq USING (key, i))
+SELECT key AS l_linestatus, round(sum(p * ln(p / q) * dx), 6) AS kl FROM n GROUP BY key""")
+def relative_entropy_irregular(spark, d):
+    """Two densities known at squares of quantities only, one of them over a part of the range."""
+    x = _table(spark, d, "lineitem").select("l_linestatus", "l_returnflag", "l_quantity", (F.col("l_quantity") * F.col("l_quantity")).alias("x"))
+    p, q = (x.where(c).groupBy("l_linestatus", "x").agg(F.count(F.lit(1)).cast("double").alias("density")) for c in ("l_returnflag = 'A'", "l_returnflag = 'R' AND l_quantity > 3"))
+    return _rounded(density.relative_entropy_of(p, q, ["l_linestatus"], 512))
+
+
+@query("SELECT event_id, value FROM events ORDER BY md5(concat('7:', event_id)) LIMIT (SELECT count(*) // 2 FROM events)")
+def random_subset_half(spark, d):
+    """Half of the events: no row is sorted or limited."""
+    e = _table(spark, d, "events").select("event_id", "value")
+    return transform.exact_subset(e, e.count() // 2, 7, "event_id")
+
+
 def _hours(spark, d) -> DataFrame:
     """(t, dim, x): hourly means of four groups of users, numbered by hour."""
     e = _table(spark, d, "events").select(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h"), (F.col("user_id") % 4).cast("int").alias("dim"), "value")
@@ -735,9 +770,22 @@ def pca_variance(spark, d):
     return _rounded(p.groupBy("dim").agg(F.var_samp("x").alias("v")).agg(F.sum("v").alias("variance")))
 
 
-@query()
+def _axes_sql(modes: int, squarings: int = 14) -> str:
+    """Tables v0 .. : the first eigenvectors of the covariance, by squaring it until one is left, which is then taken away."""
+    out = f"cv AS (SELECT a.dim AS i, b.dim AS j, covar_samp(a.x, b.x) AS c FROM emb a JOIN emb b USING (t) GROUP BY ALL), m0_0 AS MATERIALIZED (SELECT i, j, c / (SELECT sum(c) FROM cv WHERE i = j) AS c FROM cv)"
+    for k in range(modes):
+        for s in range(squarings):
+            out += f", q{k}_{s} AS MATERIALIZED (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM m{k}_{s} a JOIN m{k}_{s} b ON a.j = b.i GROUP BY a.i, b.j), m{k}_{s + 1} AS MATERIALIZED (SELECT i, j, c / (SELECT sum(c) FROM q{k}_{s} WHERE i = j) AS c FROM q{k}_{s})"
+        p = f"m{k}_{squarings}"  # the projector on the axis
+        out += f", t{k} AS (SELECT i AS top, c AS d FROM {p} WHERE i = j ORDER BY c DESC LIMIT 1), v{k} AS MATERIALIZED (SELECT i AS dim, c / sqrt(d) AS v FROM {p}, t{k} WHERE j = top), l{k} AS (SELECT sum(a.v * c * b.v) AS l FROM m{k}_0 JOIN v{k} a ON a.dim = i JOIN v{k} b ON b.dim = j)"
+        out += f", m{k + 1}_0 AS MATERIALIZED (SELECT i, j, c - l * a.v * b.v AS c FROM m{k}_0 JOIN v{k} a ON a.dim = i JOIN v{k} b ON b.dim = j, l{k})"
+    return out
+
+
+@query(f"WITH {EMB}, {_axes_sql(4)}, mean AS (SELECT dim, avg(x) AS m FROM emb GROUP BY dim), " + "v AS (" + " UNION ALL ".join(f"SELECT {k} AS axis, dim, v FROM v{k}" for k in range(4)) + ") SELECT t, CAST(axis AS INT) AS dim, round(sum((x - m) * v), 5) AS x FROM emb JOIN mean USING (dim) JOIN v USING (dim) GROUP BY t, axis")
 def pca_project(spark, d):
-    return transform.to_long(spectral.pca(_emb(spark, d), 4))
+    """Coordinates on the first four axes of all dimensions; an axis's largest component is positive."""
+    return _rounded(transform.to_long(spectral.pca(_emb(spark, d), 4)), 5)
 
 
 _BASIS = np.round(np.cos(np.pi * (np.arange(DIMS)[None, :] + 0.5) * np.arange(8)[:, None] / DIMS) * 0.2, 4)
