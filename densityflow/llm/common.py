@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,10 +18,13 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Rows up to which the small side of a join is broadcast; it holds a few numbers or a short string
 #: each, so that the broadcast stays below about 20 MB. Larger sides are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: Scratch tables of the operators that are running, the innermost last.
-_made: list[list[DataFrame]] = []
+#: Scratch tables of the operator that is running in this thread.
+_made: ContextVar[list[DataFrame] | None] = ContextVar("_made", default=None)
 #: Deletes a query's shuffle files when it ends.
 LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Writes that hold it set, and what it was before the first of them.
+_letting: list[str | None] = []
+_letting_lock = threading.Lock()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,30 +53,48 @@ def cut(df: DataFrame) -> DataFrame:
     Nothing needs the shuffles behind the written table any more, and so they are let go with it."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    before = spark.conf.get(LET_GO, None)
-    spark.conf.set(LET_GO, "true")
-    try:
+    with let_go(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(LET_GO) if before is None else spark.conf.set(LET_GO, before)
     out = spark.read.schema(df.schema).parquet(path)
-    if _made:
-        _made[-1].append(out)
+    made = _made.get()
+    if made is not None:
+        made.append(out)
     return out
 
 
+@contextmanager
+def let_go(spark: SparkSession) -> Iterator[None]:
+    """LET_GO for a write; writes of several threads hold it together, and the last puts it back."""
+    with _letting_lock:
+        _letting.append(spark.conf.get(LET_GO, None) if not _letting else _letting[0])
+        spark.conf.set(LET_GO, "true")
+    try:
+        yield
+    finally:
+        with _letting_lock:
+            before = _letting.pop()
+            if not _letting:
+                spark.conf.unset(LET_GO) if before is None else spark.conf.set(LET_GO, before)
+
+
 def tidy(operator):
     """An operator whose result is stored, small beside its input; its scratch tables go when it ends."""
 
     @wraps(operator)
     def run(*args, **options):
-        _made.append([])
+        made: list[DataFrame] = []
+        outer = _made.set(made)
         try:
             out = cut(operator(*args, **options))
         except BaseException:
-            drop(*_made.pop())
+            drop(*made)
             raise
-        drop(*[t for t in _made.pop() if t is not out])
+        finally:
+            _made.reset(outer)
+        drop(*[t for t in made if t is not out])
+        around = _made.get()
+        if around is not None:  # an operator inside another: the outer one's result holds what it needs
+            around.append(out)
         return out
 
     return run

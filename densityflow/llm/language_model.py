@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densityflow.llm.common import LET_GO, cut, drop, scratch_dir
+from densityflow.llm.common import cut, drop, let_go, scratch_dir
 from densityflow.llm.shingles import mix, split_words
 
 #: Discounts of single words and unigrams (that of pairs follows from the counts), and strengths.
@@ -691,12 +691,8 @@ class Dealt:
     def __init__(self, df: DataFrame, buckets: int):
         self.spark, self.buckets = df.sparkSession, buckets
         self.name, path = f"lm_{uuid.uuid4().hex}", scratch_dir(df.sparkSession)
-        before = self.spark.conf.get(LET_GO, None)
-        self.spark.conf.set(LET_GO, "true")
-        try:
+        with let_go(self.spark):
             df.write.format("parquet").option("path", path).bucketBy(buckets, "part").saveAsTable(self.name)
-        finally:
-            self.spark.conf.unset(LET_GO) if before is None else self.spark.conf.set(LET_GO, before)
         self.rows = self.spark.table(self.name)
 
     def with_replies(self, replies: DataFrame | None, *more: str) -> DataFrame:
