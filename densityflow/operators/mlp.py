@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from densityflow.operators import kgmm
 from densityflow.operators.spectral import by_batch, matrix_of
-from densityflow.sources.store import stored
+from densityflow.operators.transform import numbered
+from densityflow.sources.store import dropped, stored
 
 Network = list[tuple[np.ndarray, np.ndarray]]
 Activation = tuple[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray], np.ndarray]]
@@ -100,25 +101,39 @@ def push(net: Network, x: np.ndarray, v: np.ndarray, activation: str = "swish")
 
 
 class Adam:
-    def __init__(self, net: Network, rate: float):
-        self.rate, self.step = rate, 0
+    def __init__(self, net: Network, rate: float, betas: tuple[float, float] = (0.9, 0.999), eps: float = 1e-8):
+        self.rate, self.step, self.betas, self.eps = rate, 0, betas, eps
         self.m = [[np.zeros_like(p) for p in layer] for layer in net]
         self.v = [[np.zeros_like(p) for p in layer] for layer in net]
 
     def update(self, net: Network, grads: list) -> Network:
         self.step += 1
+        one, two = self.betas
         out = []
         for k, layer in enumerate(net):
             new = []
             for j, p in enumerate(layer):
                 g = grads[k][j]
-                self.m[k][j] = 0.9 * self.m[k][j] + 0.1 * g
-                self.v[k][j] = 0.999 * self.v[k][j] + 0.001 * g * g
-                new.append(p - self.rate * self.m[k][j] / (1 - 0.9**self.step) / (np.sqrt(self.v[k][j] / (1 - 0.999**self.step)) + 1e-8))
+                self.m[k][j] = one * self.m[k][j] + (1 - one) * g
+                self.v[k][j] = two * self.v[k][j] + (1 - two) * g * g
+                new.append(p - self.rate * self.m[k][j] / (1 - one**self.step) / (np.sqrt(self.v[k][j] / (1 - two**self.step)) + self.eps))
             out.append(tuple(new))
         return out
 
 
+class Descent(Adam):
+    """Plain steps down the gradient; with momentum, along its decaying sum (in m)."""
+
+    def __init__(self, net: Network, rate: float, momentum: float = 0.0):
+        super().__init__(net, rate)
+        self.momentum = momentum
+
+    def update(self, net: Network, grads: list) -> Network:
+        self.step += 1
+        self.m = [[self.momentum * m + g for m, g in zip(ms, gs, strict=True)] for ms, gs in zip(self.m, grads, strict=True)]
+        return [tuple(p - self.rate * m for p, m in zip(layer, ms, strict=True)) for layer, ms in zip(net, self.m, strict=True)]
+
+
 def _flat(layers: list) -> np.ndarray:
     return np.concatenate([p.ravel() for layer in layers for p in layer])
 
@@ -145,12 +160,13 @@ class State:
     checks: list[float] = field(default_factory=list)
 
 
-def start(net: Network, rate: float = 1e-3, activation: str = "swish") -> State:
-    return State(net, Adam(net, rate), activation)
+def start(net: Network, rate: float = 1e-3, activation: str = "swish", optimizer: Callable[..., Adam] = Adam, **settings) -> State:
+    """settings: those of the optimizer, such as betas and eps, or momentum."""
+    return State(net, optimizer(net, rate, **settings), activation)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(shard, x, z, w) of at most size rows of one shard."""
+def _batches(batches: Iterator[pa.RecordBatch], size: int, tail: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, x, z, w) of at most size rows of one shard, of exactly so many without tail."""
     held: list[tuple] = []
     count = 0
 
@@ -164,18 +180,20 @@ def _batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int
         shards = b.column(0).to_numpy()
         cuts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(shards) else []
         for i, j in zip(cuts, np.r_[cuts[1:], len(shards)], strict=False):
-            if count and held[0][0][0] != shards[i]:
-                yield whole(count)
+            if count and next(h for h in held if len(h[0]))[0][0] != shards[i]:
+                last = whole(count)
+                if tail:
+                    yield last
             part = b.slice(int(i), int(j - i))
             held = [h for h in held if len(h[0])] + [(shards[i:j], matrix_of(part.column(1)), matrix_of(part.column(2)), part.column(3).to_numpy())]
             count += int(j - i)
             while count >= size:
                 yield whole(size)
-    if count:
+    if count and tail:
         yield whole(count)
 
 
-def _epoch(state: State, batch: int):
+def _epoch(state: State, batch: int, tail: bool = True):
     """Rows (at, value): a shard's numbers times its rows; the last three are its loss, weight and rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +204,7 @@ def _epoch(state: State, batch: int):
             values = np.r_[numbers, loss, weight, float(rows)]
             return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["at", "value"])
 
-        for s, x, z, w in _batches(batches, batch):
+        for s, x, z, w in _batches(batches, batch, tail):
             if s != shard:
                 if shard is not None:
                     yield done()
@@ -206,30 +224,80 @@ def sharded(rows: DataFrame, shards: int) -> DataFrame:
     return rows.select("row", "x", "z", "w", F.pmod(F.xxhash64(F.col("row").cast("string")), F.lit(shards)).cast("int").alias("shard"))
 
 
-def train(state: State, rows: Callable[[int], DataFrame] | DataFrame, epochs: int, batch: int = 8192, shards: int = 1, seed: int = 0, check: DataFrame | None = None) -> State:
+#: Rows of a shard, if no number of shards is given.
+SHARD_ROWS = 65_536
+
+
+def _gradients(state: State):
+    """(at, value): the gradient of a task's rows, its loss and its weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x, z, w = matrix_of(b.column(0)), matrix_of(b.column(1)), b.column(2).to_numpy()
+                loss, g = gradient(state.net, x, z, w, state.activation)
+                here = np.r_[_flat(g), loss, float(w.sum()) * z.shape[1]]
+                total = here if total is None else total + here
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "value"])
+
+    return run
+
+
+def _synchronous_epoch(state: State, rows: DataFrame, order: Column, batch: int, tail: bool) -> tuple[float, float]:
+    """A step for each batch of rows in the order; the loss and weight of all batches before their steps."""
+    placed = stored(numbered(rows.select("x", "z", F.col("w").cast("double").alias("w"), order.alias("_k")), ["_k"], "place"))
+    n = placed.count()
+    loss = weight = 0.0
+    for first in range(0, n if tail else n - n % batch, batch):
+        part = placed.where((F.col("place") >= first) & (F.col("place") < first + batch)).select("x", "z", "w")
+        sums = part.mapInArrow(_gradients(state), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()  # one network's numbers
+        v = sums.sort_values("at")["value"].to_numpy()
+        scale = max(float(v[-1]), 1e-300)
+        state.net = state.adam.update(state.net, _shaped(v[:-2] / scale, state.net))
+        loss, weight = loss + v[-2], weight + scale
+    dropped(placed)
+    return loss, weight
+
+
+def train(state: State, rows: Callable[[int], DataFrame] | DataFrame, epochs: int, batch: int = 8192, shards: int | None = None, seed: int = 0, check: DataFrame | None = None, synchronous: bool = False, tail: bool = True) -> State:
     """rows (row, x, z, w), or what gives them for an epoch (fresh noise), counted on from earlier ones.
 
-    check: rows on which each epoch's network is judged."""
+    check: rows on which each epoch's network is judged. Without tail, rows that fill no whole batch are
+    left out of an epoch."""
     state = State(state.net, copy.deepcopy(state.adam), state.activation, list(state.losses), list(state.checks))
-    fixed = stored(sharded(rows, shards).repartition(shards, "shard")) if isinstance(rows, DataFrame) else None
+    if shards is None and not synchronous:
+        some = rows if isinstance(rows, DataFrame) else rows(len(state.losses) + 1)
+        shards = max(1, -(-some.count() // SHARD_ROWS))
+    fixed = None
+    if isinstance(rows, DataFrame):
+        fixed = stored(rows.select("row", "x", "z", "w") if synchronous else sharded(rows, shards).repartitionById(shards, F.col("shard")))
     for _ in range(epochs):
         epoch = len(state.losses) + 1
-        now = fixed if fixed is not None else sharded(rows(epoch), shards)
         order = F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col("row").cast("string")))
-        now = now.repartition(shards, "shard").sortWithinPartitions("shard", order).select("shard", "x", "z", F.col("w").cast("double").alias("w"))
-        sums = now.mapInArrow(_epoch(state, batch), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()  # one network's numbers
-        if not len(sums):
-            raise ValueError("no rows to train on")
-        v = sums.sort_values("at")["value"].to_numpy()
-        loss, weight, n = v[-3:]
-        size = len(_flat(state.net))
-        net, m, s = (v[k * size : (k + 1) * size] / n for k in range(3))
-        state.net = _shaped(net, state.net)
-        state.adam.m, state.adam.v = ([list(layer) for layer in _shaped(x, state.net)] for x in (m, s))
-        state.adam.step = round(v[3 * size] / n)
+        if synchronous:
+            loss, weight = _synchronous_epoch(state, rows(epoch) if fixed is None else fixed, order, batch, tail)
+            if not weight:
+                raise ValueError("no rows to train on")
+        else:
+            now = fixed if fixed is not None else sharded(rows(epoch), shards)
+            now = now.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", order).select("shard", "x", "z", F.col("w").cast("double").alias("w"))
+            sums = now.mapInArrow(_epoch(state, batch, tail), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()  # one network's numbers
+            if not len(sums):
+                raise ValueError("no rows to train on")
+            v = sums.sort_values("at")["value"].to_numpy()
+            loss, weight, n = v[-3:]
+            size = len(_flat(state.net))
+            net, m, s = (v[k * size : (k + 1) * size] / n for k in range(3))
+            state.net = _shaped(net, state.net)
+            state.adam.m, state.adam.v = ([list(layer) for layer in _shaped(x, state.net)] for x in (m, s))
+            state.adam.step = round(v[3 * size] / n)
         state.losses.append(float(loss / weight))
         if check is not None:
             state.checks.append(full_loss(state, check))
+    if fixed is not None:
+        dropped(fixed)
     return state
 
 
@@ -268,11 +336,8 @@ def full_loss(state: State, rows: DataFrame, by_dim: bool = True) -> float:
 
 def noise_loss(state: State, points: DataFrame, sigma: float, dims: int, samples: int, seed: int) -> float:
     """Mean squared error over so many fresh draws of noise."""
-    rows = noisy_rows(points, sigma, dims, seed)
-    every = rows(1)
-    for k in range(2, samples + 1):
-        every = every.unionByName(rows(k))
-    return full_loss(state, every)
+    drawn = kgmm.draw(points, F.lit(sigma), range(1, samples + 1), seed, dims)
+    return full_loss(state, drawn.select(F.array(*[f"x{j}" for j in range(dims)]).alias("x"), F.array(*[f"z{j}" for j in range(dims)]).alias("z"), F.lit(1.0).alias("w")))
 
 
 def scores(net: Network, snapshots: DataFrame, sigma: float, activation: str = "swish") -> DataFrame:
@@ -346,7 +411,7 @@ class ScoreModel:
         return jacobian(self.state.net, snapshots, self.sigma, self.state.activation)
 
 
-def fit(points: DataFrame, dims: int, sigma: float = 0.1, hidden: tuple[int, ...] = (128, 128), epochs: int = 50, batch: int = 8192, rate: float = 1e-2, preprocessing: bool = False, state: State | None = None, shards: int = 1, seed: int = 0, activation: str = "swish", divergence: bool = True, jacobian: bool = True, probes: int = 0, **kgmm_options) -> ScoreModel:
+def fit(points: DataFrame, dims: int, sigma: float = 0.1, hidden: tuple[int, ...] = (128, 128), epochs: int = 50, batch: int = 8192, rate: float = 1e-2, preprocessing: bool = False, state: State | None = None, shards: int | None = None, seed: int = 0, activation: str = "swish", divergence: bool = True, jacobian: bool = True, probes: int = 0, synchronous: bool = False, **kgmm_options) -> ScoreModel:
     """A score model of points (row, y0 ..): from fresh noise in each epoch, or, with preprocessing,
     from averages of noise in cells. A state goes on from where it was left."""
     state = state or start(build([dims, *hidden, dims], seed), rate, activation)
@@ -354,9 +419,9 @@ def fit(points: DataFrame, dims: int, sigma: float = 0.1, hidden: tuple[int, ...
     if preprocessing:
         found, _ = kgmm.estimate(points, sigma, dims, seed=seed, **kgmm_options)
         cells = stored(kgmm.training_set(found, sigma, dims))
-        state = train(state, cell_rows(cells, dims), epochs, batch, shards, seed)
+        state = train(state, cell_rows(cells, dims), epochs, batch, shards, seed, synchronous=synchronous)
     else:
-        state = train(state, noisy_rows(points, sigma, dims, seed), epochs, batch, shards, seed)
+        state = train(state, noisy_rows(points, sigma, dims, seed), epochs, batch, shards, seed, synchronous=synchronous)
     return ScoreModel(state, sigma, dims, cells, divergence, jacobian, probes, seed)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from densityflow.functions.noise import hash_uniform, noise_key
-from densityflow.operators import decorrelation, density, interpolate, kgmm, langevin, mlp, partition, spectral, transform
+from densityflow.operators import decorrelation, density, interpolate, kgmm, langevin, mlp, partition, spectral, sweep, transform
 from densityflow.sources import store
 from densityflow.streaming.stats import stream_cell_sums
 
@@ -677,6 +677,55 @@ def mlp_full_loss(spark, d):
     return _rounded(spark.createDataFrame([losses], "loss double, loss_all_dims double"), loss_all_dims=5)
 
 
+_FRESH = f"""l AS (SELECT k, t, dim, x + 0.1e0 * {_hn(f"concat('{SEED}:', k, ':', t, ':', dim + 1)")} AS x, {_hn(f"concat('{SEED}:', k, ':', t, ':', dim + 1)")} AS z FROM emb, range(1, 4) AS g(k))"""
+
+
+@query(_HEAD.replace("WITH w AS", f"WITH {EMB}, {_FRESH}, w AS").replace("e AS (SELECT vec_id AS t, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)", "e AS (SELECT k AS r, t, list(x ORDER BY dim) AS x, list(z ORDER BY dim) AS z FROM l GROUP BY k, t)").replace("SELECT t, x, list_transform(range", "SELECT t, x, z, list_transform(range") + f"""
+SELECT round(avg(pow(list_dot_product(w2[k], h) + b2[k] - z[k], 2)), 6) AS loss FROM h, range(1, {DIMS + 1}) AS g(k)""")
+def mlp_noise_loss(spark, d):
+    """The loss over three fresh draws of noise."""
+    points = _emb(spark, d).select(F.col("t").alias("row"), *[F.col("x")[j].cast("double").alias(f"y{j}") for j in range(DIMS)])
+    return _rounded(spark.createDataFrame([(mlp.noise_loss(mlp.start(NET), points, 0.1, DIMS, 3, SEED),)], "loss double"))
+
+
+#: Sums of w, x, z and their products, from which steps of a line down the gradient follow.
+_SUMS = "count(*)::DOUBLE AS w, sum(x) AS sx, sum(z) AS sz, sum(x * x) AS xx, sum(x * z) AS xz, sum(z * z) AS zz"
+_LINE_LOSS = "(zz - 2 * a * xz - 2 * b * sz + a * a * xx + 2 * a * b * sx + b * b * w) / w"
+_LINE = [(np.array([[0.25]]), np.array([0.5]))]
+
+
+@query(f"""WITH RECURSIVE {EVENTS}, {_noisy_sql(1, 0.5)}, m AS (SELECT {_hn(f"concat('{SEED}:1:', r, ':1')")} AS z, y + 0.5e0 * {_hn(f"concat('{SEED}:1:', r, ':1')")} AS x, r % 5 = 0 AS held FROM p),
+s AS (SELECT {_SUMS} FROM m WHERE NOT held), v AS (SELECT {_SUMS} FROM m WHERE held),
+g(epoch, a, b) AS (SELECT 0, 0.25e0, 0.5e0 UNION ALL SELECT epoch + 1, a - 0.1e0 * 2 * (a * xx + b * sx - xz) / w, b - 0.1e0 * 2 * (a * sx + b * w - sz) / w FROM g, s WHERE epoch < 12),
+l AS (SELECT epoch + 1 AS epoch, {_LINE_LOSS} AS train FROM g, s), c AS (SELECT epoch, {_LINE_LOSS} AS validation FROM g, v)
+SELECT CAST(epoch AS INT) AS epoch, round(train, 6) AS train, round(validation, 6) AS validation FROM l JOIN c USING (epoch)""")
+def training_curves(spark, d):
+    """Losses of each epoch on the training rows, before its step, and on a fifth of the rows that is held out, after it."""
+    points = _events(spark, d)
+    rows = store.stored(mlp.noisy_rows(points, 0.5, 1, SEED)(1))
+    state = mlp.train(mlp.start(_LINE, 0.1, optimizer=mlp.Descent), rows.where("row % 5 <> 0"), 12, batch=1 << 40, check=rows.where("row % 5 = 0"), synchronous=True)
+    return _rounded(spark.createDataFrame([(k + 1, a, b) for k, (a, b) in enumerate(zip(state.losses, state.checks, strict=True))], "epoch int, train double, validation double"))
+
+
+_SETTINGS = [(p, s, e) for p in (0.1, 0.025) for s in (0.2, 0.5) for e in (5, 20)]
+
+
+@query(f"""WITH RECURSIVE {EVENTS}, e AS (SELECT min(y) AS low, max(y) AS high, count(*)::DOUBLE AS n FROM p), f AS (SELECT DISTINCT prob, sigma, CAST(ceil(1e0 / prob) AS INT) AS parts FROM (VALUES {", ".join(f"({p}e0, {s}e0)" for p, s, _ in _SETTINGS)}) AS t(prob, sigma)),
+q AS (SELECT y, {_hn(f"concat('{SEED}:', k, ':', r, ':1')")} AS z FROM p, range(1, 3) AS g(k)), x AS (SELECT prob, sigma, parts, low, high, z, y + sigma * z AS x FROM q, f, e),
+c AS (SELECT prob, sigma, least(greatest(floor((x - low) / ((high - low) / parts)), 0), parts - 1) AS cell, count(*) AS w, avg(x) AS x, avg(z) AS z FROM x GROUP BY ALL),
+s AS (SELECT prob, sigma, CAST(count(*) AS INT) AS cells, sum(w) AS w, sum(w * x) AS sx, sum(w * z) AS sz, sum(w * x * x) AS xx, sum(w * x * z) AS xz, sum(w * z * z) AS zz FROM c GROUP BY ALL),
+g(prob, sigma, epochs, a, b) AS (SELECT prob, sigma, 0, 0.25e0, 0.5e0 FROM s UNION ALL SELECT prob, sigma, epochs + 1, a - 0.05e0 * 2 * (a * xx + b * sx - xz) / w, b - 0.05e0 * 2 * (a * sx + b * w - sz) / w FROM g JOIN s USING (prob, sigma) WHERE epochs < 20),
+o AS (SELECT low + (i + 0.5e0) * (high - low) / 64 AS x, (high - low) / 64 AS dx, i, coalesce(c, 0) / (n * (high - low) / 64) AS p FROM e, range(0, 64) AS r(i) LEFT JOIN (SELECT CAST(least(greatest(floor((y - low) / ((high - low) / 64)), 0), 63) AS INT) AS i, count(*) AS c FROM p, e GROUP BY 1) USING (i)),
+k AS (SELECT *, -(a * x + b) / sigma AS score FROM g, o WHERE epochs IN (5, 20)), t AS (SELECT *, coalesce((score + lag(score) OVER w) / 2, 0) * dx AS step FROM k WINDOW w AS (PARTITION BY prob, sigma, epochs ORDER BY i)),
+u AS (SELECT *, sum(step) OVER (PARTITION BY prob, sigma, epochs ORDER BY i) AS log FROM t), h AS (SELECT *, exp(log - max(log) OVER (PARTITION BY prob, sigma, epochs)) AS d FROM u),
+r AS (SELECT prob, sigma, epochs, dx, greatest(p, 1e-10) AS p, greatest(d / (sum(d) OVER (PARTITION BY prob, sigma, epochs) * dx), 1e-10) AS q FROM h), kl AS (SELECT prob, sigma, epochs, sum(p * ln(p / q) * dx) AS kl FROM r GROUP BY ALL)
+SELECT prob, sigma, CAST(epochs AS INT) AS epochs, cells, round({_LINE_LOSS}, 6) AS loss, round(kl, 6) AS kl FROM g JOIN s USING (prob, sigma) JOIN kl USING (prob, sigma, epochs)""")
+def training_sweep(spark, d):
+    """Lines trained for eight settings in one job: cells, losses and relative entropies; seconds are left out, as they differ."""
+    found = sweep.sweep(_events(spark, d), _SETTINGS, _LINE, rate=0.05, batch=1 << 40, seed=SEED, optimizer=mlp.Descent)
+    return _rounded(found.drop("seconds"))
+
+
 def _training_cells(spark, d) -> DataFrame:
     return kgmm.training_set(kgmm.scores(kgmm.cell_sums(_noisy(_events(spark, d)), ["cell"]), ["cell"], F.lit(SIGMA)), SIGMA)
 
