@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from densityflow.functions import sql
 from densityflow.functions.noise import hash_uniform, noise_key
 from densityflow.operators import decorrelation, density, interpolate, kgmm, langevin, mlp, partition, spectral, sweep, transform
-from densityflow.sources import store
+from densityflow.sources import arrays, store
 from densityflow.streaming.stats import stream_cell_sums
 
 SIGMA, SEED, ROUNDS = 0.1, 7, 4
@@ -91,6 +92,21 @@ def kgmm_grid_1d(spark, d):
     return _rounded(kgmm.scores(kgmm.cell_sums(_noisy(_events(spark, d)), ["cell"]), ["cell"], F.lit(SIGMA)), divergence=4)
 
 
+@query(ORACLES["kgmm_grid_1d"])
+def kgmm_in_sql(spark, d):
+    """The same cells from SQL text, by a table function over a view of the points."""
+    _events(spark, d).createOrReplaceTempView("normalised_events")
+    scores = sql.register_scores(spark, "normalised_events", "event_scores")
+    return _rounded(spark.sql(f"SELECT * FROM {scores}({SIGMA}D, {ROUNDS}, {SEED}, {LOW}D, {WIDTH}D, {CELLS})"), divergence=4)
+
+
+@query("SELECT event_id, round(value / 100e0 / (1e0 + exp(-value / 100e0)), 6) AS swish, round(1e0 / (1e0 + exp(-value / 100e0)) * (1e0 + value / 100e0 * (1e0 - 1e0 / (1e0 + exp(-value / 100e0)))), 6) AS slope FROM events")
+def activation_in_sql(spark, d):
+    sql.register(spark)
+    _table(spark, d, "events").createOrReplaceTempView("all_events")
+    return spark.sql("SELECT event_id, round(swish(value / 100.0D), 6) AS swish, round(swish_slope(value / 100.0D), 6) AS slope FROM all_events")
+
+
 @query(f"""WITH {EVENTS}, s(sigma) AS (VALUES (0.05e0), (0.1e0), (0.2e0)),
 q AS (SELECT sigma, y, {_hn(f"concat('{SEED}:', k, ':', r, ':1')")} AS z FROM p, s, range(1, 3) AS g(k)),
 n AS (SELECT sigma, z, y + sigma * z AS x, CAST(least(greatest(floor((y + sigma * z - {LOW}e0) / {WIDTH}e0), 0), {CELLS - 1}) AS INT) AS cell FROM q)
@@ -941,6 +957,15 @@ def series_scan(spark, d):
     return _exploded(store.load_series(spark, f"{d}/embeddings.parquet", 3, 100, t="vec_id"))
 
 
+@query(ORACLES["series_scan"])
+def series_from_array_file(spark, d):
+    """The same snapshots from an array file: a task reads the bytes of its times only."""
+    e = _emb(spark, d)
+    path = f"{store.shared_path(spark)}.npy"
+    arrays.save_array(e, path, e.count(), DIMS, dt=0.1)
+    return _exploded(arrays.load_array(spark, path, 3, 100))
+
+
 @query("""WITH h AS (SELECT event_type, CAST(hour(ts) AS BIGINT) AS t, avg(value) AS x FROM events GROUP BY ALL), k AS (SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS dim FROM (SELECT DISTINCT event_type FROM events))
 SELECT t, CAST(dim AS INT) AS dim, round(x, 6) AS x FROM h JOIN k USING (event_type)""")
 def series_oriented(spark, d):
