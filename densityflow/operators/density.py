@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from densityflow.operators.transform import is_finite
 from densityflow.sources.store import bounded, stored
 
 
+#: Values of a part that are put in order without cutting it once more.
+IN_ORDER = 100_000
+
+
 def bin_of(x: Column, low: Column, width: Column, bins: Column) -> Column:
     return F.least(F.greatest(F.floor((x - low) / width), F.lit(0)), bins - 1).cast("int")
 
@@ -85,14 +91,16 @@ def circular_pairs(snapshots: DataFrame, distance: int) -> DataFrame:
     return snapshots.select(F.explode(pairs).alias("p")).select("p.x", "p.y")
 
 
-def quantiles(values: DataFrame, keys: list[str], shares: dict[str, float], parts: int = 4096) -> DataFrame:
+def quantiles(values: DataFrame, keys: list[str], shares: dict[str, float], parts: int = 4096, span: DataFrame | None = None) -> DataFrame:
     """(keys, a column for each share): exact quantiles, with linear interpolation, of finite x.
 
     No buffer holds a key's values: parts of the range are counted, the one that a rank falls into is
-    cut into parts again, and only what stands in that one is put in order, by distinct values."""
+    cut into parts again if it holds many rows, and only what stands in that one is put in order, by
+    distinct values. span: (keys, _n, _a, _b), numbers and ends of the values, if they are known."""
     on = keys or ["_one"]
     v = (values if keys else values.withColumn("_one", F.lit(1))).where(is_finite(F.col("x"))).select(*on, F.col("x").cast("double").alias("x"))
-    span = bounded(v.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min("x").alias("_a"), F.max("x").alias("_b")))
+    if span is None:
+        span = bounded(v.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min("x").alias("_a"), F.max("x").alias("_b")))
     part = lambda x, a, b: F.when(b > a, F.least(F.floor((x - a) / F.nullif(b - a, F.lit(0.0)) * parts), F.lit(parts - 1))).otherwise(F.lit(0)).cast("int")
     one = v.join(span, on).select(*on, "x", part(F.col("x"), F.col("_a"), F.col("_b")).alias("_p"))
     ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * F.lit(share)).alias("h")) for name, share in shares.items()])).alias("_s")
@@ -105,15 +113,17 @@ def quantiles(values: DataFrame, keys: list[str], shares: dict[str, float], part
         inside = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))
         return want.join(c, group).where(inside).withColumn("_rank", F.col("_rank") - (F.col("_upto") - F.col("_c"))).drop("_upto", "_c")
 
-    first = placed(one.groupBy(*on, "_p").agg(F.count(F.lit(1)).alias("_c"), F.min("x").alias("_low"), F.max("x").alias("_high")), want, on, "_p")
-    first = stored(first)
-    edge = first.select(*on, "_p", "_low", "_high").distinct()
-    two = one.join(bounded(edge), [*on, "_p"]).select(*on, "_p", "x", part(F.col("x"), F.col("_low"), F.col("_high")).alias("_q"))
-    second = placed(two.groupBy(*on, "_p", "_q").agg(F.count(F.lit(1)).alias("_c")), first.drop("_low", "_high"), [*on, "_p"], "_q")
-    second = stored(second)
-    edge = second.select(*on, "_p", "_q").distinct()
-    rest = two.join(bounded(edge), [*on, "_p", "_q"]).groupBy(*on, "_p", "_q", "x").agg(F.count(F.lit(1)).alias("_c"))
-    third = placed(rest, second, [*on, "_p", "_q"], "x")
+    first = bounded(placed(one.groupBy(*on, "_p").agg(F.count(F.lit(1)).alias("_c"), F.count(F.lit(1)).alias("_size"), F.min("x").alias("_low"), F.max("x").alias("_high")), want, on, "_p"))
+    edge = first.groupBy(*on, "_p").agg(F.first("_low").alias("_low"), F.first("_high").alias("_high"))
+    if (first.agg(F.max("_size")).first()[0] or 0) <= IN_ORDER:
+        rest = one.join(F.broadcast(edge), [*on, "_p"]).groupBy(*on, "_p", "x").agg(F.count(F.lit(1)).alias("_c"))
+        third = placed(rest, first.drop("_low", "_high", "_size"), [*on, "_p"], "x")
+    else:
+        two = one.join(F.broadcast(edge), [*on, "_p"]).select(*on, "_p", "x", part(F.col("x"), F.col("_low"), F.col("_high")).alias("_q"))
+        second = bounded(placed(two.groupBy(*on, "_p", "_q").agg(F.count(F.lit(1)).alias("_c")), first.drop("_low", "_high", "_size"), [*on, "_p"], "_q"))
+        edge = second.select(*on, "_p", "_q").distinct()
+        rest = two.join(F.broadcast(edge), [*on, "_p", "_q"]).groupBy(*on, "_p", "_q", "x").agg(F.count(F.lit(1)).alias("_c"))
+        third = placed(rest, second, [*on, "_p", "_q"], "x")
     ends = third.groupBy(*on, "_name").agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.first("_h").alias("_h"))
     value = F.col("_x0") + (F.col("_h") - F.floor("_h")) * (F.col("_x1") - F.col("_x0"))
     return ends.groupBy(*on).agg(*[F.max(F.when(F.col("_name") == name, value)).alias(name) for name in shares]).select(*keys, *shares)
@@ -154,8 +164,9 @@ def joint_symmetric_range(sets: list[tuple[DataFrame, int]], padding: float = 0.
 
 def silverman(values: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, h, low, high): bandwidth by Silverman's rule and the grid's ends, 4 h beyond the data."""
-    s = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("a"), F.max("x").alias("b"))
-    s = s.join(bounded(quantiles(values, keys, {"q1": 0.25, "q3": 0.75})), keys)
+    s = bounded(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("a"), F.max("x").alias("b")))
+    span = s.select(*keys, F.col("n").alias("_n"), F.col("a").alias("_a"), F.col("b").alias("_b"))
+    s = s.join(bounded(quantiles(values, keys, {"q1": 0.25, "q3": 0.75}, span=F.broadcast(span))), keys)
     iqr = F.col("q3") - F.col("q1")
     spread = F.when(iqr > 0, F.least("sd", iqr / 1.34)).otherwise(F.col("sd"))
     s = s.withColumn("h", 0.9 * spread * F.pow("n", F.lit(-0.2)))
@@ -165,57 +176,71 @@ def silverman(values: DataFrame, keys: list[str]) -> DataFrame:
 def kde(values: DataFrame, keys: list[str], points: int = 2048) -> DataFrame:
     """(keys, i, x, density): linear binning of finite values on a uniform grid, then Gaussian kernels of it.
 
-    The grid's bins are at most points for each key, whatever the data's size."""
-    values = values.where(is_finite(F.col("x")))
+    The grid's bins are at most points for each key, whatever the data's size; a key's are convolved with
+    the kernel, cut at eight bandwidths, in one go. A key without a spread has no density."""
+    values = stored(values.where(is_finite(F.col("x"))).select(*keys, F.col("x").cast("double").alias("x")))
     s = bounded(silverman(values, keys))
     step = (F.col("high") - F.col("low")) / (points - 1)
     v = values.join(s, keys).withColumn("step", step)
-    pos = (F.col("x") - F.col("low")) / F.col("step")
+    pos = (F.col("x") - F.col("low")) / F.nullif("step", F.lit(0.0))
     left = F.least(F.floor(pos), F.lit(points - 2)).cast("int")
     v = v.withColumn("left", left).withColumn("part", pos - F.col("left"))
-    both = F.explode(F.array(F.struct(F.col("left").alias("i"), (1 - F.col("part")).alias("w")), F.struct((F.col("left") + 1).alias("i"), F.col("part").alias("w"))))
-    weights = v.select(*keys, both.alias("b")).groupBy(*keys, F.col("b.i").alias("i")).agg(F.sum("b.w").alias("w"))
-    base = s.withColumn("step", step)
-    w = weights.join(base, keys)
-    reach = F.ceil(8 * F.col("h") / F.col("step")).cast("int")
-    near = w.select(*keys, "w", "n", "h", "step", "i", F.explode(F.sequence(F.greatest(F.col("i") - reach, F.lit(0)), F.least(F.col("i") + reach, F.lit(points - 1)))).alias("at"))
-    d = (F.col("at") - F.col("i")) * F.col("step") / F.col("h")
-    k = F.exp(-0.5 * d * d) / (F.col("h") * math.sqrt(2 * math.pi))
-    dens = near.groupBy(*keys, F.col("at").alias("i")).agg(F.sum(F.col("w") * k / F.col("n")).alias("density"))
-    grid = base.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"), (F.col("low")).alias("low"), "step")
-    return grid.join(dens, [*keys, "i"], "left").select(*keys, "i", (F.col("low") + F.col("i") * F.col("step")).alias("x"), F.coalesce("density", F.lit(0.0)).alias("density"))
+    # both ends of a value from one row of sums: w at the left, 1 - w at the right
+    sums = v.groupBy(*keys, F.col("left").alias("i")).agg(F.sum(1 - F.col("part")).alias("w0"), F.sum("part").alias("w1"))
+    sums = sums.join(s, keys)
+    fields = dict(values.dtypes)
+    kinds = "".join(f"`{k}` {fields[k]}, " for k in keys)
+
+    def smoothed(rows: pd.DataFrame) -> pd.DataFrame:
+        one = rows.iloc[0]
+        n, h, low, high = (float(one[c]) for c in ("n", "h", "low", "high"))
+        i = np.arange(points)
+        step = (high - low) / (points - 1)
+        if not h > 0:
+            density = np.full(points, np.nan)
+        else:
+            w = np.zeros(points + 1)
+            at = rows["i"].to_numpy(int)
+            np.add.at(w, at, rows["w0"].to_numpy(float))
+            np.add.at(w, at + 1, rows["w1"].to_numpy(float))
+            reach = math.ceil(8 * h / step)
+            d = np.arange(-reach, reach + 1) * step / h
+            density = np.convolve(w[:points], np.exp(-0.5 * d * d) / (h * math.sqrt(2 * math.pi)))[reach : reach + points] / n
+        return pd.DataFrame({**{k: pd.Series([one[k]] * points, dtype=rows[k].dtype) for k in keys}, "i": i, "x": low + i * step, "density": density})
+
+    return sums.groupBy(*keys).applyInPandas(smoothed, f"{kinds}i int, x double, density double")
 
 
 def relative_entropy(p: DataFrame, q: DataFrame, keys: list[str], points: int = 2048) -> DataFrame:
     """(keys, kl) of two tables (keys, x): densities on a common grid by arithmetic interpolation,
     renormalised and floored at 1e-10. Both tables must have the same columns: values are not compared
-    with series of several dimensions."""
+    with series of several dimensions. Both densities are worked out together; a key that only one table
+    has gives no row."""
     if set(p.columns) != {*keys, "x"} or set(q.columns) != {*keys, "x"}:
         raise ValueError("both must have the same keys and x")
-    one = F.lit(1).alias("_one")
+    sides = p.select(*keys, "x", F.lit(0).alias("_side")).unionByName(q.select(*keys, "x", F.lit(1).alias("_side")))
+    both = kde(sides, [*keys, "_side"], points)
+    both = both if keys else both.withColumn("_one", F.lit(1))
     keyed = keys or ["_one"]
-    p, q = (d if keys else d.select(one, "x") for d in (p, q))
-    kp, kq = stored(kde(p, keyed, points)), stored(kde(q, keyed, points))
-
-    def ends(k, s):
-        return k.groupBy(*keyed).agg(F.min("x").alias(f"a{s}"), F.max("x").alias(f"b{s}"))
-
-    both = ends(kp, "p").join(ends(kq, "q"), keyed)
-    grid = both.withColumn("a", F.least("ap", "aq")).withColumn("dx", (F.greatest("bp", "bq") - F.col("a")) / (points - 1))
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g")).withColumn("gx", F.col("a") + F.col("g") * F.col("dx"))
-
-    def on(k, s):
-        pos = (F.col("gx") - F.col(f"a{s}")) / ((F.col(f"b{s}") - F.col(f"a{s}")) / (points - 1))
-        at = grid.withColumn("pos", F.least(F.greatest(pos, F.lit(0.0)), F.lit(points - 1.0))).withColumn("i", F.least(F.floor("pos"), F.lit(points - 2)).cast("int"))
-        low = k.select(*keyed, "i", F.col("density").alias("d0"))
-        high = k.select(*keyed, (F.col("i") - 1).alias("i"), F.col("density").alias("d1"))
-        return at.join(low, [*keyed, "i"]).join(high, [*keyed, "i"]).select(*keyed, "g", "dx", (F.col("d0") + (F.col("pos") - F.col("i")) * (F.col("d1") - F.col("d0"))).alias(s))
-
-    d = on(kp, "p").join(on(kq, "q").drop("dx"), [*keyed, "g"])
-    sums = d.groupBy(*keyed).agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
-    d = d.join(bounded(sums), keyed)
-    pn, qn = F.greatest(F.col("p") / (F.col("sp") * F.col("dx")), F.lit(1e-10)), F.greatest(F.col("q") / (F.col("sq") * F.col("dx")), F.lit(1e-10))
-    return d.groupBy(*keyed).agg(F.sum(pn * F.ln(pn / qn) * F.col("dx")).alias("kl")).select(*keys, "kl")
+    fields = dict(both.dtypes)
+
+    def entropy(rows: pd.DataFrame) -> pd.DataFrame:
+        """Of one key: two grids of so many points."""
+        out = rows.iloc[:1][keyed].copy()
+        one, two = (rows[rows["_side"] == k].sort_values("i") for k in (0, 1))
+        if not len(one) or not len(two):
+            return out.iloc[:0].assign(kl=pd.Series(dtype=float))
+        a, b = min(one["x"].iloc[0], two["x"].iloc[0]), max(one["x"].iloc[-1], two["x"].iloc[-1])
+        dx = (b - a) / (points - 1)
+        at = a + np.arange(points) * dx
+        d = [np.interp(at, k["x"], k["density"]) for k in (one, two)]
+        if not dx > 0 or not all(np.isfinite(x).all() for x in d):
+            return out.assign(kl=np.nan)
+        f, g = (np.maximum(x / (x.sum() * dx), 1e-10) for x in d)
+        return out.assign(kl=float((f * np.log(f / g)).sum() * dx))
+
+    kinds = "".join(f"`{k}` {fields[k]}, " for k in keyed)
+    return both.groupBy(*keyed).applyInPandas(entropy, f"{kinds}kl double").select(*keys, "kl")
 
 
 def relative_entropy_of(p: DataFrame, q: DataFrame, keys: list[str], points: int = 2048) -> DataFrame:

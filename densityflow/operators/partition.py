@@ -66,12 +66,12 @@ class Cells:
         dims = self.normal.shape[1]
         shared = points.sparkSession.sparkContext.broadcast((self.normal, self.limit, self.left, self.cell))
 
-        def place(*columns):
+        def place(*columns: pa.Array) -> pa.Array:
             tree = Cells(*shared.value)
             x = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns])
             return pa.array(tree.cell[tree.node(x)], pa.int32())
 
-        return F.arrow_udf(place, "int", functionType=F.ArrowUDFType.SCALAR)(*[points[f"x{j}"] for j in range(dims)])
+        return F.arrow_udf(place, "int")(*[points[f"x{j}"] for j in range(dims)])
 
 
 def in_order(left: np.ndarray) -> np.ndarray:
@@ -275,14 +275,14 @@ class MeanSplits:
             return F.lit(0)
         shared, dims = points.sparkSession.sparkContext.broadcast(self.means[: 2**levels - 1]), self.dims
 
-        def place(*columns):
+        def place(*columns: pa.Array) -> pa.Array:
             x = [c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]
             node = np.zeros(len(x[0]), dtype=np.int64)
             for level in range(levels):
                 node = 2 * node + 1 + (x[level % dims] > shared.value[node])
             return pa.array(node, pa.int32())
 
-        return F.arrow_udf(place, "int", functionType=F.ArrowUDFType.SCALAR)(*[points[f"x{j}"] for j in range(dims)])
+        return F.arrow_udf(place, "int")(*[points[f"x{j}"] for j in range(dims)])
 
     def cell(self, points: DataFrame) -> Column:
         return self._node(points, self.depth) - F.lit(2**self.depth - 1)

@@ -74,7 +74,9 @@ def test_estimate(spark):
     assert kgmm.estimate(points, sigma, partition=grid, most=1)[0].count() == 4
 
 
-def test_quantiles_equal_percentiles(spark):
+@pytest.mark.parametrize("in_order", [100_000, 0])
+def test_quantiles_equal_percentiles(spark, monkeypatch, in_order):
+    monkeypatch.setattr(density, "IN_ORDER", in_order)
     r = np.random.default_rng(4)
     values = np.r_[r.lognormal(0, 3, 3000), np.full(500, 1.25), [np.nan, np.inf, -np.inf]]
     k = np.arange(len(values)) % 3
