@@ -41,6 +41,8 @@ LONGEST = 4
 TOP = 2000
 SHARE = 80
 MOST_BLOCKS = 1 << 21
+#: Input splits that one task counts phrases of.
+SPLITS = 4
 #: Counts that a task holds before it sends them.
 HELD = 2_000_000
 #: Phrases that a task holds before it sends them, some 100 bytes each.
@@ -253,6 +255,13 @@ def _phrases(blocks):
     return count
 
 
+def merged(docs: DataFrame) -> DataFrame:
+    """docs in tasks of SPLITS input splits each, as long as every core has two: phrases that several splits
+    have are then one row before they are sent."""
+    splits = docs.rdd.getNumPartitions()
+    return docs.coalesce(max(1, min(splits, max(2 * docs.sparkSession.sparkContext.defaultParallelism, splits // SPLITS))))
+
+
 def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n) of phrases with at least so many occurrences, and (lang, n) of all words. docs: (lang, text)."""
     often = F.col("n") >= least
@@ -264,7 +273,7 @@ def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     two = filter_of(pairs)
     longer = cut(docs.mapInArrow(_longer(two, 2, range(3, LONGEST + 1)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(often).select("h"))
     all_of_them = filter_of(words.union(pairs).union(longer))
-    phrases = docs.mapInArrow(_phrases(all_of_them), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(often)
+    phrases = merged(docs).mapInArrow(_phrases(all_of_them), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(often)
     phrases = cut(phrases)
     for sent in (one, two, all_of_them):
         sent.unpersist()
