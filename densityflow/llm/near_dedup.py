@@ -8,10 +8,12 @@ class, and only classes are linked, so that exact copies never meet in a bucket.
 In each bucket the class that meets most others is the centre, and star-shaped candidate edges go
 from it to the rest: as many as members, not as pairs. Edges are confirmed on full shingle sets;
 links give components. A star alone could miss a link between two members that are both unlike
-their centre, so the remaining members of a bucket, those outside its centre's component, are held
-against the members of other components, too, unless counts prove that the two can't reach the
-threshold: of each, the shingles that some other such member has, too, are counted by residues, and
-the sum of the smaller counts bounds what they share. Nothing is capped.
+their centre. So the members of buckets that hold someone outside the centre's component are joined once
+more, not by bucket but by prefixes: each set's shingles, the rarest first, of which two sets that reach
+the threshold must share one of the first few. Pairs of one component are left out, and those that counts
+prove too far apart: of each, the shingles that some other such member has, too, are counted by
+residues, and the sum of the smaller counts bounds what they share. Nothing is capped, and nothing
+meets only because it shares a bucket.
 
 A pair of similarity s meets in some bucket with a probability of 1 - (1 - s ** rows) ** bands:
 0.9999997 at 0.85 with 48 bands of 8 rows, and 0.9999995 at 0.8 with 48 of 6.
@@ -180,31 +182,53 @@ class _Corpus:
         return cut(rows.mapInArrow(_stars(self.percent), "a binary, b binary").distinct())
 
 
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of sets (fp, n, hs array) that may be as similar as percent; none that is gets lost.
+
+    All shingles have one order, rare ones first. Two sets that reach the threshold share one of the
+    first n - ceil(2pn / (100 + p)) + 1 shingles of the smaller and of the first n - ceil(pn / 100) + 1 of
+    the other: else what remains is too little. A shingle that one set alone has meets nothing, so sets
+    that fall short of the threshold by rare shingles of their own make no pair, however many they are."""
+    tokens = sets.select("fp", F.explode("hs").alias("h"))
+    often = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    n, p = F.col("n"), percent
+    probe, index = n - F.ceil(p * n / 100) + 1, n - F.ceil(2 * p * n / (100 + p)) + 1
+    # what one set alone has comes first and is passed over by its number
+    ranked = tokens.join(often, "h").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))  # no more than a set's shingles
+    ranked = sets.select("fp", "n").join(ranked, "fp").withColumn("alone", n - F.size("hs"))
+    some = ranked.select("fp", "n", index.alias("index"), "alone", F.posexplode(F.slice("hs", F.lit(1), F.greatest(probe - F.col("alone"), F.lit(0)).cast("int"))).alias("at", "t"))
+    some = cut(some.select("fp", "n", F.col("t.h").alias("h"), (F.col("alone") + F.col("at") < F.col("index")).alias("indexed")))
+    x, y = some.where("indexed").alias("x"), some.alias("y")
+    smaller = F.struct("x.n", "x.fp") < F.struct("y.n", "y.fp")
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & smaller & (100 * F.col("x.n") >= p * F.col("y.n")))
+    return met.select(F.col("x.fp").alias("x"), F.col("y.fp").alias("y")).distinct()
+
+
 def _rest(members: DataFrame, roots: DataFrame, stars: DataFrame, corpus: _Corpus) -> DataFrame:
-    """Candidate edges (a, b) between members of a bucket whom its star has not brought together."""
+    """Candidate edges (a, b) between members of buckets whom the stars have not brought together."""
     label = F.coalesce("root", "fp")
     named = members.join(roots, members["fp"] == roots["node"], "left").select("key", "fp", "n", "centre", label.alias("root"))
     centre_root = roots.select(F.col("node").alias("_c"), F.col("root").alias("centre_root"))
     named = named.join(centre_root, F.col("centre") == F.col("_c"), "left").withColumn("outside", F.col("root") != F.coalesce("centre_root", "centre")).drop("_c", "centre_root")
     named = cut(named.where(F.col("fp") != F.col("centre")))  # the centre itself has met all
     open_keys = cut(named.where("outside").groupBy("key").agg(F.count(F.lit(1)).alias("_n")).select("key"))
-    named = cut(named.join(if_small(open_keys), "key", "left_semi"))
-    sets = cut(corpus.texts(cut(named.select("fp").distinct())).mapInArrow(_sets, "fp binary, hs array<bigint>").dropDuplicates(["fp"]))
+    named = cut(named.join(if_small(open_keys), "key", "left_semi").select("fp", "n", "root").distinct())
+    sets = cut(corpus.texts(named.select("fp")).mapInArrow(_sets, "fp binary, hs array<bigint>").dropDuplicates(["fp"]))
     alone = sets.select("fp", F.explode("hs").alias("h")).groupBy("h").agg(F.min("fp").alias("fp"), F.max("fp").alias("other")).where(F.col("fp") == F.col("other"))
     alone = alone.groupBy("fp").agg(F.collect_list("h").alias("own"))  # no more than the class's own shingles
     bounds = cut(sets.join(alone, "fp", "left").select("fp", "hs", "own").mapInArrow(_histograms, "fp binary, shared long, groups array<int>"))
     p = F.lit(corpus.percent)
     rich = cut(named.join(bounds, "fp").where(100 * F.col("shared") >= p * F.col("n")))
-    x, y = rich.where("outside").alias("x"), rich.alias("y")
+    pairs = cut(_prefix_pairs(sets.join(rich.select("fp", "n"), "fp"), corpus.percent))
+    x, y = rich.alias("x"), rich.alias("y")
 
     def reach(most):
         return 100 * most >= p * (F.col("x.n") + F.col("y.n") - most)
 
     most = F.aggregate(F.zip_with("x.groups", "y.groups", lambda i, j: F.least(i, j)), F.lit(0), lambda i, j: i + j)
-    ok = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.outside") | (F.col("x.fp") < F.col("y.fp")))
-    ok = ok & reach(F.least("x.shared", "y.shared")) & reach(most)
-    pairs = x.join(y, ok).select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b"))
-    return _directed(pairs).join(stars, ["a", "b"], "left_anti")
+    met = pairs.alias("p").join(x, F.col("p.x") == F.col("x.fp")).join(y, F.col("p.y") == F.col("y.fp"))
+    met = met.where((F.col("x.root") != F.col("y.root")) & reach(F.least("x.shared", "y.shared")) & reach(most))
+    return _directed(met.select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b"))).join(stars, ["a", "b"], "left_anti")
 
 
 def _directed(pairs: DataFrame) -> DataFrame:
