@@ -7,10 +7,11 @@ needs no more than the given shards, found by binary search.
 The driver never sees all groups. It gets the sizes of at most 16 ** DIGITS blocks (groups whose
 digests share a prefix) and of the at most HEAVY groups that exceed a HEAVY-th of all bytes. The
 capacity lies between that of blocks that could be cut anywhere and that of blocks that can't be
-cut, which differ by the largest block at most. A greedy cut needs the groups of the one block that
-it falls into, which are fetched as sums by longer prefixes and then as groups, about PER_BLOCK at a
-time; blocks that the cuts of any capacity between the two bounds can fall into are fetched at once,
-if they are not more than MOST_BLOCKS. So the search is exact, whatever is fetched beforehand.
+cut, which differ by the largest block at most. The blocks that a cut of any capacity between the two
+can fall into are divided by longer prefixes, then both bounds are found again, and so on, until only
+groups are left there: each time the bounds come closer and fewer blocks remain. A division brings
+at most MOST_BLOCKS sums, or 16 for each block if that is more, and is one job over the groups. The
+search itself then runs on the driver, and is exact.
 DataFrame functions only.
 
 Defined results: a null text counts as an empty one (size 1, checksum 0); repeated rows are rows
@@ -29,11 +30,14 @@ from pyspark.sql import functions as F
 from densityflow.llm.common import cut, gapless, tidy
 
 HEAVY = 4096
-#: Groups of the finest blocks, at most about.
+#: Groups of a first block, at most about, unless DIGITS is reached.
 PER_BLOCK = 256
-#: Hex digits by which blocks are divided at once.
+#: Hex digits of the first blocks, at most.
 DIGITS = 4
-MOST_BLOCKS = 1024
+#: Sums that a division brings to the driver.
+MOST_BLOCKS = 1 << 19
+#: A key is a digit, 0 for heavy groups and 1 for others, and a digest or its beginning.
+WHOLE = 33
 
 
 def least(feasible, low: int, high: int) -> int:
@@ -45,85 +49,67 @@ def least(feasible, low: int, high: int) -> int:
 
 
 class Order:
-    """Heavy groups ('0' and gid), then blocks of light ones ('1' and a prefix), with where they end."""
+    """Heavy groups, then light ones or blocks of them, in order, with where they end."""
 
     def __init__(self, groups: DataFrame):
         n, total, largest = groups.agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
         self.n, self.total, self.largest = n or 0, total or 0, largest or 0
         self.heavy: list[str] = []
-        atoms: list[tuple[str, int]] = []
+        self.atoms: list[tuple[str, int, int]] = []  # key, size, number of groups
         if self.n:
             big = F.col("size") * HEAVY >= F.lit(self.total)
             if self.largest * HEAVY >= self.total:
-                atoms = sorted(("0" + r.gid, r["size"]) for r in groups.where(big).select("gid", "size").toLocalIterator())
-                self.heavy = [k[1:] for k, _ in atoms]
+                self.atoms = sorted(("0" + r.gid, r["size"], 1) for r in groups.where(big).select("gid", "size").toLocalIterator())
+                self.heavy = [k[1:] for k, _, _ in self.atoms]
             self.light = groups.where(~big)
-            self.levels = [d for d in range(1, 33) if 16 ** (d - 1) * PER_BLOCK < self.n][-1:] or [1]
-            self.levels = [*range(DIGITS, self.levels[0], DIGITS), self.levels[0]]
-            atoms += self._sums(self.light, 0)
-        self.keys = [k for k, _ in atoms]
-        self.ends = list(accumulate(s for _, s in atoms))
-        self.inside: dict[str, tuple[list[str], list[int]]] = {}
-
-    def _sums(self, rows: DataFrame, level: int) -> list[tuple[str, int]]:
-        """Keys and sizes in order: of blocks, or of the groups themselves below the last level."""
-        name = F.substring("gid", 1, self.levels[level]) if level < len(self.levels) else F.col("gid")
-        return sorted(("1" + r[0], r[1]) for r in rows.groupBy(name.alias("block")).agg(F.sum("size").alias("size")).collect())
-
-    def _level(self, key: str) -> int:
-        """How many levels the block's prefix has gone down; beyond the last one keys are groups."""
-        return self.levels.index(len(key) - 1) + 1 if key[0] == "1" and len(key) - 1 in self.levels else len(self.levels) + 1
-
-    def whole(self, key: str) -> bool:
-        return self._level(key) > len(self.levels)
-
-    def fetch(self, blocks: list[str]) -> None:
-        """What stands in the blocks, all of one level."""
-        blocks = [b for b in blocks if b not in self.inside and not self.whole(b)]
-        if not blocks:
-            return
-        pick = self.light.sparkSession.createDataFrame([(b[1:],) for b in blocks], "pick string")  # at most MOST_BLOCKS
-        rows = self.light.join(F.broadcast(pick), F.substring("gid", 1, len(blocks[0]) - 1) == F.col("pick"), "left_semi")
-        found: dict[str, list[tuple[str, int]]] = {b: [] for b in blocks}
-        for k, s in self._sums(rows, self._level(blocks[0])):
-            found[k[: len(blocks[0])]].append((k, s))
-        for b, atoms in found.items():
-            self.inside[b] = [k for k, _ in atoms], list(accumulate(s for _, s in atoms))
-
-    def reach(self, limit: int) -> tuple[int, str | None]:
-        """The last end of a group up to limit, and the key at which the next one begins."""
-        keys, ends, base = self.keys, self.ends, 0
-        while True:
-            k = bisect.bisect_right(ends, limit - base)
-            base += ends[k - 1] if k else 0
-            if k == len(keys):
-                return base, None
-            if base == limit or self.whole(keys[k]):
-                return base, keys[k]
-            self.fetch([keys[k]])
-            keys, ends = self.inside[keys[k]]
-
-    def greedy(self, capacity: int, shards: int) -> list[str] | None:
-        """Keys at which all shards but the first begin, each as far as capacity allows; None if shards don't suffice."""
-        at, starts = 0, []
-        for _ in range(shards):
-            end, key = self.reach(at + capacity)
-            if key is None:
-                return starts
-            if end == at:
-                return None
-            at = end
-            starts.append(key)
-        return None
-
-    def coarse(self, capacity: int, shards: int, slack: bool) -> list[int] | None:
-        """Ends of shards if blocks can be cut anywhere (slack) or nowhere; None if shards don't suffice."""
+            digits = ([d for d in range(1, 33) if 16 ** (d - 1) * PER_BLOCK < self.n][-1:] or [1])[0]
+            self.atoms += self._sums(self.light, 1 + min(DIGITS, digits))
+        self._end()
+
+    def _end(self) -> None:
+        self.keys = [k for k, _, _ in self.atoms]
+        self.ends = list(accumulate(s for _, s, _ in self.atoms))
+
+    def _sums(self, rows: DataFrame, length: int) -> list[tuple[str, int, int]]:
+        """Keys of this length in order, with sizes and numbers of groups."""
+        block = F.substring("gid", 1, length - 1).alias("block")
+        return sorted(("1" + r[0], r[1], r[2]) for r in rows.groupBy(block).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect())
+
+    def divide(self, blocks: list[str]) -> None:
+        """Puts what stands in these blocks in their places."""
+        numbers = {k: n for k, _, n in self.atoms}
+        inside: dict[str, list[tuple[str, int, int]]] = {b: [] for b in blocks}
+        for length in sorted({len(b) for b in blocks}):
+            own = [b for b in blocks if len(b) == length]
+            to = length + 1
+            while to < WHOLE and 16 ** (to + 1 - length) * len(own) <= MOST_BLOCKS:
+                to += 1
+            if sum(numbers[b] for b in own) <= max(MOST_BLOCKS, 16 * len(own)):
+                to = WHOLE
+            pick = self.light.sparkSession.createDataFrame([(b[1:],) for b in own], "pick string")  # no more than there are first blocks
+            rows = self.light.join(F.broadcast(pick), F.substring("gid", 1, length - 1) == F.col("pick"), "left_semi")
+            for atom in self._sums(rows, to):
+                inside[atom[0][:length]].append(atom)
+        self.atoms = [x for atom in self.atoms for x in (inside.get(atom[0]) or [atom])]
+        self._end()
+
+    def next(self, at: int, capacity: int, slack: bool) -> int:
+        """Where a shard that begins at `at` ends, if blocks can't be cut or (slack) can be cut anywhere."""
+        k = bisect.bisect_right(self.ends, at + capacity)
+        if k == len(self.ends):
+            return self.total
+        if slack and len(self.keys[k]) < WHOLE:
+            return at + capacity
+        return self.ends[k - 1] if k else 0
+
+    def cuts(self, capacity: int, shards: int, slack: bool = False) -> list[int] | None:
+        """Ends of all shards but the last, if blocks can't be cut, or (slack) can be cut anywhere; None if shards
+        don't suffice."""
         at, found = 0, []
         for _ in range(shards):
-            k = bisect.bisect_right(self.ends, at + capacity)
-            if k == len(self.ends):
+            end = self.next(at, capacity, slack)
+            if end == self.total:
                 return found
-            end = at + capacity if slack and not self.whole(self.keys[k]) else self.ends[k - 1] if k else 0
             if end <= at:
                 return None
             at = end
@@ -137,20 +123,22 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str], list[s
     order = Order(groups)
     if not order.n:
         return 0, [], []
-    low = least(lambda c: order.coarse(c, shards, True) is not None, max(-(-order.total // shards), order.largest), order.total)
-    high = least(lambda c: order.coarse(c, shards, False) is not None, low, order.total)
-    # the cuts of all capacities between lie between where these two can reach
-    near, far = 0, 0
-    wanted: list[str] = []
-    for _ in range(shards):
-        near = order.ends[max(0, bisect.bisect_right(order.ends, near + low) - 1)]
-        far = min(order.total, far + high)
-        wanted += order.keys[bisect.bisect_left(order.ends, near) : bisect.bisect_left(order.ends, far) + 1]
-    wanted = [k for k in dict.fromkeys(wanted) if not order.whole(k)]
-    if len(wanted) <= MOST_BLOCKS:
-        order.fetch(wanted)
-    capacity = least(lambda c: order.greedy(c, shards) is not None, low, high)
-    return capacity, order.greedy(capacity, shards) or [], order.heavy
+    low, high = max(-(-order.total // shards), order.largest), order.total
+    while True:
+        low = least(lambda c: order.cuts(c, shards, True) is not None, low, high)
+        high = least(lambda c: order.cuts(c, shards) is not None, low, high)
+        # the cuts of all capacities between lie between where these two can reach
+        near = far = 0
+        wanted: list[str] = []
+        for _ in range(shards):
+            near, far = order.next(near, low, False), order.next(far, high, True)
+            wanted += order.keys[bisect.bisect_left(order.ends, near) : bisect.bisect_left(order.ends, far) + 1]
+        wanted = [k for k in dict.fromkeys(wanted) if len(k) < WHOLE]
+        if not wanted:
+            break
+        order.divide(wanted)
+    capacity = least(lambda c: order.cuts(c, shards) is not None, low, high)
+    return capacity, [order.keys[bisect.bisect_right(order.ends, end)] for end in order.cuts(capacity, shards) or []], order.heavy
 
 
 @tidy
