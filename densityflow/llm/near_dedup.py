@@ -182,25 +182,34 @@ class _Corpus:
         return cut(rows.mapInArrow(_stars(self.percent), "a binary, b binary").distinct())
 
 
-def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of sets (fp, n, hs array) that may be as similar as percent; none that is gets lost.
+def _prefix_pairs(sets: DataFrame, percent: int, bounds: tuple[str, ...] = (), may=lambda x, y: F.lit(True)) -> DataFrame:
+    """Pairs (x, y) of sets (fp, n, root, hs array) of two roots that may be as similar as percent; none that is
+    gets lost.
 
     All shingles have one order, rare ones first. Two sets that reach the threshold share one of the
     first n - ceil(2pn / (100 + p)) + 1 shingles of the smaller and of the first n - ceil(pn / 100) + 1 of
     the other: else what remains is too little. A shingle that one set alone has meets nothing, so sets
-    that fall short of the threshold by rare shingles of their own make no pair, however many they are."""
+    that fall short of the threshold by rare shingles of their own make no pair, however many they are; and one
+    that a single root has joins nothing. Of the shingles that two sets share, the first one's places leave
+    room for all they must share. may(x, y), names of the two sides, is what else is known of a pair, from
+    the columns in bounds."""
     tokens = sets.select("fp", F.explode("hs").alias("h"))
     often = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     n, p = F.col("n"), percent
     probe, index = n - F.ceil(p * n / 100) + 1, n - F.ceil(2 * p * n / (100 + p)) + 1
     # what one set alone has comes first and is passed over by its number
     ranked = tokens.join(often, "h").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))  # no more than a set's shingles
-    ranked = sets.select("fp", "n").join(ranked, "fp").withColumn("alone", n - F.size("hs"))
-    some = ranked.select("fp", "n", index.alias("index"), "alone", F.posexplode(F.slice("hs", F.lit(1), F.greatest(probe - F.col("alone"), F.lit(0)).cast("int"))).alias("at", "t"))
-    some = cut(some.select("fp", "n", F.col("t.h").alias("h"), (F.col("alone") + F.col("at") < F.col("index")).alias("indexed")))
+    carried = ["fp", "n", "root", *bounds]
+    ranked = sets.select(*carried).join(ranked, "fp").withColumn("alone", n - F.size("hs"))
+    some = ranked.select(*carried, index.alias("index"), "alone", F.posexplode(F.slice("hs", F.lit(1), F.greatest(probe - F.col("alone"), F.lit(0)).cast("int"))).alias("at", "t"))
+    place = F.col("alone") + F.col("at")
+    some = cut(some.select(*carried, F.col("t.h").alias("h"), (F.col("n") - place).alias("rest"), (place < F.col("index")).alias("indexed")))
+    mixed = cut(some.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("indexed").alias("any")).where("low != high AND any").select("h"))
+    some = cut(some.join(if_small(mixed), "h", "left_semi"))
     x, y = some.where("indexed").alias("x"), some.alias("y")
     smaller = F.struct("x.n", "x.fp") < F.struct("y.n", "y.fp")
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & smaller & (100 * F.col("x.n") >= p * F.col("y.n")))
+    room = (100 + p) * F.least("x.rest", "y.rest") >= p * (F.col("x.n") + F.col("y.n"))
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & smaller & (100 * F.col("x.n") >= p * F.col("y.n")) & room & may("x", "y"))
     return met.select(F.col("x.fp").alias("x"), F.col("y.fp").alias("y")).distinct()
 
 
@@ -219,16 +228,16 @@ def _rest(members: DataFrame, roots: DataFrame, stars: DataFrame, corpus: _Corpu
     bounds = cut(sets.join(alone, "fp", "left").select("fp", "hs", "own").mapInArrow(_histograms, "fp binary, shared long, groups array<int>"))
     p = F.lit(corpus.percent)
     rich = cut(named.join(bounds, "fp").where(100 * F.col("shared") >= p * F.col("n")))
-    pairs = cut(_prefix_pairs(sets.join(rich.select("fp", "n"), "fp"), corpus.percent))
-    x, y = rich.alias("x"), rich.alias("y")
 
-    def reach(most):
-        return 100 * most >= p * (F.col("x.n") + F.col("y.n") - most)
+    def may(x: str, y: str):
+        def reach(most):
+            return 100 * most >= p * (F.col(f"{x}.n") + F.col(f"{y}.n") - most)
 
-    most = F.aggregate(F.zip_with("x.groups", "y.groups", lambda i, j: F.least(i, j)), F.lit(0), lambda i, j: i + j)
-    met = pairs.alias("p").join(x, F.col("p.x") == F.col("x.fp")).join(y, F.col("p.y") == F.col("y.fp"))
-    met = met.where((F.col("x.root") != F.col("y.root")) & reach(F.least("x.shared", "y.shared")) & reach(most))
-    return _directed(met.select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b"))).join(stars, ["a", "b"], "left_anti")
+        most = F.aggregate(F.zip_with(f"{x}.groups", f"{y}.groups", lambda i, j: F.least(i, j)), F.lit(0), lambda i, j: i + j)
+        return reach(F.least(f"{x}.shared", f"{y}.shared")) & reach(most)
+
+    pairs = _prefix_pairs(sets.join(rich, "fp"), corpus.percent, ("shared", "groups"), may)
+    return _directed(pairs.select(F.col("y").alias("a"), F.col("x").alias("b"))).join(stars, ["a", "b"], "left_anti")
 
 
 def _directed(pairs: DataFrame) -> DataFrame:

@@ -12,7 +12,19 @@ from densityflow.llm.shingles import fingerprint
 
 def sets_table(spark, sets):
     rows = [(fingerprint(np.array(sorted(s), dtype=np.uint64)), len(s), [int(v) for v in sorted(s)]) for s in sets]
-    return spark.createDataFrame(rows, "fp binary, n long, hs array<bigint>"), [r[0] for r in rows]
+    return spark.createDataFrame(rows, "fp binary, n long, hs array<bigint>").withColumn("root", F.col("fp")), [r[0] for r in rows]
+
+
+def test_sets_of_one_root_make_no_pair(spark):
+    r = random.Random(1)
+    base = set(range(1, 60))
+    sets = [base - {k} for k in range(1, 30)] + [{k + 1000 for k in base} - {1000 + r.randrange(1, 60)} for _ in range(3)]
+    sets = [s for i, s in enumerate(sets) if s not in sets[:i]]
+    table, names = sets_table(spark, sets)
+    one = table.withColumn("root", F.when(F.element_at("hs", 1) < 1000, F.lit("a")).otherwise(F.lit("b")).cast("binary"))
+    assert near_dedup._prefix_pairs(one, 85).count() == 0
+    two = table.withColumn("root", F.when(F.col("fp") == names[0], F.lit("z")).otherwise(F.lit("a")).cast("binary"))
+    assert {frozenset((bytes(x.x), bytes(x.y))) for x in near_dedup._prefix_pairs(two, 85).collect()} >= {frozenset((names[0], n)) for n, s in zip(names[1:], sets[1:], strict=True) if min(s) < 1000}
 
 
 @pytest.mark.parametrize("percent", [80, 85, 95])
@@ -37,7 +49,7 @@ def test_a_bucket_of_thousands_just_below_the_threshold(spark):
     """Each of 5,000 sets shares 100 shingles with all others and has 9 of its own: 100 / 118 < 0.85."""
     n = 5000
     hs = F.concat(F.sequence(F.lit(1).cast("long"), F.lit(100).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.lit(1000) + F.col("id") * 9 + k))
-    table = spark.range(n).select(F.encode(F.col("id").cast("string"), "utf-8").alias("fp"), F.lit(109).cast("long").alias("n"), hs.alias("hs"))
+    table = spark.range(n).select(F.encode(F.col("id").cast("string"), "utf-8").alias("fp"), F.lit(109).cast("long").alias("n"), hs.alias("hs")).withColumn("root", F.col("fp"))
     assert near_dedup._prefix_pairs(table, 85).count() == 0
     linked = near_dedup._prefix_pairs(table.limit(40), 80).count()
     assert linked == 40 * 39 // 2  # at 0.8 they are pairs
