@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -89,15 +90,27 @@ def oriented(snapshots: DataFrame) -> DataFrame:
     return long.groupBy(F.col("at").cast("long").alias("t")).agg(F.transform(pairs, lambda p: p["v"]).alias("x"))
 
 
-def read_runs(spark: SparkSession, paths: dict[str, str], fields: dict[str, float]) -> DataFrame:
-    """(run, a column for each field): one row a run; a field that its store lacks has its default."""
-    out = None
-    for run, path in paths.items():
-        v = load(spark, path)
-        wide = v.agg(*[F.max(F.when((F.col("name") == name) & (F.size("shape") == 0), F.get("values", F.lit(0)))).alias(name) for name in fields])
-        row = wide.select(F.lit(run).alias("run"), *[F.coalesce(name, F.lit(default)).alias(name) for name, default in fields.items()])
-        out = row if out is None else out.unionByName(row)
-    return out
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path as a scan names it, without what follows the scheme's colon in slashes."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().toString()
+    return re.sub(r"^(\w+):/+", r"\1:/", found).rstrip("/")
+
+
+def read_runs(spark: SparkSession, paths: dict[str, str], fields: dict[str, float], group: str = "main") -> DataFrame:
+    """(run, a column for each field): one row a run; a field that its store lacks has its default.
+
+    All stores are one scan, and a row's run follows from its file; runs may share a store. Only rows of
+    the fields are grouped. A path without a store is an error."""
+    if not paths:
+        return spark.createDataFrame([], ", ".join(["run string", *(f"`{k}` double" for k in fields)]))
+    runs = spark.createDataFrame([(run, _qualified(spark, path)) for run, path in paths.items()], "run string, folder string")
+    rows = spark.read.schema(VARIABLES).option("recursiveFileLookup", "true").parquet(*sorted(set(paths.values())))
+    file = F.regexp_replace(F.col("_metadata.file_path"), r"^(\w+):/+", "$1:/")
+    rows = rows.select(file.alias("file"), "name", "shape", "values").where(F.col("file").contains(f"/group={group}/"))
+    kept = rows.where(F.col("name").isin(*fields) & (F.size("shape") == 0)).select(F.substring_index("file", f"/group={group}/", 1).alias("folder"), "name", F.get("values", F.lit(0)).alias("value"))
+    wide = kept.groupBy("folder").agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in fields])
+    return runs.join(wide, "folder", "left").select("run", *[F.coalesce(name, F.lit(default)).alias(name) for name, default in fields.items()])
 
 
 def from_long(long: DataFrame, name: str, keys: list[str], value: str = "x") -> DataFrame:

@@ -137,3 +137,24 @@ def test_functions_in_sql_equal_those_of_the_library(spark):
     plan = spark.sql("SELECT swish(x) FROM some_rows")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
     assert json.dumps(plan)
+
+
+# ---- runs ---------------------------------------------------------------------------------------
+
+
+def test_runs_are_one_scan(spark, tmp_path):
+    from densityflow.sources import store
+
+    paths = {}
+    for k in range(4):
+        paths[f"run {k}"] = f"{'file://' if k % 2 else ''}{tmp_path}/store {k}"
+        store.save(store.variables(spark, {"kl": k / 2, "clusters": 10 * k, "text": "x", "field": np.ones((2, 2))} | ({"only": 1.5} if k == 2 else {})), paths[f"run {k}"])
+    store.save(store.variables(spark, {"kl": 99.0}), paths["run 1"] + "/elsewhere", "other")
+    paths["again"] = paths["run 3"]
+    found = store.read_runs(spark, paths, {"kl": -1.0, "only": 0.25, "clusters": 0.0})
+    got = {r.run: (r.kl, r.only, r.clusters) for r in found.collect()}
+    assert got == {"run 0": (0.0, 0.25, 0.0), "run 1": (0.5, 0.25, 10.0), "run 2": (1.0, 1.5, 20.0), "run 3": (1.5, 0.25, 30.0), "again": (1.5, 0.25, 30.0)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert store.read_runs(spark, {}, {"kl": 0.0}).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        store.read_runs(spark, {"none": f"{tmp_path}/none"}, {"kl": 0.0}).count()
