@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +32,8 @@ SHARDS = 8
 PASSES = 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 BIAS = 0
+#: Rows of a batch that are Python objects, or features, at a time.
+PIECE = 256
 
 _CLASSES = np.full(256, 128, dtype=np.uint8)  # beyond ASCII
 _CLASSES[:128] = 64
@@ -79,11 +80,17 @@ def batch_features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.nda
             yield features(text or "", hashes)
 
 
+def pieces(rows):
+    """An array or a batch, PIECE rows at a time."""
+    return (rows.slice(at, PIECE) for at in range(0, len(rows), PIECE))
+
+
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = list(batch_features(batch.column(2).to_pylist()))
-        columns = [batch.column(0), batch.column(1), pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "index", "value"])
+        for piece in pieces(batch):
+            found = list(batch_features(piece.column(2).to_pylist()))
+            columns = [piece.column(0), piece.column(1), pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "index", "value"])
 
 
 def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -155,12 +162,12 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "qualit
 def score_column(spark, w: np.ndarray, text: Column) -> Column:
     shared = spark.sparkContext.broadcast(w.astype(np.float32))  # DIMS numbers
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value.astype(np.float64)
         for texts in parts:
-            dots = np.array([np.dot(own[i], v) for i, v in batch_features([t if isinstance(t, str) else None for t in texts])], dtype=float)
-            yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(dots, -35, 35))))
+            dots = np.array([np.dot(own[i], v) for piece in pieces(texts) for i, v in batch_features(piece.to_pylist())], dtype=float)
+            yield pa.array(1.0 / (1.0 + np.exp(-np.clip(dots, -35, 35))))
 
     return score(text)
 
