@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densityflow.llm.common import cut
+from densityflow.llm.common import cut, let_go
 from densityflow.llm.shingles import PLACES, mix, slices
 
 DIMS = 1 << 18
@@ -148,8 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "qualit
     shards = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id", "label"), "doc_id").select("shard", "label", "index", "value")
     z, n = np.zeros(DIMS), np.zeros(DIMS)
     for _ in range(PASSES):
-        # a row for each shard, no longer than DIMS
-        changes = shards.mapInArrow(_pass(z, n), "at array<bigint>, z array<double>, n array<double>").toArrow()
+        # a row for each shard, no longer than DIMS; no pass needs the shuffle of the one before
+        with let_go(docs.sparkSession):
+            changes = shards.mapInArrow(_pass(z, n), "at array<bigint>, z array<double>, n array<double>").toArrow()
         if not changes.num_rows:
             break
         for at, dz, dn in zip(*(changes.column(k) for k in range(3)), strict=True):
