@@ -30,8 +30,11 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -145,30 +148,32 @@ class Slice:
     """Tokens of some texts by numbers of their words (ranks, if ordered), with the two words before each."""
 
     def __init__(self, texts: list[str | None], ordered: bool = True):
-        flat: list[bytes] = []
+        # each word is one object, whose number stands for it from then on
+        numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+        flat = array("i")
         lengths = []
         for t in texts:
             ws = split_words(t)
-            flat += ws
-            flat.append(END)
+            flat.extend(map(numbers.__getitem__, ws))
+            flat.append(numbers[END])
             lengths.append(len(ws) + 1)
         self.lengths = np.array(lengths, dtype=np.int64)
-        values = np.empty(len(flat) + 1, dtype=object)
-        values[:-1], values[-1] = flat, START
-        codes, found = pd.factorize(values)
+        start = numbers[START]
+        found = np.empty(len(numbers), dtype=object)
+        found[:] = list(numbers)
+        self.w = np.frombuffer(flat, dtype=np.int32)
         if ordered:
             # like beginnings stand together, which compresses
             order = np.argsort(np.array(found.tolist(), dtype="S8").view(">u8"))
             found = found[order]
-            rank = np.empty(len(order), dtype=np.int64)
+            rank = np.empty(len(order), dtype=np.int32)
             rank[order] = np.arange(len(order))
-            codes = rank[codes]
+            self.w, start = rank[self.w], rank[start]
         self.words = found
-        self.w, start = codes[:-1], codes[-1]
         first = np.cumsum(self.lengths) - self.lengths
-        self.u1 = np.r_[start, self.w[:-1]]
+        self.u1 = np.r_[np.int32(start), self.w[:-1]]
         self.u1[first] = start
-        self.u2 = np.r_[start, self.u1[:-1]]
+        self.u2 = np.r_[np.int32(start), self.u1[:-1]]
         self.u2[first] = start
         self.hash = word_hashes(list(self.words))
 
@@ -201,7 +206,7 @@ def _heavy(share: float):
             u1 = np.flatnonzero(n1 >= least)
             # a pair has no more than its last word
             near = (n1 >= least)[s.u1]
-            pairs, n2 = np.unique(s.u2[near] * len(s.words) + s.u1[near], return_counts=True)
+            pairs, n2 = np.unique(s.u2[near].astype(np.int64) * len(s.words) + s.u1[near], return_counts=True)
             pairs, n2 = pairs[n2 >= least], n2[n2 >= least]
             last = s.hash[pairs % len(s.words)]
             found = [(np.zeros(1), np.zeros(1), np.zeros(1), [len(s.w)])]
@@ -257,14 +262,15 @@ def _packer(part_ids: np.ndarray, hot: Hot):
         held = np.array([is_held_out(d) for d in ids], dtype=np.int64)
         known = np.array([d is not None for d in ids])
         yield int(part_ids[slice_id % len(part_ids)]), -1, dump(np.array([d or 0 for d in ids], dtype=np.int64).view(np.uint64), known.astype(np.uint8), held.astype(np.uint8))
-        doc = np.repeat(np.arange(len(ids)) * 2 + held, s.lengths)
+        doc = np.repeat((np.arange(len(ids)) * 2 + held).astype(np.int32), s.lengths)
         pair = pair_hash(s.hash[s.u2], s.hash[s.u1])
         kind = np.where((among(s.hash, hot.words) >= 0)[s.u1], PAIR, BOTH)
         kind[among(pair, hot.pairs) >= 0] = NONE
         by = np.where(kind == BOTH, mix(s.hash)[s.u1], np.where(kind == PAIR, pair, mix(s.hash + np.uint64(slice_id) * A)[s.w]))
-        part = (by % parts).astype(np.int64) * 3 + kind
+        part = small((by % parts).astype(np.int64) * 3 + kind)
+        del pair, kind, by
         order = order_of(s.u1, s.w, s.u2)
-        order = order[np.argsort(small(part)[order], kind="stable")]
+        order = order[np.argsort(part[order], kind="stable")]
         part, u1, w, u2, doc = part[order], s.u1[order], s.w[order], s.u2[order], doc[order]
         cuts, _ = groups(part // 3)
         place = np.empty(len(s.words), dtype=np.int64)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -137,3 +138,17 @@ def test_context_is_learned(spark):
     got = lm.scored(table(spark, rows), part_bytes=20_000).where("held_out").collect()
     per_token = [sum(getattr(r, c) for r in got) / sum(r.n_tokens for r in got) for c in ("score", "base_score")]
     assert per_token[0] > per_token[1] / 2
+
+
+def test_a_slice_holds_numbers_not_words():
+    # as words, the tokens would take about a hundred bytes each
+    texts = [" ".join(f"word{(7 * i + k) % 5000}" for k in range(400)) for i in range(500)] + [None, ""]
+    lm.Slice(texts[:5])
+    for ordered in (False, True):
+        tracemalloc.start()
+        s = lm.Slice(texts, ordered)
+        _, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert peak < 50 * len(s.w)
+        assert [s.words[k] for k in s.w] == [w for t in texts for w in tokens(t)]
+        assert s.words[s.u2[0]] == s.words[s.u1[0]] == s.words[s.u2[1]] == lm.START and s.u1[1] == s.w[0]
