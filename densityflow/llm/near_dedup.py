@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densityflow.llm.common import cut, if_small, tidy
+from densityflow.llm.common import BROADCAST_ROWS, cut, if_small, tidy
 from densityflow.llm.shingles import fingerprint, mix, shingle_set, slices, word_hashes
 
 BANDS = 48
@@ -141,14 +141,21 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component; links: (a, b).
 
     Labels take the smallest of their neighbours' and then of their root's label, until none
-    changes. Each round is cut in the shared folder."""
+    changes. Each round is cut in the shared folder; while labels are few they go to the edges, not both to
+    new partitions, and no join of a round shuffles."""
     edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    few = labels.count() <= BROADCAST_ROWS  # as many in every round
+    small = F.broadcast if few else lambda df: df
     while True:
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "m").alias("r"))
+        known = small(labels)
+        near = edges.join(known, edges["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
+        # every node is the end of an edge
+        step = near.join(known, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "m").alias("r"))
+        step = cut(step) if few else step
         # the old root learns the smaller label as well, so that whole trees are joined at once
         hook = step.groupBy(F.col("old").alias("top")).agg(F.min("r").alias("best"))
+        hook = small(hook.where(F.col("best") < F.col("top")))
         moved = step.join(hook, step["old"] == hook["top"], "left").select("node", "old", F.least("r", F.coalesce("best", "r")).alias("root"))
         moved = cut(moved)
         changed = moved.where(F.col("old") != F.col("root")).limit(1).count()

@@ -64,3 +64,19 @@ def test_texts_just_below_the_threshold_stay_apart(spark):
     got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(df, 85).collect()}
     assert got[300] == 7
     assert all(got[i] == i for i in range(300))
+
+
+def test_components_of_few_links_shuffle_for_sums_alone(spark, monkeypatch):
+    # a chain, a star and pairs
+    links = [(k, k + 1) for k in range(1, 9)] + [(500, k) for k in range(501, 530)] + [(k, k + 1000) for k in range(600, 610)]
+    plans = []
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    cut = near_dedup.cut
+    monkeypatch.setattr(near_dedup, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    try:
+        found = dict(near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found == {k: 1 for k in range(1, 10)} | {k: 500 for k in range(500, 530)} | {k: k % 1000 for p in links[-10:] for k in p}
+    assert not [p for p in plans if "SortMergeJoin" in p] and max(p.count("Exchange hashpartitioning") for p in plans) == 1
