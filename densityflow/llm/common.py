@@ -22,9 +22,11 @@ BROADCAST_ROWS = 100_000
 _made: ContextVar[list[DataFrame] | None] = ContextVar("_made", default=None)
 #: Deletes a query's shuffle files when it ends.
 LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Writes that hold it set, and what it was before the first of them.
-_letting: list[str | None] = []
-_letting_lock = threading.Lock()
+#: Rows that go to Python at once, and how many where they are long.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
+#: For each setting those that hold it, and what it was before the first of them.
+_holding: dict[str, list[str | None]] = {LET_GO: [], BATCH: []}
+_holding_lock = threading.Lock()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,14 +49,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base or _local_dir()}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The rows of df, written to the shared folder and read back: lineage ends there.
 
     Nothing needs the shuffles behind the written table any more, and so they are let go with it."""
     spark = df.sparkSession
     path = scratch_dir(spark)
     with let_go(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     made = _made.get()
     if made is not None:
@@ -63,18 +65,29 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def let_go(spark: SparkSession) -> Iterator[None]:
-    """LET_GO for a write; writes of several threads hold it together, and the last puts it back."""
-    with _letting_lock:
-        _letting.append(spark.conf.get(LET_GO, None) if not _letting else _letting[0])
-        spark.conf.set(LET_GO, "true")
+def _held(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting for a while; several threads hold it together, and the last puts it back."""
+    held = _holding[name]
+    with _holding_lock:
+        held.append(spark.conf.get(name, None) if not held else held[0])
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        with _letting_lock:
-            before = _letting.pop()
-            if not _letting:
-                spark.conf.unset(LET_GO) if before is None else spark.conf.set(LET_GO, before)
+        with _holding_lock:
+            before = held.pop()
+            if not held:
+                spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def let_go(spark: SparkSession):
+    """LET_GO for a write."""
+    return _held(spark, LET_GO, "true")
+
+
+def small_batches(spark: SparkSession):
+    """Batches of few rows for Python tasks: with long rows, the usual 10,000 take much memory on both sides."""
+    return _held(spark, BATCH, str(BATCH_ROWS))
 
 
 def tidy(operator):

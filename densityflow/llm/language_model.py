@@ -30,22 +30,20 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densityflow.llm.common import cut, drop, let_go, scratch_dir
-from densityflow.llm.shingles import mix, split_words
+from densityflow.llm.common import cut, drop, let_go, scratch_dir, small_batches
+from densityflow.llm.shingles import mix
 
 #: Discounts of single words and unigrams (that of pairs follows from the counts), and strengths.
 D1, D0 = 0.6, 0.6
@@ -57,9 +55,12 @@ SLICE_BYTES = 12_000_000
 MAX_HOT = 65_536
 MAX_BUCKETS = 50_000
 EXACT, BLOCK = 64, 64
+#: Cells of so few customers are drawn by sums of powers; larger ones by logarithms.
+FEW = 16
 ROUNDS, BURN, SAMPLES = 2, 2, 4
 #: No word has a space.
 START, END = b" s", b" e"
+SEPARATORS = " \t\n\v\f\r"
 #: Kinds of cells: both levels in the part; only the pair's; none.
 BOTH, PAIR, NONE = 0, 1, 2
 A = np.uint64(0x9E3779B97F4A7C15)
@@ -74,7 +75,7 @@ def is_held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: list[bytes] | np.ndarray) -> np.ndarray:
     flat = np.empty(len(words), dtype=object)
     flat[:] = words
     return pd.util.hash_array(flat, categorize=False) if len(words) else np.empty(0, dtype=np.uint64)
@@ -84,6 +85,12 @@ def pair_hash(u2: np.ndarray, u1: np.ndarray) -> np.ndarray:
     return mix(mix(u2) + u1 * A)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; a sort takes a fraction of np.unique's time, which hashes."""
+    values = np.sort(values)
+    return values[groups(values)[0]]
+
+
 def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Places of values in the sorted array known, or -1."""
     if not len(known):
@@ -102,18 +109,24 @@ def dump(*arrays: np.ndarray) -> bytes:
     """Arrays of unsigned numbers or doubles, byte planes apart, compressed."""
     kinds = [x for a in arrays for x in (len(a), "BHILd".index("L" if a.dtype == np.uint64 else a.dtype.char))]
     head = np.array([len(arrays), *kinds], dtype=np.int64)
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    planes = []
+    for a in arrays:
+        each = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)
+        planes += [each[:, k].tobytes() for k in range(a.itemsize)]
     return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(planes))
 
 
-def load(body: bytes) -> list[np.ndarray]:
+def load(body: bytes | pa.Buffer) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(body)
     k = int(np.frombuffer(raw, np.int64, 1)[0])
     out, at = [], 8 + 16 * k
     for n, kind in np.frombuffer(raw, np.int64, 2 * k, 8).reshape(k, 2):
         dtype = np.dtype([np.uint8, np.uint16, np.uint32, np.uint64, np.float64][kind])
         planes = np.frombuffer(raw, np.uint8, int(n) * dtype.itemsize, at).reshape(dtype.itemsize, int(n))
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype))
+        out.append(np.empty(int(n), dtype=dtype))
+        each = out[-1].view(np.uint8).reshape(int(n), dtype.itemsize)
+        for k, plane in enumerate(planes):
+            each[:, k] = plane
         at += int(n) * dtype.itemsize
     return out
 
@@ -134,9 +147,10 @@ def order_of(*keys: np.ndarray) -> np.ndarray:
     bits = [int(k.max()).bit_length() if len(k) else 0 for k in keys]
     if sum(bits) > 63:
         return np.lexsort(keys[::-1])
-    one = np.zeros(len(keys[0]), dtype=np.int64)
+    one = np.zeros(len(keys[0]), dtype=np.int64)  # in place, as these are the longest arrays there are
     for k, b in zip(keys, bits, strict=True):
-        one = one << b | k.astype(np.int64)
+        one <<= b
+        one |= k
     return np.argsort(one)
 
 
@@ -147,51 +161,70 @@ def sizes_of(first: np.ndarray, n: int) -> np.ndarray:
 class Slice:
     """Tokens of some texts by numbers of their words (ranks, if ordered), with the two words before each."""
 
-    def __init__(self, texts: list[str | None], ordered: bool = True):
-        # each word is one object, whose number stands for it from then on
-        numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
-        flat = array("i")
-        lengths = []
-        for t in texts:
-            ws = split_words(t)
-            flat.extend(map(numbers.__getitem__, ws))
-            flat.append(numbers[END])
-            lengths.append(len(ws) + 1)
-        self.lengths = np.array(lengths, dtype=np.int64)
-        start = numbers[START]
-        found = np.empty(len(numbers), dtype=object)
-        found[:] = list(numbers)
-        self.w = np.frombuffer(flat, dtype=np.int32)
+    def __init__(self, texts: pa.Array | list[str | None], ordered: bool = True):
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        # A-Z lower-cased, between just the six separators; without a word, a text has no list
+        texts = pc.ascii_trim(pc.ascii_lower(texts), SEPARATORS)
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(texts, ""), None, texts))
+        self.lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        coded = lists.flatten().dictionary_encode()
+        del texts, lists
+        # each word's number stands for it from here on
+        found = coded.dictionary.cast(pa.large_binary())
+        end, start = len(found), len(found) + 1
+        found = pa.concat_arrays([found, pa.array([END, START], pa.large_binary())])
+        self.w = np.full(int(self.lengths.sum()), end, dtype=np.int32)
+        inside = np.ones(len(self.w), dtype=bool)
+        inside[np.cumsum(self.lengths) - 1] = False
+        self.w[inside] = coded.indices.to_numpy()
+        del coded, inside
         if ordered:
             # like beginnings stand together, which compresses
-            order = np.argsort(np.array(found.tolist(), dtype="S8").view(">u8"))
-            found = found[order]
+            order = np.argsort(np.array(found.to_pylist(), dtype="S8").view(">u8"))
+            found = found.take(pa.array(order))
             rank = np.empty(len(order), dtype=np.int32)
             rank[order] = np.arange(len(order))
             self.w, start = rank[self.w], rank[start]
-        self.words = found
+        self.found = found
         first = np.cumsum(self.lengths) - self.lengths
         self.u1 = np.r_[np.int32(start), self.w[:-1]]
         self.u1[first] = start
         self.u2 = np.r_[np.int32(start), self.u1[:-1]]
         self.u2[first] = start
-        self.hash = word_hashes(list(self.words))
+        self.hash = word_hashes(self.words)
+        pa.default_memory_pool().release_unused()
+
+    @property
+    def words(self) -> np.ndarray:
+        return self.found.to_numpy(zero_copy_only=False)
 
+    def lines(self, at: np.ndarray) -> bytes:
+        """The words at these places, a line each."""
+        one = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), self.found.take(pa.array(at)))
+        return pc.binary_join(one, pa.scalar(b"\n", pa.large_binary()))[0].as_py()
 
-def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+
+def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
     """(doc_ids, texts) of about SLICE_BYTES."""
     ids, texts, size = [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py()
-            ids.append(doc_id)
-            texts.append(text)
-            size += len(text or "") + 1
+        ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        first = 0
+        while first < len(ends):
+            before = int(ends[first - 1]) if first else 0
+            # up to the row that fills the slice
+            stop = min(int(np.searchsorted(ends, before + SLICE_BYTES - size)) + 1, len(ends))
+            ids += batch.column(0)[first:stop].to_pylist()
+            texts.append(batch.column(1)[first:stop].cast(pa.large_string()))
+            size += int(ends[stop - 1]) - before
+            first = stop
             if size >= SLICE_BYTES:
-                yield ids, texts
+                out = ids, pa.concat_arrays(texts)
                 ids, texts, size = [], [], 0
+                yield out
     if ids:
-        yield ids, texts
+        yield ids, pa.concat_arrays(texts)
 
 
 def _heavy(share: float):
@@ -202,16 +235,21 @@ def _heavy(share: float):
         for _, texts in slices_of(batches):
             s = Slice(texts, False)
             least = share / 4 * len(s.w)
-            n1 = np.bincount(s.u1, minlength=len(s.words))
+            n1 = np.bincount(s.u1, minlength=len(s.hash))
             u1 = np.flatnonzero(n1 >= least)
-            # a pair has no more than its last word
-            near = (n1 >= least)[s.u1]
-            pairs, n2 = np.unique(s.u2[near].astype(np.int64) * len(s.words) + s.u1[near], return_counts=True)
-            pairs, n2 = pairs[n2 >= least], n2[n2 >= least]
-            last = s.hash[pairs % len(s.words)]
+            # a pair has no more than either of its words, of which few have so many; they are numbered from 1
+            rank = np.zeros(len(s.hash), dtype=np.int32)
+            rank[u1] = np.arange(1, len(u1) + 1)
+            near = np.flatnonzero(rank[s.u1] > 0)
+            pairs = rank[s.u2[near]].astype(np.int64) << 32 | rank[s.u1[near]]
+            pairs = np.sort(pairs[pairs >> 32 > 0])
+            first, _ = groups(pairs)
+            n2 = sizes_of(first, len(pairs))
+            pairs, n2 = pairs[first][n2 >= least], n2[n2 >= least]
+            last = s.hash[u1[(pairs & 0xFFFFFFFF) - 1]]
             found = [(np.zeros(1), np.zeros(1), np.zeros(1), [len(s.w)])]
             found += [(np.full(len(u1), 1), s.hash[u1].view(np.int64), s.hash[u1].view(np.int64), n1[u1])]
-            found += [(np.full(len(pairs), 2), pair_hash(s.hash[pairs // len(s.words)], last).view(np.int64), last.view(np.int64), n2)]
+            found += [(np.full(len(pairs), 2), pair_hash(s.hash[u1[(pairs >> 32) - 1]], last).view(np.int64), last.view(np.int64), n2)]
             level, key, last, n = (np.concatenate([np.asarray(y, dtype=np.int64) for y in x]) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(key), pa.array(last), pa.array(n)], names=["level", "key", "last", "n"])
 
@@ -257,36 +295,42 @@ def _packer(part_ids: np.ndarray, hot: Hot):
     slice's texts themselves."""
     parts = np.uint64(len(part_ids))
 
-    def rows_of(slice_id: int, ids: list, texts: list):
+    def rows_of(slice_id: int, ids: list, texts: pa.Array):
         s = Slice(texts)
         held = np.array([is_held_out(d) for d in ids], dtype=np.int64)
         known = np.array([d is not None for d in ids])
         yield int(part_ids[slice_id % len(part_ids)]), -1, dump(np.array([d or 0 for d in ids], dtype=np.int64).view(np.uint64), known.astype(np.uint8), held.astype(np.uint8))
         doc = np.repeat((np.arange(len(ids)) * 2 + held).astype(np.int32), s.lengths)
-        pair = pair_hash(s.hash[s.u2], s.hash[s.u1])
-        kind = np.where((among(s.hash, hot.words) >= 0)[s.u1], PAIR, BOTH)
-        kind[among(pair, hot.pairs) >= 0] = NONE
-        by = np.where(kind == BOTH, mix(s.hash)[s.u1], np.where(kind == PAIR, pair, mix(s.hash + np.uint64(slice_id) * A)[s.w]))
-        part = small((by % parts).astype(np.int64) * 3 + kind)
-        del pair, kind, by
+        # 3 * part + kind: a word's, but after hot words the pair's
+        part = small((mix(s.hash) % parts).astype(np.int64) * 3 + 2)[s.u1]
+        part -= part.dtype.type(2 - BOTH)
+        after = np.flatnonzero((among(s.hash, hot.words) >= 0)[s.u1])
+        pair = pair_hash(s.hash[s.u2[after]], s.hash[s.u1[after]])
+        part[after] = (pair % parts).astype(np.int64) * 3 + PAIR
+        none = after[among(pair, hot.pairs) >= 0]
+        part[none] = (mix(s.hash[s.w[none]] + np.array([slice_id], dtype=np.uint64) * A) % parts).astype(np.int64) * 3 + NONE
+        del pair, after, none
         order = order_of(s.u1, s.w, s.u2)
         order = order[np.argsort(part[order], kind="stable")]
         part, u1, w, u2, doc = part[order], s.u1[order], s.w[order], s.u2[order], doc[order]
+        s.u1 = s.w = s.u2 = None
+        del order
         cuts, _ = groups(part // 3)
-        place = np.empty(len(s.words), dtype=np.int64)
+        n_words = len(s.hash)
+        place = np.empty(n_words, dtype=np.int32)
         for a, b in zip(cuts, np.r_[cuts[1:], len(part)], strict=True):
             first, _ = groups(part[a:b], u1[a:b], w[a:b], u2[a:b])
             runs, _ = groups(part[a:b][first], u1[a:b][first])
             own = u1[a:b][first][runs], w[a:b][first], u2[a:b][first]
-            if len(s.words) < 8 * (b - a):
-                seen = np.zeros(len(s.words), dtype=bool)
+            if n_words < 256 * (b - a):
+                seen = np.zeros(n_words, dtype=bool)
                 for x in own:
                     seen[x] = True
                 used = np.flatnonzero(seen)
             else:
-                used = np.unique(np.concatenate(own))
+                used = distinct(np.concatenate(own))
             place[used] = np.arange(len(used))
-            text = np.frombuffer(b"\n".join(s.words[used]), dtype=np.uint8)
+            text = np.frombuffer(s.lines(used), dtype=np.uint8)
             lead, *cells = (small(place[x]) for x in own)
             yield int(part_ids[part[a] // 3]), len(ids), dump(text, small(part[a:b][first][runs] % 3), lead, small(sizes_of(runs, len(first))), *cells, small(sizes_of(first, b - a)), small(doc[a:b]))
 
@@ -320,6 +364,7 @@ def merged(pieces: list[tuple[int, int, bytes]], hot: Hot, askers: int) -> tuple
     loaded = [load(b) for _, _, b in pieces]
     hashes = [word_hashes(x[0].tobytes().split(b"\n")) for x in loaded]
     known, rank = np.unique(np.concatenate(hashes), return_inverse=True)
+    rank = rank.astype(np.int32)
     cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     at = first_doc = 0
     for (_, kinds, u1, cells, w, u2, per_cell, doc), h, (_, n, _) in zip(loaded, hashes, pieces, strict=True):
@@ -328,10 +373,9 @@ def merged(pieces: list[tuple[int, int, bytes]], hot: Hot, askers: int) -> tuple
         for c, x in zip(cols, (np.repeat(kinds, cells), np.repeat(own[u1], cells), own[w], own[u2], per_cell.astype(np.int64), doc.astype(np.int64) + 2 * first_doc), strict=True):
             c.append(x)
         first_doc += n
-    kind, u1, w, u2, per_cell, doc = (np.concatenate(c).astype(np.int64) for c in cols)
-    del cols, loaded, hashes
-    order = order_of(u1, w, u2)
-    order = order[np.argsort(kind[order].astype(np.uint8), kind="stable")]
+    kind, u1, w, u2, per_cell, doc = map(np.concatenate, cols)
+    del cols, loaded, hashes, rank
+    order = order_of(kind, u1, w, u2)
     # tokens follow their cells
     start = np.cumsum(per_cell) - per_cell
     per = per_cell[order]
@@ -343,7 +387,7 @@ def merged(pieces: list[tuple[int, int, bytes]], hot: Hot, askers: int) -> tuple
     kind, u1, w, u2 = kind[first], u1[first], w[first], u2[first]
     # pairs of a word before and a word; where no restaurant is here, a pair is a cell
     lead, pair = groups(kind, u1, w, np.where(kind == NONE, u2, 0))
-    rests = np.unique(u2[kind != NONE] << 30 | u1[kind != NONE], return_inverse=True)[1]
+    rests = np.unique(u2[kind != NONE].astype(np.int64) << 30 | u1[kind != NONE], return_inverse=True)[1]
     k1, w1 = kind[lead], known[w[lead]]
     code = np.zeros(len(lead), dtype=np.int64)
     code[k1 == PAIR] = 1 + among(known[u1[lead][k1 == PAIR]], hot.words)
@@ -406,6 +450,15 @@ def draw_tables(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator
         if n > EXACT:
             at = many[i:]
             break
+        if n <= FEW:
+            ways, weight, power = np.exp(table[n, 1 : n + 1]), a[at], 1.0
+            upto = [ways[0]]
+            for x in ways[1:]:
+                power = power * weight
+                upto.append(upto[-1] + x * power)
+            drawn = rng.random(len(at)) * upto[-1]
+            t[at] = 1 + sum((x < drawn).astype(t.dtype) for x in upto[:-1])
+            continue
         k = np.arange(1, n + 1)
         logs = table[n, 1 : n + 1] + np.log(np.maximum(a[at], 1e-300))[:, None] * k
         p = np.exp(logs - logs.max(axis=1, keepdims=True))
@@ -440,58 +493,108 @@ class Part:
         self.d2 = d2
         counts, cells, rest, tokens, learned, pairs, item, self.words, code, asked, to = load(body)
         counts = counts.astype(np.int64)
-        self.own = counts[0] + counts[1]  # cells whose pair's restaurant is here; they come first
-        self.both = counts[3]  # pairs whose word's restaurant is here
-        self.pair = np.repeat(np.arange(len(cells)), cells)
-        self.rest, self.tokens, self.c = rest.astype(np.int64), tokens.astype(np.int64), learned.astype(np.int64)
+        self.own = n = int(counts[0] + counts[1])  # cells whose pair's restaurant is here; they come first
+        self.both = int(counts[3])  # pairs whose word's restaurant is here
+        self.cells = cells.astype(np.int64)
+        self.begin = np.cumsum(self.cells) - self.cells
+        self.rest, self.tokens, self.c = rest.astype(np.int32), tokens, learned.astype(np.int32)
         self.word = np.repeat(np.arange(len(pairs)), pairs)
-        self.item, self.code = item.astype(np.int64), code.astype(np.int64)
+        self.item, self.code = item.astype(np.int64), code
         self.asked, self.to = asked.astype(np.int64), to.astype(np.int64)
-        self.c2 = np.bincount(self.rest, weights=self.c[: self.own])
-        self.t2, self.t1 = np.minimum(self.c, 1), None
+        self.c2 = np.bincount(self.rest, weights=self.c[:n])
+        self.t2 = np.minimum(self.c, 1)
+        # only cells of several customers are drawn again; what the others add to their restaurants stays
+        many = np.flatnonzero(self.c[:n] > 1)
+        self.many = many[np.argsort(self.c[many], kind="stable")]
+        self.many_pair, self.many_rest = self.pair[self.many], self.rest[self.many].astype(np.int64)
+        single = self.t2.copy()
+        single[self.many] = 0
+        self.single_rest = np.bincount(self.rest, weights=single[:n], minlength=len(self.c2))
+        self.single_pair = self.by_pair(single)[: self.both]
+        # of pairs above likewise
+        self.more = np.flatnonzero(self.by_pair(self.c)[: self.both] > 1)
+        self.more_word = self.word[self.more]
+        self.t1 = None
         self._up()
+        single = np.minimum(self.c1, 1)
+        single[self.more] = 0
+        self.single_word = np.bincount(self.word, weights=single, minlength=len(pairs))
         self.t1 = np.minimum(self.c1, 1)
 
+    @property
+    def pair(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.cells)), self.cells)
+
+    def by_pair(self, of_cells: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(of_cells, self.begin, dtype=np.int64)
+
     def _up(self) -> None:
-        self.c1 = np.bincount(self.pair[: self.own], weights=self.t2[: self.own], minlength=len(self.item))[: self.both].astype(np.int64)
+        t = self.t2[self.many]
+        self.rest_t = self.single_rest + np.bincount(self.many_rest, weights=t, minlength=len(self.c2))
+        self.c1 = (self.single_pair + np.bincount(self.many_pair, weights=t, minlength=len(self.item))[: self.both]).astype(np.int64)
+
+    def _totals(self) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of words' restaurants."""
+        c, t = (self.single_word + np.bincount(self.more_word, weights=x[self.more], minlength=len(self.single_word)) for x in (self.c1, self.t1))
+        return c, t
 
     def first_guess(self) -> np.ndarray:
         """Of items, by this part's own tokens."""
-        n = self.by_item(np.bincount(self.pair, weights=self.c, minlength=len(self.item)))
+        n = self.by_item(self.by_pair(self.c))
         return (n + 0.5) / (n.sum() + 0.5 * (len(n) + 1))
 
     def by_item(self, of_pairs: np.ndarray) -> np.ndarray:
         return np.bincount(self.item, weights=of_pairs, minlength=len(self.words))
 
     def sweep(self, p: np.ndarray, rng: np.random.Generator | None) -> None:
-        of_pair = self.of_pairs(p)
-        t2 = np.bincount(self.rest, weights=self.t2[: self.own], minlength=len(self.c2))
-        n = self.own
-        self.t2[:n] = tables_of(self.c[:n], (T2 + self.d2 * t2[self.rest]) * of_pair[self.pair[:n]], self.d2, rng)
+        if rng is None:  # every cell that has customers keeps its one table
+            return
+        of_pair = self.of_pairs(p, self.many_pair)
+        self.t2[self.many] = draw_tables(self.c[self.many], (T2 + self.d2 * self.rest_t[self.many_rest]) * of_pair, self.d2, rng)
+        t1 = self._totals()[1]
         self._up()
-        t1 = np.bincount(self.word, weights=self.t1)
-        self.t1 = tables_of(self.c1, (T1 + D1 * t1[self.word]) * p[self.item[: self.both]], D1, rng)
-
-    def of_pairs(self, p: np.ndarray) -> np.ndarray:
-        b = self.both
-        of_pair = p[self.item]
-        c1, t1 = np.bincount(self.word, weights=self.c1), np.bincount(self.word, weights=self.t1)
-        of_pair[:b] = predictive(self.c1, self.t1, D1, T1, c1[self.word], t1[self.word], of_pair[:b])
+        self.t1[self.more] = draw_tables(self.c1[self.more], (T1 + D1 * t1[self.more_word]) * p[self.item[self.more]], D1, rng)
+
+    def of_pairs(self, p: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities in the restaurants above the pairs', of all pairs or of those at some places."""
+        of_pair = p[self.item if at is None else self.item[at]]
+        here = slice(0, self.both) if at is None else np.flatnonzero(at < self.both)
+        pair = here if at is None else at[here]
+        c1, t1 = self._totals()
+        word = self.word[pair]
+        of_pair[here] = predictive(self.c1[pair], self.t1[pair], D1, T1, c1[word], t1[word], of_pair[here])
         return of_pair
 
     def of_cells(self, p: np.ndarray) -> np.ndarray:
+        return self._of_cells(self._from_above(p), self.t2[: self.own])
+
+    def mean_of_cells(self, p: np.ndarray, rng: np.random.Generator | None, samples: int) -> np.ndarray:
+        """The mean of of_cells after each of some sweeps."""
+        above, t2 = np.zeros(len(self.c)), self.t2[: self.own].astype(np.float64)
+        t2[self.many] = 0
+        for _ in range(samples):
+            self.sweep(p, rng)
+            above += self._from_above(p)
+            t2[self.many] += self.t2[self.many]
+        t2[self.many] /= samples
+        return self._of_cells(above / samples, t2)
+
+    def _from_above(self, p: np.ndarray) -> np.ndarray:
+        """What cells get from their parents, by the weight of a new table where the pair's restaurant is here."""
+        out = np.repeat(self.of_pairs(p), self.cells)
+        out[: self.own] *= (T2 + self.d2 * self.rest_t)[self.rest]
+        return out
+
+    def _of_cells(self, above: np.ndarray, t2: np.ndarray) -> np.ndarray:
         n = self.own
-        t2 = np.bincount(self.rest, weights=self.t2[:n], minlength=len(self.c2))
-        of_cell = self.of_pairs(p)[self.pair]
-        of_cell[:n] = predictive(self.c[:n], self.t2[:n], self.d2, T2, self.c2[self.rest], t2[self.rest], of_cell[:n])
-        return of_cell
+        above[:n] = (self.c[:n] - self.d2 * t2 + above[:n]) / (T2 + self.c2)[self.rest]
+        return above
 
     def customers(self) -> tuple[np.ndarray, np.ndarray]:
         """That the items get, and their training tokens."""
-        up = np.where(np.arange(len(self.c)) < self.own, self.t2, self.c)
-        n = np.bincount(self.pair, weights=up, minlength=len(self.item))
+        n = self.by_pair(np.r_[self.t2[: self.own], self.c[self.own :]])
         n[: self.both] = self.t1
-        return self.by_item(n).astype(np.int64), self.by_item(np.bincount(self.pair, weights=self.c, minlength=len(self.item))).astype(np.int64)
+        return self.by_item(n).astype(np.int64), self.by_item(self.by_pair(self.c)).astype(np.int64)
 
 
 def generator(gibbs: bool, *seed: int) -> np.random.Generator | None:
@@ -510,9 +613,9 @@ def _ask(ask_ids: np.ndarray, round_: int, gibbs: bool, d2: float):
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part, p = row[0], Part(row[1], d2)
-                chance = _replies(row[2], ask_ids[p.to])[0] if len(row) > 2 else p.first_guess()
+            for row in range(batch.num_rows):
+                part, p = batch.column(0)[row].as_py(), Part(batch.column(1)[row].as_buffer(), d2)
+                chance = _replies(batch.column(2)[row].as_py(), ask_ids[p.to])[0] if batch.num_columns > 2 else p.first_guess()
                 rng = generator(gibbs, part, round_)
                 for _ in range(BURN):
                     p.sweep(chance, rng)
@@ -520,6 +623,8 @@ def _ask(ask_ids: np.ndarray, round_: int, gibbs: bool, d2: float):
                 ends = np.cumsum(p.asked)
                 bodies = [dump(p.words[a:b], small(p.code[a:b]), small(customers[a:b]), small(learned[a:b])) for a, b in zip(ends - p.asked, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ask_ids[p.to]), pa.array([part] * len(bodies), pa.int64()), pa.array(bodies, pa.binary())], names=["to", "part", "body"])
+                del p, chance, bodies
+                pa.default_memory_pool().release_unused()
 
     return ask
 
@@ -535,9 +640,9 @@ def _asked(hot: Hot):
             known, rank = np.unique(w, return_inverse=True)
             asked = rank.astype(np.int64) << 32 | np.concatenate([x[1] for x in loaded]).astype(np.int64)
             # every item's parents are items
-            items = np.unique(np.r_[asked, (asked >> 32) << 32])
+            items = distinct(np.r_[asked, (asked >> 32) << 32])
             pairs = items[(items & 0xFFFFFFFF) > words]
-            items = np.unique(np.r_[items, (pairs >> 32) << 32 | parents(hot)[pairs & 0xFFFFFFFF]])
+            items = distinct(np.r_[items, (pairs >> 32) << 32 | parents(hot)[pairs & 0xFFFFFFFF]])
             at = np.searchsorted(items, asked)
             sums = [np.bincount(at, weights=np.concatenate([x[k] for x in loaded]), minlength=len(items)).astype(np.int64) for k in (2, 3)]
             sizes = np.array([len(x[0]) for x in loaded], dtype=np.int64)
@@ -643,31 +748,31 @@ def _scores(ask_ids: np.ndarray, tokens: float, vocabulary: float, gibbs: bool,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, body, docs, replies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p = Part(body, d2)
-                doc, slices, texts = load(docs)
-                chance, learned = _replies(replies, ask_ids[p.to])
+            for row in range(batch.num_rows):
+                part, p = batch.column(0)[row].as_py(), Part(batch.column(1)[row].as_buffer(), d2)
+                chance, learned = _replies(batch.column(3)[row].as_py(), ask_ids[p.to])
                 rng = generator(gibbs, part, 99)
                 for _ in range(BURN):
                     p.sweep(chance, rng)
-                mean = np.zeros(len(p.c))
-                for _ in range(SAMPLES):
-                    p.sweep(chance, rng)
-                    mean += p.of_cells(chance) / SAMPLES
-                count = learned[p.item][p.pair]
-                base = np.log10((count + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
-                logs = np.log10(np.maximum(mean, 1e-300))
-                cell = np.repeat(np.arange(len(p.c)), p.tokens)
+                mean = p.mean_of_cells(chance, rng, SAMPLES)
+                base = np.log10((learned + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
+                logs = np.log10(np.maximum(mean, 1e-300, out=mean), out=mean)
+                item, per, cells = p.item, p.tokens.astype(np.int64), p.cells
+                del p, mean
+                doc, slices, texts = load(batch.column(2)[row].as_buffer())
                 seen = np.bincount(doc >> 1, minlength=1)  # of these texts, those without a token here are left out
                 docs = np.flatnonzero(seen)
                 n = len(docs)
                 doc = (np.cumsum(seen > 0) - 1)[doc >> 1]
-                sums = [np.bincount(doc, weights=x[cell], minlength=n) for x in ((count > 0).astype(np.float64), base, logs)]
+                of_pairs = (x[item] for x in ((learned > 0).astype(np.float64), base))
+                sums = [np.bincount(doc, weights=np.repeat(x, per), minlength=n) for x in (*(np.repeat(x, cells) for x in of_pairs), logs)]
                 every = np.bincount(doc, minlength=n)
                 offset = np.r_[0, np.cumsum(texts.astype(np.int64))]
                 at = np.searchsorted(docs, offset)
                 bodies = [dump(small(np.diff(docs[a:b].astype(np.int64) - o, prepend=0)), small(every[a:b]), small(sums[0][a:b].astype(np.int64)), sums[1][a:b], sums[2][a:b]) for o, a, b in zip(offset, at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(slices.view(np.int64)), pa.array([1] * len(bodies), pa.int32()), pa.array(bodies, pa.binary())], names=["slice", "kind", "body"])
+                del doc, logs, base, bodies
+                pa.default_memory_pool().release_unused()
 
     return score
 
@@ -698,7 +803,8 @@ class Dealt:
         self.spark, self.buckets = df.sparkSession, buckets
         self.name, path = f"lm_{uuid.uuid4().hex}", scratch_dir(df.sparkSession)
         with let_go(self.spark):
-            df.write.format("parquet").option("path", path).bucketBy(buckets, "part").saveAsTable(self.name)
+            # bodies are compressed already
+            df.write.format("parquet").option("compression", "none").option("path", path).bucketBy(buckets, "part").saveAsTable(self.name)
         self.rows = self.spark.table(self.name)
 
     def with_replies(self, replies: DataFrame | None, *more: str) -> DataFrame:
@@ -729,6 +835,11 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gibbs: b
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each text.
 
     Without gibbs each cell has one table, which makes the scores a function of the counts."""
+    with small_batches(docs.sparkSession):
+        return _scored(docs, doc_id, text, gibbs, part_bytes)
+
+
+def _scored(docs: DataFrame, doc_id: str, text: str, gibbs: bool, part_bytes: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -744,14 +855,14 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gibbs: b
     d2 = discount(once, twice)
     for k in range(ROUNDS):
         asks = parts.with_replies(replies).mapInArrow(_ask(ask_ids, k, gibbs, d2), "to long, part long, body binary")
-        upper = cut(asks.repartition(askers, "to").sortWithinPartitions("to", "part").mapInArrow(_asked(hot), "to long, body binary"))
+        upper = cut(asks.repartition(askers, "to").sortWithinPartitions("to", "part").mapInArrow(_asked(hot), "to long, body binary"), "none")
         past: list[dict] = []
         for _ in range(BURN + 1):
             past.append(_collected(upper.mapInArrow(_totals(hot, past, k, gibbs, d2), "kind string, at long, n double"), len(hot)))
             d2 = discount(once + past[-1]["once"], twice + past[-1]["twice"])  # with the cells of hot pairs
         totals = past[-1]
         done = replies
-        replies = cut(upper.mapInArrow(_reply(hot, past, k, gibbs, d2), "part long, to long, body binary"))
+        replies = cut(upper.mapInArrow(_reply(hot, past, k, gibbs, d2), "part long, to long, body binary"), "none")
         drop(upper, *([done] if done is not None else []))
     sums = parts.with_replies(replies, "docs").mapInArrow(_scores(ask_ids, totals["tokens"], totals["vocabulary"], gibbs, d2), "slice long, kind int, body binary")
     info = parts.rows.where("slice >= 0").select("slice", F.lit(0).alias("kind"), "body")

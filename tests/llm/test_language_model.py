@@ -7,9 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from densityflow.llm import language_model as lm
+from densityflow.llm.common import BATCH, small_batches
+from densityflow.llm.shingles import split_words
 
 ROWS = "doc_id long, text string, lang string, body string, part int, slice long"
 
@@ -152,3 +155,66 @@ def test_a_slice_holds_numbers_not_words():
         assert peak < 50 * len(s.w)
         assert [s.words[k] for k in s.w] == [w for t in texts for w in tokens(t)]
         assert s.words[s.u2[0]] == s.words[s.u1[0]] == s.words[s.u2[1]] == lm.START and s.u1[1] == s.w[0]
+
+
+def a_part(texts):
+    hot = lm.Hot(*[np.empty(0, dtype=np.uint64)] * 3)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    rows = [r for b in lm._packer(np.array([0]), hot)(iter([batch])) for r in b.to_pylist()]
+    body, _, once, twice = lm.merged([(r["slice"], r["n_docs"], r["body"]) for r in rows if r["n_docs"] >= 0], hot, 3)
+    return lm.Part(body, lm.discount(once, twice))
+
+
+def test_only_cells_of_several_customers_are_drawn(monkeypatch):
+    part = a_part([t for _, t in corpus(5, 60)])
+    drawn = []
+    draw = lm.draw_tables
+    monkeypatch.setattr(lm, "draw_tables", lambda c, *rest: drawn.append(c) or draw(c, *rest))
+    part.sweep(part.first_guess(), np.random.default_rng(2))
+    assert len(drawn[0]) == (part.c > 1).sum() < len(part.c) / 2
+    assert (drawn[0] > 1).all()
+    assert len(drawn[1]) == (part.by_pair(part.c)[: part.both] > 1).sum() < len(part.c1)
+    # and the sums that are kept are those of the whole seating
+    assert (part.c1 == np.bincount(part.pair, weights=part.t2)).all()
+    assert (part.rest_t == np.bincount(part.rest, weights=part.t2)).all()
+    assert (part._totals()[1] == np.bincount(part.word, weights=part.t1)).all()
+
+
+def test_mean_of_sweeps_is_the_mean_of_their_probabilities():
+    one, other = (a_part([t for _, t in corpus(6, 60)]) for _ in range(2))
+    p, rng = one.first_guess(), np.random.default_rng(4)
+    got = one.mean_of_cells(p, np.random.default_rng(4), 3)
+    want = np.zeros(len(got))
+    for _ in range(3):
+        other.sweep(p, rng)
+        want += other.of_cells(p) / 3
+    assert got == pytest.approx(want)
+
+
+def test_words_of_arrow_texts():
+    texts = ["".join(map(chr, range(256))) * 2, " \x1c ", "\x85x\xa0Y z\x0bq", "\n a\r\n\tB ", "", " \t\x0c", None, "Ü İ K"]
+    s = lm.Slice(pa.array(["other", *texts])[1:])
+    at = np.cumsum(s.lengths) - s.lengths
+    for t, first, n in zip(texts, at, s.lengths, strict=True):
+        assert [s.words[k] for k in s.w[first : first + n]] == [*split_words(t), lm.END]
+    assert s.lines(np.array([0, 2, 1])) == b"\n".join(s.words[[0, 2, 1]])
+
+
+def test_slices_are_cut_at_texts(monkeypatch):
+    monkeypatch.setattr(lm, "SLICE_BYTES", 20)
+    texts = ["x" * 30, None, "ü" * 9, "y" * 9, "", "z" * 60, "a", "b"]
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(8)), "text": texts})
+    for cuts in ([0, 8], [0, 1, 4, 5, 8], list(range(9))):
+        found = list(lm.slices_of(iter([whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)])))
+        assert [i for i, _ in found] == [[0], [1, 2, 3], [4, 5], [6, 7]]
+        assert [t for _, ts in found for t in ts.to_pylist()] == texts
+
+
+def test_settings_are_put_back(spark):
+    before = spark.conf.get(BATCH)
+    with small_batches(spark):
+        assert int(spark.conf.get(BATCH)) <= 1000
+        with small_batches(spark):
+            pass
+        assert int(spark.conf.get(BATCH)) <= 1000
+    assert spark.conf.get(BATCH) == before
