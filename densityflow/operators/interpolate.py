@@ -27,13 +27,12 @@ def interpolated(samples: DataFrame, grid: DataFrame, keys: list[str], at: str =
     ranged = stored(both.repartitionByRange(*keys, "_x", "_kind", "_salt").withColumn("_part", F.spark_partition_id()).drop("_salt"))
     sample = F.when(F.col("_kind") == 0, F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")))
     ends = ranged.groupBy("_part", *keys).agg(F.min(sample).alias("_first"), F.max(sample).alias("_last"))
-    order = Window.partitionBy(*keys).orderBy("_part")  # a row for each range
-    before = F.last("_last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("_first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # what follows is looked for backwards: a frame to the end is read anew for each row, one from the start is carried on
+    order, back = (Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1) for c in (F.asc("_part"), F.desc("_part")))  # a row for each range
+    before, after = F.last("_last", ignorenulls=True).over(order), F.last("_first", ignorenulls=True).over(back)
     edges = bounded(ends.select("_part", *keys, before.alias("_before"), after.alias("_after")))
-    own = Window.partitionBy("_part", *keys).orderBy("_x", "_kind")
-    low = F.last(sample, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first(sample, ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing))
+    own, turned = (Window.partitionBy("_part", *keys).orderBy(f("_x"), f("_kind")).rowsBetween(Window.unboundedPreceding, 0) for f in (F.asc, F.desc))
+    low, high = (F.last(sample, ignorenulls=True).over(w) for w in (own, turned))
     near = ranged.select("*", low.alias("_low"), high.alias("_high")).where("_kind = 1")
     same = [edges[c].eqNullSafe(near[c]) for c in keys]
     on = edges["_part"] == near["_part"]

@@ -43,6 +43,16 @@ def test_hot_places_are_cut(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_no_row_reads_its_range_to_the_end(spark):
+    """A frame that ends with the range is read anew for each row, in the square of the range's rows."""
+    x = np.arange(0.0, 3000.0, 3.0)
+    grid = spark.range(4000).select(F.col("id").alias("i"), (F.col("id") - 500).cast("double").alias("g"))
+    found = interpolate.interpolated(frame(spark, x=x, y=np.sin(x)), grid, [])
+    assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    got = found.toPandas()
+    assert len(got) == 4000 and np.allclose(got["y"], np.interp(got["g"], x, np.sin(x)))
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     samples = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 4.0), ("a", None, 1.0), ("a", 3.0, nan), ("a", inf, 7.0), (None, 0.0, 5.0)], "k string, x double, y double")
