@@ -104,17 +104,18 @@ def partition_cap(prob: float, chunk: int = 100_000, most_samples: int = 0) -> i
     return most_samples if most_samples > 0 else max(chunk, math.ceil(100 / max(prob, 2.3e-16)))
 
 
-def estimate(points: DataFrame, sigma: float, dims: int = 1, prob: float = 1e-3, conv: float = 1e-2, most: int = 150, seed: int = 0, partition: Callable[[DataFrame, float], Callable[[DataFrame], Column]] | None = None, most_samples: int = 0) -> tuple[DataFrame, int]:
+def estimate(points: DataFrame, sigma: float, dims: int = 1, prob: float = 1e-3, conv: float = 1e-2, most: int = 150, seed: int = 0, partition: Callable[[DataFrame, float], Callable[[DataFrame], Column]] | None = None, most_samples: int = 0, whole: bool = False) -> tuple[DataFrame, int]:
     """Centres, scores and divergences of points (row, y0 ..) smoothed by sigma, in cells of about prob,
     and the rounds of noise that it took until they moved by at most conv.
 
-    Cells are halved while they hold 2 * prob of a sample with the first round's noise. partition fits
-    cells of another kind: called with that sample and prob, it gives what names the cell of noisy
-    points. No observations are an error."""
+    Cells are halved while they hold 2 * prob of a sample with the first round's noise; whole takes all
+    points for it, however many. partition fits cells of another kind: called with that sample and prob,
+    it gives what names the cell of noisy points. No observations are an error."""
     n = points.count()
     if not n:
         raise ValueError("there are no observations")
-    sample = draw(on_stride(points, n, partition_cap(prob, most_samples=most_samples)), F.lit(sigma), range(1, 2), seed, dims)
+    fitted = points if whole else on_stride(points, n, partition_cap(prob, most_samples=most_samples))
+    sample = draw(fitted, F.lit(sigma), range(1, 2), seed, dims)
     cell = partition(sample, prob) if partition else mass_tree(sample, prob).of
     return converge(points, sigma, cell, seed, conv, most, dims)
 

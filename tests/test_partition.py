@@ -3,10 +3,12 @@
 import numpy as np
 import pandas as pd
 import pytest
+from matching import assert_same
 from pyspark.sql import functions as F
 from test_operators import gaussian
 
 from densityflow.operators import kgmm, partition
+from densityflow.plans import catalog
 
 
 def cloud(spark, n=3000, dims=3, seed=1):
@@ -88,3 +90,10 @@ def test_estimate_in_cells_by_mass(spark):
     got = found.toPandas()
     assert 25 <= len(got) <= 50
     assert np.sqrt(np.average((got.score0 + got.center0 / (1 + sigma**2)) ** 2, weights=got.n)) < 0.12
+
+
+@pytest.mark.parametrize("name", ["kgmm_bisecting"])
+def test_cells_of_a_query_are_fitted_to_all_points(spark, sf, duck, monkeypatch, name):
+    """SQL fits them to every row; a table beyond the cap of a sample is stood for by a lower cap."""
+    monkeypatch.setattr(kgmm, "partition_cap", lambda *_, **__: 100)
+    assert_same(catalog.QUERIES[name](spark, sf), duck, catalog.ORACLES[name])
