@@ -2,7 +2,7 @@
 
 Snapshots are transformed a batch at a time by fast Fourier transforms; covariances are summed as
 products of batches where the rows are, and only a matrix of the dimensions meets. Leading axes come from
-subspace iteration, which needs no such matrix."""
+block Krylov iteration, which needs no such matrix."""
 
 from __future__ import annotations
 
@@ -160,27 +160,58 @@ def _applied(snapshots: DataFrame, mean: np.ndarray, basis: np.ndarray) -> tuple
     return w, r
 
 
-def leading_axes(snapshots: DataFrame, modes: int, more: int = 16, most: int = 60, tolerance: float = 1e-10, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(means, axes as rows, variances) of the largest modes, by subspace iteration on modes and some more
-    columns: no matrix of all pairs of dimensions is made, and the driver holds dims times columns.
-    An axis's largest component is positive. Rounds end when the variances settle, after most at the latest."""
+def _outside(image: np.ndarray, basis: np.ndarray, least: float) -> np.ndarray:
+    """An orthonormal basis of what the columns of image hold beside basis, as far as it is longer than least."""
+    u, sizes, _ = np.linalg.svd(image - basis @ (basis.T @ image), full_matrices=False)
+    u = u[:, sizes > least][:, : len(basis) - basis.shape[1]]
+    return np.linalg.qr(u - basis @ (basis.T @ u))[0]
+
+
+def _rest(image: np.ndarray, axes: np.ndarray, values: np.ndarray) -> float:
+    """What is left of axes when the covariance is applied to them (image), beside their own directions."""
+    return float(np.abs(image - axes * values).max())
+
+
+def leading_axes(snapshots: DataFrame, modes: int, more: int = 16, most: int = 1000, tolerance: float = 1e-10, seed: int = 0, blocks: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(means, axes as rows, variances) of the largest modes, by block Krylov iteration on modes and some more
+    columns: no matrix of all pairs of dimensions is made, and the driver holds dims times columns of so
+    many blocks. An axis's largest component is positive.
+
+    A round applies the covariance to one block. The next block is what that gave beside all blocks so
+    far; after so many, the best directions in them are a new first block. In rounds on one block alone
+    a flat spectrum does not settle. Axes that have not settled after about most rounds are an error."""
     n, mean = _moments(snapshots)
     if n < 2:
         raise ValueError("two snapshots at least are needed")
     k = min(modes + more, len(mean))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(mean), k)))[0]
-    before = None
-    for _ in range(most):
+    rounds = 0
+    while True:
         w, r = _applied(snapshots, mean, q)
+        rounds += 1
         _, sizes, turned = np.linalg.svd(r)  # of XQ: the variances inside the subspace, and its axes
-        values, axes = sizes[:modes] ** 2 / (n - 1), q @ turned.T[:, :modes]
-        # what is left of each axis when the covariance is applied to it, beside its own direction
-        rest = w @ turned.T[:, :modes] / (n - 1) - axes * values
-        before, q = np.abs(rest).max(), np.linalg.qr(w)[0]
-        if k == len(mean) or before <= tolerance * max(values[0], 1e-300):
+        values, basis, image = sizes**2 / (n - 1), q @ turned.T, w @ turned.T / (n - 1)
+        limit = tolerance * max(values[0], 1e-300)
+        if k == len(mean) or _rest(image[:, :modes], basis[:, :modes], values[:modes]) <= limit:
             break
-    axes = axes.T
-    return mean, axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None], values
+        axes, last = image, image  # one block alone is subspace iteration
+        for _ in range(blocks - 1):
+            new = _outside(last, basis, 1e-13 * values[0])
+            if not new.shape[1]:
+                break
+            last = _applied(snapshots, mean, new)[0] / (n - 1)
+            rounds += 1
+            basis, image = np.concatenate([basis, new], axis=1), np.concatenate([image, last], axis=1)
+            product = basis.T @ image
+            inside, turned = np.linalg.eigh((product + product.T) / 2)
+            axes, top = basis @ turned[:, ::-1], turned[:, ::-1][:, :modes]
+            if _rest(image @ top, axes[:, :modes], inside[::-1][:modes]) <= limit / 2:
+                break
+        if rounds >= most:
+            raise ArithmeticError(f"the axes have not settled after {most} rounds")
+        q = np.linalg.qr(axes[:, :k])[0]
+    axes = basis[:, :modes].T
+    return mean, axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None], values[:modes]
 
 
 def pca(snapshots: DataFrame, modes: int) -> DataFrame:

@@ -99,3 +99,13 @@ def test_leading_axes_equal_those_of_the_covariance(spark):
     assert np.allclose(values.sum(), np.trace(np.cov(x.T)))
     with pytest.raises(ValueError, match="two snapshots"):
         spectral.leading_axes(df.limit(1), 2)
+
+
+def test_leading_axes_settle_on_a_flat_spectrum(spark):
+    x = np.random.default_rng(5).normal(size=(2000, 64))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "t long, x array<double>").repartition(3)
+    _, axes, values = spectral.leading_axes(df, 4)
+    _, a2, v2 = spectral.principal_axes(df, 4)
+    assert np.allclose(values, v2, rtol=1e-12) and np.allclose(axes, a2, rtol=0, atol=1e-9)
+    with pytest.raises(ArithmeticError, match="settled"):
+        spectral.leading_axes(df, 4, most=1)
